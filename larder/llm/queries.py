@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import bpe, exact_dedup, sharding
+from larder.llm import bpe, exact_dedup, sharding, simhash
 
 #: The vocabulary of the BPE query; a parameter of its operator.
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -21,6 +21,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(_documents(spark, sf_dir))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
@@ -41,7 +45,7 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op6_bpe": op6_bpe, "op7_sharding": op7_sharding}
+    return {"op1_exact_dedup": op1_exact_dedup, "op4_simhash": op4_simhash, "op6_bpe": op6_bpe, "op7_sharding": op7_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
