@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import bpe, exact_dedup, sharding, simhash
+from larder.llm import bpe, exact_dedup, line_dedup, sharding, simhash
 
 #: The vocabulary of the BPE query; a parameter of its operator.
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -21,6 +21,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_documents(spark, sf_dir))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_documents(spark, sf_dir))
 
@@ -43,10 +47,24 @@ g AS (
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM g
 """
 
+#: Lines that five or more documents hold, as op2's contract has them.
+_OP2_SQL = r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(parts, 1) AS line, unnest(parts) AS body
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+k AS (
+  SELECT doc_id, line, body, trim(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
+r AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+d AS (SELECT k.doc_id, k.line, k.body, r.key IS NOT NULL AND k.doc_id <> r.last AS gone FROM k LEFT JOIN r ON k.key = r.key)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(body, chr(10) ORDER BY line) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM d GROUP BY doc_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op4_simhash": op4_simhash, "op6_bpe": op6_bpe, "op7_sharding": op7_sharding}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_line_dedup": op2_line_dedup, "op4_simhash": op4_simhash, "op6_bpe": op6_bpe, "op7_sharding": op7_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1_SQL}
+    return {"op1_exact_dedup": _OP1_SQL, "op2_line_dedup": _OP2_SQL}
