@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import bpe, exact_dedup, line_dedup, sharding, simhash
+from larder.llm import bpe, decontaminate, exact_dedup, line_dedup, quality, sharding, simhash
 
 #: The vocabulary of the BPE query; a parameter of its operator.
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -25,6 +25,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_documents(spark, sf_dir))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_documents(spark, sf_dir))
 
@@ -37,6 +41,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.score_documents(docs, quality.fit(docs, labels))
+
+
 #: Equal texts, as op1's contract has them.
 _OP1_SQL = r"""
 WITH n AS (
@@ -63,7 +72,7 @@ FROM d GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_line_dedup": op2_line_dedup, "op4_simhash": op4_simhash, "op6_bpe": op6_bpe, "op7_sharding": op7_sharding}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_line_dedup": op2_line_dedup, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op6_bpe": op6_bpe, "op7_sharding": op7_sharding, "op8_quality": op8_quality}
 
 
 def oracle_sql() -> dict[str, str]:
