@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import bpe, decontaminate, exact_dedup, line_dedup, pii, quality, secrets, sharding, simhash
+from larder.llm import bpe, decontaminate, exact_dedup, line_dedup, pii, quality, secrets, sharding, simhash, suffix_dedup
 
 #: The vocabulary of the BPE query; a parameter of its operator.
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -54,6 +54,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_documents(spark, sf_dir))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_documents(spark, sf_dir))
+
+
 #: Equal texts, as op1's contract has them.
 _OP1_SQL = r"""
 WITH n AS (
@@ -80,7 +84,7 @@ FROM d GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_line_dedup": op2_line_dedup, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_secrets": op9_secrets}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_line_dedup": op2_line_dedup, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_secrets": op9_secrets, "op10_suffix_dedup": op10_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
