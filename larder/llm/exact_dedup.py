@@ -110,3 +110,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = keyed.join(index, ["h", "sha"])
     own = F.when(F.col("keep_id") == int(_TOP), None).otherwise(F.col("keep_id"))
     return found.select("doc_id", own.alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(own).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay; rows that repeat one that stays do too."""
+    gone = exact_dedup(docs, id_col, text_col, **options).filter("not kept").select(F.col("doc_id").alias("__dropped")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__dropped")), "left_anti")
