@@ -1,11 +1,319 @@
-"""All queries over the standard tables, and the SQL that gives the same rows."""
+"""All queries over the standard tables, and the SQL that gives the same rows.
+
+Each query builds the panel of the standard tables (``standard_panel``) and
+applies one operator to it.  Computed numbers are rounded to four places, and
+counts are longs, so that two engines can be compared value by value.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larder.config import STANDARD
+from larder.operators import classify, contract, features, forecast, model, policy, report, simulate, uncertainty
+from larder.plans.oracle import FINAL, SEL_END, W, i, metrics, query, r, simulation
+from larder.sources.panel import standard_panel
+
+S = STANDARD
+
+
+def neat(df: DataFrame) -> DataFrame:
+    """Doubles to four places, whole numbers to longs."""
+    to = {"double": lambda c: F.round(c, 4), "int": lambda c: F.col(c).cast("long")}
+    return df.select(*[to[t](c).alias(c) if t in to else F.col(c) for c, t in df.dtypes])
+
+
+class Book:
+    """The steps that queries share, each built when it is asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        made = _STEPS[name](self)
+        setattr(self, name, made)
+        return made
+
+
+def class_forecast(b: Book, first, last) -> DataFrame:
+    """(sku_id, date, demand, class, model, forecast): each class by its best baseline."""
+    best = b.winners.filter("rank = 1").select("class", "model")
+    models = b.classes.join(F.broadcast(best), "class")  # nine classes at most
+    frame = features.baseline_forecasts(b.panel.select("sku_id", "date", "demand"), W.season).filter(F.col("date").between(F.lit(first), F.lit(last)))
+    picked = F.when(F.col("model") == "Naive", F.col("Naive")).when(F.col("model") == "SeasonalNaive", F.col("SeasonalNaive")).otherwise(F.col("HistoricMean"))
+    return frame.join(models, "sku_id").select("sku_id", "date", "demand", "class", "model", F.when(picked.isNotNull(), F.greatest(picked, F.lit(0.0))).alias("forecast"))
+
+
+def _final_days(b: Book) -> DataFrame:
+    return b.panel.filter(F.col("date") >= F.lit(W.final_start)).select("sku_id", "date", "demand")
+
+
+def _trace(b: Book, runs: DataFrame, dynamic: bool) -> DataFrame:
+    paths = simulate.daily_paths(_final_days(b), ["sku_id"], b.final_forecast if dynamic else None)
+    return simulate.simulate(paths, runs, simulate.initial_inventory(b.panel, W.final_start), ["sku_id"], dynamic=dynamic)
+
+
+def _priced(trace: DataFrame, runs: DataFrame) -> DataFrame:
+    return simulate.policy_metric(trace, runs, ["sku_id"], S.ordering_cost, S.holding_rate, S.shortage_multiplier)
+
+
+_STEPS: dict[str, Callable[[Book], DataFrame]] = {
+    "panel": lambda b: standard_panel(b.spark, b.sf_dir),
+    "classes": lambda b: classify.abc_xyz(b.panel, S),
+    "metric": lambda b: classify.sku_metric(b.panel, W.final_start),
+    "medians": lambda b: policy.sku_medians(b.panel, S),
+    "scope": lambda b: classify.optimization_scope(b.panel, b.classes, S),
+    "skus": lambda b: policy.scope_of(b.classes, b.scope),
+    "winners": lambda b: forecast.baseline_winner(b.panel, b.classes, S),
+    "calibration": lambda b: class_forecast(b, W.calibration_start, W.calibration_end),
+    "final_forecast": lambda b: class_forecast(b, W.final_start, "2000-12-31"),
+    "audit": lambda b: policy.policy_grid(b.calibration.drop("class", "model"), b.panel, b.skus, S),
+    "chosen": lambda b: policy.selected_policy(b.audit),
+    "recorded": lambda b: policy.historical_policy(b.panel, S).join(b.classes, "sku_id"),
+    "inferred": lambda b: policy.inferred_policy(b.panel, S).join(b.classes, "sku_id"),
+    "old_trace": lambda b: _trace(b, b.recorded, False),
+    "new_trace": lambda b: _trace(b, b.chosen, True),
+    "old_metric": lambda b: _priced(b.old_trace, b.recorded),
+    "new_metric": lambda b: _priced(b.new_trace, b.chosen),
+    "inferred_metric": lambda b: _priced(_trace(b, b.inferred, False), b.inferred),
+    "old_in_scope": lambda b: b.old_metric.join(b.new_metric.select("sku_id"), "sku_id", "left_semi"),
+    "stress": lambda b: uncertainty.stress_test(b.recorded.join(b.chosen.select("sku_id"), "sku_id", "left_semi"), b.chosen, b.calibration.join(b.chosen.select("sku_id"), "sku_id", "left_semi"), b.final_forecast.join(b.chosen.select("sku_id"), "sku_id", "left_semi"), b.panel, S),
+    "actions": lambda b: report.policy_action(b.chosen, b.recorded.drop("class"), b.old_metric, b.new_metric),
+}
+
+_METRIC = ["total_demand", "total_sales", "total_lost", "avg_inventory", "fill_rate", "cycle_service_level", "turnover", "doi", "stockout_cost", "holding_cost", "ordering_cost", "total_cost"]
+_COUNTS = ["cycles_without_stockout", "num_cycles"]
+_TRACE = ["initial_inventory", "received", "inventory", "inventory_position", "rop_used", "demand", "sales_quantity", "lost"]
+_CALENDAR = ["month", "quarter", "year", "dayofweek", "day", "is_weekend", "is_month_start", "is_month_end", "month_index"]
+_LAGS = [f"lag_{k}" for k in features.LAGS]
+_ROLLS = [f"roll_{k}_{n}" for n in features.SPANS for k in ("mean", "std", "cv")]
+_TRENDS = ["diff_1_7", "diff_7_30", "mean_diff_30_90", "growth_7", "growth_30", "growth_mean"]
+
+
+def _features(b: Book) -> DataFrame:
+    return features.create_features(b.panel)
+
+
+_QUERIES: dict[str, Callable[[Book], DataFrame]] = {
+    "panel": lambda b: b.panel,
+    "contract_violations": lambda b: contract.contract_violations(b.panel),
+    "calendar_audit": lambda b: contract.calendar_audit(b.panel),
+    "inventory_balance": lambda b: contract.inventory_balance(b.panel),
+    "abc_class": lambda b: classify.classify_abc(b.panel, S),
+    "xyz_candidates": lambda b: classify.xyz_candidates(b.panel, S),
+    "xyz_class": lambda b: classify.classify_xyz(b.panel, S),
+    "abc_xyz_class": lambda b: b.classes,
+    "abc_xyz_matrix": lambda b: report.abc_xyz_matrix(b.classes),
+    "class_scope": lambda b: classify.class_scope(b.panel, b.classes, S).drop("doi_cut"),
+    "optimization_scope": lambda b: b.scope.select("class", "intervention", "n_sku", "fill_rate", "doi"),
+    "scope_coverage": lambda b: report.scope_coverage(b.panel, b.classes, b.scope),
+    "sku_metric": lambda b: b.metric,
+    "class_summary": lambda b: report.class_summary(b.metric, b.classes),
+    "portfolio_kpis": lambda b: report.portfolio_kpis(b.metric, b.medians),
+    "inventory_trend": lambda b: report.inventory_trend(b.panel),
+    "inventory_value_by_class": lambda b: report.inventory_value_by_class(b.metric, b.medians, b.classes),
+    "top10_inventory": lambda b: report.top_inventory(b.metric).select("sku_id", "avg_inventory"),
+    "slow_moving": lambda b: report.slow_moving(b.metric, b.classes),
+    "stockout_risk": lambda b: report.stockout_risk(b.metric, b.classes),
+    "class_counts": lambda b: b.classes.groupBy("class").agg(F.count("*").alias("n_sku")),
+    "monthly_demand": lambda b: report.monthly_demand(b.panel),
+    "month_seasonality": lambda b: report.month_seasonality(b.panel),
+    "category_summary": lambda b: report.category_summary(b.panel),
+    "intermittency": lambda b: report.intermittency(b.panel),
+    "receipt_cadence": lambda b: report.receipt_cadence(b.panel),
+    "describe_sku_metric": lambda b: report.describe(b.metric, ["avg_inventory", "daily_demand", "doi", "fill_rate", "cv"]),
+    "calendar_features": lambda b: _features(b).select("sku_id", "date", *_CALENDAR, "month_sin", "month_cos", "dow_sin", "dow_cos"),
+    "lag_features": lambda b: _features(b).select("sku_id", "date", *_LAGS),
+    "rolling_features": lambda b: _features(b).select("sku_id", "date", *_ROLLS),
+    "trend_features": lambda b: _features(b).filter("lag_30 is not null and roll_mean_90 is not null and roll_mean_90 > 0 and lag_7 > 0").select("sku_id", "date", *_TRENDS),
+    "ewm_features": lambda b: _features(b).select("sku_id", "date", "ewm_3", "ewm_5", "ewm_7"),
+    "baseline_forecasts": lambda b: features.baseline_forecasts(b.panel, W.season).select("sku_id", "date", *features.BASELINES),
+    "date_folds": lambda b: forecast.date_folds(b.panel, S),
+    "baseline_winner": lambda b: b.winners,
+    "baseline_calibration_forecast": lambda b: b.calibration,
+    "baseline_final_forecast": lambda b: b.final_forecast,
+    "model_mix": lambda b: report.model_mix(b.final_forecast),
+    "forecast_metrics": lambda b: forecast.forecast_metrics(b.final_forecast, "class"),
+    "forecast_hierarchy_metrics": lambda b: forecast.hierarchy_metrics(b.final_forecast, b.classes, b.panel, S),
+    "policy_params": lambda b: policy.policy_params(b.calibration.drop("class", "model"), b.panel, b.skus, S).drop("sums"),
+    "historical_policy": lambda b: policy.historical_policy(b.panel, S),
+    "inferred_policy": lambda b: policy.inferred_policy(b.panel, S),
+    "initial_inventory": lambda b: simulate.initial_inventory(b.panel, W.final_start),
+    "policy_grid_audit": lambda b: b.audit.select("sku_id", "q_multiplier", "quantile", "order_quantity", "safety_stock", "fill_rate", "avg_inventory", "total_cost", "service_floor", "service_floor_met"),
+    "candidate_summary": lambda b: report.candidate_summary(b.audit),
+    "selected_policy": lambda b: b.chosen.select("sku_id", "class", "intervention", "q_multiplier", "quantile", "order_quantity", "safety_stock", "rop", "total_cost", "selection_status"),
+    "sim_static": lambda b: b.old_trace.select("sku_id", "date", *_TRACE, "order_placed", "order_decision_eligible", "forecast_target_date"),
+    "sim_dynamic": lambda b: b.new_trace.select("sku_id", "date", *_TRACE, "order_placed"),
+    "policy_metric": lambda b: b.old_metric.select("sku_id", "class", *_METRIC, *_COUNTS),
+    "new_policy_metric": lambda b: b.new_metric.select("sku_id", "class", *_METRIC, *_COUNTS),
+    "policy_by_class": lambda b: report.policy_by_class(b.old_in_scope, b.new_metric),
+    "full_policy_summary": lambda b: report.policy_row(b.old_metric, "current").unionByName(report.policy_row(report.full_portfolio(b.new_metric, b.old_metric), "proposed")),
+    "historical_policy_sensitivity": lambda b: report.policy_row(b.old_metric, "recorded").unionByName(report.policy_row(b.inferred_metric, "inferred")),
+    "cost_sensitivity": lambda b: uncertainty.cost_sensitivity(b.old_in_scope, b.new_metric, S),
+    "stress_test": lambda b: b.stress,
+    "stress_quantiles": lambda b: uncertainty.stress_quantiles(b.stress),
+    "policy_bootstrap": lambda b: uncertainty.policy_bootstrap(b.old_in_scope, b.new_metric),
+    "policy_action": lambda b: b.actions.drop("service_floor"),
+    "fallback_action": lambda b: report.fallback_action(b.chosen, b.medians),
+    "action_filtered": lambda b: report.filtered_actions(b.actions, action="Q"),
+    "gbt_forecast": lambda b: model.gbt_query(b.panel, S),
+}
+
+
+def _run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neat(_QUERIES[name](Book(spark, sf_dir)))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: partial(_run, name) for name in _QUERIES}
+
+
+def _sum(c: str, to: str | None = None) -> str:
+    return r(f"sum({c})", to or c)
+
+
+_COSTS = ("stockout_cost", "holding_cost", "ordering_cost", "total_cost")
+_FILL = "sum(total_sales) / nullif(sum(total_demand), 0)"
+_ROW = lambda label, of: f"SELECT '{label}' AS policy_label, {i('count(*)', 'n_sku')}, {', '.join(_sum(c) for c in ('total_demand', 'total_sales', 'total_lost', 'avg_inventory', *_COSTS))}, {r(_FILL, 'fill_rate')}, {r('sum(cycles_without_stockout) / nullif(sum(num_cycles), 0)', 'cycle_service_level')} FROM {of}"
+_SIM = lambda of, extra="": f"SELECT sku_id, date, {', '.join(r(c, c) for c in _TRACE)}, {i('order_placed', 'order_placed')}{extra} FROM {of}"
+_MET = lambda of: f"SELECT sku_id, class, {', '.join(r(c, c) for c in _METRIC)}, {', '.join(i(c, c) for c in _COUNTS)} FROM {of}"
+_BIG = "total_demand", "total_sales", "lost_sales", "num_days", "n_sku"
+_CHANGED = lambda a, b: f"abs({a} - {b}) > greatest(1, abs({b}) * 0.05)"
+_EWM = lambda a: f"list_reduce(h, lambda y, x: y * (1 - {a}) + x * {a})"
+
+_BOTH = {
+    "act0": "SELECT c.sku_id, c.class, c.intervention, c.lead_time, c.order_quantity AS new_q, c.rop AS new_rop, c.safety_stock AS new_ss, selection_status, h.order_quantity AS old_q, h.rop AS old_rop, h.safety_stock AS old_ss, o.fill_rate AS old_fill_rate, o.avg_inventory AS old_avg_inventory, o.total_cost AS old_total_cost, o.total_lost AS old_total_lost, n.fill_rate AS new_fill_rate, n.avg_inventory AS new_avg_inventory, n.total_cost AS new_total_cost, n.total_lost AS new_total_lost FROM chosen c JOIN hist h ON h.sku_id = c.sku_id JOIN mold o ON o.sku_id = c.sku_id JOIN mnew n ON n.sku_id = c.sku_id",
+    "act": f"""SELECT *, new_rop - old_rop AS rop_delta, new_q - old_q AS q_delta, new_ss - old_ss AS ss_delta, new_avg_inventory - old_avg_inventory AS inventory_delta, new_total_lost - old_total_lost AS lost_delta, old_total_cost - new_total_cost AS expected_saving, new_fill_rate - old_fill_rate AS fill_delta, 'dynamic_rop' AS policy_mode,
+        CASE WHEN selection_status <> 'minimum_cost_feasible' THEN 'Review SLA/grid feasibility' ELSE coalesce(nullif(concat_ws(' + ', CASE WHEN {_CHANGED('new_rop', 'old_rop')} THEN CASE WHEN new_rop > old_rop THEN 'Raise ROP' ELSE 'Lower ROP' END END, CASE WHEN {_CHANGED('new_q', 'old_q')} THEN CASE WHEN new_q > old_q THEN 'Raise Q' ELSE 'Lower Q' END END), ''), 'Keep parameters / monitor') END AS action,
+        row_number() OVER (ORDER BY old_total_cost - new_total_cost DESC, new_fill_rate - old_fill_rate DESC, sku_id) AS priority FROM act0""",
+    "sc_n": f"SELECT CAST(unnest(range(1, {S.scenarios + 1})) AS INTEGER) AS scenario",
+    "sc": "SELECT scenario, CASE " + " ".join(f"WHEN u < {sum(S.lead_probabilities[: k + 1])!r} THEN {m!r}" for k, m in enumerate(S.lead_multipliers[:-1])) + f" ELSE {S.lead_multipliers[-1]!r} END AS mult FROM (SELECT scenario, CAST(('0x' || left(md5('{S.seed}|' || scenario || '|lead'), 8)) AS BIGINT) / 4294967296.0 AS u FROM sc_n)",
+    "sp": "SELECT f.sku_id, date, forecast, row_number() OVER (PARTITION BY f.sku_id ORDER BY date) - 1 AS j, lead(forecast) OVER (PARTITION BY f.sku_id ORDER BY date) AS target FROM ffin f WHERE f.sku_id IN (SELECT sku_id FROM chosen)",
+    "sr": "SELECT sku_id, demand - forecast AS e, row_number() OVER (PARTITION BY sku_id ORDER BY date) - 1 AS k, count(*) OVER (PARTITION BY sku_id) AS n FROM fcal",
+    "sd": f"""SELECT c.scenario, c.mult, p.sku_id, p.date, p.target, p.forecast + sr.e AS raw FROM sc c CROSS JOIN sp p JOIN (SELECT DISTINCT sku_id, n FROM sr) z ON z.sku_id = p.sku_id
+        JOIN sr ON sr.sku_id = p.sku_id AND sr.k = CAST(floor(CAST(('0x' || left(md5('{S.seed}|' || scenario || '|' || p.sku_id || '|' || (p.j // {S.block_days})), 8)) AS BIGINT) / 4294967296.0 * (z.n - {S.block_days} + 1)) AS BIGINT) + p.j % {S.block_days}""",
+    "st_days": "SELECT scenario || '|' || sku_id AS key, date, greatest(raw, 0) AS demand, target FROM sd",
+    "st_old_runs": "SELECT c.scenario || '|' || r.sku_id AS key, c.scenario, r.sku_id, greatest(1, ceil(lead_time * mult)) AS lead_time, order_quantity, rop, safety_stock, unit_cost, unit_price, dyn FROM run_old r CROSS JOIN sc c WHERE r.sku_id IN (SELECT sku_id FROM chosen)",
+    "st_new_runs": "SELECT c.scenario || '|' || r.sku_id AS key, c.scenario, r.sku_id, greatest(1, ceil(lead_time * mult)) AS lead_time, order_quantity, rop, safety_stock, unit_cost, unit_price, dyn FROM run_new r CROSS JOIN sc c",
+}
+
 
-def queries() -> dict:
-    return {}
+def _stress() -> dict[str, str]:
+    more = dict(_BOTH)
+    for p in ("old", "new"):
+        more |= simulation(f"st{p}", "st_days", f"st_{p}_runs", "init_fin") | metrics(f"sm{p}", f"st{p}", f"st_{p}_runs")
+        more[f"sx{p}"] = "SELECT scenario, " + ", ".join(f"sum({c}) AS {p}_{c}" for c in ("total_demand", "total_sales", "total_lost", "avg_inventory", *_COSTS)) + f" FROM sm{p} GROUP BY scenario"
+    fill = lambda p: f"{p}_total_sales / nullif({p}_total_demand, 0)"
+    more["stress"] = f"""SELECT 'policy_stress_' || lpad(CAST(o.scenario AS VARCHAR), 5, '0') AS scenario_id, c.mult AS lead_multiplier, x.clipped_cells, o.* EXCLUDE (scenario), n.* EXCLUDE (scenario), {fill('old')} AS old_fill_rate, {fill('new')} AS new_fill_rate, ({fill('new')} - {fill('old')}) * 100 AS fill_rate_delta_pp,
+        (new_avg_inventory / nullif(old_avg_inventory, 0) - 1) * 100 AS inventory_change_pct, (new_total_cost / nullif(old_total_cost, 0) - 1) * 100 AS cost_change_pct, old_total_cost - new_total_cost AS cost_saving
+        FROM sxold o JOIN sxnew n ON n.scenario = o.scenario JOIN sc c ON c.scenario = o.scenario JOIN (SELECT scenario, count(*) FILTER (WHERE raw < 0) AS clipped_cells FROM sd GROUP BY 1) x ON x.scenario = o.scenario"""
+    return more
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    q = query
+    kpi = "SELECT s.*, unit_cost FROM skum s LEFT JOIN med m ON m.sku_id = s.sku_id"
+    marg = "demand * (unit_price - unit_cost)"
+    feats = "demand, lag(demand, 1) OVER w AS lag_1, lag(demand, 7) OVER w AS lag_7, lag(demand, 14) OVER w AS lag_14, lag(demand, 30) OVER w AS lag_30, lag(demand, 60) OVER w AS lag_60, lag(demand, 90) OVER w AS lag_90"
+    rolls = ", ".join(f"CASE WHEN count(demand) OVER r{n} = {n} THEN avg(demand) OVER r{n} END AS roll_mean_{n}, CASE WHEN count(demand) OVER r{n} = {n} THEN stddev_samp(demand) OVER r{n} END AS roll_std_{n}" for n in features.SPANS)
+    frames = ", ".join(f"r{n} AS (PARTITION BY sku_id ORDER BY date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in features.SPANS)
+    feat = {"feat": f"SELECT sku_id, date, {feats}, {rolls} FROM panel WINDOW w AS (PARTITION BY sku_id ORDER BY date), {frames}"}
+    err = "forecast - demand"
+    stress = _stress()
+    sums = ", ".join(f"sum({c}) AS {c}" for c in ("o_s", "o_d", "o_i", "o_c", "n_s", "n_d", "n_i", "n_c"))
+    boot = {
+        "bb": "SELECT n.sku_id, row_number() OVER (ORDER BY n.sku_id) - 1 AS at, count(*) OVER () AS n, o.total_sales AS o_s, o.total_demand AS o_d, o.avg_inventory AS o_i, o.total_cost AS o_c, n.total_sales AS n_s, n.total_demand AS n_d, n.avg_inventory AS n_i, n.total_cost AS n_c FROM mnew n JOIN mold o ON o.sku_id = n.sku_id",
+        "bd": "SELECT draw, b.at AS pos, CAST(floor(CAST(('0x' || left(md5('42|' || draw || '|' || b.at), 8)) AS BIGINT) / 4294967296.0 * b.n) AS BIGINT) AS at FROM (SELECT unnest(range(2000)) AS draw) CROSS JOIN bb b",
+        "bs": f"SELECT draw, {sums} FROM bd JOIN bb ON bb.at = bd.at GROUP BY draw",
+        "be": "SELECT unnest(['fill_rate_delta_pp', 'inventory_change_pct', 'cost_change_pct']) AS metric, unnest([(n_s / nullif(n_d, 0) - o_s / nullif(o_d, 0)) * 100, (n_i / nullif(o_i, 0) - 1) * 100, (n_c / nullif(o_c, 0) - 1) * 100]) AS v FROM bs",
+        "bp": f"SELECT unnest(['fill_rate_delta_pp', 'inventory_change_pct', 'cost_change_pct']) AS metric, unnest([(n_s / nullif(n_d, 0) - o_s / nullif(o_d, 0)) * 100, (n_i / nullif(o_i, 0) - 1) * 100, (n_c / nullif(o_c, 0) - 1) * 100]) AS estimate FROM (SELECT {sums} FROM bb)",
+    }
+    money = {p: {"stockout_cost": f"{p}u * m", "holding_cost": f"{p}h * h", "ordering_cost": f"{p}o * o"} for p in ("o", "n")}
+    tot = {p: "(" + " + ".join(money[p].values()) + ")" for p in ("o", "n")}
+    cost = {
+        "cg": f"SELECT row_number() OVER (ORDER BY o, h, m) AS k, o, h, m FROM (SELECT unnest({list(S.ordering_costs)}::DOUBLE[]) AS o) CROSS JOIN (SELECT unnest({list(S.holding_rates)}::DOUBLE[]) AS h) CROSS JOIN (SELECT unnest({list(S.shortage_multipliers)}::DOUBLE[]) AS m)",
+        **{f"c{p}": f"SELECT sum(stockout_cost) / {S.shortage_multiplier!r} AS {p}u, sum(holding_cost) / {S.holding_rate!r} AS {p}h, sum(ordering_cost) / {S.ordering_cost!r} AS {p}o, {_FILL} AS {p}f, sum(avg_inventory) AS {p}i FROM {t}" for p, t in (("o", "old_in"), ("n", "mnew"))},
+    }
+    side = lambda p, t: f"SELECT class, {', '.join(f'sum({c}) AS {p}_{c}' for c in ('total_demand', 'total_sales', 'total_lost', 'avg_inventory', 'total_cost'))}, {_FILL} AS {p}_fill_rate, count(*) AS {p}_n_sku FROM {t} GROUP BY class"
+    by_class = {"bo": side("old", "old_in"), "bn": side("new", "mnew")}
+    hier = {
+        "hs": f"SELECT sku_id, avg(abs(d)) AS a, avg(d * d) AS q FROM (SELECT sku_id, demand - lag(demand) OVER (PARTITION BY sku_id ORDER BY date) AS d FROM panel WHERE date < {FINAL}) GROUP BY 1",
+        "hr": f"SELECT level, segment, class, avg(abs({err})) AS mae, sqrt(avg(({err}) * ({err}))) AS rmse, sum(abs({err})) / nullif(sum(abs(demand)), 0) AS wape, avg({err}) AS bias, count(*) AS n_obs FROM (SELECT 'sku' AS level, sku_id AS segment, class, demand, forecast FROM ffin UNION ALL SELECT 'class', class, class, demand, forecast FROM ffin UNION ALL SELECT 'portfolio', 'portfolio', NULL, demand, forecast FROM ffin) GROUP BY 1, 2, 3",
+        "hk": "SELECT hr.*, mae / nullif(a, 0) AS mase, rmse / nullif(sqrt(q), 0) AS rmsse FROM hr LEFT JOIN hs ON hr.level = 'sku' AND hs.sku_id = hr.segment",
+        "hm": "SELECT class AS segment, avg(mase) AS m, avg(rmsse) AS s FROM hk WHERE level = 'sku' GROUP BY 1 UNION ALL SELECT 'portfolio', avg(mase), avg(rmsse) FROM hk WHERE level = 'sku'",
+    }
+    check = {"x0": "SELECT *, count(*) OVER (PARTITION BY sku_id, date) AS same, date_diff('day', lag(date) OVER w, date) AS gap, lag(inventory_level) OVER w AS before FROM panel WINDOW w AS (PARTITION BY sku_id ORDER BY date)"}
+    tests = {
+        "key_not_null": "sku_id IS NULL OR date IS NULL", "key_unique": "same > 1", "no_missing_value": " OR ".join(f"{c} IS NULL" for c in ("sku_id", "date", "demand", "sales_quantity", "inventory_level", "order_received", "category", "lead_time", "safety_stock", "reorder_point", "order_quantity", "unit_cost", "unit_price")),
+        "lead_time_whole_days": "lead_time <= 0", "midnight": "false", "continuous_calendar": "gap <> 1", "not_negative": " OR ".join(f"{c} < 0" for c in contract.NOT_NEGATIVE), "sales_within_demand": "sales_quantity > demand", "inventory_balance": "inventory_level <> before + order_received - sales_quantity",
+    }
+    stats = ["avg_inventory", "daily_demand", "doi", "fill_rate", "cv"]
+    return {
+        "panel": q("SELECT * FROM panel"),
+        "contract_violations": q(" UNION ALL ".join(f"SELECT '{k}' AS check_name, {i(f'count(*) FILTER (WHERE {v})', 'violations')} FROM x0" for k, v in tests.items()), **check),
+        "calendar_audit": q(f"SELECT sku_id, min(date) AS first_date, max(date) AS last_date, {i('count(*)', 'n_rows')}, {i('count(DISTINCT date)', 'n_dates')}, {i('date_diff(' + chr(39) + 'day' + chr(39) + ', min(date), max(date)) + 1', 'expected_days')} FROM panel GROUP BY sku_id"),
+        "inventory_balance": q(f"SELECT sku_id, {i('count(g)', 'days_checked')}, {i('max(abs(g))', 'largest_gap')}, {i('sum(abs(g))', 'total_gap')} FROM (SELECT sku_id, inventory_level - (before + order_received - sales_quantity) AS g FROM x0) GROUP BY sku_id", **check),
+        "abc_class": q(f"SELECT sku_id, {r('value', 'value')}, {r('share', 'share')}, abc FROM abc"),
+        "xyz_candidates": q(f"SELECT model, {r('wape', 'wape')}, {r('mae', 'mae')}, {i('n_obs', 'n_obs')} FROM cand"),
+        "xyz_class": q(f"SELECT sku_id, {r('mae', 'mae')}, {r('mean_demand', 'mean_demand')}, {r('nmae', 'nmae')}, xyz FROM xyz"),
+        "abc_xyz_class": q("SELECT sku_id, class FROM cls"),
+        "abc_xyz_matrix": q("SELECT left(class, 1) AS abc, " + ", ".join(i(f"count(*) FILTER (WHERE right(class, 1) = '{x}')", f'"{x}"') for x in "XYZ") + " FROM cls GROUP BY 1"),
+        "class_scope": q(f"SELECT class, {', '.join(i(c, c) for c in _BIG)}, {r('value', 'value')}, {r('avg_inventory', 'avg_inventory')}, abc, {r('fill_rate', 'fill_rate')}, {r('doi', 'doi')}, {r('a_share', 'a_share')}, intervention FROM scope"),
+        "optimization_scope": q(f"SELECT class, intervention, {i('n_sku', 'n_sku')}, {r('fill_rate', 'fill_rate')}, {r('doi', 'doi')} FROM scope WHERE intervention IS NOT NULL"),
+        "scope_coverage": q(f"SELECT {i('count(DISTINCT p.sku_id)', 'n_sku')}, {i('count(DISTINCT CASE WHEN intervention IS NOT NULL THEN p.sku_id END)', 'n_in_scope')}, {r('sum(CASE WHEN intervention IS NOT NULL THEN demand ELSE 0 END) / sum(demand)', 'demand_coverage')}, {r(f'sum(CASE WHEN intervention IS NOT NULL THEN {marg} ELSE 0 END) / sum({marg})', 'margin_coverage')} FROM panel p JOIN cls c ON c.sku_id = p.sku_id LEFT JOIN scope s ON s.class = c.class"),
+        "sku_metric": q(f"SELECT sku_id, {r('avg_inventory', 'avg_inventory')}, {i('total_demand', 'total_demand')}, {i('total_sales', 'total_sales')}, {i('num_days', 'num_days')}, {r('daily_demand', 'daily_demand')}, {r('doi', 'doi')}, {r('fill_rate', 'fill_rate')}, {i('lost_sales', 'lost_sales')}, {r('cv', 'cv')} FROM skum"),
+        "class_summary": q(f"SELECT class, {i('count(*)', 'n_sku')}, {i('sum(total_demand)', 'total_demand')}, {_sum('avg_inventory')}, {r(_FILL, 'fill_rate')}, {r('avg(lost_sales)', 'lost_sales')}, {r('avg(doi)', 'doi')} FROM skum s JOIN cls c ON c.sku_id = s.sku_id GROUP BY class"),
+        "portfolio_kpis": q(f"SELECT {i('count(*)', 'n_sku')}, {_sum('avg_inventory * unit_cost', 'inventory_value')}, {r('sum(avg_inventory) / nullif(sum(daily_demand), 0)', 'doi')}, {r('sum(daily_demand * 365 * unit_cost) / nullif(sum(avg_inventory * unit_cost), 0)', 'value_turns')}, {i('count(*) FILTER (WHERE doi > 60)', 'slow_moving')}, {i('count(*) FILTER (WHERE fill_rate < 0.95)', 'at_risk')}, {r(_FILL, 'fill_rate')} FROM ({kpi})"),
+        "inventory_trend": q(f"SELECT date, {i('sum(inventory_level)', 'inventory_level')} FROM panel GROUP BY date"),
+        "inventory_value_by_class": q(f"SELECT class, {_sum('avg_inventory * unit_cost', 'inventory_value')}, {i('count(*)', 'n_sku')} FROM ({kpi}) k LEFT JOIN cls c ON c.sku_id = k.sku_id GROUP BY class"),
+        "top10_inventory": q(f"SELECT sku_id, {r('avg_inventory', 'avg_inventory')} FROM (SELECT * FROM skum ORDER BY avg_inventory DESC, sku_id LIMIT 10)"),
+        "slow_moving": q(f"SELECT s.sku_id, class, {r('avg_inventory', 'avg_inventory')}, {r('daily_demand', 'daily_demand')}, {r('doi', 'doi')} FROM skum s LEFT JOIN cls c ON c.sku_id = s.sku_id WHERE doi > 60"),
+        "stockout_risk": q(f"SELECT s.sku_id, class, {i('total_demand', 'total_demand')}, {i('lost_sales', 'lost_sales')}, {r('fill_rate', 'fill_rate')} FROM skum s LEFT JOIN cls c ON c.sku_id = s.sku_id WHERE fill_rate < 0.95"),
+        "class_counts": q(f"SELECT class, {i('count(*)', 'n_sku')} FROM cls GROUP BY class"),
+        "monthly_demand": q(f"SELECT CAST(date_trunc('month', date) AS DATE) AS month, {i('sum(demand)', 'demand')}, {i('sum(sales_quantity)', 'sales_quantity')} FROM panel GROUP BY 1"),
+        "month_seasonality": q(f"SELECT {i('month(date)', 'month')}, {r('avg(demand)', 'mean_demand')} FROM panel GROUP BY 1"),
+        "category_summary": q(f"SELECT category, {i('count(DISTINCT sku_id)', 'n_sku')}, {i('sum(demand)', 'demand')}, {i('sum(sales_quantity)', 'sales_quantity')}, {r('avg(inventory_level)', 'mean_inventory')}, {r('sum(sales_quantity) / nullif(sum(demand), 0)', 'fill_rate')} FROM panel GROUP BY 1"),
+        "intermittency": q(f"SELECT sku_id, {r('avg(CASE WHEN demand = 0 THEN 1 ELSE 0 END)', 'zero_rate')}, {r('avg(CASE WHEN sales_quantity < demand THEN 1 ELSE 0 END)', 'censor_rate')}, {i('count(*) FILTER (WHERE demand > 0)', 'nonzero_days')}, {r('(SELECT count(DISTINCT date) FROM panel) / nullif(count(*) FILTER (WHERE demand > 0), 0)', 'adi')} FROM panel GROUP BY sku_id"),
+        "receipt_cadence": q(f"SELECT sku_id, {i('count(*)', 'events')}, {r('median(g)', 'median_gap')} FROM (SELECT sku_id, date_diff('day', lag(date) OVER (PARTITION BY sku_id ORDER BY date), date) AS g FROM panel WHERE order_received > 0) GROUP BY sku_id"),
+        "describe_sku_metric": q(" UNION ALL ".join(f"SELECT '{c}' AS measure, {i(f'count({c})', 'n')}, {r(f'avg({c})', 'mean')}, {r(f'stddev_samp({c})', 'std')}, {r(f'min({c})', 'least')}, {r(f'quantile_cont({c}, 0.1)', 'p10')}, {r(f'quantile_cont({c}, 0.5)', 'p50')}, {r(f'quantile_cont({c}, 0.9)', 'p90')}, {r(f'max({c})', 'most')} FROM skum" for c in stats)),
+        "calendar_features": q(f"SELECT sku_id, date, {i('month(date)', 'month')}, {i('quarter(date)', 'quarter')}, {i('year(date)', 'year')}, {i('isodow(date) - 1', 'dayofweek')}, {i('day(date)', 'day')}, {i('isodow(date) >= 6', 'is_weekend')}, {i('day(date) <= 5', 'is_month_start')}, {i('day(date) >= 25', 'is_month_end')}, {i('(year(date) - (SELECT min(year(date)) FROM panel)) * 12 + month(date)', 'month_index')}, {r('sin(2 * pi() * month(date) / 12)', 'month_sin')}, {r('cos(2 * pi() * month(date) / 12)', 'month_cos')}, {r('sin(2 * pi() * (isodow(date) - 1) / 7)', 'dow_sin')}, {r('cos(2 * pi() * (isodow(date) - 1) / 7)', 'dow_cos')} FROM panel"),
+        "lag_features": q(f"SELECT sku_id, date, {', '.join(_LAGS)} FROM feat", **feat),
+        "rolling_features": q("SELECT sku_id, date, " + ", ".join(f"{r(f'roll_mean_{n}', f'roll_mean_{n}')}, {r(f'roll_std_{n}', f'roll_std_{n}')}, {r(f'roll_std_{n} / (roll_mean_{n} + 1e-6)', f'roll_cv_{n}')}" for n in features.SPANS) + " FROM feat", **feat),
+        "trend_features": q(f"SELECT sku_id, date, lag_1 - lag_7 AS diff_1_7, lag_7 - lag_30 AS diff_7_30, {r('roll_mean_30 - roll_mean_90', 'mean_diff_30_90')}, {r('lag_1 / (lag_7 + 1e-6)', 'growth_7')}, {r('lag_7 / (lag_30 + 1e-6)', 'growth_30')}, {r('roll_mean_30 / (roll_mean_90 + 1e-6)', 'growth_mean')} FROM feat WHERE lag_30 IS NOT NULL AND roll_mean_90 > 0 AND lag_7 > 0", **feat),
+        "ewm_features": q("SELECT sku_id, date, " + ", ".join(r(f"CASE WHEN len(h) > 0 THEN {_EWM(a)} END", f"ewm_{int(a * 10)}") for a in features.ALPHAS) + f" FROM (SELECT sku_id, date, list(CAST(demand AS DOUBLE)) OVER (PARTITION BY sku_id ORDER BY date ROWS BETWEEN {features.EWM_DAYS} PRECEDING AND 1 PRECEDING) AS h FROM panel)"),
+        "baseline_forecasts": q(f"""SELECT sku_id, date, {r('"Naive"', '"Naive"')}, {r('"SeasonalNaive"', '"SeasonalNaive"')}, {r('"HistoricMean"', '"HistoricMean"')} FROM base"""),
+        "date_folds": q(f"SELECT date, {i(f'ntile({W.folds}) OVER (ORDER BY date)', 'fold')} FROM (SELECT DISTINCT date FROM panel WHERE date BETWEEN {SEL_END} - {W.selection_days - 1} AND {SEL_END})"),
+        "baseline_winner": q(f"SELECT class, model, {r('wape', 'wape')}, {i('n_obs', 'n_obs')}, {i('rank', 'rank')} FROM wins"),
+        "baseline_calibration_forecast": q(f"SELECT sku_id, date, demand, class, model, {r('forecast', 'forecast')} FROM fcal"),
+        "baseline_final_forecast": q(f"SELECT sku_id, date, demand, class, model, {r('forecast', 'forecast')} FROM ffin"),
+        "model_mix": q(f"SELECT model, {i('count(DISTINCT sku_id)', 'n_sku')}, {i('count(*)', 'n_rows')} FROM ffin GROUP BY model"),
+        "forecast_metrics": q(f"SELECT class, {r(f'avg(abs({err}))', 'mae')}, {r(f'sqrt(avg(({err}) * ({err})))', 'rmse')}, {r(f'sum(abs({err})) / nullif(sum(abs(demand)), 0)', 'wape')}, {r(f'avg({err})', 'bias')}, {i('count(*)', 'n_obs')}, {r(f'avg(abs({err})) / nullif(avg(demand), 0)', 'nmae')}, {r(f'avg({err}) / nullif(avg(demand), 0) * 100', 'bias_pct')} FROM ffin GROUP BY class"),
+        "forecast_hierarchy_metrics": q(f"SELECT level, hk.segment, class, {r('mae', 'mae')}, {r('rmse', 'rmse')}, {r('wape', 'wape')}, {r('bias', 'bias')}, {r('coalesce(mase, m)', 'mase')}, {r('coalesce(rmsse, s)', 'rmsse')}, {i('n_obs', 'n_obs')} FROM hk LEFT JOIN hm ON level <> 'sku' AND hm.segment = hk.segment", **hier),
+        "policy_params": q("SELECT sku_id, class, intervention, " + ", ".join(r(c, c) for c in ("target", "lead_time", "unit_cost", "unit_price", "order_quantity", "rmse", "mean_forecast", "bias", "lead_error_std", "safety_stock", "rop")) + f", {i('n_lead_errors', 'n_lead_errors')} FROM pol"),
+        "historical_policy": q("SELECT sku_id, " + ", ".join(r(c, c) for c in ("lead_time", "unit_cost", "unit_price", "order_quantity", "rop", "safety_stock")) + " FROM hist"),
+        "inferred_policy": q("SELECT sku_id, " + ", ".join(r(c, c) for c in ("lead_time", "unit_cost", "unit_price", "order_quantity", "rop", "safety_stock")) + " FROM infer"),
+        "initial_inventory": q(f"SELECT sku_id, {i('initial', 'initial_inventory')} FROM init_fin"),
+        "policy_grid_audit": q("SELECT sku_id, " + ", ".join(r(c, c) for c in ("q_multiplier", "quantile", "order_quantity", "safety_stock", "fill_rate", "avg_inventory", "total_cost", "service_floor")) + ", service_floor_met FROM audit"),
+        "candidate_summary": q(f"SELECT sku_id, {i('count(*)', 'candidates')}, {i('count(*) FILTER (WHERE service_floor_met)', 'feasible')}, {r('min(total_cost)', 'least_cost')}, {r('max(fill_rate)', 'best_fill')} FROM audit GROUP BY sku_id"),
+        "selected_policy": q("SELECT sku_id, class, intervention, selection_status, " + ", ".join(r(c, c) for c in ("q_multiplier", "quantile", "order_quantity", "safety_stock", "rop", "total_cost")) + " FROM chosen"),
+        "sim_static": q(_SIM("simold", ", p < n AS order_decision_eligible, CASE WHEN p < n THEN CAST(date + 1 AS DATE) END AS forecast_target_date")),
+        "sim_dynamic": q(_SIM("simnew")),
+        "policy_metric": q(_MET("mold")),
+        "new_policy_metric": q(_MET("mnew")),
+        "policy_by_class": q("SELECT bo.class, " + ", ".join(r(f"{p}_{c}", f"{p}_{c}") for p in ("old", "new") for c in ("total_demand", "total_sales", "total_lost", "avg_inventory", "total_cost", "fill_rate")) + f", {i('old_n_sku', 'old_n_sku')}, {i('new_n_sku', 'new_n_sku')}, {r('(new_fill_rate - old_fill_rate) * 100', 'fill_delta_pp')}, {r('(new_avg_inventory / nullif(old_avg_inventory, 0) - 1) * 100', 'inventory_change_pct')}, {r('(new_total_cost / nullif(old_total_cost, 0) - 1) * 100', 'cost_change_pct')} FROM bo LEFT JOIN bn ON bn.class = bo.class", **by_class),
+        "full_policy_summary": q(_ROW("current", "both_old") + " UNION ALL " + _ROW("proposed", "both_new")),
+        "historical_policy_sensitivity": q(_ROW("recorded", "mold") + " UNION ALL " + _ROW("inferred", "minf")),
+        "cost_sensitivity": q("SELECT 'cost_sensitivity_' || lpad(CAST(k AS VARCHAR), 3, '0') AS scenario_id, o AS ordering_cost_rate, h AS holding_rate, m AS shortage_multiplier, " + ", ".join(r(e, f"{n}_{c}") for p, n in (("o", "old"), ("n", "new")) for c, e in {**money[p], "total_cost": tot[p]}.items()) + f", {r(tot['o'] + ' - ' + tot['n'], 'cost_saving')}, {r('(nf - of) * 100', 'fill_rate_delta_pp')}, {r('ni - oi', 'avg_inventory_delta')} FROM cg CROSS JOIN co CROSS JOIN cn", **cost),
+        "stress_test": q("SELECT scenario_id, " + i("clipped_cells", "clipped_cells") + ", " + ", ".join(r(c, c) for c in ("lead_multiplier", *[f"{p}_{c}" for p in ("old", "new") for c in ("total_demand", "total_sales", "total_lost", "avg_inventory", *_COSTS, "fill_rate")], "fill_rate_delta_pp", "inventory_change_pct", "cost_change_pct", "cost_saving")) + " FROM stress", **stress),
+        "stress_quantiles": q(" UNION ALL ".join(f"SELECT '{c}' AS metric, {r(f'quantile_cont({c}, 0.05)', 'p05')}, {r(f'quantile_cont({c}, 0.5)', 'p50')}, {r(f'quantile_cont({c}, 0.95)', 'p95')}, {r('count(*) FILTER (WHERE cost_saving > 0) / count(*)', 'favourable')} FROM stress" for c in ("fill_rate_delta_pp", "inventory_change_pct", "cost_change_pct")), **stress),
+        "policy_bootstrap": q(f"SELECT be.metric, {r('any_value(estimate)', 'estimate')}, {r('quantile_cont(v, 0.025)', 'ci_2_5')}, {r('quantile_cont(v, 0.975)', 'ci_97_5')}, {i('count(v)', 'n_bootstrap')} FROM be JOIN bp ON bp.metric = be.metric GROUP BY be.metric", **boot),
+        "policy_action": q("SELECT sku_id, class, intervention, selection_status, policy_mode, action, " + i("priority", "priority") + ", " + ", ".join(r(c, c) for c in ("lead_time", "new_q", "new_rop", "new_ss", "old_q", "old_rop", "old_ss", *[f"{p}_{c}" for p in ("old", "new") for c in ("fill_rate", "avg_inventory", "total_cost", "total_lost")], "rop_delta", "q_delta", "ss_delta", "inventory_delta", "lost_delta", "expected_saving", "fill_delta")) + " FROM act", **_BOTH),
+        "fallback_action": q(f"SELECT c.sku_id, {r('rop', 'new_rop')}, {r('reorder_point', 'old_rop')}, CASE WHEN rop - reorder_point > greatest(1, abs(reorder_point) * 0.05) THEN 'Increase' WHEN reorder_point - rop > greatest(1, abs(reorder_point) * 0.05) THEN 'Reduce' ELSE 'Hold' END AS action FROM chosen c LEFT JOIN med m ON m.sku_id = c.sku_id"),
+        "action_filtered": q(f"SELECT {i('priority', 'priority')}, sku_id, class, intervention, action, {', '.join(r(c, c) for c in ('old_rop', 'new_rop', 'old_q', 'new_q', 'expected_saving'))} FROM act WHERE contains(action, 'Q')", **_BOTH),
+    }
