@@ -9,14 +9,19 @@ from __future__ import annotations
 
 import math
 import re
+import string
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from larder.llm.common import WHITE, stored
+from larder.llm.common import stored
 
 #: Most labelled rows that a model is fitted on: those with the smallest hash of the id.
 MAX_ROWS = 20_000
@@ -27,30 +32,40 @@ SEED = 42
 
 #: Characters counted as a share of the text.
 _SHARES = {
-    "upper": "[A-Z]",
-    "digit": "[0-9]",
-    "mark": "[#$%&*]",
-    "bang": "[!]",
-    "bar": "[|]",
-    "stop": "[.,;:?]",
+    "upper": string.ascii_uppercase,
+    "digit": string.digits,
+    "mark": "#$%&*",
+    "bang": "!",
+    "bar": "|",
+    "stop": ".,;:?",
     "line": "\n",
-    "other": r"[<>{}\[\]\\/=_~^@+\"()-]",
+    "other": "<>{}[]\\/=_~^@+\"()-",
 }
+NAMES = [*(f"{k}_share" for k in _SHARES), "log_chars", "mean_word", "distinct_words"]
+_BYTES = np.zeros((256, len(_SHARES)), np.int64)
+for _k, _letters in enumerate(_SHARES.values()):
+    _BYTES[list(_letters.encode()), _k] = 1
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text, by name; those of an empty text are all zero."""
-    chars = F.length(text)
-    words = F.filter(F.split(F.regexp_replace(text, f"[{WHITE}]+", " "), " "), lambda w: w != "")
-    found = {f"{k}_share": F.regexp_count(text, F.lit(p)) / F.greatest(chars, F.lit(1)) for k, p in _SHARES.items()}
-    n = F.size(words)
-    found["log_chars"] = F.log1p(chars)
-    found["mean_word"] = F.coalesce(F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)) / F.greatest(n, F.lit(1)), F.lit(0.0))
-    found["distinct_words"] = F.size(F.array_distinct(words)) / F.greatest(n, F.lit(1))
-    return {k: c.cast("double").alias(k) for k, c in found.items()}
+def text_statistics(text: bytes) -> list[float]:
+    """The statistics of a UTF-8 text, in the order of NAMES; those of an empty text are all zero."""
+    counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+    chars = int(counts.sum() - counts[0x80:0xC0].sum())  # all but continuation bytes
+    words = text.split()
+    shares = (counts @ _BYTES) / max(1, chars)
+    white = int(counts[9:14].sum() + counts[32])
+    return [*shares.tolist(), math.log1p(chars), (chars - white) / max(1, len(words)), len(set(words)) / max(1, len(words))]
 
 
-NAMES = [*(f"{k}_share" for k in _SHARES), "log_chars", "mean_word", "distinct_words"]
+def statistics(text: Column) -> Column:
+    """A struct of each whole text's statistics; all rules are column expressions over it."""
+
+    @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in NAMES]))
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([text_statistics(x) for x in batch], columns=NAMES, dtype="float64")
+
+    return of(text.cast("binary"))
 
 
 @dataclass(frozen=True)
@@ -113,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)  # at most max_rows, so it may be broadcast
     text = F.coalesce(F.col(text_col), F.lit(""))
     taught = docs.select(F.col(id_col).cast("long").alias("__id"), text.alias("__text")).join(F.broadcast(sample), "__id")
-    taught = stored(taught.select("__label", F.struct(*statistics(F.col("__text")).values()).alias("stats")), "quality-taught")
+    taught = stored(taught.select("__label", statistics(F.col("__text")).alias("stats")), "quality-taught")
     count, ones = taught.agg(F.count("*"), F.coalesce(F.sum("__label"), F.lit(0.0))).first()
     if not 0 < ones < count:
         share = (ones + 1) / (count + 2)
@@ -132,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score_documents(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted for every row; null texts are empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*statistics(text).values()).alias("stats"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), statistics(text).alias("stats"))
     scored = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -140,5 +155,5 @@ def score_documents(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", t
 def accepted(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that score 0.5 or more."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    scored = docs.withColumn("__stats", F.struct(*statistics(text).values()))
+    scored = docs.withColumn("__stats", statistics(text))
     return scored.filter(model.score("__stats") >= 0.5).drop("__stats")
