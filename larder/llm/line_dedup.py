@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,31 +140,45 @@ def build_filters(repeated: DataFrame, shard_lines: int = SHARD_LINES) -> tuple[
     return stored(sharded.groupBy("shard").applyInPandas(build, "shard int, buckets long, body binary"), "line-filters"), shards
 
 
-def _may_drop(keys: Column, filters: DataFrame, shards: int, lines: int) -> Column:
-    """Positions of the keys that a filter may hold; all keys where the filters are too large to broadcast."""
-    if lines * 8 > FILTER_BYTES:
-        every = F.transform(keys, lambda k, i: F.when(k.isNotNull(), i.cast("int")))
-        return F.filter(every, lambda i: i.isNotNull())
-    rows = filters.collect()  # at most FILTER_BYTES, as just checked
-    shipped = filters.sparkSession.sparkContext.broadcast({r.shard: (r.buckets, bytes(r.body)) for r in rows})
-
-    @F.pandas_udf("array<int>")
-    def held(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        tables = {s: CuckooFilter(n, np.frombuffer(body, np.uint16).reshape(n, SLOTS)) for s, (n, body) in shipped.value.items()}
-        for h1, h2 in batches:
-            sizes = np.fromiter(map(len, h1), np.int64, len(h1))
-            a, b = (np.concatenate([np.asarray(x, np.int64) for x in h]) if len(h) else np.empty(0, np.int64) for h in (h1, h2))
-            hit = np.zeros(len(a), bool)
-            shard = np.mod(b, shards)
-            for s in np.unique(shard):
-                if (table := tables.get(int(s))) is not None:
-                    own = np.flatnonzero(shard == s)
-                    hit[own] = table.may_hold(a[own].view(np.uint64))
-            yield pd.Series([np.flatnonzero(x).astype(np.int32) for x in np.split(hit, np.cumsum(sizes)[:-1])] if len(sizes) else [], dtype=object)
-
-    # a short line has no key; zeros stand in for it and are taken out again
-    h1, h2 = (F.transform(keys, lambda k: F.coalesce(k["h1"], F.lit(0))), F.transform(keys, lambda k: F.coalesce(k["h2"], F.lit(0))))
-    return F.filter(held(h1, h2), lambda i: F.get(keys, i).isNotNull())
+def _flagged(rows: DataFrame, filters: DataFrame, shards: int, lines: int, with_text: bool) -> DataFrame:
+    """doc_id, row, n_lines, hits (lines that the filters may hold), and text or its digest.
+
+    One pass reads a text and its keys once.  A document without hits needs its
+    text no more, only its digest.  Where the filters are too large to broadcast,
+    every key is a hit and meets the exact counts.
+    """
+    shipped = None
+    if lines * 8 <= FILTER_BYTES:
+        kept = filters.collect()  # at most FILTER_BYTES, as just checked
+        shipped = filters.sparkSession.sparkContext.broadcast({r.shard: (r.buckets, bytes(r.body)) for r in kept})
+    hit_type = pa.struct([("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = {s: CuckooFilter(n, np.frombuffer(body, np.uint16).reshape(n, SLOTS)) for s, (n, body) in shipped.value.items()} if shipped else {}
+        for batch in batches:
+            texts, keys = batch.column(2), batch.column(3)
+            ends = keys.offsets.to_numpy().astype(np.int64)
+            flat = keys.values
+            h1, h2 = (flat.field(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (0, 1))
+            hit = flat.is_valid().to_numpy(zero_copy_only=False)
+            if shipped:
+                shard, may = np.mod(h2, shards), np.zeros(len(h1), bool)
+                for s, table in tables.items():
+                    own = np.flatnonzero(hit & (shard == s))
+                    may[own] = table.may_hold(h1[own].view(np.uint64))
+                hit = may
+            hit[: ends[0]] = hit[ends[-1] :] = False
+            at = np.flatnonzero(hit)
+            offsets = np.searchsorted(at, ends).astype(np.int32)
+            line = at - np.repeat(ends[:-1], np.diff(offsets))
+            hits = pa.StructArray.from_arrays([pa.array(line.astype(np.int32)), pa.array(h1[at]), pa.array(h2[at])], fields=list(hit_type))
+            clean = np.diff(offsets) == 0
+            kept = [None if with_text or not c else hashlib.sha256(t.as_py().encode()).hexdigest() for c, t in zip(clean, texts, strict=True)]
+            left = texts if with_text else pa.array([None if c else t.as_py() for c, t in zip(clean, texts, strict=True)], pa.string())
+            columns = [batch.column(0), batch.column(1), pa.array(np.diff(ends)), left, pa.array(kept, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), hits)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_lines", "text", "kept_sha256", "hits"])
+
+    return rows.mapInArrow(run, "doc_id long, row long, n_lines long, text string, kept_sha256 string, hits array<struct<line:int,h1:long,h2:long>>")
 
 
 @F.pandas_udf(T.StringType())
@@ -197,17 +212,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = repeated.count()
     filters, shards = build_filters(repeated)
     body = text_of(docs, id_col, text_col)
-    keys = line_keys(F.col("text"), min_chars)
-    rows = body.select("doc_id", "text", F.xxhash64("text").alias("row"), keys.alias("keys"))
-    rows = rows.withColumn("may", _may_drop(F.col("keys"), filters, shards, lines))
-    asked = rows.filter(F.size("may") > 0).select("doc_id", "row", F.explode(F.transform("may", lambda i: F.struct(i.alias("line"), F.get(F.col("keys"), i).alias("k")))).alias("m"))
-    asked = asked.select("doc_id", "row", "m.line", "m.k.h1", "m.k.h2")
+    rows = body.select("doc_id", F.xxhash64("text").alias("row"), "text", line_keys(F.col("text"), min_chars).alias("keys"))
+    flagged = stored(_flagged(rows, filters, shards, lines, with_text), "line-flagged")
+    asked = flagged.select("doc_id", "row", F.explode("hits").alias("m")).select("doc_id", "row", "m.line", "m.h1", "m.h2")
     gone = asked.join(repeated, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("last")))
-    gone = stored(gone.groupBy(F.col("doc_id").alias("id"), F.col("row").alias("row2")).agg(F.collect_set("line").alias("dropped")), "line-gone")
-    n = F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines")
+    gone = stored(gone.groupBy(F.col("doc_id").alias("id2"), F.col("row").alias("row2")).agg(F.collect_set("line").alias("dropped")), "line-gone")
     more = lambda col: [col.alias("kept")] if with_text else []
-    clean = rows.filter(F.size("may") == 0).select("doc_id", n, F.lit(0).cast("long").alias("n_dropped"), F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"), *more(F.col("text")))
-    touched = rows.filter(F.size("may") > 0).select("doc_id", "text", "row")
-    touched = touched.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("row2")), "left")
+    digest = F.coalesce("kept_sha256", F.sha2(F.encode("text", "utf-8"), 256)).alias("kept_sha256")
+    clean = flagged.filter(F.size("hits") == 0).select("doc_id", "n_lines", F.lit(0).cast("long").alias("n_dropped"), digest, *more(F.col("text")))
+    touched = flagged.filter(F.size("hits") > 0).select("doc_id", "n_lines", "text", "row")
+    # texts are dealt out at every size, so that the plan is the same whatever the number of dropped lines
+    touched = touched.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2")), "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
-    return clean.union(touched.select("doc_id", n, F.size(dropped).cast("long").alias("n_dropped"), _kept_sha("text", dropped).alias("kept_sha256"), *more(_kept_text("text", dropped))))
+    return clean.union(touched.select("doc_id", "n_lines", F.size(dropped).cast("long").alias("n_dropped"), _kept_sha("text", dropped).alias("kept_sha256"), *more(_kept_text("text", dropped))))

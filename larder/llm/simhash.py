@@ -11,14 +11,16 @@ the corpus is broadcast to all.  Tasks return spanning links, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import WHITE, lower_ascii, stored, text_of
+from larder.llm.common import stored, text_of
 from larder.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -29,32 +31,24 @@ SHARD_QUERIES = 50_000
 TOGETHER = 2048
 
 
-def shingle_hashes(text: Column, words: int = SHINGLE_WORDS) -> Column:
-    """XXH64 (seed 42) of each shingle of the text, repeats included.
+def shingle_hashes(text: bytes, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of a UTF-8 text, repeats included.
 
+    Bytes know ASCII alone, so A-Z are lowered and words are parted as stated.
     Fewer words than ``words`` make one shingle; no words make none.
     """
-    w = F.filter(F.split(F.translate(lower_ascii(text), WHITE, " " * len(WHITE)), " "), lambda x: x != "")
-    last = F.greatest(F.size(w) - words, F.lit(0))
+    w = text.lower().split()
+    runs = zip(*(w[i:] for i in range(words)), strict=False) if len(w) > words else [w] * bool(w)
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, runs), repeat(42)), np.uint64)
 
-    def hashes(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, words), " ")))
 
-    return F.when(F.size(w) > 0, hashes(w)).otherwise(F.array().cast("array<long>"))
-
-
-def majority_bits(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each run of hashes, the 64 bits that are set in over half of them."""
-    out = np.zeros(len(starts), np.uint64)
-    weights = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
-    for k, (s, e) in enumerate(zip(starts, ends, strict=True)):
-        if e > s:
-            count = np.zeros(64, np.int64)
-            for at in range(s, e, 65536):
-                part = hashes[at : min(e, at + 65536)].astype(">u8").view(np.uint8).reshape(-1, 8)
-                count += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-            out[k] = weights[2 * count > e - s].sum(dtype=np.uint64)
-    return out
+def majority_bits(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes."""
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 32768):
+        part = hashes[at : at + 32768].astype(">u8").view(np.uint8).reshape(-1, 8)
+        count += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * count > len(hashes)).tobytes(), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
@@ -62,13 +56,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            offsets = lists.offsets.to_numpy()
-            bits = majority_bits(lists.values.to_numpy(zero_copy_only=False).view(np.uint64), offsets[:-1], offsets[1:])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], ["doc_id", "fp"])
+            bits = [majority_bits(shingle_hashes(text.as_py(), words)) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int64())], ["doc_id", "fp"])
 
-    hashed = text_of(docs, id_col, text_col).select("doc_id", shingle_hashes(F.col("text"), words).alias("h"))
-    return hashed.mapInArrow(run, "doc_id long, fp long")
+    rows = text_of(docs, id_col, text_col)
+    return rows.select("doc_id", F.col("text").cast("binary").alias("body")).mapInArrow(run, "doc_id long, fp long")
 
 
 class BKTree:

@@ -78,7 +78,7 @@ def simulate(paths: DataFrame, policy: DataFrame, initial: DataFrame, keys: list
     ``dynamic`` runs take the next day's forecast times lead time plus safety
     stock as reorder point; runs without any forecast fall back on ``rop``.
     """
-    runs = paths.join(policy.select(*(policy_keys or keys), *POLICY), policy_keys or keys).join(initial, "sku_id")
+    runs = paths.join(policy.select(*dict.fromkeys([*(policy_keys or keys), *POLICY])), policy_keys or keys).join(initial, "sku_id")
     schema = ", ".join([*(f"{k} {dict(runs.dtypes)[k]}" for k in keys), "day array<struct<date:date,demand:double,received:double,sales_quantity:double,lost:double,inventory:double,inventory_position:double,rop_used:double,order_placed:int>>", "initial_inventory double"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,7 +96,7 @@ def simulate(paths: DataFrame, policy: DataFrame, initial: DataFrame, keys: list
                 day.append([{"date": d["date"], "demand": d["demand"], **{k: (None if cols[k][p] != cols[k][p] else int(cols[k][p]) if k == "order_placed" else cols[k][p]) for k in cols}} for p, d in enumerate(days)])
             yield pdf[keys].assign(day=day, initial_inventory=number("initial_inventory"))
 
-    folded = runs.select(*keys, "days", *POLICY, "initial_inventory").mapInPandas(run, schema)
+    folded = runs.select(*dict.fromkeys([*keys, "days", *POLICY, "initial_inventory"])).mapInPandas(run, schema)
     trace = folded.select(*keys, "initial_inventory", F.posexplode("day").alias("pos", "d"), F.size("day").alias("_n"))
     last = F.col("pos") == F.col("_n") - 1
     return trace.select(

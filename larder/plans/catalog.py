@@ -27,6 +27,15 @@ def neat(df: DataFrame) -> DataFrame:
     return df.select(*[to[t](c).alias(c) if t in to else F.col(c) for c, t in df.dtypes])
 
 
+#: Steps that others build on more than once: they are kept, so that plans stay short.
+_KEPT = {"panel", "classes", "scope", "winners", "calibration", "final_forecast", "audit", "chosen", "recorded", "inferred", "old_metric", "new_metric", "stress"}
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows with a short lineage: checkpointed where the cluster names a folder, else kept in memory and on disk."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
 class Book:
     """The steps that queries share, each built when it is asked for."""
 
@@ -37,6 +46,7 @@ class Book:
         if name.startswith("_"):
             raise AttributeError(name)
         made = _STEPS[name](self)
+        made = settled(made) if name in _KEPT else made
         setattr(self, name, made)
         return made
 
