@@ -157,6 +157,6 @@ def _searcher(spark: SparkSession, block: list[tuple[int, str]], error_rate: flo
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item."""
-    leaked = find_leaks(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaked, F.col(id_col).cast("long").eqNullSafe(F.col("__leaked")), "left_anti")
+    """The rows of ``docs``, all columns, that hold no item; rows of one id stay or go together."""
+    leaked = find_leaks(docs, items, id_col, text_col, **options).select("doc_id").distinct()
+    return docs.join(leaked, docs[id_col].cast("long").eqNullSafe(leaked["doc_id"]), "left_anti")

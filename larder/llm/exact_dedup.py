@@ -113,6 +113,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay; rows that repeat one that stays do too."""
-    gone = exact_dedup(docs, id_col, text_col, **options).filter("not kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__dropped")), "left_anti")
+    """The rows of ``docs``, all columns, that stay; rows that repeat one that stays do too.
+
+    Rows are told apart by id and text, so rows of one id may part.
+    """
+    gone = exact_dedup(docs, id_col, text_col, **options).filter("not kept").select("doc_id", "text_sha256").distinct()
+    sha = F.sha2(F.encode(normalised(F.coalesce(docs[text_col], F.lit(""))), "utf-8"), 256)
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["doc_id"]) & (sha == gone["text_sha256"]), "left_anti")

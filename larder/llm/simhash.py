@@ -174,6 +174,7 @@ def _links(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose id names their component."""
-    groups = simhash_groups(docs, id_col, text_col).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(groups, F.col(id_col).cast("long").eqNullSafe(F.col("__dropped")), "left_anti")
+    """The rows of ``docs``, all columns, whose id names their component; rows of one id stay or go together."""
+    groups = simhash_groups(docs, id_col, text_col)
+    gone = groups.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("names")).filter("not names")
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["doc_id"]), "left_anti")

@@ -1,0 +1,101 @@
+"""The registered queries over the smallest standard tables, against brute force."""
+
+import os
+
+import pytest
+
+import __spark_entry__
+import test_bpe
+import test_decontaminate
+import test_exact_dedup
+import test_pii
+import test_secrets
+import test_simhash
+import test_suffix_dedup
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no standard tables")
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def asked(spark, name):
+    return __spark_entry__.queries()[name](spark, SF)
+
+
+def test_op1(spark, rows):
+    assert sorted([tuple(r) for r in asked(spark, "op1_exact_dedup").collect()], key=str) == test_exact_dedup.brute(rows)
+
+
+def test_op3(spark, rows):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    short = [(i, t) for i, t in rows if len(t or "") < 1500]
+    kept = {i for i, _ in short}
+    got = {(r.doc_id, r.item_id, r.distance) for r in asked(spark, "op3_decontaminate").collect()}
+    want = test_decontaminate.brute([x for x in short if any(x[0] == g[0] for g in got)], items)
+    assert {g for g in got if g[0] in kept} == want
+    # a document that holds an item as it stands is always found
+    normal = test_decontaminate.dc.normal
+    held = {(i, k) for i, t in rows for k, item in items if len(normal(item or "").replace(" ", "")) >= 40 and normal(item) in normal(t or "")}
+    assert held and held <= {g[:2] for g in got}
+
+
+def test_op4(spark, rows):
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in asked(spark, "op4_simhash").collect()} == test_simhash.brute(rows)
+
+
+def test_op5(spark, rows):
+    got = {r.doc_id: r for r in asked(spark, "op5_pii").collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        want = ",".join(f"{k}:{s}:{e}" for k, s, e in test_pii.base(text))
+        assert [x for x in got[i].spans.split(",") if x and not x.startswith("term:")] == [x for x in want.split(",") if x]
+        assert got[i].base_sha256 == test_pii.hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_op6(spark, rows):
+    assert sorted([tuple(r) for r in asked(spark, "op6_bpe").collect()], key=str) == test_bpe.brute(rows)
+
+
+def test_op7(spark, rows):
+    got = asked(spark, "op7_sharding").collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(16))
+
+
+def test_op8(spark, rows):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    got = [r for r in asked(spark, "op8_quality").collect()]
+    held = [r for r in got if r.held_out and r.doc_id in labels]
+    assert len(got) == len(rows) and sum(r.predicted == labels[r.doc_id] for r in held) >= 0.85 * len(held)
+
+
+def test_op9(spark, rows):
+    got = {r.doc_id: r for r in asked(spark, "op9_secrets").collect()}
+    for i, text in rows:
+        want = ",".join(f"{k}:{s}:{e}" for k, s, e in test_secrets.base(text))
+        assert ",".join(x for x in got[i].spans.split(",") if not x.startswith("format:")) == want
+        assert got[i].base_sha256 == test_secrets.hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_op10(spark, rows):
+    assert test_suffix_dedup.digests(asked(spark, "op10_suffix_dedup")) == test_suffix_dedup.brute(rows)
+
+
+def test_pipeline_matches_brute_force_stages(spark, rows):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    left = corpus_pipeline.good_quality(spark, docs, SF)
+    assert left.columns == docs.columns
+    text = dict(rows)
+    kept = [(r.doc_id, r.text) for r in left.collect()]
+    assert 0 < len(kept) < len(rows) and all(text[i] == t for i, t in kept)
+    kept = [(i, text[i]) for i, *_, stays, _ in test_exact_dedup.brute(kept) if stays]
+    groups = test_simhash.brute(kept)
+    kept = [(i, t) for i, t in kept if groups[i][1] == i]
+    leaked = {r.doc_id for r in asked(spark, "op3_decontaminate").collect()}
+    assert sorted([tuple(r) for r in corpus_pipeline.run(spark, SF).collect()], key=str) == test_bpe.brute([x for x in kept if x[0] not in leaked])

@@ -76,3 +76,10 @@ def test_shards_that_several_tasks_share(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.simhash_groups(docs).collect()}
     assert got == brute(rows)
+
+
+def test_one_of_each_keeps_one_document_of_a_group(spark):
+    rows = made_rows()
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")
+    left = simhash.one_of_each(docs)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted({c for _, c in brute(rows).values()})
