@@ -17,7 +17,7 @@ SEL, SEL_END = _D(W.selection_start), _D(W.selection_end)
 
 
 def r(expr: str, name: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 4) AS {name}"
+    return f"round(CAST({expr} AS DOUBLE), 4) + 0.0 AS {name}"
 
 
 def i(expr: str, name: str) -> str:
