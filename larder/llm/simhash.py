@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,8 +26,10 @@ SHINGLE_WORDS = 3
 RADIUS = 3
 #: Queries that one task puts to a shard's tree; larger shards are shared out.
 SHARD_QUERIES = 50_000
-#: Queries that go down a tree together, which bounds the frontier.
+#: Queries that go down trees together, which bounds the frontier.
 TOGETHER = 2048
+#: Values whose shards' trees are built together (a larger shard has a forest of its own).
+FOREST_VALUES = 32_768
 
 
 def shingle_hashes(text: bytes, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -64,16 +65,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class BKTree:
-    """BK-tree over distinct 64-bit values under Hamming distance, held in arrays.
+    """BK-trees over distinct 64-bit values under Hamming distance, held in arrays.
 
-    All values descend together: at each node the first one left for an edge
-    becomes that edge's child, the others go on below it.
+    ``root`` has for each value the number of its tree's root; without it, all
+    values are one tree.  All values descend together: at each node the first
+    one left for an edge becomes that edge's child, the others go on below it.
     """
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, root: np.ndarray | None = None):
         self.values = values
-        n = len(values)
-        node, left = np.zeros(n, np.int64), np.arange(1, n)
+        node = np.zeros(len(values), np.int64) if root is None else root.copy()
+        left = np.flatnonzero(node != np.arange(len(values)))
         parents, edges, children = [], [], []
         while len(left):
             d = np.bitwise_count(values[left] ^ values[node[left]]).astype(np.int64)
@@ -92,9 +94,9 @@ class BKTree:
         order = np.argsort(self.key)
         self.key, self.child = self.key[order], self.child[order]
 
-    def within(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query number, node) for all nodes within ``radius``, level by level."""
-        q, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
+    def within(self, queries: np.ndarray, radius: int, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query number, node) for all nodes within ``radius``, level by level; ``root`` names each query's tree."""
+        q, node = np.arange(len(queries)), np.zeros(len(queries), np.int64) if root is None else root
         while len(q):
             d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
             near = d <= radius
@@ -121,15 +123,16 @@ def _roots(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def spanning_links(values: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def spanning_links(values: np.ndarray, root: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that span the components which the queries' neighbours make of ``values``.
 
-    ``queries`` are numbers of values.  At most one link for each value.
+    ``queries`` are numbers of values; each asks the tree of its own shard, whose
+    first value ``root`` names.  At most one link for each value.
     """
-    tree, label = BKTree(values), np.arange(len(values))
+    tree, label = BKTree(values, root), np.arange(len(values))
     for at in range(0, len(queries), TOGETHER):
         part = queries[at : at + TOGETHER]
-        for q, node in tree.within(values[part], radius):
+        for q, node in tree.within(values[part], radius, root[part]):
             _roots(label, part[q], node)
     moved = np.flatnonzero(label != np.arange(len(values)))
     return moved, label[moved]
@@ -164,13 +167,32 @@ def _links(nodes: DataFrame, radius: int) -> DataFrame:
     # every part of a shard gets the whole shard's tree and asks for its own share of the queries
     dealt = owned.select("fp", "band", "value", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), (F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).alias("asks"))
 
-    def link(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values("fp")
-        values = shard["fp"].to_numpy(np.int64)
-        a, b = spanning_links(values.view(np.uint64), np.flatnonzero(shard["asks"].to_numpy() == key[2]), radius)
-        return pd.DataFrame({"a": values[a], "b": values[b]})
-
-    return dealt.groupBy("band", "value", "part").applyInPandas(link, "a long, b long")
+    def solve(rows: np.ndarray) -> pa.RecordBatch:
+        """``rows``: whole shards; columns fp, band, value, part, asks."""
+        values, key = rows[0], rows[1:4]
+        new = np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]
+        root = np.maximum.accumulate(np.where(new, np.arange(len(values)), 0))
+        a, b = spanning_links(values.view(np.uint64), root, np.flatnonzero(rows[4] == rows[3]), radius)
+        return pa.RecordBatch.from_arrays([pa.array(values[a]), pa.array(values[b])], ["a", "b"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:  # sorted by shard: one ends where its key changes
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+            size += batch.num_rows
+            if size < FOREST_VALUES:
+                continue
+            rows = np.concatenate(held, axis=1)
+            last = np.flatnonzero((rows[1:4] != rows[1:4, -1:]).any(axis=0))
+            whole = last[-1] + 1 if len(last) else 0
+            held, size = [rows[:, whole:]], rows.shape[1] - whole
+            if whole:
+                yield solve(np.ascontiguousarray(rows[:, :whole]))
+        if size:
+            yield solve(np.concatenate(held, axis=1))
+
+    shards = dealt.repartition("band", "value", "part").sortWithinPartitions("band", "value", "part", "fp")
+    return shards.select("fp", "band", "value", "part", "asks").mapInArrow(link, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

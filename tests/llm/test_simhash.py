@@ -72,6 +72,7 @@ def test_bk_tree_finds_all_neighbours(seed):
 
 def test_shards_that_several_tasks_share(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD_QUERIES", 7)
+    monkeypatch.setattr(simhash, "FOREST_VALUES", 16)
     rows = made_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.simhash_groups(docs).collect()}
