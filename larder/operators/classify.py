@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.config import Settings
 from larder.functions.exprs import demand_value, ratio
+from larder.functions.ordered import quantiles, running_total, settled
 from larder.operators.features import BASELINES, baseline_forecasts
 from larder.operators.forecast import candidate_table, require_no_gap
 from larder.operators.joins import checked_join, with_dimension
@@ -20,11 +21,10 @@ def sku_value(panel: DataFrame, settings: Settings) -> DataFrame:
 def classify_abc(panel: DataFrame, settings: Settings) -> DataFrame:
     """(sku_id, value, share, abc): the SKU that crosses a share belongs to the next class.
 
-    The running share is over one row per SKU; ties go by sku_id.
+    The running share is summed range by range of value; ties go by sku_id.
     """
-    value = sku_value(panel, settings)
-    running = Window.orderBy(F.desc("value"), "sku_id").rowsBetween(Window.unboundedPreceding, 0)
-    share = value.withColumn("share", ratio(F.sum("value").over(running), F.sum("value").over(Window.partitionBy())))
+    running = running_total(sku_value(panel, settings), F.col("value"), [F.desc("value"), F.col("sku_id")], "_run", "_total")
+    share = running.withColumn("share", ratio(F.col("_run"), F.col("_total"))).drop("_run", "_total")
     abc = F.when(F.col("share") <= settings.a_share, "A").when(F.col("share") <= settings.b_share, "B").otherwise("C")
     return share.withColumn("abc", abc)
 
@@ -59,7 +59,8 @@ def classify_xyz(panel: DataFrame, settings: Settings) -> DataFrame:
     require_no_gap(frame, winner)
     each = frame.groupBy("sku_id").agg(F.avg(F.abs(F.col("demand") - F.col(winner))).alias("mae"), F.avg("demand").alias("mean_demand"))
     each = each.filter("mean_demand > 0").withColumn("nmae", ratio(F.col("mae"), F.col("mean_demand")))
-    cuts = each.agg(F.percentile("nmae", F.lit(settings.x_quantile)).alias("low"), F.percentile("nmae", F.lit(settings.z_quantile)).alias("high"))
+    each = settled(each)
+    cuts = quantiles(each, "nmae", "sku_id", {"low": settings.x_quantile, "high": settings.z_quantile})
     xyz = F.when(F.col("nmae") <= F.col("low"), "X").when(F.col("nmae") <= F.col("high"), "Y").otherwise("Z")
     return each.crossJoin(F.broadcast(cuts)).withColumn("xyz", xyz).drop("low", "high")  # one row of cuts
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import ratio
+from larder.functions.ordered import numbered
 from larder.operators.joins import checked_join
 
 COSTS = ("stockout_cost", "holding_cost", "ordering_cost", "total_cost")
@@ -142,8 +143,8 @@ def policy_action(selected: DataFrame, current: DataFrame, old: DataFrame, new:
     quantity = F.when(_changed(F.col("new_q"), F.col("old_q")), F.when(F.col("q_delta") > 0, "Raise Q").otherwise("Lower Q"))
     words = F.coalesce(F.nullif(F.concat_ws(" + ", rop, quantity), F.lit("")), F.lit("Keep parameters / monitor"))
     action = F.when(F.col("selection_status") != "minimum_cost_feasible", "Review SLA/grid feasibility").otherwise(words)
-    rank = F.row_number().over(Window.orderBy(F.desc("expected_saving"), F.desc("fill_delta"), "sku_id"))  # one row a SKU
-    return rows.withColumns({"policy_mode": F.lit("dynamic_rop"), "action": action}).withColumn("priority", rank)
+    rows = rows.withColumns({"policy_mode": F.lit("dynamic_rop"), "action": action})
+    return numbered(rows, [F.desc("expected_saving"), F.desc("fill_delta"), F.col("sku_id")], "priority")
 
 
 def fallback_action(policy: DataFrame, medians: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@ them alone, in any order, and a rerun gives the same.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.config import Settings
 from larder.functions.exprs import ratio
+from larder.functions.ordered import numbered, settled
 from larder.operators.simulate import initial_inventory, policy_metric, simulate
 
 COSTS = ("stockout_cost", "holding_cost", "ordering_cost", "total_cost")
@@ -116,20 +117,16 @@ def bootstrap_plan(spark, skus: DataFrame, draws: int, seed: int, kind: str = "h
     ``pcg64`` draws by numpy on the driver, for at most five million positions.
     """
     n = skus.count()
-    numbered = skus.select("sku_id", (F.row_number().over(_by_name()) - 1).alias("at"))
+    places = settled(numbered(skus.select("sku_id"), [F.col("sku_id")], "_number").select("sku_id", (F.col("_number") - 1).alias("at")))
     if kind == "pcg64":
         if n * draws > 5_000_000:
             raise ValueError("too many positions for draws on the driver")
         g = np.random.default_rng(seed)
         rows = [(d, int(x)) for d in range(draws) for x in g.integers(0, n, size=n)]
-        return spark.createDataFrame(rows, "draw int, at int").join(numbered, "at").select("draw", "sku_id")
-    plan = spark.range(draws).select(F.col("id").cast("int").alias("draw")).crossJoin(numbered.select(F.col("at").alias("pos")))
+        return spark.createDataFrame(rows, "draw int, at int").join(places, "at").select("draw", "sku_id")
+    plan = spark.range(draws).select(F.col("id").cast("int").alias("draw")).crossJoin(places.select(F.col("at").alias("pos")))
     at = F.floor(hashed_unit(F.lit(seed), F.col("draw"), F.col("pos")) * n).cast("int")
-    return plan.select("draw", at.alias("at")).join(numbered, "at").select("draw", "sku_id")
-
-
-def _by_name() -> WindowSpec:
-    return Window.orderBy("sku_id")  # one row a SKU
+    return plan.select("draw", at.alias("at")).join(places, "at").select("draw", "sku_id")
 
 
 def policy_bootstrap(old: DataFrame, new: DataFrame, draws: int = 2000, seed: int = 42, kind: str = "hash") -> DataFrame:

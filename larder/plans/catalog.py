@@ -13,7 +13,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.config import STANDARD
+from larder.config import STANDARD, Settings
+from larder.functions.ordered import settled
 from larder.operators import classify, contract, features, forecast, model, policy, report, simulate, uncertainty
 from larder.plans.oracle import FINAL, SEL_END, W, i, metrics, query, r, simulation
 from larder.sources.panel import standard_panel
@@ -31,16 +32,13 @@ def neat(df: DataFrame) -> DataFrame:
 _KEPT = {"panel", "classes", "scope", "winners", "calibration", "final_forecast", "audit", "chosen", "recorded", "inferred", "old_metric", "new_metric", "stress"}
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows with a short lineage: checkpointed where the cluster names a folder, else kept in memory and on disk."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
-
-
 class Book:
     """The steps that queries share, each built when it is asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str | None = None, panel: DataFrame | None = None, settings: Settings = STANDARD):
+        self.spark, self.sf_dir, self.s, self.w = spark, sf_dir, settings, settings.windows
+        if panel is not None:
+            self.panel = settled(panel)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -55,45 +53,45 @@ def class_forecast(b: Book, first, last) -> DataFrame:
     """(sku_id, date, demand, class, model, forecast): each class by its best baseline."""
     best = b.winners.filter("rank = 1").select("class", "model")
     models = b.classes.join(F.broadcast(best), "class")  # nine classes at most
-    frame = features.baseline_forecasts(b.panel.select("sku_id", "date", "demand"), W.season).filter(F.col("date").between(F.lit(first), F.lit(last)))
+    frame = features.baseline_forecasts(b.panel.select("sku_id", "date", "demand"), b.w.season).filter(F.col("date").between(F.lit(first), F.lit(last)))
     picked = F.when(F.col("model") == "Naive", F.col("Naive")).when(F.col("model") == "SeasonalNaive", F.col("SeasonalNaive")).otherwise(F.col("HistoricMean"))
     return frame.join(models, "sku_id").select("sku_id", "date", "demand", "class", "model", F.when(picked.isNotNull(), F.greatest(picked, F.lit(0.0))).alias("forecast"))
 
 
 def _final_days(b: Book) -> DataFrame:
-    return b.panel.filter(F.col("date") >= F.lit(W.final_start)).select("sku_id", "date", "demand")
+    return b.panel.filter(F.col("date") >= F.lit(b.w.final_start)).select("sku_id", "date", "demand")
 
 
 def _trace(b: Book, runs: DataFrame, dynamic: bool) -> DataFrame:
     paths = simulate.daily_paths(_final_days(b), ["sku_id"], b.final_forecast if dynamic else None)
-    return simulate.simulate(paths, runs, simulate.initial_inventory(b.panel, W.final_start), ["sku_id"], dynamic=dynamic)
+    return simulate.simulate(paths, runs, simulate.initial_inventory(b.panel, b.w.final_start), ["sku_id"], dynamic=dynamic)
 
 
-def _priced(trace: DataFrame, runs: DataFrame) -> DataFrame:
-    return simulate.policy_metric(trace, runs, ["sku_id"], S.ordering_cost, S.holding_rate, S.shortage_multiplier)
+def _priced(b: Book, trace: DataFrame, runs: DataFrame) -> DataFrame:
+    return simulate.policy_metric(trace, runs, ["sku_id"], b.s.ordering_cost, b.s.holding_rate, b.s.shortage_multiplier)
 
 
 _STEPS: dict[str, Callable[[Book], DataFrame]] = {
     "panel": lambda b: standard_panel(b.spark, b.sf_dir),
-    "classes": lambda b: classify.abc_xyz(b.panel, S),
-    "metric": lambda b: classify.sku_metric(b.panel, W.final_start),
-    "medians": lambda b: policy.sku_medians(b.panel, S),
-    "scope": lambda b: classify.optimization_scope(b.panel, b.classes, S),
+    "classes": lambda b: classify.abc_xyz(b.panel, b.s),
+    "metric": lambda b: classify.sku_metric(b.panel, b.w.final_start),
+    "medians": lambda b: policy.sku_medians(b.panel, b.s),
+    "scope": lambda b: classify.optimization_scope(b.panel, b.classes, b.s),
     "skus": lambda b: policy.scope_of(b.classes, b.scope),
-    "winners": lambda b: forecast.baseline_winner(b.panel, b.classes, S),
-    "calibration": lambda b: class_forecast(b, W.calibration_start, W.calibration_end),
-    "final_forecast": lambda b: class_forecast(b, W.final_start, "2000-12-31"),
-    "audit": lambda b: policy.policy_grid(b.calibration.drop("class", "model"), b.panel, b.skus, S),
+    "winners": lambda b: forecast.baseline_winner(b.panel, b.classes, b.s),
+    "calibration": lambda b: class_forecast(b, b.w.calibration_start, b.w.calibration_end),
+    "final_forecast": lambda b: class_forecast(b, b.w.final_start, b.panel.agg(F.max("date")).first()[0]),
+    "audit": lambda b: policy.policy_grid(b.calibration.drop("class", "model"), b.panel, b.skus, b.s),
     "chosen": lambda b: policy.selected_policy(b.audit),
-    "recorded": lambda b: policy.historical_policy(b.panel, S).join(b.classes, "sku_id"),
-    "inferred": lambda b: policy.inferred_policy(b.panel, S).join(b.classes, "sku_id"),
+    "recorded": lambda b: policy.historical_policy(b.panel, b.s).join(b.classes, "sku_id"),
+    "inferred": lambda b: policy.inferred_policy(b.panel, b.s).join(b.classes, "sku_id"),
     "old_trace": lambda b: _trace(b, b.recorded, False),
     "new_trace": lambda b: _trace(b, b.chosen, True),
-    "old_metric": lambda b: _priced(b.old_trace, b.recorded),
-    "new_metric": lambda b: _priced(b.new_trace, b.chosen),
-    "inferred_metric": lambda b: _priced(_trace(b, b.inferred, False), b.inferred),
+    "old_metric": lambda b: _priced(b, b.old_trace, b.recorded),
+    "new_metric": lambda b: _priced(b, b.new_trace, b.chosen),
+    "inferred_metric": lambda b: _priced(b, _trace(b, b.inferred, False), b.inferred),
     "old_in_scope": lambda b: b.old_metric.join(b.new_metric.select("sku_id"), "sku_id", "left_semi"),
-    "stress": lambda b: uncertainty.stress_test(b.recorded.join(b.chosen.select("sku_id"), "sku_id", "left_semi"), b.chosen, b.calibration.join(b.chosen.select("sku_id"), "sku_id", "left_semi"), b.final_forecast.join(b.chosen.select("sku_id"), "sku_id", "left_semi"), b.panel, S),
+    "stress": lambda b: uncertainty.stress_test(b.recorded.join(b.chosen.select("sku_id"), "sku_id", "left_semi"), b.chosen, b.calibration.join(b.chosen.select("sku_id"), "sku_id", "left_semi"), b.final_forecast.join(b.chosen.select("sku_id"), "sku_id", "left_semi"), b.panel, b.s),
     "actions": lambda b: report.policy_action(b.chosen, b.recorded.drop("class"), b.old_metric, b.new_metric),
 }
 
@@ -115,12 +113,12 @@ _QUERIES: dict[str, Callable[[Book], DataFrame]] = {
     "contract_violations": lambda b: contract.contract_violations(b.panel),
     "calendar_audit": lambda b: contract.calendar_audit(b.panel),
     "inventory_balance": lambda b: contract.inventory_balance(b.panel),
-    "abc_class": lambda b: classify.classify_abc(b.panel, S),
-    "xyz_candidates": lambda b: classify.xyz_candidates(b.panel, S),
-    "xyz_class": lambda b: classify.classify_xyz(b.panel, S),
+    "abc_class": lambda b: classify.classify_abc(b.panel, b.s),
+    "xyz_candidates": lambda b: classify.xyz_candidates(b.panel, b.s),
+    "xyz_class": lambda b: classify.classify_xyz(b.panel, b.s),
     "abc_xyz_class": lambda b: b.classes,
     "abc_xyz_matrix": lambda b: report.abc_xyz_matrix(b.classes),
-    "class_scope": lambda b: classify.class_scope(b.panel, b.classes, S).drop("doi_cut"),
+    "class_scope": lambda b: classify.class_scope(b.panel, b.classes, b.s).drop("doi_cut"),
     "optimization_scope": lambda b: b.scope.select("class", "intervention", "n_sku", "fill_rate", "doi"),
     "scope_coverage": lambda b: report.scope_coverage(b.panel, b.classes, b.scope),
     "sku_metric": lambda b: b.metric,
@@ -143,18 +141,18 @@ _QUERIES: dict[str, Callable[[Book], DataFrame]] = {
     "rolling_features": lambda b: _features(b).select("sku_id", "date", *_ROLLS),
     "trend_features": lambda b: _features(b).filter("lag_30 is not null and roll_mean_90 is not null and roll_mean_90 > 0 and lag_7 > 0").select("sku_id", "date", *_TRENDS),
     "ewm_features": lambda b: _features(b).select("sku_id", "date", "ewm_3", "ewm_5", "ewm_7"),
-    "baseline_forecasts": lambda b: features.baseline_forecasts(b.panel, W.season).select("sku_id", "date", *features.BASELINES),
-    "date_folds": lambda b: forecast.date_folds(b.panel, S),
+    "baseline_forecasts": lambda b: features.baseline_forecasts(b.panel, b.w.season).select("sku_id", "date", *features.BASELINES),
+    "date_folds": lambda b: forecast.date_folds(b.panel, b.s),
     "baseline_winner": lambda b: b.winners,
     "baseline_calibration_forecast": lambda b: b.calibration,
     "baseline_final_forecast": lambda b: b.final_forecast,
     "model_mix": lambda b: report.model_mix(b.final_forecast),
     "forecast_metrics": lambda b: forecast.forecast_metrics(b.final_forecast, "class"),
-    "forecast_hierarchy_metrics": lambda b: forecast.hierarchy_metrics(b.final_forecast, b.classes, b.panel, S),
-    "policy_params": lambda b: policy.policy_params(b.calibration.drop("class", "model"), b.panel, b.skus, S).drop("sums"),
-    "historical_policy": lambda b: policy.historical_policy(b.panel, S),
-    "inferred_policy": lambda b: policy.inferred_policy(b.panel, S),
-    "initial_inventory": lambda b: simulate.initial_inventory(b.panel, W.final_start),
+    "forecast_hierarchy_metrics": lambda b: forecast.hierarchy_metrics(b.final_forecast, b.classes, b.panel, b.s),
+    "policy_params": lambda b: policy.policy_params(b.calibration.drop("class", "model"), b.panel, b.skus, b.s).drop("sums"),
+    "historical_policy": lambda b: policy.historical_policy(b.panel, b.s),
+    "inferred_policy": lambda b: policy.inferred_policy(b.panel, b.s),
+    "initial_inventory": lambda b: simulate.initial_inventory(b.panel, b.w.final_start),
     "policy_grid_audit": lambda b: b.audit.select("sku_id", "q_multiplier", "quantile", "order_quantity", "safety_stock", "fill_rate", "avg_inventory", "total_cost", "service_floor", "service_floor_met"),
     "candidate_summary": lambda b: report.candidate_summary(b.audit),
     "selected_policy": lambda b: b.chosen.select("sku_id", "class", "intervention", "q_multiplier", "quantile", "order_quantity", "safety_stock", "rop", "total_cost", "selection_status"),
@@ -165,14 +163,14 @@ _QUERIES: dict[str, Callable[[Book], DataFrame]] = {
     "policy_by_class": lambda b: report.policy_by_class(b.old_in_scope, b.new_metric),
     "full_policy_summary": lambda b: report.policy_row(b.old_metric, "current").unionByName(report.policy_row(report.full_portfolio(b.new_metric, b.old_metric), "proposed")),
     "historical_policy_sensitivity": lambda b: report.policy_row(b.old_metric, "recorded").unionByName(report.policy_row(b.inferred_metric, "inferred")),
-    "cost_sensitivity": lambda b: uncertainty.cost_sensitivity(b.old_in_scope, b.new_metric, S),
+    "cost_sensitivity": lambda b: uncertainty.cost_sensitivity(b.old_in_scope, b.new_metric, b.s),
     "stress_test": lambda b: b.stress,
     "stress_quantiles": lambda b: uncertainty.stress_quantiles(b.stress),
     "policy_bootstrap": lambda b: uncertainty.policy_bootstrap(b.old_in_scope, b.new_metric),
     "policy_action": lambda b: b.actions.drop("service_floor"),
     "fallback_action": lambda b: report.fallback_action(b.chosen, b.medians),
     "action_filtered": lambda b: report.filtered_actions(b.actions, action="Q"),
-    "gbt_forecast": lambda b: model.gbt_query(b.panel, S),
+    "gbt_forecast": lambda b: model.gbt_query(b.panel, b.s),
 }
 
 
