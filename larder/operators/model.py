@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from larder.config import Settings
 from larder.functions.exprs import wape
-from larder.operators.features import create_features, feature_names
-from larder.operators.forecast import date_folds
+from larder.operators.features import BASELINES, baseline_forecasts, create_features, feature_names
+from larder.operators.forecast import candidate_table, date_folds
 
 #: Stands for a missing value: the trees have no branch of their own for it.
 MISSING = -1.0
@@ -68,6 +68,15 @@ def selection_forecast(features: DataFrame, params: dict, settings: Settings) ->
     return out
 
 
+def compare_candidates(features: DataFrame, panel: DataFrame, params: dict, settings: Settings) -> DataFrame:
+    """(model, wape, mae, n_obs) of the trees, out of fold, and the baselines on the same days, best first."""
+    w = settings.windows
+    trees = selection_forecast(features, params, settings).select("sku_id", "date", F.col("forecast").alias("GBT"))
+    base = baseline_forecasts(panel.filter(F.col("date") <= F.lit(w.selection_end)).select("sku_id", "date", "demand"), w.season)
+    base = base.filter(F.col("date") > F.date_sub(F.lit(w.selection_end), w.selection_days))
+    return candidate_table(base.join(trees, ["sku_id", "date"], "left"), ("GBT", *BASELINES))
+
+
 def importance(model: PipelineModel) -> list[tuple[str, float]]:
     """Features by importance, largest first."""
     names = model.stages[1].getInputCols()

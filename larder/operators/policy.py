@@ -78,8 +78,21 @@ def inferred_policy(panel: DataFrame, settings: Settings) -> DataFrame:
     return found.select("sku_id", "lead_time", "unit_cost", "unit_price", F.coalesce("q", "order_quantity").alias("order_quantity"), F.coalesce("r", "low").alias("rop"), "safety_stock")
 
 
+def with_constraint(skus: DataFrame, panel: DataFrame, column: str, default: float, settings: Settings) -> DataFrame:
+    """``skus`` with an order constraint: the median before the final window where the panel has the column, else a default."""
+    if column not in panel.columns:
+        return skus.withColumn(column, F.lit(float(default)))
+    known = panel.filter(F.col("date") < F.lit(settings.windows.final_start)).groupBy("sku_id").agg(F.median(column).alias("_median"))
+    checked = F.when(F.col("_median") > 0, F.col("_median")).otherwise(F.raise_error(F.concat(F.lit(f"{column} must be positive for every SKU; affected: "), F.col("sku_id"))).cast("double"))
+    return skus.join(known, "sku_id", "left").withColumn(column, checked).drop("_median")
+
+
 def grid_candidates(forecast: DataFrame, panel: DataFrame, scope: DataFrame, settings: Settings, least: float = 1.0, multiple: float = 1.0) -> DataFrame:
-    """One row for each SKU, quantity multiplier and quantile (those of the settings and the SKU's own target)."""
+    """One row for each SKU, quantity multiplier and quantile (those of the settings and the SKU's own target).
+
+    Orders keep to a least quantity and a multiple: the panel's columns ``moq`` and
+    ``order_multiple`` give them by SKU, otherwise they are the same for all.
+    """
     for x in settings.reorder_quantiles:
         if not 0 < x < 1:
             raise ValueError("quantiles must lie between 0 and 1")
@@ -89,7 +102,8 @@ def grid_candidates(forecast: DataFrame, panel: DataFrame, scope: DataFrame, set
     quantiles = F.array_distinct(F.concat(F.array(*map(F.lit, sorted(set(settings.reorder_quantiles)))), F.array(F.col("target") / 100)))
     each = each.withColumn("q_multiplier", F.explode(F.array(*map(F.lit, sorted(set(settings.quantity_multipliers)))))).withColumn("quantile", F.explode(quantiles))
     ss = at_least_zero(quantile_of(F.col("sums"), F.col("quantile")))
-    each = each.withColumns({"order_quantity": round_up(F.col("order_quantity") * F.col("q_multiplier"), F.lit(float(least)), F.lit(float(multiple))), "safety_stock": ss})
+    each = with_constraint(with_constraint(each, panel, "moq", least, settings), panel, "order_multiple", multiple, settings)
+    each = each.withColumns({"order_quantity": round_up(F.col("order_quantity") * F.col("q_multiplier"), F.col("moq"), F.col("order_multiple")), "safety_stock": ss}).drop("moq", "order_multiple")
     return each.withColumn("rop", F.col("mean_forecast") * F.col("lead_time") + F.col("safety_stock")).drop("sums", "reorder_point")
 
 

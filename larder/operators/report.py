@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import ratio
-from larder.functions.ordered import numbered
+from larder.functions.ordered import numbered, quantiles
 from larder.operators.joins import checked_join
 
 COSTS = ("stockout_cost", "holding_cost", "ordering_cost", "total_cost")
@@ -23,6 +23,15 @@ def full_portfolio(new: DataFrame, all_current: DataFrame) -> DataFrame:
     return new.unionByName(all_current.join(new.select("sku_id"), "sku_id", "left_anti"), allowMissingColumns=True)
 
 
+def policy_sensitivity_rows(recorded: DataFrame, recorded_metric: DataFrame, inferred: DataFrame, inferred_metric: DataFrame) -> DataFrame:
+    """The recorded policy and the one that receipts show: sums, mean and median reorder point."""
+    rows = []
+    for label, runs, metric in (("recorded", recorded, recorded_metric), ("inferred", inferred, inferred_metric)):
+        point = runs.select("sku_id", F.col("rop").cast("double").alias("rop"))
+        rows.append(policy_row(metric, label).crossJoin(point.agg(F.avg("rop").alias("mean_rop"))).crossJoin(quantiles(point, "rop", "sku_id", {"median_rop": 0.5})))  # one row each
+    return rows[0].unionByName(rows[1])
+
+
 def policy_by_class(old: DataFrame, new: DataFrame) -> DataFrame:
     """Per class: both policies side by side, rates as ratios of sums."""
     def side(metric: DataFrame, p: str) -> DataFrame:
@@ -50,6 +59,50 @@ def portfolio_kpis(metric: DataFrame, medians: DataFrame, slow_days: float = 60.
     )
 
 
+def portfolio_summary(panel: DataFrame, before) -> DataFrame:
+    """One row over the days before the locked ones: SKUs, categories, days, demand, sales, lost demand and fill."""
+    return panel.filter(F.col("date") < F.lit(before)).agg(
+        F.countDistinct("sku_id").alias("n_sku"), F.countDistinct("category").alias("n_category"), F.countDistinct("date").alias("n_days"), F.sum("demand").alias("total_demand"),
+        F.sum("sales_quantity").alias("total_sales"), F.sum(F.col("demand") - F.col("sales_quantity")).alias("lost_demand"), ratio(F.sum("sales_quantity"), F.sum("demand")).alias("fill_rate"),
+    )
+
+
+def partition_summary(panel: DataFrame, final_start) -> DataFrame:
+    """Per part, open for choices or locked: first and last day, and rows."""
+    part = F.when(F.col("date") < F.lit(final_start), "development").otherwise("locked")
+    return panel.groupBy(part.alias("partition")).agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n_rows"))
+
+
+def sku_accuracy(metrics: DataFrame) -> DataFrame:
+    """What the drill-down of a SKU shows, for every SKU of the hierarchy's metrics."""
+    return metrics.filter("level = 'sku'").select(F.col("segment").alias("sku_id"), "class", "wape", "bias", "mase", "rmsse", "n_obs")
+
+
+def forecast_of(forecast: DataFrame, sku_id: str) -> DataFrame:
+    return forecast.filter(F.col("sku_id") == sku_id).orderBy("date")
+
+
+def skus_of_class(classes: DataFrame, class_: str) -> DataFrame:
+    return classes.filter(F.col("class") == class_).select("sku_id").orderBy("sku_id")
+
+
+def favourable_share(stress: DataFrame, probability: str | None = None) -> DataFrame:
+    """Share of scenarios that save cost, weighed by a column of probabilities if that is sound."""
+    known = stress.filter("cost_saving is not null")
+    saves = F.col("cost_saving") > 0
+    plain = ratio(F.count_if(saves), F.count("*"))
+    if probability is None:
+        return known.agg(plain.alias("favourable"))
+    p = F.col(probability).try_cast("double")
+    sound = (F.count_if(p.isNull() | F.isnan(p) | (p < 0)) == 0) & (F.sum(p) > 0)
+    return known.agg(F.when(sound, ratio(F.coalesce(F.sum(F.when(saves, p)), F.lit(0.0)), F.sum(p))).otherwise(plain).alias("favourable"))
+
+
+def uncertainty_estimate(bootstrap: DataFrame, metric: str, otherwise: float) -> DataFrame:
+    """One row: the bootstrap's estimate of a metric, or another number where there is none."""
+    return bootstrap.filter(F.col("metric") == metric).agg(F.coalesce(F.max("estimate"), F.lit(float(otherwise))).alias("estimate"))
+
+
 def inventory_trend(panel: DataFrame) -> DataFrame:
     return panel.groupBy("date").agg(F.sum("inventory_level").alias("inventory_level"))
 

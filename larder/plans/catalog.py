@@ -124,6 +124,10 @@ _QUERIES: dict[str, Callable[[Book], DataFrame]] = {
     "sku_metric": lambda b: b.metric,
     "class_summary": lambda b: report.class_summary(b.metric, b.classes),
     "portfolio_kpis": lambda b: report.portfolio_kpis(b.metric, b.medians),
+    "portfolio_summary": lambda b: report.portfolio_summary(b.panel, b.w.final_start),
+    "partition_summary": lambda b: report.partition_summary(b.panel, b.w.final_start),
+    "sku_accuracy": lambda b: report.sku_accuracy(forecast.hierarchy_metrics(b.final_forecast, b.classes, b.panel, b.s)),
+    "favourable_share": lambda b: report.favourable_share(b.stress),
     "inventory_trend": lambda b: report.inventory_trend(b.panel),
     "inventory_value_by_class": lambda b: report.inventory_value_by_class(b.metric, b.medians, b.classes),
     "top10_inventory": lambda b: report.top_inventory(b.metric).select("sku_id", "avg_inventory"),
@@ -162,7 +166,7 @@ _QUERIES: dict[str, Callable[[Book], DataFrame]] = {
     "new_policy_metric": lambda b: b.new_metric.select("sku_id", "class", *_METRIC, *_COUNTS),
     "policy_by_class": lambda b: report.policy_by_class(b.old_in_scope, b.new_metric),
     "full_policy_summary": lambda b: report.policy_row(b.old_metric, "current").unionByName(report.policy_row(report.full_portfolio(b.new_metric, b.old_metric), "proposed")),
-    "historical_policy_sensitivity": lambda b: report.policy_row(b.old_metric, "recorded").unionByName(report.policy_row(b.inferred_metric, "inferred")),
+    "historical_policy_sensitivity": lambda b: report.policy_sensitivity_rows(b.recorded, b.old_metric, b.inferred, b.inferred_metric),
     "cost_sensitivity": lambda b: uncertainty.cost_sensitivity(b.old_in_scope, b.new_metric, b.s),
     "stress_test": lambda b: b.stress,
     "stress_quantiles": lambda b: uncertainty.stress_quantiles(b.stress),
@@ -316,7 +320,11 @@ def oracle_sql() -> dict[str, str]:
         "new_policy_metric": q(_MET("mnew")),
         "policy_by_class": q("SELECT bo.class, " + ", ".join(r(f"{p}_{c}", f"{p}_{c}") for p in ("old", "new") for c in ("total_demand", "total_sales", "total_lost", "avg_inventory", "total_cost", "fill_rate")) + f", {i('old_n_sku', 'old_n_sku')}, {i('new_n_sku', 'new_n_sku')}, {r('(new_fill_rate - old_fill_rate) * 100', 'fill_delta_pp')}, {r('(new_avg_inventory / nullif(old_avg_inventory, 0) - 1) * 100', 'inventory_change_pct')}, {r('(new_total_cost / nullif(old_total_cost, 0) - 1) * 100', 'cost_change_pct')} FROM bo LEFT JOIN bn ON bn.class = bo.class", **by_class),
         "full_policy_summary": q(_ROW("current", "both_old") + " UNION ALL " + _ROW("proposed", "both_new")),
-        "historical_policy_sensitivity": q(_ROW("recorded", "mold") + " UNION ALL " + _ROW("inferred", "minf")),
+        "historical_policy_sensitivity": q(" UNION ALL ".join(f"SELECT x.*, y.* FROM ({_ROW(label, of)}) x CROSS JOIN (SELECT {r('avg(rop)', 'mean_rop')}, {r('median(rop)', 'median_rop')} FROM {runs}) y" for label, of, runs in (("recorded", "mold", "run_old"), ("inferred", "minf", "run_inf")))),
+        "portfolio_summary": q(f"SELECT {i('count(DISTINCT sku_id)', 'n_sku')}, {i('count(DISTINCT category)', 'n_category')}, {i('count(DISTINCT date)', 'n_days')}, {i('sum(demand)', 'total_demand')}, {i('sum(sales_quantity)', 'total_sales')}, {i('sum(demand - sales_quantity)', 'lost_demand')}, {r('sum(sales_quantity) / nullif(sum(demand), 0)', 'fill_rate')} FROM panel WHERE date < {FINAL}"),
+        "partition_summary": q(f"SELECT CASE WHEN date < {FINAL} THEN 'development' ELSE 'locked' END AS partition, min(date) AS first_date, max(date) AS last_date, {i('count(*)', 'n_rows')} FROM panel GROUP BY 1"),
+        "sku_accuracy": q(f"SELECT segment AS sku_id, class, {r('wape', 'wape')}, {r('bias', 'bias')}, {r('mase', 'mase')}, {r('rmsse', 'rmsse')}, {i('n_obs', 'n_obs')} FROM hk WHERE level = 'sku'", **hier),
+        "favourable_share": q(f"SELECT {r('count(*) FILTER (WHERE cost_saving > 0) / count(*)', 'favourable')} FROM stress WHERE cost_saving IS NOT NULL", **stress),
         "cost_sensitivity": q("SELECT 'cost_sensitivity_' || lpad(CAST(k AS VARCHAR), 3, '0') AS scenario_id, o AS ordering_cost_rate, h AS holding_rate, m AS shortage_multiplier, " + ", ".join(r(e, f"{n}_{c}") for p, n in (("o", "old"), ("n", "new")) for c, e in {**money[p], "total_cost": tot[p]}.items()) + f", {r(tot['o'] + ' - ' + tot['n'], 'cost_saving')}, {r('(nf - of) * 100', 'fill_rate_delta_pp')}, {r('ni - oi', 'avg_inventory_delta')} FROM cg CROSS JOIN co CROSS JOIN cn", **cost),
         "stress_test": q("SELECT scenario_id, " + i("clipped_cells", "clipped_cells") + ", " + ", ".join(r(c, c) for c in ("lead_multiplier", *[f"{p}_{c}" for p in ("old", "new") for c in ("total_demand", "total_sales", "total_lost", "avg_inventory", *_COSTS, "fill_rate")], "fill_rate_delta_pp", "inventory_change_pct", "cost_change_pct", "cost_saving")) + " FROM stress", **stress),
         "stress_quantiles": q(" UNION ALL ".join(f"SELECT '{c}' AS metric, {r(f'quantile_cont({c}, 0.05)', 'p05')}, {r(f'quantile_cont({c}, 0.5)', 'p50')}, {r(f'quantile_cont({c}, 0.95)', 'p95')}, {r('count(*) FILTER (WHERE cost_saving > 0) / count(*)', 'favourable')} FROM stress" for c in ("fill_rate_delta_pp", "inventory_change_pct", "cost_change_pct")), **stress),
