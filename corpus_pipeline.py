@@ -29,8 +29,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def not_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: the smallest id."""
-    return simhash.one_of_each(docs).select(*COLUMNS)
+    """One document of each component of near-duplicates (five-word shingles, Jaccard 0.8): the smallest id."""
+    return simhash.one_of_each(docs, groups=simhash.near_groups).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

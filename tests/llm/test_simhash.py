@@ -84,3 +84,56 @@ def test_one_of_each_keeps_one_document_of_a_group(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")
     left = simhash.one_of_each(docs)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted({c for _, c in brute(rows).values()})
+
+
+def near_brute(rows):
+    sets = {}
+    for i, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            same = sets[a] == sets[b] or (sets[a] | sets[b]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+            if a < b and same and root(a) != root(b):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    return {i: root(i) for i in sets}
+
+
+@pytest.mark.parametrize("forest", [None, 16])
+def test_near_groups_match_exact_similarity(spark, monkeypatch, forest):
+    if forest:
+        monkeypatch.setattr(simhash, "SHARD_QUERIES", 7)
+        monkeypatch.setattr(simhash, "FOREST_VALUES", forest)
+        monkeypatch.setattr(simhash, "PAIRS_TOGETHER", 50)
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    rows = made_rows()
+    for family in range(12):  # one family's copies differ in up to 12 of 200 words, so some links hold and some don't
+        base = r.choices(words, k=200)
+        for k in range(20):
+            near = list(base)
+            for _ in range(r.randint(0, 12)):
+                near[r.randrange(200)] = r.choice(words)
+            rows.append((1000 + 100 * family + k, " ".join(near)))
+    want = near_brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in simhash.near_groups(docs).collect()} == want
+    old = {x.doc_id: x.component_id for x in simhash.simhash_groups(docs).collect()}
+    assert any(old[i] == i != want[i] for i in want)  # links that three bits don't find
+    left = simhash.one_of_each(docs, groups=simhash.near_groups)
+    assert sorted(x.doc_id for x in left.collect()) == sorted(set(want.values()))
+
+
+def test_near_groups_of_repeated_rows_and_empty_table(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (1, "A b c d"), (None, "a b c d"), (2, "z z z"), (3, ""), (4, None)], "doc_id long, text string")
+    got = sorted((x.doc_id is None, x.doc_id or 0, x.component_id) for x in simhash.near_groups(docs).collect())
+    assert got == [(False, 1, 1), (False, 1, 1), (False, 2, 2), (False, 3, 3), (False, 4, 3), (True, 0, 1)]
+    assert simhash.near_groups(docs.limit(0)).collect() == []
