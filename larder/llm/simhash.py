@@ -3,13 +3,14 @@
 Fingerprints within ``radius`` bits agree in at least one of radius + 1 bands,
 so each distinct fingerprint enters one shard for each band.  A task that owns a
 shard builds its BK-tree (children keyed by the Hamming distance to the parent)
-and follows, for each query, only edges within the radius.  A large shard's tree
-goes to several tasks, each with a part of the queries; nothing that grows with
-the corpus is broadcast to all.  Tasks return spanning links, never all pairs.
+and follows, for each query, only edges within the radius.  An overfull shard is
+cut again by bands of the bits that are left, so no task holds more than a set
+number of values; nothing that grows with the corpus is broadcast to all.  Tasks
+return spanning links, never all pairs.
 
 ``near_groups`` links texts by the exact Jaccard similarity of their shingles.
-There fingerprints only propose: shards are keyed by bands of MinHashes, trees
-are asked at a wide radius, and each proposed link is held against both texts.
+There shards are keyed by bands of MinHashes and hold the sets themselves; trees
+are asked at a wide radius, and each proposed link is checked where it arises.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import stored, text_of
@@ -29,8 +30,8 @@ from larder.llm.components import components
 
 SHINGLE_WORDS = 3
 RADIUS = 3
-#: Queries that one task puts to a shard's tree; larger shards are shared out.
-SHARD_QUERIES = 50_000
+#: Values of a shard beyond which it is cut again by bands of its other bits.
+SHARD_VALUES = 50_000
 #: Queries that go down trees together, which bounds the frontier.
 TOGETHER = 2048
 #: Values whose shards' trees are built together (a larger shard has a forest of its own).
@@ -46,9 +47,15 @@ BANDS = 20
 NEAR_RADIUS = 22
 #: Pairs of a query and a value that a task holds at once.
 PAIRS_TOGETHER = 1 << 22
-#: Neighbours that each value proposes in the first round, and the growth of that number by round.
-PROPOSALS = 1
-MORE_PROPOSALS = 4
+#: Shingles that are looked up at once.
+GRAMS_TOGETHER = 1 << 22
+#: Shingles of the sets that one part of a shard holds; larger shards have several parts.
+PART_GRAMS = 2_000_000
+#: Bands that are worked off together: what they join is left out of later ones.
+BAND_ROUNDS = ((0, 4), (4, 10), (10, BANDS))
+#: Rows of a shard that ask in a task's first turn, and the growth of that number by turn.
+FIRST_ASKING = 1
+MORE_ASKING = 8
 
 
 def shingle_hashes(text: bytes, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -179,31 +186,53 @@ def _named(prints: DataFrame, key: str, found: DataFrame) -> DataFrame:
     return named.join(least, "component").select(key, "component_id")
 
 
+def _cut_shards(rows: DataFrame, bits: int, radius: int) -> tuple[DataFrame, int]:
+    """Each row (fp, shard, rest) once for each of radius + 1 bands of the low ``bits`` bits of ``rest``.
+
+    ``shard`` names the bands cut so far by a hash; ``rest`` closes up over the
+    band, so it keeps the bits not used yet, whose number is returned too.
+    """
+    cuts = [bits * i // (radius + 1) for i in range(radius + 2)]
+
+    def piece(i: int, low: int, high: int) -> Column:
+        value = F.shiftright(F.shiftleft("rest", 64 - high), 64 - high + low) if high > low else F.lit(0).cast("long")
+        below = F.col("rest").bitwiseAND(F.lit((1 << low) - 1))
+        above = F.shiftleft(F.shiftrightunsigned("rest", high), low) if high < 64 else F.lit(0).cast("long")
+        return F.struct(F.xxhash64("shard", F.lit(i), value).alias("shard"), above.bitwiseOR(below).alias("rest"))
+
+    every = F.array(*[piece(i, *x) for i, x in enumerate(zip(cuts, cuts[1:], strict=False))])
+    return rows.select("fp", F.explode(every).alias("s")).select("fp", "s.shard", "s.rest"), bits - bits // (radius + 1)
+
+
 def _links(nodes: DataFrame, radius: int) -> DataFrame:
     """Spanning links (a, b) between distinct fingerprints, from all shards."""
-    bands = radius + 1
-    cuts = [64 * i // bands for i in range(bands + 1)]
-    band = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft("fp", a), 64 - (b - a)).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    sharded = nodes.select("fp", F.explode(band).alias("s")).select("fp", "s.band", "s.value")
-    held = sharded.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / SHARD_QUERIES).cast("int"))
-    owned = sharded.join(held, ["band", "value"])
-    # every part of a shard gets the whole shard's tree and asks for its own share of the queries
-    dealt = owned.select("fp", "band", "value", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), (F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).alias("asks"))
 
     def solve(rows: np.ndarray) -> pa.RecordBatch:
-        """``rows``: whole shards; columns fp, band, value, part, asks."""
-        values, key = rows[0], rows[1:4]
-        new = np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]
-        root = np.maximum.accumulate(np.where(new, np.arange(len(values)), 0))
-        a, b = spanning_links(values.view(np.uint64), root, np.flatnonzero(rows[4] == rows[3]), radius)
-        return pa.RecordBatch.from_arrays([pa.array(values[a]), pa.array(values[b])], ["a", "b"])
-
-    shards = dealt.repartition("band", "value", "part").sortWithinPartitions("band", "value", "part", "fp")
-    return shards.select("fp", "band", "value", "part", "asks").mapInArrow(partial(_whole_shards, solve), "a long, b long")
+        """``rows``: whole shards; columns fp, shard."""
+        new = np.r_[True, rows[1, 1:] != rows[1, :-1]]
+        root = np.maximum.accumulate(np.where(new, np.arange(rows.shape[1]), 0))
+        a, b = spanning_links(rows[0].view(np.uint64), root, np.arange(rows.shape[1]), radius)
+        return pa.RecordBatch.from_arrays([pa.array(rows[0, a]), pa.array(rows[0, b])], ["a", "b"])
+
+    links, bits = None, 64
+    rows = nodes.select("fp", F.lit(0).cast("long").alias("shard"), F.col("fp").alias("rest"))
+    while True:
+        cut, bits = _cut_shards(rows, bits, radius)
+        held = cut.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
+        owned = stored(cut.join(held, "shard"), "simhash-shards")
+        # as many values as the bits left can tell apart are no more than a task may hold
+        last = 1 << bits <= SHARD_VALUES or bits <= radius
+        fit = owned if last else owned.filter(F.col("n") <= SHARD_VALUES)
+        dealt = fit.select("fp", "shard").repartition("shard").sortWithinPartitions("shard", "fp")
+        found = dealt.mapInArrow(partial(_whole_shards, solve), "a long, b long")
+        links = found if links is None else links.union(found)
+        rows = owned.filter(F.col("n") > SHARD_VALUES).select("fp", "shard", "rest")
+        if last or rows.isEmpty():
+            return links
 
 
 def _whole_shards(solve: Callable[[np.ndarray], pa.RecordBatch], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``solve`` of columns fp, band, value, part and more, as long columns of whole shards."""
+    """``solve`` of columns fp, shard, as long columns of whole shards."""
     held, size = [], 0
     for batch in batches:  # sorted by shard: one ends where its key changes
         held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
@@ -211,13 +240,13 @@ def _whole_shards(solve: Callable[[np.ndarray], pa.RecordBatch], batches: Iterat
         if size < FOREST_VALUES:
             continue
         rows = np.concatenate(held, axis=1)
-        last = np.flatnonzero((rows[1:4] != rows[1:4, -1:]).any(axis=0))
+        last = np.flatnonzero(rows[1] != rows[1, -1])
         whole = last[-1] + 1 if len(last) else 0
         held, size = [rows[:, whole:]], rows.shape[1] - whole
         if whole:
             yield solve(np.ascontiguousarray(rows[:, :whole]))
     if size:
-        yield solve(np.concatenate(held, axis=1))
+        yield solve(np.ascontiguousarray(np.concatenate(held, axis=1)))
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -231,123 +260,196 @@ def band_keys(grams: np.ndarray) -> list[int]:
         return []
     mask, factor = _multipliers()
     least = np.full(BANDS * BAND_HASHES, np.iinfo(np.uint64).max)
-    for at in range(0, len(grams), 4096):
-        least = np.minimum(least, ((grams[at : at + 4096, None] ^ mask) * factor).min(axis=0))
+    for at in range(0, len(grams), 1024):
+        least = np.minimum(least, ((grams[None, at : at + 1024] ^ mask[:, None]) * factor[:, None]).min(axis=1))
     return [xxhash.xxh64_intdigest(band.tobytes(), 42) - 2**63 for band in least.reshape(BANDS, BAND_HASHES)]
 
 
 def near_prints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc_id, body (a hash of the text), node (a hash of its set of shingles), fp of that set, and keys by band."""
+    """doc_id, body (a hash of the text), node (a hash of its set of shingles), fp and size of that set, and keys by band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(text.as_py(), words)) for text in batch.column(2)]
             nodes = [xxhash.xxh64_intdigest(grams.tobytes(), 42) - 2**63 for grams in sets]
-            out = [pa.array(nodes, pa.int64()), pa.array(map(majority_bits, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out], ["doc_id", "body", "node", "fp", "keys"])
+            out = [pa.array(nodes, pa.int64()), pa.array(map(majority_bits, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out], ["doc_id", "body", "node", "fp", "size", "keys"])
 
     rows = text_of(docs, id_col, text_col)
-    return rows.select("doc_id", F.xxhash64("text").alias("body"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, body long, node long, fp long, keys array<long>")
+    return rows.select("doc_id", F.xxhash64("text").alias("body"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, body long, node long, fp long, size long, keys array<long>")
 
 
-def proposals(rows: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, row, more): for each asking row its ``most`` nearest rows within ``radius`` of other label.
+def near_links(new: np.ndarray, fp: np.ndarray, label: np.ndarray, offsets: np.ndarray, grams: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (label, label) that join all rows of a shard whose sets are similar.
 
-    ``rows``: whole shards, sorted by fp in each; columns fp, band, value, part,
-    asks, node, label.  ``more`` says that the row has further such neighbours.
+    Rows are whole shards, each begun by ``new``, in the order of ``fp``; row i's set is the sorted
+    ``grams[offsets[i]:offsets[i + 1]]``.  Rows of one label are joined already.
+    Only rows outside their shard's largest component ask: every pair of rows of
+    different components has one of them.  Few ask at first, so that components
+    grow before the rest asks, and near misses cost look-ups but no output.
     """
-    key, n = rows[:4], rows.shape[1]
+    n, shard = len(fp), np.cumsum(new) - 1
+    names, at = np.unique(label, return_inverse=True)
+    forest = np.arange(len(names))
     # rows of one shard with equal fingerprints are one value of the tree
-    shard = np.r_[True, (key[1:, 1:] != key[1:, :-1]).any(axis=0)]
-    head = np.flatnonzero(shard | np.r_[True, key[0, 1:] != key[0, :-1]])
-    length = np.diff(np.r_[head, n])
-    values = key[0, head].view(np.uint64)
-    value = np.repeat(np.arange(len(head)), length)
-    root = np.maximum.accumulate(np.where(shard[head], np.arange(len(head)), 0))
-    largest = int(np.diff(np.r_[np.flatnonzero(shard), n]).max())
-    together = max(1, min(TOGETHER, PAIRS_TOGETHER // largest))
-    tree, asking = BKTree(values, root), np.flatnonzero(rows[4] == rows[3])
-    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))]
-    for at in range(0, len(asking), together):
-        part = asking[at : at + together]
-        met = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-        for q, node in tree.within(values[value[part]], radius, root[value[part]]):
-            width = length[node]
-            ask = np.repeat(part[q], width)
-            other = np.arange(len(ask)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(head[node], width)
-            apart = rows[6, ask] != rows[6, other]
-            met.append((ask[apart], other[apart]))
-        ask, other = (np.concatenate(x) for x in zip(*met, strict=True))
-        order = np.lexsort((other, np.bitwise_count(rows[0, ask].view(np.uint64) ^ rows[0, other].view(np.uint64)), ask))
-        ask, other = ask[order], other[order]
-        first = np.searchsorted(ask, ask)
-        taken = np.arange(len(ask)) - first < most
-        more = np.searchsorted(ask, ask, "right") - first > most
-        found.append((ask[taken], other[taken], more[taken]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def _proposed(shards: DataFrame, labels: DataFrame | None, radius: int, most: int) -> DataFrame:
-    """(a, b, more): pairs of nodes of different components to look at, once each."""
-    if labels is None:
-        labelled = shards.withColumn("label", F.col("node"))
-    else:
-        labelled = shards.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-
-    def solve(rows: np.ndarray) -> pa.RecordBatch:
-        x, y, more = proposals(rows, radius, most)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(rows[5, x], rows[5, y])), pa.array(np.maximum(rows[5, x], rows[5, y])), pa.array(more)], ["a", "b", "more"])
-
-    rows = labelled.repartition("band", "value", "part").sortWithinPartitions("band", "value", "part", "fp", "node")
-    pairs = rows.select("fp", "band", "value", "part", "asks", "node", "label").mapInArrow(partial(_whole_shards, solve), "a long, b long, more boolean")
-    return pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
-
+    head = np.flatnonzero(new | np.r_[True, fp[1:] != fp[:-1]])
+    length, value = np.diff(np.r_[head, n]), np.cumsum(np.isin(np.arange(n), head)) - 1
+    values, root = fp[head].view(np.uint64), np.maximum.accumulate(np.where(new[head], np.arange(len(head)), 0))
+    tree = BKTree(values, root)
+    size = np.diff(offsets)
+    known, gram = np.unique(grams, return_inverse=True)
+    place = np.repeat(np.arange(n), size) * len(known) + gram  # sorted, as each row's grams are
+    together = max(1, min(TOGETHER, PAIRS_TOGETHER // int(np.bincount(shard).max())))
+
+    def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the sets of rows a and b have that Jaccard similarity."""
+        common = np.zeros(len(a), np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size[a]) // GRAMS_TOGETHER, prepend=-1))
+        for low, high in zip(cuts, np.r_[cuts[1:], len(a)], strict=True):
+            x, y = a[low:high], b[low:high]
+            pair = np.repeat(np.arange(len(x)), size[x])
+            asked = np.arange(len(pair)) - np.repeat(np.cumsum(size[x]) - size[x], size[x]) + np.repeat(offsets[x], size[x])
+            wanted = y[pair] * len(known) + gram[asked]
+            found = place[np.minimum(np.searchsorted(place, wanted), len(place) - 1)] == wanted
+            common[low:high] = np.bincount(pair[found], minlength=len(x))
+        return common / np.maximum(1, size[a] + size[b] - common) >= similarity
+
+    asked, most = np.zeros(n, bool), FIRST_ASKING
+    while True:
+        now = forest[at]
+        _, which, count = np.unique(shard * len(names) + now, return_inverse=True, return_counts=True)
+        order = np.lexsort((-count[which], shard))  # each shard's row of the largest component comes first
+        main = now[order[np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0])]]
+        ask = np.flatnonzero(~asked & (now != main[shard]))
+        ask = ask[np.arange(len(ask)) - np.searchsorted(shard[ask], shard[ask]) < most]
+        if not len(ask):
+            moved = np.flatnonzero(forest != np.arange(len(names)))
+            return names[moved], names[forest[moved]]
+        for low in range(0, len(ask), together):
+            part = ask[low : low + together]
+            for q, node in tree.within(values[value[part]], radius, root[value[part]]):
+                width = length[node]
+                x = np.repeat(part[q], width)
+                y = np.arange(len(x)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(head[node], width)
+                small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+                apart = (forest[at[x]] != forest[at[y]]) & (small >= similarity * large)
+                x, y = x[apart], y[apart]
+                if len(x):
+                    near = similar(x, y)
+                    _roots(forest, at[x[near]], at[y[near]])
+        asked[ask] = True
+        most *= MORE_ASKING
+
+
+_PART = ["band", "value", "part", "chunk"]
+
+
+def _checked_links(rows: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links (a, b) of labels from shard parts: rows (band, value, part, chunk, node, fp, label)."""
+
+    def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        fp, label, *key = (table.column(c).to_numpy() for c in ("fp", "label", *_PART))
+        lists = table.column("grams").combine_chunks()
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        grams = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+        new = np.r_[True, np.any([k[1:] != k[:-1] for k in key], axis=0)]
+        a, b = near_links(new, fp, label, offsets - offsets[0], grams, radius, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-def _similar(pairs: DataFrame, bodies: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have that Jaccard similarity or more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, grams = [], 0, 0
+        for batch in batches:  # sorted by part: one ends where its key changes
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(batch.schema.names.index(c)).to_numpy() for c in _PART])
+            last = np.flatnonzero((key != key[:, -1:]).any(axis=0))
+            begins = int(last[-1]) + 1 if len(last) else 0
+            if begins or (held and (key[:, -1] != going).any()):
+                held.append(batch.slice(0, begins))
+                rows, grams = rows + begins, grams + len(batch.column(batch.schema.names.index("grams")).slice(0, begins).flatten())
+                if rows >= FOREST_VALUES or grams >= PART_GRAMS:
+                    yield solve(held)
+                    held, rows, grams = [], 0, 0
+            going = key[:, -1]
+            held.append(batch.slice(begins))
+            rows, grams = rows + batch.num_rows - begins, grams + len(batch.column(batch.schema.names.index("grams")).slice(begins).flatten())
+        if rows:
+            yield solve(held)
+
+    dealt = rows.join(sets, "node").repartition(*_PART).sortWithinPartitions(*_PART, "fp", "node")
+    return dealt.select(*_PART, "fp", "label", "grams").mapInArrow(run, "a long, b long")
+
+
+def _sets_of(wanted: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """(node, grams): the sorted sets of the nodes in ``wanted`` (node, body), each from one text that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(text.as_py(), words)).view(np.int64) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
+            for row in range(batch.num_rows):  # sets of long texts leave one by one
+                grams = np.unique(shingle_hashes(batch.column(1)[row].as_py(), words).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([grams], pa.list_(pa.int64()))], ["node", "grams"])
 
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(bodies, "node"), "near-wanted")
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("body"), text.cast("binary").alias("text")).join(wanted, "body").select("node", "text").dropDuplicates(["node"])
-    sets = stored(texts.mapInArrow(run, "node long, grams array<long>"), "near-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("of_b")), "b")
-    common = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("n"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
-    return common.filter(F.col("n") / (F.col("sizes") - F.col("n")) >= similarity).select("a", "b")
+    return stored(texts.mapInArrow(run, "node long, grams array<long>"), "near-sets")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
     """doc_id and component_id (smallest id reachable) by the exact similarity of sets of shingles.
 
-    Equal sets are one node.  Each round, every node proposes its nearest nodes
-    of other components in its shards; the proposed links are checked, those
-    that hold join components.  The number of proposals grows until no node has
-    a neighbour left that it hasn't proposed, so no check is skipped.  Pairs that
-    a component already joins aren't proposed; those that fail the check are all
-    met, whose number can grow with the square of a group of near misses.
+    Equal sets are one node; a null or empty text has the empty set.  Nodes that
+    share a band of MinHashes meet in a shard, where a BK-tree proposes links and
+    the sets decide.  Shards with the same nodes are one; those whose nodes an
+    earlier round has joined are left out.  A shard beyond ``PART_GRAMS`` is dealt
+    in parts at random; then all its nodes outside the largest component meet
+    every part, so no pair goes unchecked and no task holds more than a part and
+    a chunk of the others.  Repeated rows repeat their result, and a null id never
+    names a component unless all its members are null; no rows for an empty table.
     """
     prints = stored(near_prints(docs, id_col, text_col, words), "near-prints")
-    nodes = prints.groupBy("node").agg(F.min("body").alias("body"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    sharded = nodes.select("node", "fp", F.posexplode("keys").alias("band", "value"))
-    held = sharded.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / SHARD_QUERIES).cast("int")).drop("n")
-    owned = sharded.join(held, ["band", "value"])
-    dealt = owned.select("node", "fp", "band", "value", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("asks"))
-    shards = stored(dealt, "near-shards")
-    bodies = nodes.select("node", "body")
-    links = prints.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    checked, labels, most = links, None, PROPOSALS
-    while True:
-        pairs = stored(_proposed(shards, labels, radius, most), "near-pairs")
-        new = pairs.select("a", "b").join(checked, ["a", "b"], "left_anti")
-        links = links.union(stored(_similar(new, bodies, docs, text_col, words, similarity), "near-links"))
+    nodes = stored(prints.groupBy("node").agg(F.min("body").alias("body"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")), "near-nodes")
+    sharded = nodes.select("node", "fp", "size", F.posexplode("keys").alias("band", "value"))
+    held = sharded.groupBy("band", "value").agg(F.count("*").alias("n"), F.sum("size").alias("grams"), *[F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"same{k}") for k in (1, 2)]).filter("n > 1")
+    # of shards with the same nodes the one of the first band stays
+    held = held.groupBy("n", "same1", "same2").agg(F.min(F.struct("band", "value", "grams")).alias("s")).select("s.band", "s.value", F.ceil(F.col("s.grams") / PART_GRAMS).cast("int").alias("parts"))
+    members = sharded.join(held, ["band", "value"]).withColumn("part", F.pmod(F.xxhash64("node", "band"), F.col("parts")).cast("int"))
+    members = stored(members.select("band", "value", "parts", "part", "node", "fp", "size"), "near-shards")
+    sets = _sets_of(members.select("node").distinct().join(nodes.select("node", "body"), "node"), docs, text_col, words)
+    links, labels = prints.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), None
+    for low, high in BAND_ROUNDS:
+        rows = _open_shards(members.filter(F.col("band").between(low, high - 1)), labels)
+        found = _checked_links(rows.withColumn("chunk", F.lit(0)), sets, radius, similarity)
+        links = links.union(stored(found, "near-links"))
         labels = components(links)
-        if pairs.filter("more").isEmpty():
-            return prints.join(_named(prints, "node", labels), "node").select("doc_id", "component_id")
-        checked, most = checked.union(pairs.select("a", "b")), most * MORE_PROPOSALS
+    large = members.filter("parts > 1")
+    if not large.isEmpty():
+        rows = stored(_open_shards(large, labels), "near-open")
+        found = _checked_links(_rest_with_parts(rows), sets, radius, similarity)
+        labels = components(links.union(stored(found, "near-links")))
+    return prints.join(_named(prints, "node", labels), "node").select("doc_id", "component_id")
+
+
+def _open_shards(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows, with ``label`` (their component so far), of shards that aren't one component yet."""
+    if labels is None:
+        return members.withColumn("label", F.col("node"))
+    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    apart = labelled.groupBy("band", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    return labelled.join(apart.select("band", "value"), ["band", "value"], "left_semi")
+
+
+def _rest_with_parts(rows: DataFrame) -> DataFrame:
+    """Each part of a shard with each chunk of the shard's nodes outside its largest component."""
+    key = ["band", "value"]
+    sizes = rows.groupBy(*key, "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy(*key).agg(F.max(F.struct("n", "label")).alias("m")).select(*key, F.col("m.label").alias("main"))
+    rest = rows.join(main, key).filter("label <> main")
+    chunks = rest.groupBy(*key).agg(F.ceil(F.sum("size") / PART_GRAMS).cast("int").alias("chunks"))
+    rest = rest.join(chunks, key).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("rest")), F.col("chunks")).cast("int"))
+    rest = rest.select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "chunk", "node", "fp", "label")
+    held = rows.join(chunks, key).select(*key, "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "node", "fp", "label")
+    return held.union(rest).distinct()
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = simhash_groups) -> DataFrame:

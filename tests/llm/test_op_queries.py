@@ -83,19 +83,3 @@ def test_op9(spark, rows):
 
 def test_op10(spark, rows):
     assert test_suffix_dedup.digests(asked(spark, "op10_suffix_dedup")) == test_suffix_dedup.brute(rows)
-
-
-def test_pipeline_matches_brute_force_stages(spark, rows):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    left = corpus_pipeline.good_quality(spark, docs, SF)
-    assert left.columns == docs.columns
-    text = dict(rows)
-    kept = [(r.doc_id, r.text) for r in left.collect()]
-    assert 0 < len(kept) < len(rows) and all(text[i] == t for i, t in kept)
-    kept = [(i, text[i]) for i, *_, stays, _ in test_exact_dedup.brute(kept) if stays]
-    groups = test_simhash.brute(kept)
-    kept = [(i, t) for i, t in kept if groups[i][1] == i]
-    leaked = {r.doc_id for r in asked(spark, "op3_decontaminate").collect()}
-    assert sorted([tuple(r) for r in corpus_pipeline.run(spark, SF).collect()], key=str) == test_bpe.brute([x for x in kept if x[0] not in leaked])

@@ -70,8 +70,9 @@ def test_bk_tree_finds_all_neighbours(seed):
     assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(near))}
 
 
-def test_shards_that_several_tasks_share(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SHARD_QUERIES", 7)
+@pytest.mark.parametrize("most", [7, 1])
+def test_overfull_shards_are_cut_again(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "SHARD_VALUES", most)
     monkeypatch.setattr(simhash, "FOREST_VALUES", 16)
     rows = made_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -107,12 +108,11 @@ def near_brute(rows):
     return {i: root(i) for i in sets}
 
 
-@pytest.mark.parametrize("forest", [None, 16])
-def test_near_groups_match_exact_similarity(spark, monkeypatch, forest):
-    if forest:
-        monkeypatch.setattr(simhash, "SHARD_QUERIES", 7)
-        monkeypatch.setattr(simhash, "FOREST_VALUES", forest)
-        monkeypatch.setattr(simhash, "PAIRS_TOGETHER", 50)
+@pytest.mark.parametrize("part", [None, 1500])
+def test_near_groups_match_exact_similarity(spark, monkeypatch, part):
+    if part:  # shards in parts, and few rows together
+        monkeypatch.setattr(simhash, "PART_GRAMS", part)
+        monkeypatch.setattr(simhash, "FOREST_VALUES", 16)
     r = random.Random(8)
     words = [f"w{k}" for k in range(3000)]
     rows = made_rows()
@@ -132,6 +132,43 @@ def test_near_groups_match_exact_similarity(spark, monkeypatch, forest):
     assert sorted(x.doc_id for x in left.collect()) == sorted(set(want.values()))
 
 
+def test_links_of_shards_join_what_is_similar(monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS_TOGETHER", 50)
+    monkeypatch.setattr(simhash, "GRAMS_TOGETHER", 300)
+    g = np.random.default_rng(3)
+    rows = []
+    for shard in range(30):
+        base = g.integers(-(2**62), 2**62, 40)
+        for _ in range(g.integers(1, 25)):
+            own = np.unique(np.r_[base[g.random(40) > g.choice([0, 0.1, 0.2])], g.integers(-(2**62), 2**62, g.integers(0, 6))])
+            rows.append((shard, simhash.majority_bits(own.view(np.uint64)), own))
+    rows.sort(key=lambda x: x[:2])
+    shard, fp, size = np.array([x[0] for x in rows]), np.array([x[1] for x in rows]), np.array([len(x[2]) for x in rows])
+    label = np.where(g.random(len(rows)) < 0.1, 10**6 + shard, np.arange(len(rows)))  # some are joined already
+    up = {int(x): int(x) for x in label}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    def join(a, b):
+        x, y = sorted((root(int(a)), root(int(b))))
+        up[y] = x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = set(rows[i][2].tolist()), set(rows[j][2].tolist())
+            if shard[i] == shard[j] and len(a & b) / len(a | b) >= 0.8:
+                join(label[i], label[j])
+    want = {x: root(x) for x in up}
+    a, b = simhash.near_links(np.r_[True, shard[1:] != shard[:-1]], fp, label, np.r_[0, np.cumsum(size)], np.concatenate([x[2] for x in rows]), 64, 0.8)
+    up.update({x: x for x in up})
+    for x, y in zip(a, b):
+        join(x, y)
+    assert {x: root(x) for x in up} == want and len(set(want.values())) < len(want)
+
+
 def test_near_groups_of_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "A b c d"), (None, "a b c d"), (2, "z z z"), (3, ""), (4, None)], "doc_id long, text string")
     got = sorted((x.doc_id is None, x.doc_id or 0, x.component_id) for x in simhash.near_groups(docs).collect())
