@@ -1,9 +1,11 @@
 """Exact dedup by an extendible-hash index kept in shared files.
 
-Texts are keyed by a 64-bit hash of their normal form.  A directory over the
-leading hash bits doubles until no bucket holds more than ``capacity`` entries;
-the tasks that own a key range chain the texts whose hashes collide and tell
-them apart by their bytes.  Only DataFrame functions run here.
+Texts are keyed by a 64-bit hash of their normal form.  Texts are dealt by the
+directory's leading hash bits to the tasks that own those key ranges; there the
+texts of one hash are chained, and the bytes decide whether a text is the link
+before it again or a new one.  Each link counts its copies and knows the row that
+stays.  A bucket with more than ``capacity`` entries is split by its next bit, and
+the directory doubles with it.  Only DataFrame functions run here.
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ from pyspark.sql import functions as F
 from larder.llm.common import WHITE, stored, text_of
 
 #: Entries that a bucket of the index may hold before it is split.
-CAPACITY = 4096
+CAPACITY = 512
+#: Copies of a text that may reach its owner: as many are combined apart before.
+SALTS = 16
 
 _TWO64 = "18446744073709551616"
 _TOP = "9223372036854775807"
@@ -35,7 +39,8 @@ def _best(chars: Column, doc_id: Column) -> Column:
     return chars.cast("decimal(11,0)") * F.lit(_TWO64).cast("decimal(20,0)") - F.coalesce(doc_id, F.lit(int(_TOP))).cast("decimal(20,0)")
 
 
-def _best_id(best: Column) -> Column:
+def _best_id() -> Column:
+    """The id in the column ``best``."""
     rest = F.expr(f"pmod(best + cast({_TOP} as decimal(20,0)), cast({_TWO64} as decimal(20,0)))")
     return (F.lit(_TOP).cast("decimal(20,0)") - rest).cast("long")
 
@@ -46,52 +51,58 @@ def _hashed(text: Column, hash_bits: int) -> Column:
     return h if hash_bits == 64 else F.shiftleft(F.shiftrightunsigned(h, 64 - hash_bits), 64 - hash_bits)
 
 
-def directory(entries: DataFrame, capacity: int = CAPACITY, hash_bits: int = 64) -> tuple[DataFrame, int]:
-    """(prefix, depth, bucket) for each slot in use, and the global depth.
+def _prefix(h: Column, depth: int) -> Column:
+    return F.shiftrightunsigned(h, 64 - depth)
 
-    The directory doubles while a bucket is overfull.  A bucket is the shortest
-    prefix that holds at most ``capacity`` entries; it is named by its first
-    prefix, so neighbouring slots of one bucket share it.  When all hash bits
-    are used up, the rest of a bucket is its chain.
-    """
-    spark = entries.sparkSession
-    n = entries.count()
-    depth = min(hash_bits, max(1, math.ceil(math.log2(max(1, n) / capacity)) + 1))
-    while True:
-        slots = stored(entries.groupBy(_prefix(F.col("h"), depth).alias("prefix")).agg(F.count("*").alias("n")), "exact-slots")
-        if depth == hash_bits or slots.filter(F.col("n") > capacity).isEmpty():
-            break
-        depth = min(hash_bits, depth + 1)
-    levels = slots.select("prefix", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth"))
-    levels = levels.withColumn("parent", F.expr(f"shiftright(prefix, {depth} - depth)"))
-    full = levels.groupBy("depth", "parent").agg(F.sum("n").alias("held")).filter((F.col("held") <= capacity) | (F.col("depth") == depth))
-    local = levels.join(full, ["depth", "parent"]).groupBy("prefix").agg(F.min("depth").alias("depth"))
-    return local.withColumn("bucket", F.expr(f"shiftleft(shiftright(prefix, {depth} - depth), {depth} - depth)")), depth
 
+def _first_depth(n: int, capacity: int, hash_bits: int) -> int:
+    """Leading bits under which ``n`` entries fill half of each bucket on average."""
+    return min(hash_bits, max(1, math.ceil(math.log2(max(1, 2 * n / capacity)))))
 
-def _prefix(h: Column, depth: int) -> Column:
-    return F.shiftrightunsigned(h, 64 - depth)
+
+def split_buckets(entries: DataFrame, depth: int, capacity: int = CAPACITY, hash_bits: int = 64) -> DataFrame:
+    """``entries`` with their bucket and its depth: ``bucket`` has the bucket's ``depth`` leading bits, left-aligned.
+
+    Buckets start at ``depth``.  Only those that are overfull are read again and
+    split by their next bit, until none is or the hash bits are used up; the rest
+    of a bucket is then its chains.
+    """
+    done, held = None, entries
+    while True:
+        sized = held.withColumn("bucket", F.shiftleft(_prefix(F.col("h"), depth), 64 - depth))
+        placed = stored(sized.join(sized.groupBy("bucket").agg(F.count("*").alias("held")), "bucket"), "exact-buckets")
+        full = (F.col("held") > capacity) if depth < hash_bits else F.lit(False)
+        fit = placed.filter(~full).withColumn("depth", F.lit(depth)).drop("held")
+        done = fit if done is None else done.unionByName(fit)
+        held = placed.filter(full).drop("bucket", "held")
+        if depth == hash_bits or held.isEmpty():
+            return done
+        depth += 1
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, hash_bits: int = 64) -> DataFrame:
     """One row for each distinct normal form: bucket, depth, h, chain, sha, group_size, keep_id.
 
-    Copies meet in map-side aggregation before the shuffle, so a text that a
-    third of the rows share moves once for each task.  Grouping on (h, text)
-    compares bytes; ``chain`` numbers the different texts under one hash.
+    Copies are combined in each task before they move, so of a text that a third
+    of the rows share at most ``SALTS`` copies reach its owner.  The owner sorts
+    the texts of a hash and compares each with the one before: ``chain`` numbers
+    the links, and size and keeper are taken from the rows of a link.
     """
     rows = text_of(docs, id_col, text_col)
     rows = rows.select(normalised(F.col("text")).alias("body"), _best(F.length("text"), F.col("doc_id")).alias("best"))
-    entries = (
-        rows.groupBy(_hashed(F.col("body"), hash_bits).alias("h"), "body")
-        .agg(F.count("*").alias("group_size"), F.max("best").alias("best"))
-        .select("h", F.sha2(F.encode("body", "utf-8"), 256).alias("sha"), "group_size", _best_id(F.col("best")).alias("keep_id"))
-    )
-    entries = stored(entries, "exact-entries")
-    slots, depth = directory(entries, capacity, hash_bits)
-    owned = entries.withColumn("prefix", _prefix(F.col("h"), depth)).join(slots, "prefix").drop("prefix")
-    chained = owned.withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "h").orderBy("sha")) - 1)
-    return stored(chained.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h", "chain"), "exact-index")
+    rows = rows.withColumns({"h": _hashed(F.col("body"), hash_bits), "salt": F.pmod(F.xxhash64("best"), F.lit(SALTS))})
+    combined = rows.groupBy("h", "body", "salt").agg(F.count("*").alias("n"), F.max("best").alias("best"))
+    depth = _first_depth(docs.count(), capacity, hash_bits)
+    dealt = combined.withColumn("owner", _prefix(F.col("h"), depth)).repartition("owner")
+    chain = Window.partitionBy("owner", "h").orderBy("body")
+    new = ~F.coalesce(F.col("body") == F.lag("body").over(chain), F.lit(False))
+    links = dealt.withColumn("new", new.cast("int")).withColumn("chain", F.sum("new").over(chain.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    links = links.select("owner", "h", "chain", "n", "best", F.when(F.col("new") == 1, F.sha2(F.encode("body", "utf-8"), 256)).alias("sha"))
+    link = Window.partitionBy("owner", "h", "chain")
+    entries = links.withColumns({"group_size": F.sum("n").over(link), "best": F.max("best").over(link)}).filter("sha is not null")
+    entries = stored(entries.select("h", "chain", "sha", "group_size", _best_id().alias("keep_id")), "exact-entries")
+    placed = split_buckets(entries, depth, capacity, hash_bits)
+    return stored(placed.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h", "chain"), "exact-index")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, hash_bits: int = 64) -> DataFrame:
@@ -101,8 +112,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty, and all empty texts are one group.  The longest original text stays
     (code points), then the smallest id; a null id is the largest.  Repeated
     rows each get a row and count in ``group_size``; those that repeat the id of
-    the row that stays are ``kept`` too.  An empty table gives no rows.  Other
-    columns are not read.
+    the row that stays are ``kept`` too.  Texts of any length are compared whole.
+    An empty table gives no rows.  Other columns are not read, whatever their names.
     """
     index = build_index(docs, id_col, text_col, capacity, hash_bits).select("h", "sha", "group_size", "keep_id")
     body = normalised(F.col("text"))

@@ -30,12 +30,29 @@ def test_matches_brute_force(spark, options):
     assert got == brute(ROWS)
 
 
-def test_buckets_stay_within_capacity_and_collisions_chain(spark):
-    docs = spark.createDataFrame([(i, f"text {i}") for i in range(500)], "doc_id long, text string")
-    held = ed.build_index(docs, capacity=16).groupBy("bucket", "depth").count().collect()
-    assert sum(r["count"] for r in held) == 500 and max(r["count"] for r in held) <= 16
-    chained = ed.build_index(docs, capacity=16, hash_bits=4).groupBy("h").agg({"chain": "max", "*": "count"}).collect()
-    assert len(chained) == 16 and all(r["max(chain)"] + 1 == r["count(1)"] for r in chained)
+def test_only_overfull_buckets_are_split(spark):
+    high = lambda bits: int(bits.ljust(64, "0"), 2) - (1 << 64 if bits[0] == "1" else 0)
+    hashes = [high("000"), high("0010"), high("0011"), high("01"), high("10"), high("11"), high("1101")]
+    entries = spark.createDataFrame([(h,) for h in hashes], "h long")
+    got = {r.h: (r.bucket, r.depth) for r in ed.split_buckets(entries, 1, capacity=2).collect()}
+    assert {got[h] for h in hashes[:3]} == {(high("000"), 3), (high("001"), 3)} and got[hashes[3]] == (high("01"), 2)
+    assert got[hashes[4]] == (high("10"), 2) and {got[h] for h in hashes[5:]} == {(high("11"), 2)}
+
+
+def test_split_buckets_and_forced_collisions_decide_the_result(spark):
+    texts = [f"text {i % 300}" for i in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = ed.build_index(docs, capacity=2)
+    sizes = {(r.bucket, r.depth): r["count"] for r in held.groupBy("bucket", "depth").count().collect()}
+    assert sum(sizes.values()) == 300 and max(sizes.values()) <= 2 and len({d for _, d in sizes}) > 1
+    # with four hash bits, some twenty texts share each hash: their bytes alone tell them apart
+    index = ed.build_index(docs, capacity=16, hash_bits=4).collect()
+    assert len({r.h for r in index}) == 16 and len(index) == 300
+    for h in {r.h for r in index}:
+        assert sorted(r.chain for r in index if r.h == h) == list(range(sum(r.h == h for r in index)))
+    assert {r.sha: (r.group_size, r.keep_id) for r in index} == {sha: (n, keep) for _, keep, n, _, sha in brute(list(enumerate(texts)))}
+    got = sorted([tuple(r) for r in ed.exact_dedup(docs, capacity=16, hash_bits=4).collect()], key=str)
+    assert got == brute(list(enumerate(texts)))
 
 
 def test_one_of_each_keeps_all_columns(spark):
