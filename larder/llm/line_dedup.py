@@ -1,9 +1,12 @@
 """Line dedup with exact reference counts and sharded cuckoo filters.
 
 The reference counts say for each line how many documents hold it, and the
-postings say which; both accept insertions and deletions, so dedup can be undone.
-A cuckoo filter for each shard of the repeated lines tells a document's task
-which of its lines may be among them, so only those leave the task.
+postings say which; both are stored tables that take insertions and deletions,
+so dedup can be undone.  A line's key is a cryptographic digest of the line, so
+no two lines share a count.  The lines that enough documents hold are in cuckoo
+filters, one for each shard of the keys; a line enters or leaves its filter when
+its count crosses the bound.  The lines of documents go to the tasks that own
+their shards, and only those that the filter may hold meet the exact counts.
 """
 
 from __future__ import annotations
@@ -11,22 +14,22 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from larder.llm.common import WHITE, lower_ascii, stored, text_of
+from larder.llm.common import WHITE, stored, text_of
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-#: Lines that one cuckoo filter holds.
+#: Lines of a shard when it is made; its filter has room for twice as many.
 SHARD_LINES = 100_000
-#: Bytes of filters that may be broadcast; beyond, all lines go to the exact join.
-FILTER_BYTES = 64_000_000
+#: Lines that one task holds against a shard's filter; a shard's other lines go to further tasks.
+ASKED_LINES = 100_000
 SLOTS = 4
 
 
@@ -38,14 +41,13 @@ class CuckooFilter:
         self.table = np.zeros((buckets, SLOTS), np.uint16) if table is None else table
 
     @classmethod
-    def of(cls, keys: np.ndarray, load: float = 0.8) -> CuckooFilter:
-        """A filter of distinct keys; it doubles in the rare case that they don't fit."""
-        buckets = 1 << max(1, math.ceil(math.log2(max(1, len(keys)) / SLOTS / load)))
-        while True:
-            made = cls(buckets)
-            if all(made.insert(int(k)) for k in made._first_round(keys)):
-                return made
-            buckets *= 2
+    def for_keys(cls, n: int, load: float = 0.8) -> CuckooFilter:
+        """An empty filter with room for ``n`` keys."""
+        return cls(1 << max(1, math.ceil(math.log2(max(1, n) / SLOTS / load))))
+
+    def insert_all(self, keys: np.ndarray) -> bool:
+        """Insert distinct keys; false if they don't fit, and then the filter is spoilt."""
+        return all(self.insert(int(k)) for k in self._first_round(keys))
 
     def _mark(self, keys: np.ndarray) -> np.ndarray:
         mark = (keys >> np.uint64(48)).astype(np.uint16)
@@ -63,8 +65,10 @@ class CuckooFilter:
         home, mark = self._home(keys), self._mark(keys)
         order = np.argsort(home, kind="stable")
         ranked = home[order]
-        nth = np.arange(len(keys)) - np.searchsorted(ranked, ranked)
-        fit = nth < SLOTS
+        # slots fill up from the first, but a deletion may leave a gap: then keys go in one by one
+        used = (self.table[ranked] != 0).sum(axis=1)
+        nth = np.arange(len(keys)) - np.searchsorted(ranked, ranked) + used
+        fit = (nth < SLOTS) & (self.table[ranked, np.minimum(nth, SLOTS - 1)] == 0)
         self.table[ranked[fit], nth[fit]] = mark[order][fit]
         return keys[order][~fit]
 
@@ -97,131 +101,208 @@ class CuckooFilter:
         return (self.table[home] == mark[:, None]).any(axis=1) | (self.table[self._other(home, mark)] == mark[:, None]).any(axis=1)
 
 
-def line_keys(text: Column, min_chars: int = MIN_CHARS) -> Column:
-    """For each line in order, its 128-bit key (h1, h2), or null if it is too short to count.
+def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, row, line, d1, d2, first): each line of at least ``min_chars`` code points, by its key's two halves.
 
     The key is of the line without outer white space and with A-Z in lower case.
+    ``row`` is a hash of the text, which tells rows of one id apart; ``first`` is
+    true where the text hasn't had the key before.
     """
-    bare = F.transform(F.split(lower_ascii(text), "\n", -1), lambda line: F.btrim(line, F.lit(WHITE)))
-    key = lambda line: F.struct(F.xxhash64(F.lit(1), line).alias("h1"), F.xxhash64(F.lit(2), line).alias("h2"))
-    return F.transform(bare, lambda line: F.when(F.length(line) >= min_chars, key(line)))
+    kinds = pa.struct([("line", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("first", pa.bool_())])
+    white = WHITE.encode()
 
+    def keyed(text: bytes) -> list[tuple[int, bytes]]:
+        out = []
+        for at, line in enumerate(text.split(b"\n")):
+            if len(line) >= min_chars and len(line := line.strip(white).lower()) >= min_chars and (line.isascii() or len(line.decode(errors="replace")) >= min_chars):
+                out.append((at, hashlib.blake2b(line, digest_size=16).digest()))
+        return out
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h1, h2, doc_id): once for each document that holds a line."""
-    keys = F.array_distinct(F.filter(line_keys(F.col("text"), min_chars), lambda k: k.isNotNull()))
-    return text_of(docs, id_col, text_col).select("doc_id", F.explode(keys).alias("k")).select("k.h1", "k.h2", "doc_id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [keyed(text.as_py()) for text in batch.column(2)]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            halves = np.frombuffer(b"".join(d for own in found for _, d in own), np.int64).reshape(-1, 2)
+            first = [new for own in found for new in _first(d for _, d in own)]
+            lines = pa.StructArray.from_arrays([pa.array([at for own in found for at, _ in own], pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(first, pa.bool_())], fields=list(kinds))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), lines)], ["doc_id", "row", "lines"])
 
+    rows = text_of(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row"), F.col("text").cast("binary").alias("body"))
+    return rows.mapInArrow(run, "doc_id long, row long, lines array<struct<line:int,d1:long,d2:long,first:boolean>>").select("doc_id", "row", F.explode("lines").alias("k")).select("doc_id", "row", "k.*")
 
-def reference_counts(held: DataFrame) -> DataFrame:
-    """(h1, h2, n_docs, last): exact counts, pre-aggregated in each task."""
-    return held.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last"))
 
+def _first(digests: Iterator[bytes]) -> Iterator[bool]:
+    seen: set[bytes] = set()
+    for d in digests:
+        yield d not in seen
+        seen.add(d)
 
-def insert_documents(held: DataFrame, docs: DataFrame, **columns: str) -> DataFrame:
-    """The postings after documents came; those of an id that is there already stay as they are."""
-    return held.union(postings(docs, **columns).join(held.select("doc_id").distinct(), "doc_id", "left_anti").select("h1", "h2", "doc_id"))
 
+@dataclass(frozen=True)
+class LineIndex:
+    """Stored tables over the lines of a set of documents.
 
-def delete_documents(held: DataFrame, gone: DataFrame) -> DataFrame:
-    """The postings after the documents with these ids (``doc_id``) went."""
-    return held.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select("h1", "h2", "doc_id")
+    ``postings`` (d1, d2, doc_id): once for each document that holds a line;
+    ``counts`` (d1, d2, n_docs, last): exact, with the largest id; ``filters``
+    (shard, buckets, body): the lines that ``min_docs`` or more documents hold.
+    """
 
+    postings: DataFrame
+    counts: DataFrame
+    filters: DataFrame
+    shards: int
+    min_docs: int
 
-def build_filters(repeated: DataFrame, shard_lines: int = SHARD_LINES) -> tuple[DataFrame, int]:
-    """(shard, buckets, body): a cuckoo filter for each shard of the lines (h1, h2), and the shard count."""
-    shards = max(1, math.ceil(repeated.count() / shard_lines))
+    @property
+    def repeated(self) -> DataFrame:
+        return self.counts.filter(F.col("n_docs") >= self.min_docs)
 
-    def build(key: tuple, lines: pd.DataFrame) -> pd.DataFrame:
-        made = CuckooFilter.of(np.unique(lines["h1"].to_numpy(np.int64)).view(np.uint64))
-        return pd.DataFrame({"shard": [key[0]], "buckets": [made.buckets], "body": [made.table.tobytes()]})
 
-    sharded = repeated.select("h1", F.pmod("h2", F.lit(shards)).cast("int").alias("shard"))
-    return stored(sharded.groupBy("shard").applyInPandas(build, "shard int, buckets long, body binary"), "line-filters"), shards
+def _shard(shards: int):
+    return F.pmod("d2", F.lit(shards)).cast("int")
 
 
-def _flagged(rows: DataFrame, filters: DataFrame, shards: int, lines: int, with_text: bool) -> DataFrame:
-    """doc_id, row, n_lines, hits (lines that the filters may hold), and text or its digest.
+def _refilled(filters: DataFrame, crossing: DataFrame, shards: int) -> DataFrame:
+    """The filters after the lines of ``crossing`` (d1, d2, up) came in or went out.
 
-    One pass reads a text and its keys once.  A document without hits needs its
-    text no more, only its digest.  Where the filters are too large to broadcast,
-    every key is a hit and meets the exact counts.
+    A filter that its lines don't fit has no buckets any more: it lets all lines
+    pass until the filters are made anew.
+    """
+    room = 2 * SHARD_LINES
+
+    def change(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        held = CuckooFilter.for_keys(room) if not len(old) else CuckooFilter(int(old["buckets"][0]), np.frombuffer(old["body"][0], np.uint16).reshape(-1, SLOTS).copy())
+        up = new["up"].to_numpy(bool)
+        keys = new["d1"].to_numpy(np.int64).view(np.uint64)
+        fits = held.buckets > 0 and all(held.delete(int(k)) for k in keys[~up]) and held.insert_all(keys[up])
+        return pd.DataFrame({"shard": [key[0]], "buckets": [held.buckets if fits else 0], "body": [held.table.tobytes() if fits else b""]})
+
+    moved = crossing.select("d1", "up", _shard(shards).alias("shard"))
+    return filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(change, "shard int, buckets long, body binary")
+
+
+def _fresh_filters(counts: DataFrame, min_docs: int) -> tuple[DataFrame, int]:
+    repeated = counts.filter(F.col("n_docs") >= min_docs)
+    shards = max(1, math.ceil(repeated.count() / SHARD_LINES))
+    none = counts.sparkSession.createDataFrame([], "shard int, buckets long, body binary")
+    return stored(_refilled(none, repeated.select("d1", "d2", F.lit(True).alias("up")), shards), "line-filters"), shards
+
+
+def _index(lines: DataFrame, min_docs: int) -> LineIndex:
+    postings = lines.filter("first").select("d1", "d2", "doc_id")
+    counts = stored(postings.groupBy("d1", "d2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last")), "line-counts")
+    return LineIndex(postings, counts, *_fresh_filters(counts, min_docs), min_docs)
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
+    """The index of a set of documents; each row counts as a document."""
+    return _index(stored(line_keys(docs, id_col, text_col, min_chars), "line-keys"), min_docs)
+
+
+def _updated(index: LineIndex, postings: DataFrame, change: DataFrame, stale: DataFrame | None) -> LineIndex:
+    """``change`` (d1, d2, n, newest): documents more or fewer for each line; ``stale``: lines whose largest id may be gone."""
+    key = ["d1", "d2"]
+    was = F.coalesce("n_docs", F.lit(0))
+    touched = change.join(index.counts, key, "left").select(*key, was.alias("was"), (was + F.col("n")).alias("n_docs"), F.greatest("last", "newest").alias("last"))
+    if stale is not None:
+        left = postings.join(stale, key, "left_semi").groupBy(*key).agg(F.max("doc_id").alias("largest"))
+        touched = touched.drop("last").join(left.withColumnRenamed("largest", "last"), key, "left")
+    touched = stored(touched, "line-touched")
+    counts = index.counts.join(touched.select(*key), key, "left_anti").union(touched.filter("n_docs > 0").select(*key, "n_docs", "last"))
+    counts = stored(counts, "line-counts")
+    least = F.lit(index.min_docs)
+    crossing = touched.withColumn("up", F.col("n_docs") >= least).filter((F.col("was") >= least) != F.col("up"))
+    filters = stored(_refilled(index.filters, crossing, index.shards), "line-filters")
+    made = LineIndex(postings, counts, filters, index.shards, index.min_docs)
+    if made.repeated.count() > 2 * SHARD_LINES * index.shards or not filters.filter("buckets = 0").isEmpty():
+        return LineIndex(postings, counts, *_fresh_filters(counts, index.min_docs), index.min_docs)
+    return made
+
+
+def insert_documents(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> LineIndex:
+    """The index after documents came; each row counts as one more document, whatever its id."""
+    came = stored(line_keys(docs, id_col, text_col, min_chars).filter("first").select("d1", "d2", "doc_id"), "line-came")
+    change = came.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.max("doc_id").alias("newest"))
+    return _updated(index, index.postings.union(came), change, None)
+
+
+def delete_documents(index: LineIndex, gone: DataFrame, id_col: str = "doc_id") -> LineIndex:
+    """The index after all rows of the documents with these ids went; ids that it doesn't have change nothing."""
+    ids = gone.select(F.col(id_col).cast("long").alias("id2")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("id2"))
+    went = stored(index.postings.join(ids, same, "left_semi"), "line-went")
+    left = stored(index.postings.join(ids, same, "left_anti"), "line-postings")
+    change = went.groupBy("d1", "d2").agg((-F.count("*")).alias("n"), F.lit(None).cast("long").alias("newest"))
+    return _updated(index, left, change, went.select("d1", "d2").distinct())
+
+
+def _hits(lines: DataFrame, index: LineIndex) -> DataFrame:
+    """The lines (doc_id, row, line, d1, d2) that the filters may hold, found by the tasks that own the shards.
+
+    A shard with many lines, as one line may be in every document, has several
+    tasks; each gets the filter, whose size is set, and a share of the lines.
     """
-    shipped = None
-    if lines * 8 <= FILTER_BYTES:
-        kept = filters.collect()  # at most FILTER_BYTES, as just checked
-        shipped = filters.sparkSession.sparkContext.broadcast({r.shard: (r.buckets, bytes(r.body)) for r in kept})
-    hit_type = pa.struct([("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+    asked = lines.select("doc_id", "row", "line", "d1", "d2", _shard(index.shards).alias("shard"))
+    tasks = asked.groupBy("shard").agg(F.ceil(F.count("*") / ASKED_LINES).cast("int").alias("tasks"))
+    asked = asked.join(tasks, "shard").withColumn("task", F.pmod(F.xxhash64("row", "line"), F.col("tasks")).cast("int"))
+    held = index.filters.join(tasks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "buckets", "body")
+    none = {"doc_id": "long", "row": "long", "line": "int", "d1": "long", "d2": "long"}
+    columns = ["shard", "task", *none, "buckets", "body"]
+    held = held.withColumns({k: F.lit(None).cast(v) for k, v in none.items()}).select(*columns)
+    asked = asked.withColumns({"buckets": F.lit(None).cast("long"), "body": F.lit(None).cast("binary")}).select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {s: CuckooFilter(n, np.frombuffer(body, np.uint16).reshape(n, SLOTS)) for s, (n, body) in shipped.value.items()} if shipped else {}
-        for batch in batches:
-            texts, keys = batch.column(2), batch.column(3)
-            ends = keys.offsets.to_numpy().astype(np.int64)
-            flat = keys.values
-            h1, h2 = (flat.field(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (0, 1))
-            hit = flat.is_valid().to_numpy(zero_copy_only=False)
-            if shipped:
-                shard, may = np.mod(h2, shards), np.zeros(len(h1), bool)
-                for s, table in tables.items():
-                    own = np.flatnonzero(hit & (shard == s))
-                    may[own] = table.may_hold(h1[own].view(np.uint64))
-                hit = may
-            hit[: ends[0]] = hit[ends[-1] :] = False
-            at = np.flatnonzero(hit)
-            offsets = np.searchsorted(at, ends).astype(np.int32)
-            line = at - np.repeat(ends[:-1], np.diff(offsets))
-            hits = pa.StructArray.from_arrays([pa.array(line.astype(np.int32)), pa.array(h1[at]), pa.array(h2[at])], fields=list(hit_type))
-            clean = np.diff(offsets) == 0
-            kept = [None if with_text or not c else hashlib.sha256(t.as_py().encode()).hexdigest() for c, t in zip(clean, texts, strict=True)]
-            left = texts if with_text else pa.array([None if c else t.as_py() for c, t in zip(clean, texts, strict=True)], pa.string())
-            columns = [batch.column(0), batch.column(1), pa.array(np.diff(ends)), left, pa.array(kept, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), hits)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_lines", "text", "kept_sha256", "hits"])
-
-    return rows.mapInArrow(run, "doc_id long, row long, n_lines long, text string, kept_sha256 string, hits array<struct<line:int,h1:long,h2:long>>")
-
-
-@F.pandas_udf(T.StringType())
-def _kept_sha(text: pd.Series, dropped: pd.Series) -> pd.Series:
-    def digest(t: str, gone: np.ndarray) -> str:
-        out = set(gone.tolist())
-        return hashlib.sha256("\n".join([x for i, x in enumerate(t.split("\n")) if i not in out]).encode()).hexdigest()
-
-    return pd.Series([digest(*x) for x in zip(text, dropped, strict=True)], dtype=object)
-
-
-@F.pandas_udf(T.StringType())
-def _kept_text(text: pd.Series, dropped: pd.Series) -> pd.Series:
-    gone = [set(x.tolist()) for x in dropped]
-    return pd.Series(["\n".join([x for i, x in enumerate(t.split("\n")) if i not in g]) for t, g in zip(text, gone, strict=True)], dtype=object)
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, held: DataFrame | None = None, with_text: bool = False) -> DataFrame:
+        owner, table = None, None
+        for batch in batches:  # sorted by shard and task, the filter before the lines
+            shard, task = (batch.column(i).to_numpy() for i in (0, 1))
+            is_filter = batch.column(7).is_valid().to_numpy(zero_copy_only=False)
+            d1 = batch.column(5).fill_null(0).to_numpy()
+            hit = np.zeros(batch.num_rows, bool)
+            cuts = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (task[1:] != task[:-1])])
+            for low, high in zip(cuts, np.r_[cuts[1:], batch.num_rows], strict=False):
+                if is_filter[low]:
+                    buckets, body = batch.column(7)[int(low)].as_py(), batch.column(8)[int(low)].as_py()
+                    owner, table = (shard[low], task[low]), CuckooFilter(buckets, np.frombuffer(body, np.uint16).reshape(-1, SLOTS))
+                    low += 1
+                if owner == (shard[high - 1], task[high - 1]):
+                    hit[low:high] = table.may_hold(d1[low:high].view(np.uint64)) if table.buckets else True
+            yield batch.select(list(none)).filter(pa.array(hit))
+
+    dealt = held.union(asked).repartition("shard", "task").sortWithinPartitions("shard", "task", F.col("buckets").isNull())
+    return dealt.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in none.items()))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, index: LineIndex | None = None, with_text: bool = False) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 (and kept, the text that is left).
 
     Lines are split at \\n; a null or empty text is one empty line.  Lines of at
     least ``min_chars`` code points (key) that at least ``min_docs`` documents
     hold go, except from the largest id that holds them; a null id never is the
     largest unless alone.  Each row counts as a document; rows that share an id
-    keep the line together.
-    ``held`` are postings kept from earlier (insert_documents, delete_documents);
-    otherwise they come from ``docs``.  An empty table gives no rows.
+    keep the line together.  ``index`` is one kept from earlier (build_index,
+    insert_documents, delete_documents), with its own ``min_docs``; otherwise it
+    is made from ``docs``.  Texts of any length are read whole, line by line; an
+    empty table gives no rows; other columns are not read, whatever their names.
     """
-    counts = reference_counts(postings(docs, id_col, text_col, min_chars) if held is None else held)
-    repeated = stored(counts.filter(F.col("n_docs") >= min_docs), "line-repeated")
-    lines = repeated.count()
-    filters, shards = build_filters(repeated)
-    body = text_of(docs, id_col, text_col)
-    rows = body.select("doc_id", F.xxhash64("text").alias("row"), "text", line_keys(F.col("text"), min_chars).alias("keys"))
-    flagged = stored(_flagged(rows, filters, shards, lines, with_text), "line-flagged")
-    asked = flagged.select("doc_id", "row", F.explode("hits").alias("m")).select("doc_id", "row", "m.line", "m.h1", "m.h2")
-    gone = asked.join(repeated, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("last")))
+    lines = stored(line_keys(docs, id_col, text_col, min_chars), "line-keys")
+    index = _index(lines, min_docs) if index is None else index
+    gone = _hits(lines, index).join(index.repeated.select("d1", "d2", "last"), ["d1", "d2"]).filter(~F.col("doc_id").eqNullSafe(F.col("last")))
     gone = stored(gone.groupBy(F.col("doc_id").alias("id2"), F.col("row").alias("row2")).agg(F.collect_set("line").alias("dropped")), "line-gone")
-    more = lambda col: [col.alias("kept")] if with_text else []
-    digest = F.coalesce("kept_sha256", F.sha2(F.encode("text", "utf-8"), 256)).alias("kept_sha256")
-    clean = flagged.filter(F.size("hits") == 0).select("doc_id", "n_lines", F.lit(0).cast("long").alias("n_dropped"), digest, *more(F.col("text")))
-    touched = flagged.filter(F.size("hits") > 0).select("doc_id", "n_lines", "text", "row")
+    rows = text_of(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row"), F.col("text").cast("binary").alias("body"))
     # texts are dealt out at every size, so that the plan is the same whatever the number of dropped lines
-    touched = touched.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2")), "left")
-    dropped = F.coalesce("dropped", F.array().cast("array<int>"))
-    return clean.union(touched.select("doc_id", "n_lines", F.size(dropped).cast("long").alias("n_dropped"), _kept_sha("text", dropped).alias("kept_sha256"), *more(_kept_text("text", dropped))))
+    rows = rows.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2")), "left")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.string())] if with_text else [])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, body, dropped in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                text, n = body.as_py(), set(dropped or ())
+                parts = text.split(b"\n")
+                kept = b"\n".join([x for i, x in enumerate(parts) if i not in n]) if n else text
+                out.append((doc_id, len(parts), len(n), hashlib.sha256(kept).hexdigest(), *([kept.decode(errors="replace")] if with_text else [])))
+            columns = list(zip(*out, strict=True)) if out else [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+
+    ddl = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * with_text
+    return rows.select("doc_id", "body", "dropped").mapInArrow(run, ddl)
