@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from larder.config import Settings
 from larder.functions.exprs import at_least_zero, round_up
-from larder.operators.simulate import daily_paths, initial_inventory, policy_metric, quantile_of, simulate
+from larder.functions.ordered import settled
+from larder.operators.simulate import daily_paths, initial_inventory, priced, quantile_of, run_totals, whole_lead_time
 
 
 def _lookup(values: dict[str, float], by: str) -> Column:
@@ -36,7 +37,7 @@ def residual_sums(forecast: DataFrame, medians: DataFrame) -> DataFrame:
         F.sqrt(F.avg(error * error)).alias("rmse"), F.avg("forecast").alias("mean_forecast"), F.avg(error).alias("bias"),
         F.array_sort(F.collect_list(F.struct("date", (-error).alias("r")))).alias("days"),
     ).join(medians, "sku_id")
-    r, lead = F.col("days.r"), F.col("lead_time").cast("int")
+    r, lead = F.col("days.r"), whole_lead_time(["sku_id"]).cast("int")
     sums = F.when(F.size(r) >= lead, F.transform(F.sequence(lead, F.size(r)), lambda i: F.aggregate(F.slice(r, i - lead + 1, lead), F.lit(0.0), lambda s, x: s + x))).otherwise(F.array().cast("array<double>"))
     return each.withColumn("sums", F.array_sort(sums)).drop("days")
 
@@ -116,9 +117,9 @@ def policy_grid(forecast: DataFrame, panel: DataFrame, scope: DataFrame, setting
     candidates = grid_candidates(forecast, panel, scope, settings, least, multiple)
     keys = ["sku_id", "order_quantity", "safety_stock"]
     distinct = candidates.dropDuplicates(keys).select(*keys, "lead_time", "rop", "unit_cost", "unit_price", "class")
-    paths = daily_paths(forecast.select("sku_id", "date", "demand"), ["sku_id"], forecast).join(distinct.select(*keys), "sku_id")
-    trace = simulate(paths, distinct, initial_inventory(panel, w.calibration_start), keys, dynamic=True)
-    metric = policy_metric(trace, distinct, keys, settings.ordering_cost, settings.holding_rate, settings.shortage_multiplier).drop("class")
+    paths = daily_paths(forecast.select("sku_id", "date", "demand"), ["sku_id"], forecast)
+    totals = settled(run_totals(paths, distinct, initial_inventory(panel, w.calibration_start), keys, dynamic=True))
+    metric = priced(totals, distinct, keys, settings.ordering_cost, settings.holding_rate, settings.shortage_multiplier).drop("class")
     floor = _lookup(settings.floor_by_intervention, "intervention")
     out = candidates.join(metric, keys).withColumn("service_floor", F.coalesce(floor, F.col("target") / 100))
     return out.withColumn("service_floor_met", F.col("fill_rate") >= F.col("service_floor"))

@@ -192,8 +192,8 @@ def policy_action(selected: DataFrame, current: DataFrame, old: DataFrame, new:
         rows = checked_join(rows, metric.select("sku_id", *[F.col(c).alias(f"{p}_{c}") for c in ("fill_rate", "avg_inventory", "total_cost", "total_lost")]), ["sku_id"], validate="one_to_one")
     delta = {"rop_delta": ("new_rop", "old_rop"), "q_delta": ("new_q", "old_q"), "ss_delta": ("new_ss", "old_ss"), "inventory_delta": ("new_avg_inventory", "old_avg_inventory"), "lost_delta": ("new_total_lost", "old_total_lost"), "expected_saving": ("old_total_cost", "new_total_cost"), "fill_delta": ("new_fill_rate", "old_fill_rate")}
     rows = rows.withColumns({k: F.col(a) - F.col(b) for k, (a, b) in delta.items()})
-    rop = F.when(_changed(F.col("new_rop"), F.col("old_rop")), F.when(F.col("rop_delta") > 0, "Raise ROP").otherwise("Lower ROP"))
-    quantity = F.when(_changed(F.col("new_q"), F.col("old_q")), F.when(F.col("q_delta") > 0, "Raise Q").otherwise("Lower Q"))
+    rop = F.when(_changed(F.col("new_rop"), F.col("old_rop")), F.when(F.col("rop_delta") > 0, "raise ROP").otherwise("lower ROP"))
+    quantity = F.when(_changed(F.col("new_q"), F.col("old_q")), F.when(F.col("q_delta") > 0, "raise Q").otherwise("lower Q"))
     words = F.coalesce(F.nullif(F.concat_ws(" + ", rop, quantity), F.lit("")), F.lit("Keep parameters / monitor"))
     action = F.when(F.col("selection_status") != "minimum_cost_feasible", "Review SLA/grid feasibility").otherwise(words)
     rows = rows.withColumns({"policy_mode": F.lit("dynamic_rop"), "action": action})
@@ -203,7 +203,7 @@ def policy_action(selected: DataFrame, current: DataFrame, old: DataFrame, new:
 def fallback_action(policy: DataFrame, medians: DataFrame) -> DataFrame:
     """The simpler rule where no action table is at hand: the reorder point alone decides."""
     rows = policy.select("sku_id", F.col("rop").alias("new_rop")).join(medians.select("sku_id", F.col("reorder_point").alias("old_rop")), "sku_id", "left")
-    action = F.when(F.col("new_rop") - F.col("old_rop") > F.greatest(F.lit(1.0), F.abs("old_rop") * 0.05), "Increase").when(F.col("old_rop") - F.col("new_rop") > F.greatest(F.lit(1.0), F.abs("old_rop") * 0.05), "Reduce").otherwise("Hold")
+    action = F.when(F.col("new_rop") - F.col("old_rop") > F.greatest(F.lit(1.0), F.abs("old_rop") * 0.05), "Increase ROP").when(F.col("old_rop") - F.col("new_rop") > F.greatest(F.lit(1.0), F.abs("old_rop") * 0.05), "Reduce ROP").otherwise("Hold / monitor")
     return rows.withColumn("action", action)
 
 

@@ -67,8 +67,10 @@ def _trace(b: Book, runs: DataFrame, dynamic: bool) -> DataFrame:
     return simulate.simulate(paths, runs, simulate.initial_inventory(b.panel, b.w.final_start), ["sku_id"], dynamic=dynamic)
 
 
-def _priced(b: Book, trace: DataFrame, runs: DataFrame) -> DataFrame:
-    return simulate.policy_metric(trace, runs, ["sku_id"], b.s.ordering_cost, b.s.holding_rate, b.s.shortage_multiplier)
+def _priced(b: Book, runs: DataFrame, dynamic: bool) -> DataFrame:
+    paths = simulate.daily_paths(_final_days(b), ["sku_id"], b.final_forecast if dynamic else None)
+    totals = settled(simulate.run_totals(paths, runs, simulate.initial_inventory(b.panel, b.w.final_start), ["sku_id"], dynamic=dynamic))
+    return simulate.priced(totals, runs, ["sku_id"], b.s.ordering_cost, b.s.holding_rate, b.s.shortage_multiplier)
 
 
 _STEPS: dict[str, Callable[[Book], DataFrame]] = {
@@ -87,9 +89,9 @@ _STEPS: dict[str, Callable[[Book], DataFrame]] = {
     "inferred": lambda b: policy.inferred_policy(b.panel, b.s).join(b.classes, "sku_id"),
     "old_trace": lambda b: _trace(b, b.recorded, False),
     "new_trace": lambda b: _trace(b, b.chosen, True),
-    "old_metric": lambda b: _priced(b, b.old_trace, b.recorded),
-    "new_metric": lambda b: _priced(b, b.new_trace, b.chosen),
-    "inferred_metric": lambda b: _priced(b, _trace(b, b.inferred, False), b.inferred),
+    "old_metric": lambda b: _priced(b, b.recorded, False),
+    "new_metric": lambda b: _priced(b, b.chosen, True),
+    "inferred_metric": lambda b: _priced(b, b.inferred, False),
     "old_in_scope": lambda b: b.old_metric.join(b.new_metric.select("sku_id"), "sku_id", "left_semi"),
     "stress": lambda b: uncertainty.stress_test(b.recorded.join(b.chosen.select("sku_id"), "sku_id", "left_semi"), b.chosen, b.calibration.join(b.chosen.select("sku_id"), "sku_id", "left_semi"), b.final_forecast.join(b.chosen.select("sku_id"), "sku_id", "left_semi"), b.panel, b.s),
     "actions": lambda b: report.policy_action(b.chosen, b.recorded.drop("class"), b.old_metric, b.new_metric),
@@ -202,7 +204,7 @@ _EWM = lambda a: f"list_reduce(h, lambda y, x: y * (1 - {a}) + x * {a})"  # noqa
 _BOTH = {
     "act0": "SELECT c.sku_id, c.class, c.intervention, c.lead_time, c.order_quantity AS new_q, c.rop AS new_rop, c.safety_stock AS new_ss, selection_status, h.order_quantity AS old_q, h.rop AS old_rop, h.safety_stock AS old_ss, o.fill_rate AS old_fill_rate, o.avg_inventory AS old_avg_inventory, o.total_cost AS old_total_cost, o.total_lost AS old_total_lost, n.fill_rate AS new_fill_rate, n.avg_inventory AS new_avg_inventory, n.total_cost AS new_total_cost, n.total_lost AS new_total_lost FROM chosen c JOIN hist h ON h.sku_id = c.sku_id JOIN mold o ON o.sku_id = c.sku_id JOIN mnew n ON n.sku_id = c.sku_id",
     "act": f"""SELECT *, new_rop - old_rop AS rop_delta, new_q - old_q AS q_delta, new_ss - old_ss AS ss_delta, new_avg_inventory - old_avg_inventory AS inventory_delta, new_total_lost - old_total_lost AS lost_delta, old_total_cost - new_total_cost AS expected_saving, new_fill_rate - old_fill_rate AS fill_delta, 'dynamic_rop' AS policy_mode,
-        CASE WHEN selection_status <> 'minimum_cost_feasible' THEN 'Review SLA/grid feasibility' ELSE coalesce(nullif(concat_ws(' + ', CASE WHEN {_CHANGED('new_rop', 'old_rop')} THEN CASE WHEN new_rop > old_rop THEN 'Raise ROP' ELSE 'Lower ROP' END END, CASE WHEN {_CHANGED('new_q', 'old_q')} THEN CASE WHEN new_q > old_q THEN 'Raise Q' ELSE 'Lower Q' END END), ''), 'Keep parameters / monitor') END AS action,
+        CASE WHEN selection_status <> 'minimum_cost_feasible' THEN 'Review SLA/grid feasibility' ELSE coalesce(nullif(concat_ws(' + ', CASE WHEN {_CHANGED('new_rop', 'old_rop')} THEN CASE WHEN new_rop > old_rop THEN 'raise ROP' ELSE 'lower ROP' END END, CASE WHEN {_CHANGED('new_q', 'old_q')} THEN CASE WHEN new_q > old_q THEN 'raise Q' ELSE 'lower Q' END END), ''), 'Keep parameters / monitor') END AS action,
         row_number() OVER (ORDER BY old_total_cost - new_total_cost DESC, new_fill_rate - old_fill_rate DESC, sku_id) AS priority FROM act0""",
     "sc_n": f"SELECT CAST(unnest(range(1, {S.scenarios + 1})) AS INTEGER) AS scenario",
     "sc": "SELECT scenario, CASE " + " ".join(f"WHEN u < {sum(S.lead_probabilities[: k + 1])!r} THEN {m!r}" for k, m in enumerate(S.lead_multipliers[:-1])) + f" ELSE {S.lead_multipliers[-1]!r} END AS mult FROM (SELECT scenario, CAST(('0x' || left(md5('{S.seed}|' || scenario || '|lead'), 8)) AS BIGINT) / 4294967296.0 AS u FROM sc_n)",
@@ -330,6 +332,6 @@ def oracle_sql() -> dict[str, str]:
         "stress_quantiles": q(" UNION ALL ".join(f"SELECT '{c}' AS metric, {r(f'quantile_cont({c}, 0.05)', 'p05')}, {r(f'quantile_cont({c}, 0.5)', 'p50')}, {r(f'quantile_cont({c}, 0.95)', 'p95')}, {r('count(*) FILTER (WHERE cost_saving > 0) / count(*)', 'favourable')} FROM stress" for c in ("fill_rate_delta_pp", "inventory_change_pct", "cost_change_pct")), **stress),
         "policy_bootstrap": q(f"SELECT be.metric, {r('any_value(estimate)', 'estimate')}, {r('quantile_cont(v, 0.025)', 'ci_2_5')}, {r('quantile_cont(v, 0.975)', 'ci_97_5')}, {i('count(v)', 'n_bootstrap')} FROM be JOIN bp ON bp.metric = be.metric GROUP BY be.metric", **boot),
         "policy_action": q("SELECT sku_id, class, intervention, selection_status, policy_mode, action, " + i("priority", "priority") + ", " + ", ".join(r(c, c) for c in ("lead_time", "new_q", "new_rop", "new_ss", "old_q", "old_rop", "old_ss", *[f"{p}_{c}" for p in ("old", "new") for c in ("fill_rate", "avg_inventory", "total_cost", "total_lost")], "rop_delta", "q_delta", "ss_delta", "inventory_delta", "lost_delta", "expected_saving", "fill_delta")) + " FROM act", **_BOTH),
-        "fallback_action": q(f"SELECT c.sku_id, {r('rop', 'new_rop')}, {r('reorder_point', 'old_rop')}, CASE WHEN rop - reorder_point > greatest(1, abs(reorder_point) * 0.05) THEN 'Increase' WHEN reorder_point - rop > greatest(1, abs(reorder_point) * 0.05) THEN 'Reduce' ELSE 'Hold' END AS action FROM chosen c LEFT JOIN med m ON m.sku_id = c.sku_id"),
+        "fallback_action": q(f"SELECT c.sku_id, {r('rop', 'new_rop')}, {r('reorder_point', 'old_rop')}, CASE WHEN rop - reorder_point > greatest(1, abs(reorder_point) * 0.05) THEN 'Increase ROP' WHEN reorder_point - rop > greatest(1, abs(reorder_point) * 0.05) THEN 'Reduce ROP' ELSE 'Hold / monitor' END AS action FROM chosen c LEFT JOIN med m ON m.sku_id = c.sku_id"),
         "action_filtered": q(f"SELECT {i('priority', 'priority')}, sku_id, class, intervention, action, {', '.join(r(c, c) for c in ('old_rop', 'new_rop', 'old_q', 'new_q', 'expected_saving'))} FROM act WHERE contains(action, 'Q')", **_BOTH),
     }

@@ -74,14 +74,14 @@ def test_a_constraint_must_be_positive(spark):
 
 
 def metric(spark, rows):
-    cols = "sku_id string, total_sales double, total_demand double, avg_inventory double, stockout_cost double, holding_cost double, ordering_cost double, total_cost double"
+    cols = "sku_id string, total_sales double, total_demand double, avg_inventory double, stockout_unit double, holding_unit double, orders double, total_cost double"
     return spark.createDataFrame(rows, cols)
 
 
 def test_costs_scale_with_their_rates(spark):
     own = Settings(windows=S.windows, ordering_costs=(10.0, 20.0), holding_rates=(0.1, 0.2), shortage_multipliers=(0.5, 1.5))
-    old = metric(spark, [("A", 80.0, 100.0, 10.0, 100.0, 25.0, 50.0, 175.0)])
-    new = metric(spark, [("A", 100.0, 100.0, 8.0, 0.0, 25.0, 50.0, 75.0)])
+    old = metric(spark, [("A", 80.0, 100.0, 10.0, 100.0, 100.0, 1.0, 175.0)])
+    new = metric(spark, [("A", 100.0, 100.0, 8.0, 0.0, 100.0, 1.0, 75.0)])
     rows = uncertainty.cost_sensitivity(old, new, own).orderBy("scenario_id").collect()
     assert len(rows) == 8 and rows[0].scenario_id == "cost_sensitivity_001" and all(r.fill_rate_delta_pp == pytest.approx(20) for r in rows)
     first = rows[0]
@@ -125,3 +125,41 @@ def test_negative_margin_is_refused(spark):
 def test_scenarios_weighed_by_probability(spark):
     df = spark.createDataFrame([(1.0, 0.7), (-1.0, 0.2), (None, 0.1)], "cost_saving double, p double")
     assert report.favourable_share(df).first()[0] == 0.5 and report.favourable_share(df, "p").first()[0] == pytest.approx(0.7 / 0.9)
+
+
+def stress_policy(spark, rows):
+    return spark.createDataFrame([(s, lead, 20.0, 15.0, 4.0, 5.0, 10.0) for s, lead in rows], "sku_id string, lead_time double, order_quantity double, rop double, safety_stock double, unit_cost double, unit_price double")
+
+
+@pytest.mark.parametrize(("new", "says"), [([("A", 2.0)], "same SKU set"), ([("A", 2.0), ("B", 2.0), ("B", 2.0)], "one row per SKU"), ([("A", 2.0), ("B", 3.0)], "same base lead time for B"), ([("A", 2.0), ("B", 2.5)], "positive integer; affected: B")])
+def test_stress_needs_paired_policies(spark, new, says):
+    old = stress_policy(spark, [("A", 2.0), ("B", 2.0)])
+    assert sorted(r.sku_id for r in uncertainty.paired_policies(old, old).collect()) == ["A", "B"]
+    with pytest.raises(Exception, match=says):
+        uncertainty.paired_policies(old, stress_policy(spark, new)).collect()
+
+
+def test_rates_of_zero_can_be_repriced(spark):
+    own = Settings(windows=S.windows, ordering_cost=0.0, holding_rate=0.0, shortage_multiplier=0.0, ordering_costs=(0.0, 20.0), holding_rates=(0.2,), shortage_multipliers=(1.0,))
+    old = metric(spark, [("A", 80.0, 100.0, 10.0, 100.0, 100.0, 2.0, 0.0)])
+    rows = uncertainty.cost_sensitivity(old, old, own).orderBy("ordering_cost_rate").collect()
+    assert [r.old_total_cost for r in rows] == pytest.approx([120.0, 160.0]) and all(r.cost_saving == 0 for r in rows)
+    with pytest.raises(ValueError, match="finite and nonnegative"):
+        uncertainty.cost_sensitivity(old, old, Settings(windows=S.windows, holding_rates=(-1.0,)))
+
+
+def test_bootstrap_needs_the_same_skus(spark):
+    old = metric(spark, [("A", 60.0, 60.0, 50.0, 0.0, 0.0, 0.0, 100.0), ("B", 40.0, 50.0, 50.0, 0.0, 0.0, 0.0, 100.0)])
+    with pytest.raises(Exception, match="metrics of the same SKUs; affected: B"):
+        uncertainty.policy_bootstrap(old, old.filter("sku_id = 'A'"), 10, 7).collect()
+
+
+def test_action_words(spark):
+    current = spark.createDataFrame([("A", 100.0, 50.0, 5.0), ("B", 100.0, 50.0, 5.0), ("C", 100.0, 50.0, 5.0), ("D", 100.0, 50.0, 5.0)], "sku_id string, order_quantity double, rop double, safety_stock double")
+    rows = [("A", 90.0, 60.0, "minimum_cost_feasible"), ("B", 120.0, 40.0, "minimum_cost_feasible"), ("C", 105.0, 52.5, "minimum_cost_feasible"), ("D", 1.0, 1.0, "no_feasible_candidate_best_service")]
+    chosen = spark.createDataFrame([(s, "AX", "x", 2.0, q, rop, 1.0, 0.9, status) for s, q, rop, status in rows], "sku_id string, class string, intervention string, lead_time double, order_quantity double, rop double, safety_stock double, service_floor double, selection_status string")
+    metrics = spark.createDataFrame([(s, 0.9, 10.0, 100.0, 1.0) for s in "ABCD"], "sku_id string, fill_rate double, avg_inventory double, total_cost double, total_lost double")
+    got = {r.sku_id: r.action for r in report.policy_action(chosen, current, metrics, metrics).collect()}
+    assert got == {"A": "raise ROP + lower Q", "B": "lower ROP + raise Q", "C": "Keep parameters / monitor", "D": "Review SLA/grid feasibility"}
+    medians = spark.createDataFrame([("A", 50.0), ("B", 50.0), ("C", 50.0)], "sku_id string, reorder_point double")
+    assert {r.sku_id: r.action for r in report.fallback_action(chosen.filter("sku_id < 'D'"), medians).collect()} == {"A": "Increase ROP", "B": "Reduce ROP", "C": "Hold / monitor"}

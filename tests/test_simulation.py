@@ -55,3 +55,54 @@ def test_a_forecast_to_be_written_is_unique_and_nonnegative(spark):
         require_output(spark.createDataFrame([("S", DAY, -0.1)], "sku_id string, date date, forecast double"))
     with pytest.raises(ContractError, match="duplicate SKU-date"):
         require_output(spark.createDataFrame([("S", DAY, 0.1)] * 2, "sku_id string, date date, forecast double"))
+
+
+def refuses(match, make):
+    with pytest.raises(Exception, match=match):
+        make().collect()
+
+
+@pytest.mark.parametrize("lead", [0.0, -1.0, 3.5, float("nan"), float("inf"), None])
+def test_lead_times_must_be_positive_whole_days(spark, lead):
+    daily = spark.createDataFrame([("S", DAY + timedelta(i), 1.0) for i in range(5)], "sku_id string, date date, demand double")
+    policy = spark.createDataFrame([("S", lead, 10.0, 1.0, 0.0, 5.0, 10.0)], "sku_id string, lead_time double, order_quantity double, rop double, safety_stock double, unit_cost double, unit_price double")
+    start = spark.createDataFrame([("S", 1.0)], "sku_id string, initial_inventory double")
+    refuses("lead_time must be a positive integer; affected: S", lambda: simulate.simulate(simulate.daily_paths(daily, ["sku_id"]), policy, start, ["sku_id"]))
+
+
+@pytest.mark.parametrize("days", [[0, 2], [0, 1, 1], [0, 1, 1, 3], [0, None]])
+def test_days_must_follow_one_another(spark, days):
+    daily = spark.createDataFrame([("S", None if i is None else DAY + timedelta(i), 1.0) for i in days], "sku_id string, date date, demand double")
+    refuses("one consecutive row per calendar day; affected: S", lambda: simulate.daily_paths(daily, ["sku_id"]))
+
+
+def test_a_policy_needs_its_days_and_inventory(spark):
+    daily = spark.createDataFrame([("S", DAY, 1.0), ("T", DAY, 1.0)], "sku_id string, date date, demand double")
+    policy = lambda sku: spark.createDataFrame([(sku, 1, 10.0, 1.0, 0.0)], "sku_id string, lead_time int, order_quantity double, rop double, safety_stock double")
+    start = spark.createDataFrame([("S", 1.0)], "sku_id string, initial_inventory double")
+    paths = simulate.daily_paths(daily, ["sku_id"])
+    assert [r.sku_id for r in simulate.run_totals(paths, policy("S"), start, ["sku_id"]).collect()] == ["S"]
+    for sku in ("U", "T"):
+        refuses(f"no daily demand or no inventory before it for target SKU {sku}", lambda sku=sku: simulate.run_totals(paths, policy(sku), start, ["sku_id"]))
+
+
+def test_totals_are_those_of_the_trace(spark):
+    g = np.random.default_rng(5)
+    rows = [(s, DAY + timedelta(i), float(g.integers(0, 9))) for s, n in (("A", 40), ("B", 1), ("C", 25)) for i in range(n)]
+    daily = spark.createDataFrame(rows, "sku_id string, date date, demand double")
+    policy = spark.createDataFrame([(s, lead, 30.0, 12.0, 0.0, "AX", 5.0, 10.0) for s, lead in (("A", 3), ("B", 1), ("C", 30))], "sku_id string, lead_time int, order_quantity double, rop double, safety_stock double, class string, unit_cost double, unit_price double")
+    start = spark.createDataFrame([("A", 20.0), ("B", 0.0), ("C", 50.0)], "sku_id string, initial_inventory double")
+    paths = simulate.daily_paths(daily, ["sku_id"])
+    trace, totals = simulate.simulate(paths, policy, start, ["sku_id"]), simulate.run_totals(paths, policy, start, ["sku_id"])
+    one = simulate.policy_metric(trace, policy, ["sku_id"], 50.0, 0.25).orderBy("sku_id").collect()
+    two = simulate.priced(totals, policy, ["sku_id"], 50.0, 0.25).orderBy("sku_id").collect()
+    assert len(one) == 3 and [r.asDict() for r in one] == [r.asDict() for r in two]
+    assert one[0].num_cycles > 2 and one[0].total_lost > 0
+
+
+@pytest.mark.parametrize("rate", [-0.1, float("inf"), float("nan")])
+def test_costs_must_be_finite_and_nonnegative(spark, rate):
+    trace, policy = run(spark, [1], rop=1, quantity=1, lead=1, initial=1)
+    for rates in ((rate, 0.25, 1.0), (50.0, rate, 1.0), (50.0, 0.25, rate)):
+        with pytest.raises(ValueError, match="finite and nonnegative"):
+            simulate.policy_metric(trace, policy, ["sku_id"], *rates)
