@@ -3,8 +3,10 @@
 Base patterns find protected entities (mail and network addresses, card and
 phone numbers).  Terms near an entity are counted with it over the corpus: the
 pointwise mutual information of term and entity, as a share of the entity's own
-information, says how far the term gives the entity away.  Terms beyond the
-disclosure threshold are generalised, those that all but name it are removed.
+information, says how far the term gives the entity away.  Evidence is counted
+for the value itself and for its group (mail domain, network, leading digits), so
+that values seen once give shares too.  A term beyond the disclosure threshold is
+generalised to the longest prefix that is below it, and removed where none is.
 """
 
 from __future__ import annotations
@@ -15,14 +17,14 @@ from pyspark.sql import functions as F
 from larder.llm.common import stored, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Share of an entity's information beyond which a term is generalised.
-GENERALISE = 0.9
-#: Share beyond which it is removed.
-REMOVE = 0.97
-#: Documents in which term and entity must meet.
-MIN_SUPPORT = 3
-#: Runs of letters and of other characters on each side of an entity that count as near.
-CONTEXT = 20
+#: Share of an entity's information that a term may give away.
+DISCLOSURE = 0.9
+#: Documents added to those with a term, so that a share of one or two counts less.
+PRIOR = 1
+#: Characters on each side of an entity that count as near, across line ends.
+CONTEXT = 80
+#: Letters that a term may be generalised to.
+PREFIXES = (3, 1)
 #: Shortest term, in letters.
 MIN_LETTERS = 3
 
@@ -96,60 +98,95 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return stored(rows.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "pii-spans")
 
 
-def _runs(found: DataFrame) -> DataFrame:
-    """Runs of letters and of others in each line that has an entity, with place and entities.
+def _entity_keys(s: Column) -> Column:
+    """Keys of a span's value and of its group: mail domain, first three parts of an address, leading digits."""
+    value, kind = F.lower(s["value"]), s["kind"]
+    group = F.when(kind == 0, F.substring_index(value, "@", -1)).when(kind == 1, F.substring_index(value, ".", 3)).otherwise(F.substring(F.regexp_replace(value, "[^0-9]", ""), 1, 6))
+    return F.array(F.xxhash64(kind, value), F.xxhash64(kind, F.lit("group"), group))
 
-    (doc_id, row, line, pos, start, end, term, entities); term is null for runs
-    that are no letters, too short, or part of an entity.
+
+def _terms_in(body: Column, at: Column, cut: Column, last: bool) -> Column:
+    """Structs of the terms of a piece of text that starts at ``at``; where it cuts a word, that is left out.
+
+    ``cut``: whether the piece may begin (or, if ``last``, end) within a word.
     """
-    lines = found.filter(F.size("spans") > 0).select("doc_id", "row", "spans", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
-    above = Window.partitionBy("doc_id", "row").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.distinct().withColumn("at", F.coalesce(F.sum(F.length("body") + 1).over(above), F.lit(0)).cast("int"))
-    inside = F.filter("spans", lambda s: (s["start"] < F.col("at") + F.length("body")) & (s["end"] > F.col("at")))
-    lines = lines.withColumn("spans", inside).filter(F.size("spans") > 0)
-    runs = lines.select("doc_id", "row", "line", "at", "spans", F.posexplode(F.split("body", r"(?<=\p{L})(?!\p{L})|(?<!\p{L})(?=\p{L})", -1)).alias("pos", "run"))
-    left = Window.partitionBy("doc_id", "row", "line").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("start", F.col("at") + F.coalesce(F.sum(F.length("run")).over(left), F.lit(0)).cast("int"))
-    runs = runs.withColumn("end", F.col("start") + F.length("run"))
-    of = F.filter("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    entities = F.transform(of, lambda s: F.xxhash64(s["kind"], F.lower(s["value"])))
-    term = F.when((F.size(of) == 0) & F.col("run").rlike(rf"^\p{{L}}{{{MIN_LETTERS},}}$"), F.xxhash64(F.lower("run")))
-    return runs.select("doc_id", "row", "line", "pos", "start", "end", entities.alias("entities"), term.alias("term"))
+    runs = F.split(body, r"(?<=\p{L})(?!\p{L})|(?<!\p{L})(?=\p{L})", -1)
+
+    def of(runs: Column) -> Column:
+        def term(i: Column) -> Column:
+            start = at + F.aggregate(F.slice(runs, F.lit(1), i - 1), F.lit(0), lambda n, run: n + F.length(run))
+            word = F.get(runs, i - 1)
+            whole = ~(cut & (i == (F.size(runs) if last else F.lit(1))))
+            return F.struct(start.alias("start"), (start + F.length(word)).alias("end"), F.when(whole & word.rlike(rf"^\p{{L}}{{{MIN_LETTERS},}}$"), F.lower(word)).alias("word"))
+
+        return F.filter(F.transform(F.sequence(F.lit(1), F.size(runs)), term), lambda t: t["word"].isNotNull())
+
+    # the outer transform names the runs, so that they are cut once
+    return F.flatten(F.transform(F.array(runs), of))
+
+
+def near_terms(found: DataFrame) -> DataFrame:
+    """(doc_id, row, copies, start, end, word, entity): terms within ``CONTEXT`` characters of an entity.
+
+    Repeated rows are one, with their number as ``copies``.
+    """
+    held = found.filter(F.size("spans") > 0).groupBy("doc_id", "row", "spans", "text").agg(F.count("*").alias("copies"))
+    each = held.select("doc_id", "row", "copies", "spans", "text", F.explode("spans").alias("s"))
+    start, end = F.col("s.start"), F.col("s.end")
+    low = F.greatest(start - CONTEXT, F.lit(0))
+    before = _terms_in(F.substring(F.col("text"), low + 1, start - low), low, low > 0, last=False)
+    after = _terms_in(F.substring(F.col("text"), end + 1, F.lit(CONTEXT)), end, end + CONTEXT < F.length("text"), last=True)
+    outside = F.filter(F.concat(before, after), lambda t: ~F.exists("spans", lambda x: (x["start"] < t["end"]) & (x["end"] > t["start"])))
+    terms = each.select("doc_id", "row", "copies", _entity_keys(F.col("s")).alias("entities"), F.explode(outside).alias("t"))
+    return terms.select("doc_id", "row", "copies", "t.start", "t.end", "t.word", F.explode("entities").alias("entity"))
 
 
 def term_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, n_term): in how many documents of the corpus each term occurs."""
+    """(word, n_term): in how many documents of the corpus each term occurs."""
     words = F.array_distinct(F.split(F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[^\p{L}]+", " ")), " "))
-    terms = docs.select(F.explode(words).alias("w")).filter(F.length("w") >= MIN_LETTERS)
-    return terms.groupBy(F.xxhash64("w").alias("term")).agg(F.count("*").alias("n_term"))
+    terms = docs.select(F.explode(words).alias("word")).filter(F.length("word") >= MIN_LETTERS)
+    return terms.groupBy("word").agg(F.count("*").alias("n_term"))
+
+
+def _share(n_both: Column, n_term: Column, n_entity: Column, n: int) -> Column:
+    """PMI of term and entity as a share of the entity's information, all in documents."""
+    information = F.log2(F.lit(float(n)) / n_entity)
+    return (information + F.log2(n_both / (F.greatest(n_term, n_both) + PRIOR))) / information
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", generalise: float = GENERALISE, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(doc_id, row, start, end, share): terms that give away an entity near them.
+def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
+    """(doc_id, row, start, end, share, put): terms that give away an entity near them, and what takes their place.
 
-    share = PMI(term; entity) / information of the entity, both over documents.
+    ``put`` is the longest prefix, with a star, whose words together disclose less
+    than the threshold, or nothing.  Documents are counted alike for terms,
+    entities and both: each row is one.
     """
-    runs = stored(_runs(found), "pii-runs")
-    entities = runs.select("doc_id", "row", "line", "pos", F.explode("entities").alias("entity"))
-    holders = entities.select("doc_id", "row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    near = entities.select("doc_id", "row", "line", "entity", F.explode(F.sequence(F.col("pos") - CONTEXT, F.col("pos") + CONTEXT)).alias("pos")).distinct()
-    terms = runs.filter("term is not null").drop("entities")
-    near = near.select(F.col("doc_id").alias("id2"), F.col("row").alias("row2"), F.col("line").alias("line2"), F.col("pos").alias("pos2"), "entity")
-    same = F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2")) & (F.col("line") == F.col("line2")) & (F.col("pos") == F.col("pos2"))
-    met = stored(near.join(terms, same).select("doc_id", "row", "start", "end", "term", "entity"), "pii-met")
-    both = met.select("doc_id", "row", "term", "entity").distinct().groupBy("term", "entity").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_support)
+    met = stored(near_terms(found), "pii-met")
     n = docs.count()
-    judged = both.join(holders, "entity").join(term_documents(docs, text_col), "term")
-    information = F.log2(F.lit(float(n)) / F.col("n_entity"))
-    share = (information + F.log2(F.col("n_both") / F.greatest("n_term", "n_both"))) / information
-    judged = judged.filter(F.col("n_entity") < n).select("term", "entity", share.alias("share")).filter(F.col("share") >= generalise)
-    return met.join(judged, ["term", "entity"]).groupBy("doc_id", "row", "start", "end").agg(F.max("share").alias("share"))
+    seen = met.select("doc_id", "row", "copies", "word", "entity").distinct()
+    both = stored(seen.groupBy("word", "entity").agg(F.sum("copies").alias("n_both")), "pii-both")
+    held = met.select("doc_id", "row", "copies", "entity").distinct().groupBy("entity").agg(F.sum("copies").alias("n_entity"))
+    words = stored(term_documents(docs, text_col), "pii-words")
+    judged = both.join(held, "entity").filter(F.col("n_entity") < n).join(words, "word")
+    judged = judged.withColumn("share", _share(F.col("n_both"), F.col("n_term"), F.col("n_entity"), n)).filter(F.col("share") >= disclosure)
+    judged, put = judged.select("word", "entity", "n_entity", "share"), F.lit("")
+    for letters in reversed(PREFIXES):
+        prefix = F.substring("word", 1, letters).alias("prefix")
+        of_all = words.groupBy(prefix).agg(F.sum("n_term").alias("n_term"))
+        of_both = both.groupBy(prefix, "entity").agg(F.sum("n_both").alias("n_both"))
+        level = judged.select("word", "entity", "n_entity", prefix).join(of_both, ["prefix", "entity"]).join(of_all, "prefix")
+        level = level.select("word", "entity", (_share(F.col("n_both"), F.col("n_term"), F.col("n_entity"), n) < disclosure).alias(f"safe{letters}"))
+        judged = judged.join(level, ["word", "entity"])
+        put = F.when(F.col(f"safe{letters}") & (F.length("word") > letters), F.concat(F.substring("word", 1, letters), F.lit("*"))).otherwise(put)
+    judged = judged.select("word", "entity", "share", put.alias("put"))
+    # a term may be near several entities: the strongest link decides
+    return met.join(judged, ["word", "entity"]).groupBy("doc_id", "row", "start", "end").agg(F.max(F.struct("share", "put")).alias("most")).select("doc_id", "row", "start", "end", "most.*")
 
 
 def _all_spans(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
     found = found_spans(docs, id_col, text_col)
     terms = disclosing_terms(docs, found, text_col, **options)
-    terms = terms.groupBy(F.col("doc_id").alias("id2"), F.col("row").alias("row2")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
+    terms = terms.groupBy(F.col("doc_id").alias("id2"), F.col("row").alias("row2")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "share", "put"))).alias("terms"))
     return found.join(terms, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2")), "left").drop("id2", "row2")
 
 
@@ -158,20 +195,23 @@ def _written(spans: Column, kind) -> Column:
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every whole text.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and decisions of every whole text.
 
     Spans are kind:start:end in code points, the end exclusive; base kinds come
-    first as listed, then ``term`` for what the corpus shows to disclose.  Null
-    texts are empty; documents without base spans get no terms; each row counts
-    as a document, and repeated rows repeat their result; no rows for an empty
-    table.
+    first as listed, then ``term`` for what the corpus shows to disclose.
+    ``decisions`` has for each term start:end:prefix* where it is generalised and
+    start:end: where it is removed.  Null texts are empty; documents without base
+    spans get no terms; each row counts as a document, and repeated rows repeat
+    their result.  Texts of any length are searched whole; no rows for an empty
+    table; other columns are not read, whatever their names.
     """
     found = _all_spans(docs, id_col, text_col, **options)
     names = F.array(*map(F.lit, KINDS))
     base = _written(F.col("spans"), lambda s: F.get(names, s["kind"]))
     terms = _written(F.col("terms"), lambda s: F.lit("term"))
+    decisions = F.array_join(F.transform("terms", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["put"])), ",")
     n = [_count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *n, F.sha2(base, 256).alias("base_sha256"), F.concat_ws(",", F.when(base != "", base), F.when(terms != "", terms)).alias("spans"))
+    return found.select("doc_id", *n, F.sha2(base, 256).alias("base_sha256"), F.concat_ws(",", F.when(base != "", base), F.when(terms != "", terms)).alias("spans"), F.coalesce(decisions, F.lit("")).alias("decisions"))
 
 
 def _count(kind: int) -> Column:
@@ -180,16 +220,17 @@ def _count(kind: int) -> Column:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id and text without what discloses: entities become [EMAIL], [IP], [CARD] or
-    [PHONE], terms [TERM], and terms with a share of REMOVE or more vanish.
+    [PHONE], terms a prefix with a star, or nothing.
 
-    Where spans overlap, the one that starts first (then the longer) is replaced
+    Null texts are empty, repeated rows repeat their result, and a null id is an id
+    like any other.  Where spans overlap, the one that starts first (then the longer) is replaced
     whole and the others as far as they reach beyond it.
     """
     found = _all_spans(docs, id_col, text_col, **options)
     body = text_of(docs, id_col, text_col).select(F.col("doc_id").alias("id3"), F.xxhash64("text").alias("row3"), F.col("text").alias("body")).distinct()
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("rank"), s["end"].alias("end"), F.get(names, s["kind"]).alias("put")))
-    terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,share:double>>")), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("rank"), s["end"].alias("end"), F.when(s["share"] >= REMOVE, "").otherwise("[TERM]").alias("put")))
+    terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,share:double,put:string>>")), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("rank"), s["end"].alias("end"), s["put"].alias("put")))
     cuts = F.array_sort(F.concat(base, terms))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

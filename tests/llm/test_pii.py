@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 from larder.llm import pii
 
@@ -55,6 +58,72 @@ def test_terms_that_meet_an_entity_alone_disclose_it(spark):
     assert clean[0] == "line\nthe  office of [EMAIL] is shut" and clean[15] == rows[9][1]
 
 
+def near(text, start, end):
+    """Words of three letters or more within 80 characters of a span, not cut and not in a span."""
+    taken = [(s, e) for _, s, e in base(text)]
+    for m in re.finditer(r"[^\W\d_]{3,}", text):
+        inside = start - 80 <= m.start() and m.end() <= start or end <= m.start() and m.end() <= end + 80
+        if inside and not any(s < m.end() and m.start() < e for s, e in taken):
+            yield m.start(), m.end(), m[0].lower()
+
+
+def brute_terms(rows, disclosure=pii.DISCLOSURE):
+    """By row number: the terms that disclose, as (start, end)."""
+    words = Counter(w for _, t in rows for w in {x.lower() for x in re.findall(r"[^\W\d_]{3,}", t)})
+    met = []
+    for k, (_, text) in enumerate(rows):
+        for kind, s, e in base(text):
+            v = text[s:e].lower()
+            group = {"email": v.split("@")[-1], "ip": ".".join(v.split(".")[:3])}.get(kind, re.sub("[^0-9]", "", v)[:6])
+            met += [(k, a, b, w, key) for a, b, w in near(text, s, e) for key in ((kind, v), (kind, "group", group))]
+    both, entity = Counter(), Counter()
+    both.update((w, key) for _, w, key in {(k, w, key) for k, _, _, w, key in met})
+    entity.update(key for _, key in {(k, key) for k, *_, key in met})
+    out = {k: set() for k in range(len(rows))}
+    for k, a, b, w, key in met:
+        info = math.log2(len(rows) / entity[key]) if entity[key] < len(rows) else 0
+        if info and (info + math.log2(both[w, key] / (max(words[w], both[w, key]) + 1))) / info >= disclosure:
+            out[k].add((a, b))
+    return out
+
+
+def test_terms_match_a_plain_count(spark):
+    r = random.Random(4)
+    common = ["line", "office", "open", "number", "please", "write", "café"]
+    rows = []
+    for i in range(300):
+        body = [r.choice(common) for _ in range(r.randint(3, 40))]
+        if i % 3 == 0:
+            who = r.randrange(12)
+            body.insert(r.randrange(len(body)), r.choice([f"w{who}@firm{who % 4}.org", f"10.0.{who}.7", "+49 30 1234567"]))
+            body.insert(r.randrange(len(body)), r.choice([f"name{'abcdefghijkl'[who]}son", "Rare" + "".join(r.choices("abcdef", k=4))]))
+        rows.append((i // 2, r.choice([" ", "\n"]).join(body)))
+    rows += [rows[0], (None, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {}
+    for k, found in brute_terms(rows, 0.8).items():
+        want[rows[k]] = sorted(found)
+    got = pii.find_personal_data(docs, disclosure=0.8)
+    text = {(r.doc_id, r.base_sha256) for r in got.collect()}
+    assert len(text) > 100
+    seen = Counter()
+    for row in got.collect():
+        terms = tuple(tuple(map(int, x.split(":")[1:])) for x in row.spans.split(",") if x.startswith("term"))
+        seen[row.doc_id, row.base_sha256, terms] += 1
+    expected = Counter()
+    for i, t in rows:
+        line = ",".join(f"{k}:{s}:{e}" for k, s, e in base(t))
+        expected[i, hashlib.sha256(line.encode()).hexdigest(), tuple(want[i, t])] += 1
+    assert seen == expected and sum(len(x) for *_, x in seen) > 20
+
+
+def test_a_term_becomes_the_longest_prefix_that_discloses_less(spark):
+    rows = [(i, f"meet Zanzibar at bob@x.org {i}") for i in range(4)] + [(10 + i, "the zany zoo keeper zipped") for i in range(60)]
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    terms = {x.split(":")[-1] for x in got[0].decisions.split(",") if x.startswith("5:13:")}
+    assert terms == {"zan*"} and got[20].decisions == ""
+
+
 def test_empty_table_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a@b.cd"), (1, "a@b.cd"), (None, "a@b.cd"), (1, "no")], "doc_id long, text string")
     assert sorted(r.spans for r in pii.find_personal_data(docs).collect()) == ["", "email:0:6", "email:0:6", "email:0:6"]
