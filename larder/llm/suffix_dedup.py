@@ -14,6 +14,7 @@ o bytes to the left and WINDOW - o to the right.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import partitions, stored, text_of
-from larder.llm.line_dedup import FILTER_BYTES, SLOTS, CuckooFilter, build_filters
 
 WINDOW = 400
 GRAM = 200
@@ -33,6 +33,10 @@ SHALLOW = 64
 LARGE_GROUP = 16_384
 #: Stretches that are sorted together.
 TOGETHER = 8_192
+#: Bits of a filter that goes to all tasks: 32 MB at any size of the input.
+FILTER_BITS = 1 << 28
+_SEGMENT_BITS = 6
+_SEGMENT = FILTER_BITS >> _SEGMENT_BITS
 #: Windows that are hashed together.
 _CHUNK = 1 << 17
 _MASK = np.uint64((1 << 18) - 1)
@@ -239,35 +243,47 @@ def _bodies(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataF
 
 
 class _Filter:
-    """A broadcast filter of 64-bit keys, or none where it would be too large."""
+    """A Bloom filter of 64-bit hashes, of the same size for any input, so it may be broadcast.
+
+    The more keys it has, the more others it lets pass: an exact join follows wherever it is used.
+    """
 
     def __init__(self, keys: DataFrame):
-        """``keys``: distinct longs, in a column ``key``."""
-        self.shipped, self.shards = None, 1
-        if keys.count() * 8 <= FILTER_BYTES:
-            filters, self.shards = build_filters(keys.select(F.col("key").alias("h1"), F.col("key").alias("h2")))
-            rows = filters.collect()  # FILTER_BYTES at most, as just checked
-            self.shipped = keys.sparkSession.sparkContext.broadcast({r.shard: (r.buckets, bytes(r.body)) for r in rows})
+        """``keys``: longs in a column ``key``, whose bits are those of a hash."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits: dict[int, np.ndarray] = {}
+            for batch in batches:
+                places = _Filter.places(batch.column(0).to_numpy())
+                for s in np.unique(places[0] // _SEGMENT).tolist():
+                    own = places[:, places[0] // _SEGMENT == s] - s * _SEGMENT
+                    bits.setdefault(s, np.zeros(_SEGMENT, bool))[own.ravel()] = True
+            for s, own in bits.items():
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(np.packbits(own).tobytes(), 1)])], ["segment", "body"])
+
+        segments = keys.select("key").repartition(F.col("key").bitwiseAND((1 << _SEGMENT_BITS) - 1)).mapInArrow(run, "segment int, body binary")
+        self.shipped = keys.sparkSession.sparkContext.broadcast([(r.segment, bytes(r.body)) for r in segments.collect()])  # FILTER_BITS at most
+
+    @staticmethod
+    def places(keys: np.ndarray) -> np.ndarray:
+        """Two bits for each key, both in the segment that its last bits name (an anchor's first bits are low)."""
+        keys = keys.view(np.uint64)
+        within = np.stack([keys >> np.uint64(_SEGMENT_BITS), keys >> np.uint64(28)]) & np.uint64(_SEGMENT - 1)
+        return ((keys & np.uint64((1 << _SEGMENT_BITS) - 1)) * np.uint64(_SEGMENT) + within).astype(np.int64)
 
     def tester(self):
         """On an executor: a function that says which keys may be among those of the filter."""
-        if self.shipped is None:
-            return lambda keys: np.ones(len(keys), bool)
-        tables = {s: CuckooFilter(n, np.frombuffer(b, np.uint16).reshape(n, SLOTS)) for s, (n, b) in self.shipped.value.items()}
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for s, body in self.shipped.value:
+            bits[s * _SEGMENT // 8 : (s + 1) * _SEGMENT // 8] = np.frombuffer(zlib.decompress(body), np.uint8)
 
         def test(keys: np.ndarray) -> np.ndarray:
-            hit, shard = np.zeros(len(keys), bool), np.mod(keys, self.shards)
-            for s, table in tables.items():
-                own = np.flatnonzero(shard == s)
-                hit[own] = table.may_hold(keys[own].view(np.uint64))
-            return hit
+            at = _Filter.places(keys)
+            return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(axis=0)
 
         return test
 
     def column(self, key: str) -> Column:
-        if self.shipped is None:
-            return F.lit(True)
-
         @F.pandas_udf("boolean")
         def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             test = self.tester()
@@ -403,7 +419,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = stretches.join(classes.filter("n > 1").select(*of), of).select("doc_id", "row", F.col("first").alias("start"), (F.col("last") + WINDOW).alias("end"))
     mixed = classes.groupBy("h").agg(F.count("*").alias("classes"), F.min("n").alias("least")).filter("classes > 1 and least = 1")
     asked = classes.withColumn("alone", F.col("n") == 1).join(mixed.select("h", "classes"), "h")
-    ranges = whole
+    # a stage of its own: Spark can split a key that a third of the stretches share
+    ranges = stored(whole, "suffix-whole")
     for part, solve in ((F.col("classes") <= large_group, _sorted_ranges), (F.col("classes") > large_group, _counted_ranges)):
         own = asked.filter(part)
         if not own.isEmpty():

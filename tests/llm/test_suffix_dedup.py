@@ -49,11 +49,10 @@ def test_matches_brute_force(spark, large_group):
     assert digests(sd.suffix_dedup(docs, large_group=large_group)) == brute(rows)
 
 
-def test_without_filters_and_over_chunk_borders(spark, monkeypatch):
+def test_over_chunk_borders(spark):
     r = random.Random(8)
     long = "".join(r.choices("abcdefgh", k=sd._CHUNK + 900))
     rows = [(1, long), (2, "x" + long[sd._CHUNK - 300 : sd._CHUNK + 500]), (3, "y" + long[100:700])]
-    monkeypatch.setattr(sd, "FILTER_BYTES", 0)
     assert digests(sd.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
@@ -72,3 +71,12 @@ def test_deep_shallow_order_and_prefixes():
         a, b = strings[order[k - 1]], strings[order[k]]
         common = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         assert lcp[k] == (common if group[order[k - 1]] == group[order[k]] else -1)
+
+
+def test_filter_lets_its_keys_pass_and_few_others(spark):
+    g = np.random.default_rng(4)
+    keys, others = g.integers(-(2**63), 2**63, (2, 5000))
+    made = sd._Filter(spark.createDataFrame([(int(x),) for x in keys], "key long"))
+    test = made.tester()
+    assert test(keys).all() and test(others).mean() < 0.01
+    assert not sd._Filter(spark.createDataFrame([], "key long")).tester()(keys).any()
