@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+#: The columns that may not be below zero.
 NOT_NEGATIVE = ["demand", "sales_quantity", "inventory_level", "order_received", "lead_time", "safety_stock", "reorder_point", "order_quantity", "unit_cost", "unit_price"]
 
 
@@ -31,11 +32,11 @@ def _missing(df: DataFrame) -> Column:
 
 
 def contract_violations(panel: DataFrame) -> DataFrame:
-    """(check_name, violations): one pass over the panel, with one shuffle by SKU."""
+    """(check_name, violations): one pass over the panel, dealt by SKU."""
     gap = F.datediff("date", F.lag("date").over(_w()))
     before = F.lag("inventory_level").over(_w())
     marked = panel.select(
-        "*", F.count("*").over(Window.partitionBy("sku_id", "date")).alias("_same"), gap.alias("_gap"), before.alias("_before"), _missing(panel).alias("_missing"),
+        "*", F.count("*").over(_w().rangeBetween(0, 0)).alias("_same"), gap.alias("_gap"), before.alias("_before"), _missing(panel).alias("_missing"),
     )
     negative = reduce(lambda a, b: a | b, [F.col(c) < 0 for c in NOT_NEGATIVE])
     flow = F.col("_before") + F.col("order_received") - F.col("sales_quantity")
@@ -78,13 +79,13 @@ def inventory_balance(panel: DataFrame) -> DataFrame:
 
 def require_forecast(frame: DataFrame, first, last, final_start) -> DataFrame:
     """A calibration forecast: inside its window, unique, finite, and without gaps per SKU."""
-    number = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    number = lambda c: F.coalesce(F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf")), F.lit(True))
     gap = F.datediff("date", F.lag("date").over(_w()))
     marked = frame.withColumns({"_gap": gap, "_same": F.count("*").over(Window.partitionBy("sku_id", "date"))})
     found = marked.agg(
         F.count_if((F.col("date") < F.lit(first)) | (F.col("date") > F.lit(last)) | (F.col("date") >= F.lit(final_start))).alias("dates outside the configured window"),
         F.count_if(F.col("_same") > 1).alias("duplicate SKU-date"),
-        F.count_if(number("demand") | number("forecast")).alias("values missing"),
+        F.count_if(number("demand") | number("forecast")).alias("values missing or not finite"),
         F.count_if(F.col("demand") < 0).alias("negative demand"),
         F.count_if((F.col("_gap") != 1) & (F.col("_same") == 1)).alias("gaps in the calendar"),
     ).first().asDict()

@@ -47,15 +47,21 @@ def pick_baseline(panel: DataFrame, settings: Settings) -> str:
     return candidate_table(frame, BASELINES).first()["model"]
 
 
-def baseline_winner(panel: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
-    """(class, model, wape, n_obs, rank): all baselines of each class, best first."""
+def segments(classes: DataFrame, scope: DataFrame) -> DataFrame:
+    """(sku_id, class, segment): the group that shares a model, an intervention's SKUs or else those of a class."""
+    known = F.broadcast(scope.select("class", "intervention"))  # nine classes at most
+    return classes.join(known, "class", "left").select("sku_id", "class", F.coalesce("intervention", "class").alias("segment"))
+
+
+def baseline_winner(panel: DataFrame, groups: DataFrame, settings: Settings) -> DataFrame:
+    """(segment, model, wape, n_obs, rank): all baselines of each segment's SKUs, best first."""
     w = settings.windows
     frame = baseline_forecasts(panel.filter(F.col("date") <= F.lit(w.selection_end)).select("sku_id", "date", "demand"), w.season)
-    frame = with_dimension(frame.filter(F.col("date") > F.date_sub(F.lit(w.selection_end), w.selection_days)), classes, ["sku_id"])
-    long = frame.unpivot(["class", "demand"], list(BASELINES), "model", "forecast").filter("forecast is not null")
-    scored = long.groupBy("class", "model").agg(wape(F.col("demand"), F.col("forecast")).alias("wape"), F.count("*").alias("n_obs"))
+    frame = with_dimension(frame.filter(F.col("date") > F.date_sub(F.lit(w.selection_end), w.selection_days)), groups.select("sku_id", "segment"), ["sku_id"])
+    long = frame.unpivot(["segment", "demand"], list(BASELINES), "model", "forecast").filter("forecast is not null")
+    scored = long.groupBy("segment", "model").agg(wape(F.col("demand"), F.col("forecast")).alias("wape"), F.count("*").alias("n_obs"))
     order = F.array_position(F.array(*map(F.lit, BASELINES)), F.col("model"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy(F.asc_nulls_last("wape"), order)))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("segment").orderBy(F.asc_nulls_last("wape"), order)))
 
 
 def baseline_forecast(panel: DataFrame, first, last, model: str, settings: Settings) -> DataFrame:

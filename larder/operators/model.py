@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import json
+from concurrent.futures import ThreadPoolExecutor
+from statistics import median
+
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -11,6 +16,7 @@ from pyspark.sql import functions as F
 
 from larder.config import Settings
 from larder.functions.exprs import wape
+from larder.functions.ordered import settled
 from larder.operators.features import BASELINES, baseline_forecasts, create_features, feature_names
 from larder.operators.forecast import candidate_table, date_folds
 
@@ -18,24 +24,43 @@ from larder.operators.forecast import candidate_table, date_folds
 MISSING = -1.0
 
 
+#: Most trees of a model; folds stop earlier where more trees don't help.
+MOST_TREES = 30
+#: Trials and folds that are fitted at the same time.
+FITTED_TOGETHER = 8
+
+
 def parameter_plan(trials: int, seed: int) -> list[dict]:
-    """Random settings of the model, the same for a seed."""
+    """Random settings of the model, the same for a seed: eight of each."""
     g = np.random.default_rng(seed)
-    return [{"maxDepth": int(g.integers(3, 7)), "maxIter": int(g.integers(10, 31)), "stepSize": float(np.exp(g.uniform(np.log(0.05), np.log(0.3)))), "subsamplingRate": float(g.uniform(0.6, 1.0)), "minInstancesPerNode": int(g.integers(5, 40))} for _ in range(trials)]
+    log = lambda low, high: float(np.exp(g.uniform(np.log(low), np.log(high))))
+    return [
+        {"maxDepth": int(g.integers(2, 7)), "stepSize": log(0.05, 0.3), "subsamplingRate": float(g.uniform(0.4, 1.0)), "featureSubsetStrategy": f"{g.uniform(0.4, 1.0):.4f}", "minInstancesPerNode": int(g.integers(5, 101)), "minInfoGain": log(1e-8, 1.0), "minWeightFractionPerNode": log(1e-8, 0.01), "maxBins": int(g.integers(32, 129))}
+        for _ in range(trials)
+    ]
 
 
 def filled(features: DataFrame) -> DataFrame:
     return features.select("sku_id", "date", F.col("demand").cast("double").alias("demand"), *[F.coalesce(F.col(c).cast("double"), F.lit(MISSING)).alias(c) for c in feature_names(features) if c != "sku_id"])
 
 
-def train(features: DataFrame, params: dict, before, seed: int = 42) -> PipelineModel:
-    """One model over all SKUs from the days before ``before``; SKUs are categories in name order."""
-    rows = filled(features.filter(F.col("date") < F.lit(before)))
+def train(features: DataFrame, params: dict, before, seed: int = 42, judged: tuple | None = None) -> PipelineModel:
+    """One model over all SKUs from the days before ``before``; SKUs are categories in name order.
+
+    ``judged`` are the first and last day of a fold: with them boosting stops where
+    the fold's error no longer falls, and the model keeps its best number of trees.
+    """
+    known = F.col("date") < F.lit(before)
+    rows = filled(features.filter(known if judged is None else known | F.col("date").between(*map(F.lit, judged))))
     skus = features.select("sku_id").distinct().count()
     index = StringIndexer(inputCol="sku_id", outputCol="sku_index", stringOrderType="alphabetAsc", handleInvalid="keep")
     numeric = [c for c in rows.columns if c not in ("sku_id", "date", "demand")]
     assemble = VectorAssembler(inputCols=["sku_index", *numeric], outputCol="features")
-    trees = GBTRegressor(labelCol="demand", seed=seed, maxBins=max(64, skus + 2), **params)
+    own = {"maxIter": MOST_TREES} | params
+    own["maxBins"] = max(own.get("maxBins", 64), skus + 2)
+    trees = GBTRegressor(labelCol="demand", seed=seed, **own)
+    if judged is not None:
+        rows, trees = rows.withColumn("judged", ~known), trees.setValidationIndicatorCol("judged")
     return Pipeline(stages=[index, assemble, trees]).fit(rows)
 
 
@@ -45,22 +70,49 @@ def predict(model: PipelineModel, features: DataFrame, first, last) -> DataFrame
     return model.transform(rows).select("sku_id", "date", "demand", F.greatest("prediction", F.lit(0.0)).alias("forecast"), F.lit("GBT").alias("model"))
 
 
+def _folds(features: DataFrame, settings: Settings) -> list:
+    return date_folds(features, settings).groupBy("fold").agg(F.min("date").alias("first"), F.max("date").alias("last")).orderBy("fold").collect()  # five rows
+
+
+def trials_of(features: DataFrame, settings: Settings, trials: int = 8) -> list[tuple[dict, float, int]]:
+    """(settings, mean WAPE over folds, median of the folds' best numbers of trees) of each trial.
+
+    Each fold is forecast by a model of the days before it.  Folds of all trials
+    are fitted side by side, as one small fit leaves most of a cluster idle.
+    """
+    folds, plan = _folds(features, settings), parameter_plan(trials, settings.seed)
+
+    def fit(job: tuple[dict, object]) -> tuple[float | None, int]:
+        params, f = job
+        model = train(features, params, f["first"], settings.seed, (f["first"], f["last"]))
+        score = predict(model, features, f["first"], f["last"]).agg(wape(F.col("demand"), F.col("forecast"))).first()[0]
+        return score, model.stages[2].getNumTrees
+
+    with ThreadPoolExecutor(FITTED_TOGETHER) as pool:
+        done = list(pool.map(inheritable_thread_target(features.sparkSession)(fit), [(params, f) for params in plan for f in folds]))
+    found = []
+    for i, params in enumerate(plan):
+        own = done[i * len(folds) : (i + 1) * len(folds)]
+        known = [s for s, _ in own if s is not None]
+        found.append((params, sum(known) / len(known) if known else float("inf"), int(median(n for _, n in own)) if own else MOST_TREES))
+    return found
+
+
 def tune(features: DataFrame, settings: Settings, trials: int = 8) -> tuple[dict, float]:
-    """The settings with the least mean WAPE over folds, each trained on the days before it."""
-    folds = date_folds(features, settings).groupBy("fold").agg(F.min("date").alias("first"), F.max("date").alias("last")).orderBy("fold").collect()  # five rows
-    best: tuple[dict, float] = ({}, float("inf"))
-    for params in parameter_plan(trials, settings.seed):
-        scores = [predict(train(features, params, f["first"], settings.seed), features, f["first"], f["last"]).agg(wape(F.col("demand"), F.col("forecast"))).first()[0] for f in folds]
-        known = [s for s in scores if s is not None]
-        score = sum(known) / len(known) if known else float("inf")
-        if score < best[1]:
-            best = (params, score)
-    return best
+    """The settings with the least mean WAPE over folds, with the number of trees that the folds chose."""
+    params, score, trees = min(trials_of(features, settings, trials), key=lambda t: t[1])
+    return params | {"maxIter": max(1, trees)}, score
+
+
+def trial_table(features: DataFrame, settings: Settings, trials: int = 8) -> DataFrame:
+    """(trial, params, wape, trees), one row for each trial."""
+    rows = [(i + 1, json.dumps(params, sort_keys=True), float(score), trees) for i, (params, score, trees) in enumerate(trials_of(features, settings, trials))]
+    return features.sparkSession.createDataFrame(rows, "trial int, params string, wape double, trees int")
 
 
 def selection_forecast(features: DataFrame, params: dict, settings: Settings) -> DataFrame:
     """Out-of-fold forecasts of the selection days."""
-    folds = date_folds(features, settings).groupBy("fold").agg(F.min("date").alias("first"), F.max("date").alias("last")).orderBy("fold").collect()  # five rows
+    folds = _folds(features, settings)
     parts = [predict(train(features, params, f["first"], settings.seed), features, f["first"], f["last"]) for f in folds]
     out = parts[0]
     for part in parts[1:]:
@@ -83,9 +135,16 @@ def importance(model: PipelineModel) -> list[tuple[str, float]]:
     return sorted(zip(names, model.stages[2].featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
 
 
-def gbt_query(panel: DataFrame, settings: Settings) -> DataFrame:
-    """Final forecasts with frozen settings (the first of the plan), trained before the final window."""
+def tuned_forecast(panel: DataFrame, settings: Settings, trials: int = 8) -> DataFrame:
+    """Final forecasts of these SKUs by one model with tuned settings, trained before the final window."""
     w = settings.windows
-    features = create_features(panel).cache()
-    model = train(features, parameter_plan(1, settings.seed)[0] | {"maxIter": 10}, w.final_start, settings.seed)
+    features = settled(create_features(panel))
+    params, _ = tune(features, settings, trials)
+    model = train(features, params, w.final_start, settings.seed)
     return predict(model, features, w.final_start, panel.agg(F.max("date")).first()[0])
+
+
+def tuned_comparison(panel: DataFrame, settings: Settings, trials: int = 8) -> DataFrame:
+    """The tuned trees against the baselines on the selection days of these SKUs, best first."""
+    features = settled(create_features(panel))
+    return compare_candidates(features, panel, tune(features, settings, trials)[0], settings)

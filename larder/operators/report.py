@@ -125,7 +125,8 @@ def scope_coverage(panel: DataFrame, classes: DataFrame, scope: DataFrame) -> Da
     """How much of SKUs, demand and margin (not clipped here) the scope covers."""
     inside = F.col("intervention").isNotNull()
     margin = F.col("demand") * (F.col("unit_price") - F.col("unit_cost"))
-    rows = panel.join(F.broadcast(classes.join(F.broadcast(scope.select("class", "intervention")), "class", "left")), "sku_id")  # a row per SKU
+    # a row for each SKU, whose number grows with the panel: Spark chooses the join by its size
+    rows = panel.join(classes.join(F.broadcast(scope.select("class", "intervention")), "class", "left"), "sku_id")
     return rows.agg(
         F.countDistinct("sku_id").alias("n_sku"), F.countDistinct(F.when(inside, F.col("sku_id"))).alias("n_in_scope"),
         ratio(F.sum(F.when(inside, F.col("demand")).otherwise(0)), F.sum("demand")).alias("demand_coverage"), ratio(F.sum(F.when(inside, margin).otherwise(0.0)), F.sum(margin)).alias("margin_coverage"),

@@ -29,7 +29,7 @@ def neat(df: DataFrame) -> DataFrame:
 
 
 #: Steps that others build on more than once: they are kept, so that plans stay short.
-_KEPT = {"panel", "classes", "scope", "winners", "calibration", "final_forecast", "audit", "chosen", "recorded", "inferred", "old_metric", "new_metric", "stress"}
+_KEPT = {"panel", "classes", "scope", "strategic", "winners", "calibration", "final_forecast", "audit", "chosen", "recorded", "inferred", "old_metric", "new_metric", "stress"}
 
 
 class Book:
@@ -50,9 +50,9 @@ class Book:
 
 
 def class_forecast(b: Book, first, last) -> DataFrame:
-    """(sku_id, date, demand, class, model, forecast): each class by its best baseline."""
-    best = b.winners.filter("rank = 1").select("class", "model")
-    models = b.classes.join(F.broadcast(best), "class")  # nine classes at most
+    """(sku_id, date, demand, class, model, forecast): the SKUs of an intervention (or else of a class) by their best baseline."""
+    best = b.winners.filter("rank = 1").select("segment", "model")
+    models = b.segments.join(F.broadcast(best), "segment").drop("segment")  # a dozen segments at most
     frame = features.baseline_forecasts(b.panel.select("sku_id", "date", "demand"), b.w.season).filter(F.col("date").between(F.lit(first), F.lit(last)))
     picked = F.when(F.col("model") == "Naive", F.col("Naive")).when(F.col("model") == "SeasonalNaive", F.col("SeasonalNaive")).otherwise(F.col("HistoricMean"))
     return frame.join(models, "sku_id").select("sku_id", "date", "demand", "class", "model", F.when(picked.isNotNull(), F.greatest(picked, F.lit(0.0))).alias("forecast"))
@@ -80,7 +80,9 @@ _STEPS: dict[str, Callable[[Book], DataFrame]] = {
     "medians": lambda b: policy.sku_medians(b.panel, b.s),
     "scope": lambda b: classify.optimization_scope(b.panel, b.classes, b.s),
     "skus": lambda b: policy.scope_of(b.classes, b.scope),
-    "winners": lambda b: forecast.baseline_winner(b.panel, b.classes, b.s),
+    "segments": lambda b: forecast.segments(b.classes, b.scope),
+    "winners": lambda b: forecast.baseline_winner(b.panel, b.segments, b.s),
+    "strategic": lambda b: b.panel.join(b.skus.filter("intervention = 'protect_strategic_value'").select("sku_id"), "sku_id", "left_semi"),
     "calibration": lambda b: class_forecast(b, b.w.calibration_start, b.w.calibration_end),
     "final_forecast": lambda b: class_forecast(b, b.w.final_start, b.panel.agg(F.max("date")).first()[0]),
     "audit": lambda b: policy.policy_grid(b.calibration.drop("class", "model"), b.panel, b.skus, b.s),
@@ -145,7 +147,7 @@ _QUERIES: dict[str, Callable[[Book], DataFrame]] = {
     "calendar_features": lambda b: _features(b).select("sku_id", "date", *_CALENDAR, "month_sin", "month_cos", "dow_sin", "dow_cos"),
     "lag_features": lambda b: _features(b).select("sku_id", "date", *_LAGS),
     "rolling_features": lambda b: _features(b).select("sku_id", "date", *_ROLLS),
-    "trend_features": lambda b: _features(b).filter("lag_30 is not null and roll_mean_90 is not null and roll_mean_90 > 0 and lag_7 > 0").select("sku_id", "date", *_TRENDS),
+    "trend_features": lambda b: _features(b).select("sku_id", "date", *_TRENDS),
     "ewm_features": lambda b: _features(b).select("sku_id", "date", "ewm_3", "ewm_5", "ewm_7"),
     "baseline_forecasts": lambda b: features.baseline_forecasts(b.panel, b.w.season).select("sku_id", "date", *features.BASELINES),
     "date_folds": lambda b: forecast.date_folds(b.panel, b.s),
@@ -176,7 +178,8 @@ _QUERIES: dict[str, Callable[[Book], DataFrame]] = {
     "policy_action": lambda b: b.actions.drop("service_floor"),
     "fallback_action": lambda b: report.fallback_action(b.chosen, b.medians),
     "action_filtered": lambda b: report.filtered_actions(b.actions, action="Q"),
-    "gbt_forecast": lambda b: model.gbt_query(b.panel, b.s),
+    "gbt_forecast": lambda b: model.tuned_forecast(b.strategic, b.s),
+    "model_comparison": lambda b: model.tuned_comparison(b.strategic, b.s),
 }
 
 
@@ -299,11 +302,11 @@ def oracle_sql() -> dict[str, str]:
         "calendar_features": q(f"SELECT sku_id, date, {i('month(date)', 'month')}, {i('quarter(date)', 'quarter')}, {i('year(date)', 'year')}, {i('isodow(date) - 1', 'dayofweek')}, {i('day(date)', 'day')}, {i('isodow(date) >= 6', 'is_weekend')}, {i('day(date) <= 5', 'is_month_start')}, {i('day(date) >= 25', 'is_month_end')}, {i('(year(date) - (SELECT min(year(date)) FROM panel)) * 12 + month(date)', 'month_index')}, {r('sin(2 * pi() * month(date) / 12)', 'month_sin')}, {r('cos(2 * pi() * month(date) / 12)', 'month_cos')}, {r('sin(2 * pi() * (isodow(date) - 1) / 7)', 'dow_sin')}, {r('cos(2 * pi() * (isodow(date) - 1) / 7)', 'dow_cos')} FROM panel"),
         "lag_features": q(f"SELECT sku_id, date, {', '.join(_LAGS)} FROM feat", **feat),
         "rolling_features": q("SELECT sku_id, date, " + ", ".join(f"{r(f'roll_mean_{n}', f'roll_mean_{n}')}, {r(f'roll_std_{n}', f'roll_std_{n}')}, {r(f'roll_std_{n} / (roll_mean_{n} + 1e-6)', f'roll_cv_{n}')}" for n in features.SPANS) + " FROM feat", **feat),
-        "trend_features": q(f"SELECT sku_id, date, lag_1 - lag_7 AS diff_1_7, lag_7 - lag_30 AS diff_7_30, {r('roll_mean_30 - roll_mean_90', 'mean_diff_30_90')}, {r('lag_1 / (lag_7 + 1e-6)', 'growth_7')}, {r('lag_7 / (lag_30 + 1e-6)', 'growth_30')}, {r('roll_mean_30 / (roll_mean_90 + 1e-6)', 'growth_mean')} FROM feat WHERE lag_30 IS NOT NULL AND roll_mean_90 > 0 AND lag_7 > 0", **feat),
+        "trend_features": q(f"SELECT sku_id, date, lag_1 - lag_7 AS diff_1_7, lag_7 - lag_30 AS diff_7_30, {r('roll_mean_30 - roll_mean_90', 'mean_diff_30_90')}, {r('lag_1 / (lag_7 + 1e-6)', 'growth_7')}, {r('lag_7 / (lag_30 + 1e-6)', 'growth_30')}, {r('roll_mean_30 / (roll_mean_90 + 1e-6)', 'growth_mean')} FROM feat", **feat),
         "ewm_features": q("SELECT sku_id, date, " + ", ".join(r(f"CASE WHEN len(h) > 0 THEN {_EWM(a)} END", f"ewm_{int(a * 10)}") for a in features.ALPHAS) + f" FROM (SELECT sku_id, date, list(CAST(demand AS DOUBLE)) OVER (PARTITION BY sku_id ORDER BY date ROWS BETWEEN {features.EWM_DAYS} PRECEDING AND 1 PRECEDING) AS h FROM panel)"),
         "baseline_forecasts": q(f"""SELECT sku_id, date, {r('"Naive"', '"Naive"')}, {r('"SeasonalNaive"', '"SeasonalNaive"')}, {r('"HistoricMean"', '"HistoricMean"')} FROM base"""),
         "date_folds": q(f"SELECT date, {i(f'ntile({W.folds}) OVER (ORDER BY date)', 'fold')} FROM (SELECT DISTINCT date FROM panel WHERE date BETWEEN {SEL_END} - {W.selection_days - 1} AND {SEL_END})"),
-        "baseline_winner": q(f"SELECT class, model, {r('wape', 'wape')}, {i('n_obs', 'n_obs')}, {i('rank', 'rank')} FROM wins"),
+        "baseline_winner": q(f"SELECT segment, model, {r('wape', 'wape')}, {i('n_obs', 'n_obs')}, {i('rank', 'rank')} FROM wins"),
         "baseline_calibration_forecast": q(f"SELECT sku_id, date, demand, class, model, {r('forecast', 'forecast')} FROM fcal"),
         "baseline_final_forecast": q(f"SELECT sku_id, date, demand, class, model, {r('forecast', 'forecast')} FROM ffin"),
         "model_mix": q(f"SELECT model, {i('count(DISTINCT sku_id)', 'n_sku')}, {i('count(*)', 'n_rows')} FROM ffin GROUP BY model"),

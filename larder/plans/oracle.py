@@ -66,9 +66,10 @@ CTES: dict[str, str] = {
     "scope": f"""SELECT *, CASE WHEN abc = 'A' AND a_share >= {S.strategic_share} THEN 'protect_strategic_value' WHEN abc = 'C' AND fill_rate < {S.understock_fill} THEN 'correct_understock'
         WHEN fill_rate >= {S.overstock_fill} AND doi >= (SELECT quantile_cont(doi, {S.overstock_quantile}) FROM scope2) THEN 'reduce_overstock' END AS intervention FROM scope2""",
     "skus": "SELECT sku_id, c.class, intervention FROM cls c JOIN scope s ON c.class = s.class WHERE intervention IS NOT NULL",
-    "wins0": "SELECT class, model, pos, sum(abs(demand - forecast)) / nullif(sum(abs(demand)), 0) AS wape, count(*) AS n_obs FROM sel_long l JOIN cls c ON l.sku_id = c.sku_id WHERE forecast IS NOT NULL GROUP BY 1, 2, 3",
-    "wins": "SELECT class, model, wape, n_obs, row_number() OVER (PARTITION BY class ORDER BY wape ASC NULLS LAST, pos) AS rank FROM wins0",
-    "fc": """SELECT b.sku_id, b.date, b.demand, c.class, w.model, CASE w.model WHEN 'Naive' THEN "Naive" WHEN 'SeasonalNaive' THEN "SeasonalNaive" ELSE "HistoricMean" END AS raw FROM base b JOIN cls c ON b.sku_id = c.sku_id JOIN wins w ON c.class = w.class AND w.rank = 1""",
+    "segs": "SELECT c.sku_id, c.class, coalesce(s.intervention, c.class) AS segment FROM cls c LEFT JOIN scope s ON c.class = s.class",
+    "wins0": "SELECT segment, model, pos, sum(abs(demand - forecast)) / nullif(sum(abs(demand)), 0) AS wape, count(*) AS n_obs FROM sel_long l JOIN segs c ON l.sku_id = c.sku_id WHERE forecast IS NOT NULL GROUP BY 1, 2, 3",
+    "wins": "SELECT segment, model, wape, n_obs, row_number() OVER (PARTITION BY segment ORDER BY wape ASC NULLS LAST, pos) AS rank FROM wins0",
+    "fc": """SELECT b.sku_id, b.date, b.demand, c.class, w.model, CASE w.model WHEN 'Naive' THEN "Naive" WHEN 'SeasonalNaive' THEN "SeasonalNaive" ELSE "HistoricMean" END AS raw FROM base b JOIN segs c ON b.sku_id = c.sku_id JOIN wins w ON c.segment = w.segment AND w.rank = 1""",
     "fcal": f"SELECT sku_id, date, demand, class, model, CASE WHEN raw IS NOT NULL THEN greatest(raw, 0) END AS forecast FROM fc WHERE date BETWEEN {CAL} AND {CAL_END}",
     "ffin": f"SELECT sku_id, date, demand, class, model, CASE WHEN raw IS NOT NULL THEN greatest(raw, 0) END AS forecast FROM fc WHERE date >= {FINAL}",
     "med": f"""SELECT sku_id, median(lead_time) AS lead_time, median(unit_cost) AS unit_cost, median(unit_price) AS unit_price, median(order_quantity) AS order_quantity, median(reorder_point) AS reorder_point, median(safety_stock) AS safety_stock FROM panel WHERE date < {FINAL} GROUP BY sku_id""",
