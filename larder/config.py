@@ -34,10 +34,11 @@ class Windows:
 @dataclass(frozen=True)
 class Settings:
     windows: Windows = field(default_factory=Windows)
-    # fixed values: service targets in percent, by class and by intervention, and fill floors
+    # fixed values from here on: service targets in percent, by class and by intervention, and fill floors
     service_by_class: dict[str, float] = field(default_factory=lambda: {"AX": 99, "AY": 97, "AZ": 90, "CX": 90, "BZ": 85, "CZ": 80})
     service_by_intervention: dict[str, float] = field(default_factory=lambda: {"protect_strategic_value": 97, "correct_understock": 90, "reduce_overstock": 85})
     floor_by_intervention: dict[str, float] = field(default_factory=lambda: {"protect_strategic_value": 0.97, "correct_understock": 0.95, "reduce_overstock": 0.98})
+    # costs, and the grids of policies, prices and stress
     ordering_cost: float = 50.0
     holding_rate: float = 0.25
     shortage_multiplier: float = 1.0
@@ -51,6 +52,7 @@ class Settings:
     block_days: int = 7
     lead_multipliers: tuple[float, ...] = (0.8, 1.0, 1.2, 1.5)
     lead_probabilities: tuple[float, ...] = (0.1, 0.5, 0.3, 0.1)
+    # thresholds of classes and scope
     value_basis: str = "gross_margin"
     a_share: float = 0.80
     b_share: float = 0.95

@@ -10,10 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows with a short lineage: checkpointed where the cluster names a folder, else kept in memory and on disk."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+from larder.functions.stored import settled
 
 
 def running_total(df: DataFrame, value: Column, order: list[Column], name: str, total: str | None = None) -> DataFrame:

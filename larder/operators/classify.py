@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from larder.config import Settings
 from larder.functions.exprs import demand_value, ratio
-from larder.functions.ordered import quantiles, running_total, settled
+from larder.functions.ordered import quantiles, running_total
+from larder.functions.stored import settled
 from larder.operators.features import BASELINES, baseline_forecasts
 from larder.operators.forecast import candidate_table, require_no_gap
 from larder.operators.joins import checked_join, with_dimension

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from larder.config import Settings
 from larder.functions.exprs import wape
-from larder.functions.ordered import settled
+from larder.functions.stored import settled
 from larder.operators.features import BASELINES, baseline_forecasts, create_features, feature_names
 from larder.operators.forecast import candidate_table, date_folds
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.config import Settings
 from larder.functions.exprs import at_least_zero, round_up
-from larder.functions.ordered import settled
+from larder.functions.stored import settled
 from larder.operators.simulate import daily_paths, initial_inventory, priced, quantile_of, run_totals, whole_lead_time
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from larder.config import Settings
 from larder.functions.exprs import ratio
-from larder.functions.ordered import numbered, settled
+from larder.functions.ordered import numbered
+from larder.functions.stored import settled
 from larder.operators.joins import with_dimension
 from larder.operators.simulate import POLICY, folded_totals, initial_inventory, priced, refused, require_costs, whole_lead_time
 

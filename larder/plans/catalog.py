@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.config import STANDARD, Settings
-from larder.functions.ordered import settled
+from larder.functions.stored import settled
 from larder.operators import classify, contract, features, forecast, model, policy, report, simulate, uncertainty
 from larder.plans.oracle import FINAL, SEL_END, W, i, metrics, query, r, simulation
 from larder.sources.panel import standard_panel

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.config import Settings
-from larder.functions.ordered import settled
+from larder.functions.stored import settled
 from larder.operators import contract, features, forecast, model, policy, report, uncertainty
 from larder.plans.catalog import Book
 from larder.sources.artifacts import write_artifacts
