@@ -3,6 +3,7 @@
 A test item with an error budget of k edits is cut into k + 1 pieces: within the
 budget, at least one piece survives unchanged.  One pass over a text finds all
 piece hits, and Myers' bit-parallel distance verifies the passage around each.
+Short items have no budget: they are found where they stand as whole words.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from larder.llm.common import text_of
 
 #: Edits that a copy may have, as a share of the item's letters.
 ERROR_RATE = 0.07
-#: Shortest item, in letters and digits of its normal form, that is looked for.
+#: Items with fewer letters and digits in their normal form must match exactly, as whole words.
 MIN_LETTERS = 40
 #: Bytes of items that are broadcast at once; more are worked off in blocks.
 BLOCK_BYTES = 8_000_000
@@ -69,11 +70,13 @@ def myers_search(pattern_bits: dict[str, int], m: int, text: str, budget: int) -
 class Matcher:
     """All pieces of a block of items in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+    def __init__(self, items: list[tuple[int | None, str]], error_rate: float, min_letters: int = MIN_LETTERS):
         self.items = []
         hits: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             budget = int(len(text) * error_rate)
+            if len(text.replace(" ", "")) < min_letters:
+                text, budget = f" {text} ", 0
             bits: dict[str, int] = {}
             for i, letter in enumerate(text):
                 bits[letter] = bits.get(letter, 0) | 1 << i
@@ -87,6 +90,7 @@ class Matcher:
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, distance, start, end) in the normal form: the best passage for each item found."""
+        text = f" {text} "
         asked: dict[tuple[int, int], None] = {}
         for end, (size, places) in self.automaton.iter(text):
             for number, offset in places:
@@ -99,17 +103,23 @@ class Matcher:
             start = max(0, band * (budget + 1) - budget)
             window = text[start : (band + 1) * (budget + 1) + len(item) + budget]
             distance, stop = myers_search(bits, len(item), window, budget)
-            if distance <= budget and (item_id not in best or distance < best[item_id][0]):
-                best[item_id] = (distance, max(0, start + stop - len(item) - distance), start + stop)
-        return [(i, *x) for i, x in best.items()]
-
-
-def _blocks(spark: SparkSession, items: DataFrame, id_col: str, text_col: str, min_letters: int) -> Iterator[list[tuple[int, str]]]:
+            if distance <= budget and (number not in best or distance < best[number][0]):
+                blank = item[0] == " "  # those around a short item don't count
+                best[number] = (distance, max(0, start + stop - len(item) - distance - 1 + blank), min(start + stop - 1 - blank, len(text) - 2))
+        found: dict[int | None, tuple[int, int, int]] = {}
+        for number, x in best.items():
+            item_id = self.items[number][0]
+            if item_id not in found or x[0] < found[item_id][0]:
+                found[item_id] = x
+        return [(i, *x) for i, x in found.items()]
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:
     """The benchmark's items in normal form, in blocks of BLOCK_BYTES at most."""
     held, size = [], 0
     for row in items.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).toLocalIterator():
         text = normal(row.t)
-        if row.i is None or len(text.replace(" ", "")) < min_letters:
+        if not text:
             continue
         if held and size + len(text) > BLOCK_BYTES:
             yield held
@@ -126,26 +136,29 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     Texts are compared in normal form (words of letters and digits, lower case,
     single spaces); start and end are places there, start that of the longest
     passage that can have the distance.  ``error_rate`` of an item's length,
-    rounded down, is its budget of edits.  Items of fewer than ``min_letters``
-    letters or with a null id are not looked for; null texts are empty; repeated
-    rows repeat their result; no items or documents give no rows.  Items are a
-    stated query set: they go to all documents in blocks of bounded size.
+    rounded down, is its budget of edits; items of fewer than ``min_letters``
+    letters and digits must be there as they stand, as whole words.  Items without
+    letters or digits hold nothing to look for.  Items of one id (or none) are one
+    item in several forms: the best match counts.  Null texts are empty; repeated
+    rows repeat their result; texts of any length are searched whole; no items or
+    documents give no rows.  Other columns are not read.  Items are a stated query
+    set: they go to all documents in blocks of bounded size.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, distance int, start int, end int"
     rows = text_of(docs, id_col, text_col)
     found = spark.createDataFrame([], schema)
-    for block in _blocks(spark, items, item_id_col, item_text_col, min_letters):
-        found = found.union(rows.mapInArrow(_searcher(spark, block, error_rate), schema))
+    for block in _blocks(items, item_id_col, item_text_col):
+        found = found.union(rows.mapInArrow(_searcher(spark, block, error_rate, min_letters), schema))
     return found
 
 
-def _searcher(spark: SparkSession, block: list[tuple[int, str]], error_rate: float):
+def _searcher(spark: SparkSession, block: list[tuple[int | None, str]], error_rate: float, min_letters: int):
     shipped = spark.sparkContext.broadcast(block)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shipped.value, error_rate)
+        matcher = Matcher(shipped.value, error_rate, min_letters)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -20,7 +20,9 @@ def brute(docs, items):
     for d, text in docs:
         for i, item in items:
             p = dc.normal(item or "")
-            if i is None or len(p.replace(" ", "")) < dc.MIN_LETTERS:
+            if len(p.replace(" ", "")) < dc.MIN_LETTERS:
+                if p and f" {p} " in f" {dc.normal(text or '')} ":
+                    out.add((d, i, 0))
                 continue
             if (n := nearest(p, dc.normal(text or ""))) <= int(len(p) * dc.ERROR_RATE):
                 out.add((d, i, n))
@@ -32,7 +34,7 @@ def made():
     some = lambda n: " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(n))
     items = [(i, some(14)) for i in range(12)] + [(12, "too short"), (13, None), (None, some(14))]
     items.append((14, items[0][1]))
-    docs = [(i, some(60)) for i in range(30)] + [(30, None), (31, ""), (32, items[3][1])]
+    docs = [(i, some(60)) for i in range(30)] + [(30, None), (31, ""), (32, items[3][1]), (33, "It is Too-short!"), (34, "too shorts"), (35, "not too short, no"), (36, items[14][1]), (37, some(4000) + " " + items[5][1] + some(3000))]
     for k in range(40, 80):
         text = list(items[k % 12][1])
         for _ in range(r.randint(0, 9)):
@@ -56,6 +58,12 @@ def test_matches_brute_force(spark, monkeypatch):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted({i for i, _ in rows} - {x[0] for x in want})
 
 
+def test_places_are_those_of_the_normal_form(spark):
+    found = dc.Matcher([(1, "too short"), (2, "abcdefgh " * 6 + "end")], 0.07).find("too short and abcdefgh " + "abcdefgh " * 5 + "end too short")
+    assert sorted(found) == [(1, 0, 0, 9), (2, 0, 14, 71)]
+    assert dc.Matcher([(1, "too short")], 0.07).find("x too short") == [(1, 0, 2, 11)]
+
+
 def test_repeated_rows_and_empty_tables(spark):
     rows, items = made()
     docs = spark.createDataFrame([(1, items[0][1]), (1, items[0][1]), (None, items[0][1])], "doc_id long, text string")
