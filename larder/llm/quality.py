@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from larder.llm.common import stored
 
-#: Most labelled rows that a model is fitted on: those with the smallest hash of the id.
+#: Most labelled rows that a model is fitted on: those with the smallest hash of id and text.
 MAX_ROWS = 20_000
 TREES = 16
 DEPTH = 3
@@ -128,7 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)  # at most max_rows, so it may be broadcast
     text = F.coalesce(F.col(text_col), F.lit(""))
     taught = docs.select(F.col(id_col).cast("long").alias("__id"), text.alias("__text")).join(F.broadcast(sample), "__id")
-    taught = stored(taught.select("__label", statistics(F.col("__text")).alias("stats")), "quality-taught")
+    taught = taught.select("__label", "__id", F.xxhash64("__id", "__text").alias("__at"), statistics(F.col("__text")).alias("stats"))
+    # an id may have many rows, so rows are bounded too
+    taught = stored(taught.orderBy("__at", "__id").limit(max_rows).select("__label", "stats"), "quality-taught")
     count, ones = taught.agg(F.count("*"), F.coalesce(F.sum("__label"), F.lit(0.0))).first()
     if not 0 < ones < count:
         share = (ones + 1) / (count + 2)
@@ -145,7 +147,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score_documents(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score and predicted for every row; null texts are empty."""
+    """doc_id, held_out, score and predicted for every row.
+
+    A null text is empty, and empty texts are scored by their statistics (all zero)
+    like others; texts of any length are read whole; repeated rows repeat their
+    result; a null id is never held out; no rows for an empty table; other columns
+    are not read, whatever their names.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), statistics(text).alias("stats"))
     scored = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
@@ -153,7 +161,10 @@ def score_documents(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", t
 
 
 def accepted(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that score 0.5 or more."""
+    """The rows of ``docs``, all columns whatever their names, that score 0.5 or more."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    scored = docs.withColumn("__stats", statistics(text))
-    return scored.filter(model.score("__stats") >= 0.5).drop("__stats")
+    own = "stats"
+    while own in docs.columns:
+        own += "_"
+    scored = docs.withColumn(own, statistics(text))
+    return scored.filter(model.score(own) >= 0.5).drop(own)

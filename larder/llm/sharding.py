@@ -47,17 +47,19 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
 
     The law is ``key``: id and shard count decide, so equal texts may part, and
     a further shard takes rows only into itself.  Slots are gapless from 0 in
-    each shard.  They are numbered in chunks of about ``chunk_rows`` rows (by a
-    hash of the id), so no task holds a shard.  A null id is a key like any
-    other; a null text has no bytes; repeated rows get slots of their own.
+    each shard.  They are numbered in chunks of about ``chunk_rows`` rows, dealt by
+    a hash of the row and of its place in a stored table, so no task holds a shard
+    or all rows that repeat each other.  A null id is a key like any other; a null
+    text has no bytes; repeated rows get slots of their own; texts of any length
+    cost one pass; no rows for an empty table; other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = stored(rows.withColumns({"shard": shard_of(F.col("doc_id"), shards), "grown_shard": shard_of(F.col("doc_id"), shards + 1)}), "shard-rows")
+    rows = stored(rows.withColumns({"shard": shard_of(F.col("doc_id"), shards), "grown_shard": shard_of(F.col("doc_id"), shards + 1), "place": F.monotonically_increasing_id()}), "shard-rows")
     chunks = max(1, math.ceil(rows.count() / shards / chunk_rows))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "doc_id"), F.lit(chunks)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "doc_id", "text_crc32", "place"), F.lit(chunks)))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "chunk").agg(F.count("*").alias("n")).select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "size"))
+    within = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "size", "place"))
     placed = rows.withColumn("nth", within).join(starts, ["shard", "chunk"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("nth") - 1).cast("long").alias("slot"), "grown_shard")
