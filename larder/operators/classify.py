@@ -22,20 +22,16 @@ def sku_value(panel: DataFrame, settings: Settings) -> DataFrame:
 def classify_abc(panel: DataFrame, settings: Settings) -> DataFrame:
     """(sku_id, value, share, abc): the SKU that crosses a share belongs to the next class.
 
-    The running share is summed range by range of value; ties go by sku_id.
+    The running share is summed range by range of value; ties go by sku_id.  The
+    total economic value must be positive.
     """
     running = running_total(sku_value(panel, settings), F.col("value"), [F.desc("value"), F.col("sku_id")], "_run", "_total")
-    share = running.withColumn("share", ratio(F.col("_run"), F.col("_total"))).drop("_run", "_total")
+    worthless = F.raise_error(F.lit("the total economic value must be positive")).cast("double")
+    share = running.withColumn("share", F.when(F.col("_total") > 0, F.col("_run") / F.col("_total")).otherwise(worthless)).drop("_run", "_total")
     abc = F.when(F.col("share") <= settings.a_share, "A").when(F.col("share") <= settings.b_share, "B").otherwise("C")
     return share.withColumn("abc", abc)
 
 
-def require_value(panel: DataFrame, settings: Settings) -> None:
-    total = sku_value(panel, settings).agg(F.sum("value")).first()[0]
-    if not total or total <= 0:
-        raise ValueError("the total economic value must be positive")
-
-
 def selection_frame(panel: DataFrame, settings: Settings) -> DataFrame:
     """Baselines on the last selection days."""
     w = settings.windows

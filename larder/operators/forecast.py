@@ -69,7 +69,7 @@ def baseline_forecast(panel: DataFrame, first, last, model: str, settings: Setti
     if model not in BASELINES:
         raise ValueError(f"unknown baseline {model!r}")
     frame = baseline_forecasts(panel.select("sku_id", "date", "demand"), settings.windows.season)
-    frame = frame.filter(F.col("date").between(F.lit(first), F.lit(last)))
+    frame = between(frame, first, last, "forecast window")
     return frame.select("sku_id", "date", "demand", at_least_zero(F.col(model)).alias("forecast"), F.lit(model).alias("model"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions.exprs import ratio
+from larder.functions.exprs import ratio, valid_number
 from larder.functions.ordered import numbered, quantiles
 from larder.operators.joins import checked_join
 
@@ -82,6 +82,11 @@ def forecast_of(forecast: DataFrame, sku_id: str) -> DataFrame:
     return forecast.filter(F.col("sku_id") == sku_id).orderBy("date")
 
 
+def policy_of(policies: DataFrame, sku_id: str) -> DataFrame:
+    """The policy of one SKU; an unknown SKU has none."""
+    return policies.filter(F.col("sku_id") == sku_id)
+
+
 def skus_of_class(classes: DataFrame, class_: str) -> DataFrame:
     return classes.filter(F.col("class") == class_).select("sku_id").orderBy("sku_id")
 
@@ -93,8 +98,8 @@ def favourable_share(stress: DataFrame, probability: str | None = None) -> DataF
     plain = ratio(F.count_if(saves), F.count("*"))
     if probability is None:
         return known.agg(plain.alias("favourable"))
-    p = F.col(probability).try_cast("double")
-    sound = (F.count_if(p.isNull() | F.isnan(p) | (p < 0)) == 0) & (F.sum(p) > 0)
+    p = valid_number(F.col(probability))
+    sound = (F.count_if(p.isNull() | (p < 0)) == 0) & (F.sum(p) > 0)
     return known.agg(F.when(sound, ratio(F.coalesce(F.sum(F.when(saves, p)), F.lit(0.0)), F.sum(p))).otherwise(plain).alias("favourable"))
 
 

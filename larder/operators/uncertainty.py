@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.config import Settings
-from larder.functions.exprs import ratio
+from larder.functions.exprs import percent_change, ratio
 from larder.functions.ordered import numbered
 from larder.functions.stored import settled
 from larder.operators.joins import with_dimension
@@ -131,7 +131,7 @@ def stress_test(old: DataFrame, new: DataFrame, calibration: DataFrame, schedule
     fill = lambda p: ratio(F.col(f"{p}_total_sales"), F.col(f"{p}_total_demand"))
     return out.withColumns({
         "scenario_id": F.format_string("policy_stress_%05d", "scenario"), "old_fill_rate": fill("old"), "new_fill_rate": fill("new"), "fill_rate_delta_pp": (fill("new") - fill("old")) * 100,
-        "inventory_change_pct": (ratio(F.col("new_avg_inventory"), F.col("old_avg_inventory")) - 1) * 100, "cost_change_pct": (ratio(F.col("new_total_cost"), F.col("old_total_cost")) - 1) * 100, "cost_saving": F.col("old_total_cost") - F.col("new_total_cost"),
+        "inventory_change_pct": percent_change(F.col("new_avg_inventory"), F.col("old_avg_inventory")), "cost_change_pct": percent_change(F.col("new_total_cost"), F.col("old_total_cost")), "cost_saving": F.col("old_total_cost") - F.col("new_total_cost"),
     }).drop("scenario")
 
 
@@ -174,7 +174,7 @@ def policy_bootstrap(old: DataFrame, new: DataFrame, draws: int = 2000, seed: in
 
     def effects(df: DataFrame, *keep: str) -> DataFrame:
         fill = (ratio(F.col("n_total_sales"), F.col("n_total_demand")) - ratio(F.col("o_total_sales"), F.col("o_total_demand"))) * 100
-        change = lambda c: (ratio(F.col(f"n_{c}"), F.col(f"o_{c}")) - 1) * 100
+        change = lambda c: percent_change(F.col(f"n_{c}"), F.col(f"o_{c}"))
         return df.select(*keep, fill.alias("fill_rate_delta_pp"), change("avg_inventory").alias("inventory_change_pct"), change("total_cost").alias("cost_change_pct"))
 
     names = ["fill_rate_delta_pp", "inventory_change_pct", "cost_change_pct"]

@@ -45,12 +45,13 @@ def read_artifacts(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
 
 
 def artifact_problems(spark: SparkSession, out_dir: str, required: tuple[str, ...] = ()) -> list[str]:
-    """What is missing or changed; an empty list for a folder in order."""
+    """What is missing, changed or not among the ``required`` tables (if any are named); an empty list for a folder in order."""
     try:
         rows = spark.read.parquet(f"{out_dir}/{MANIFEST}").collect()
     except AnalysisException:
         return ["no manifest"]
     problems = [f"{name}: not in the manifest" for name in sorted(set(required) - {r.name for r in rows})]
+    problems += [f"{name}: not expected" for name in sorted({r.name for r in rows} - set(required)) if required]
     for row in rows:
         try:
             df = spark.read.parquet(f"{out_dir}/{row.name}")
