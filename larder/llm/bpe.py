@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import text_of
 
-#: Pre-tokens whose ids a worker remembers before it starts afresh.
-CACHE_ENTRIES = 200_000
+#: Bytes, as estimated, of pre-tokens and ids that a worker remembers before it starts afresh.
+CACHE_BYTES = 64_000_000
+_ENTRY_BYTES = 300
 
 
 class PerfectHash:
@@ -81,6 +82,7 @@ class Codec:
             self.at[self.hash(k)] = (k, rank)
         self.bytes_of = {i: k for k, i in ranks.items()}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def token(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode()
@@ -121,10 +123,12 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         cache, pieces = self.cache, self.split.findall(text)
         for p in set(pieces).difference(cache):
-            cache[p] = self.token(p)
+            cache[p] = own = self.token(p)
+            self.held += _ENTRY_BYTES + len(p) + 8 * len(own)
         ids = list(chain.from_iterable(map(cache.__getitem__, pieces)))
-        if len(cache) > CACHE_ENTRIES:
+        if self.held > CACHE_BYTES:
             cache.clear()
+            self.held = 0
         return ids
 
     def decode(self, ids: list[int]) -> bytes:
@@ -186,7 +190,9 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: each text encoded, and its ids decoded again.
 
     Digests of ids and bytes are made where they arise, so neither leaves its
-    task.  A null or empty text has no tokens.  Repeated rows repeat their result.
+    task.  A null or empty text has no tokens.  Repeated rows repeat their result;
+    texts of any length are encoded whole; no rows for an empty table; other columns
+    are not read, whatever their names.
     """
     shipped = _shipped(docs, rank_file, pattern)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
