@@ -9,6 +9,7 @@ Short items have no budget: they are found where they stand as whole words.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -22,8 +23,8 @@ from larder.llm.common import text_of
 ERROR_RATE = 0.07
 #: Items with fewer letters and digits in their normal form must match exactly, as whole words.
 MIN_LETTERS = 40
-#: Bytes of items that are broadcast at once; more are worked off in blocks.
-BLOCK_BYTES = 8_000_000
+#: Bytes of items that are broadcast at once; more are worked off in blocks.  The pieces of so many take 130 MB of a worker.
+BLOCK_BYTES = 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -153,12 +154,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return found
 
 
+_matchers: dict[str, Matcher] = {}
+
+
+def _matcher(key: str, shipped, error_rate: float, min_letters: int) -> Matcher:
+    """The worker's matcher of a block of items; made once in each worker."""
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = Matcher(shipped.value, error_rate, min_letters)
+    return _matchers[key]
+
+
 def _searcher(spark: SparkSession, block: list[tuple[int | None, str]], error_rate: float, min_letters: int):
-    shipped = spark.sparkContext.broadcast(block)
+    shipped, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shipped.value, error_rate, min_letters)
+        matcher = _matcher(key, shipped, error_rate, min_letters)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
