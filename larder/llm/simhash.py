@@ -170,7 +170,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Fingerprints link at ``radius`` or fewer differing bits; equal ones are one
     node, so copies cost nothing.  A null or empty text has fingerprint zero and
     links like any other.  Repeated rows repeat their result.  A null id never
-    names a component unless all its members are null.
+    names a component unless all its members are null.  Texts of any length are
+    read whole; no rows for an empty table; other columns are not read.
     """
     prints = stored(fingerprints(docs, id_col, text_col, words), "simhash-prints")
     classes = _named(prints, "fp", components(_links(prints.select("fp").distinct(), radius)))
@@ -453,7 +454,7 @@ def _rest_with_parts(rows: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = simhash_groups) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id names their component; rows of one id stay or go together."""
+    """The rows of ``docs``, all columns whatever their names, whose id names their component; rows of one id stay or go together."""
     groups = groups(docs, id_col, text_col)
     gone = groups.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("names")).filter("not names")
     return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["doc_id"]), "left_anti")

@@ -435,6 +435,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     elsewhere, in the same document or another; overlaps count, and strings are
     judged on the input.  A null text is empty; texts below WINDOW bytes stay.
     Repeated rows are documents like others, so they remove each other's bytes.
+    Texts of any length are read whole, in pieces that overlap; no rows for an empty
+    table; other columns are not read, whatever their names.
     """
     ranges = repeated_ranges(docs, id_col, text_col, large_group)
     gone = stored(ranges.groupBy(F.col("doc_id").alias("id2"), F.col("row").alias("row2")).agg(F.collect_list(F.struct("start", "end")).alias("gone")), "suffix-gone")
