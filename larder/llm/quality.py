@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import stored
+from larder.llm.common import least_by_hash, stored
 
 #: Most labelled rows that a model is fitted on: those with the smallest hash of id and text.
 MAX_ROWS = 20_000
@@ -125,12 +125,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     known = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("double").alias("__label"))
     known = known.filter("__id is not null and __label is not null").filter(~held_out(F.col("__id")))
-    sample = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)  # at most max_rows, so it may be broadcast
+    sample = least_by_hash(known, max_rows, "__id")  # at most max_rows, so it may be broadcast
     text = F.coalesce(F.col(text_col), F.lit(""))
     taught = docs.select(F.col(id_col).cast("long").alias("__id"), text.alias("__text")).join(F.broadcast(sample), "__id")
-    taught = taught.select("__label", "__id", F.xxhash64("__id", "__text").alias("__at"), statistics(F.col("__text")).alias("stats"))
+    taught = stored(taught.select("__label", "__id", F.xxhash64("__text").alias("__text"), statistics(F.col("__text")).alias("stats")), "quality-taught")
     # an id may have many rows, so rows are bounded too
-    taught = stored(taught.orderBy("__at", "__id").limit(max_rows).select("__label", "stats"), "quality-taught")
+    taught = stored(least_by_hash(taught, max_rows, "__id", "__text").select("__label", "stats"), "quality-bounded")
     count, ones = taught.agg(F.count("*"), F.coalesce(F.sum("__label"), F.lit(0.0))).first()
     if not 0 < ones < count:
         share = (ones + 1) / (count + 2)

@@ -41,3 +41,22 @@ def test_one_label_none_and_empty_tables(spark):
 def test_statistics_of_empty_text():
     assert not any(quality.text_statistics(b""))
     assert quality.text_statistics("É a A!".encode())[quality.NAMES.index("mean_word")] == 4 / 3
+
+
+def test_a_sample_by_hash_is_that_of_the_whole_order(spark):
+    from pyspark.sql import functions as F
+
+    from larder.llm.common import least_by_hash
+
+    rows = spark.range(20_000)
+    want = [r.id for r in rows.orderBy(F.xxhash64("id"), "id").limit(500).collect()]
+    assert [r.id for r in least_by_hash(rows, 500, "id").collect()] == want
+    assert least_by_hash(rows.limit(7), 500, "id").count() == 7 and least_by_hash(rows.limit(0), 5, "id").collect() == []
+
+
+def test_many_rows_of_one_labelled_document_stay_within_the_bound(spark):
+    docs = spark.createDataFrame([(i % 3 + 2, f"text {i}", 1) for i in range(300)], "doc_id long, text string, stats int")
+    labels = spark.createDataFrame([(2, 1), (3, 0), (4, 1)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, max_rows=50)
+    left = quality.accepted(docs, model)
+    assert left.columns == docs.columns and left.count() <= 300
