@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import bpe, decontaminate, exact_dedup, line_dedup, pii, quality, secrets, sharding, simhash, suffix_dedup
+from larder.llm import bpe, decontaminate, exact_dedup, fill_middle, line_dedup, pii, quality, secrets, sharding, simhash, spelling, suffix_dedup
 
 #: The vocabulary of the BPE query; a parameter of its operator.
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -58,6 +59,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(_documents(spark, sf_dir))
 
 
+def one_letter_less(doc_id: int | None, word: str) -> str:
+    """The word as op11's contract has it read: one in 31 lacks a letter, by a checksum of id and word."""
+    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{word}".encode())
+    return word if h % 31 else word[: h % len(word)] + word[h % len(word) + 1 :]
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(spelling.word_counts(_documents(spark, sf_dir), read_as=one_letter_less))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.round_trip(_documents(spark, sf_dir))
+
+
 #: Equal texts, as op1's contract has them.
 _OP1_SQL = r"""
 WITH n AS (
@@ -82,10 +97,49 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE
 FROM d GROUP BY doc_id
 """
 
+#: Words one edit apart: equal where one letter of each, or of one of them, is left out.
+_OP11_SQL = r"""
+WITH RECURSIVE x AS (SELECT [list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) for i in range(256)] AS crc),
+r AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY 1, 2),
+b AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS bytes FROM r),
+h AS (
+  SELECT b.*, xor(list_reduce(list_concat([4294967295], [CAST('0x' || substr(bytes, 2 * k + 1, 2) AS BIGINT) for k in range(length(bytes) // 2)]), lambda c, y: xor(c // 256, x.crc[xor(c, y) % 256 + 1])), 4294967295) AS h FROM b, x),
+k AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS (SELECT word, n, pos, left(word, pos) || substr(word, pos + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS pos FROM k)),
+e AS (
+  SELECT a.word, b.word AS near, b.n AS m FROM d a JOIN d b ON a.pos = b.pos AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, k.word, k.n FROM d JOIN k ON d.rest = k.word
+  UNION SELECT k.word, d.word, d.n FROM d JOIN k ON d.rest = k.word),
+f AS (
+  SELECT k.word, k.n, count(near) AS n_near, CASE WHEN max(m) >= 10 * k.n THEN arg_min(near, (-m, near)) END AS form, CASE WHEN max(m) >= 10 * k.n THEN max(m) END AS form_n
+  FROM k LEFT JOIN e ON e.word = k.word GROUP BY k.word, k.n),
+g AS (SELECT word, word AS root, 0 AS steps FROM f UNION ALL SELECT g.word, f.form, steps + 1 FROM g JOIN f ON f.word = g.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, steps) AS root FROM g GROUP BY word) USING (word)
+"""
+
+#: Texts cut at token ends, as op13's contract has them.
+_OP13_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens,
+         sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, len(tokens) AS n, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) for k in range(4)] AS d FROM t),
+v AS (
+  SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS low, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS high,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 50 THEN 'plain' WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+w AS (SELECT *, coalesce(array_to_string(tokens[1:low], ''), '') AS p, coalesce(array_to_string(tokens[low + 1:high], ''), '') AS m, coalesce(array_to_string(tokens[high + 1:], ''), '') AS s FROM v)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE text END) AS output_sha256, sha256(text) AS restored_sha256
+FROM w
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_line_dedup": op2_line_dedup, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_secrets": op9_secrets, "op10_suffix_dedup": op10_suffix_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_line_dedup": op2_line_dedup, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_secrets": op9_secrets, "op10_suffix_dedup": op10_suffix_dedup, "op11_spelling": op11_spelling, "op13_fill_middle": op13_fill_middle}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1_SQL, "op2_line_dedup": _OP2_SQL}
+    return {"op1_exact_dedup": _OP1_SQL, "op2_line_dedup": _OP2_SQL, "op11_spelling": _OP11_SQL, "op13_fill_middle": _OP13_SQL}

@@ -11,10 +11,12 @@ import __spark_entry__
 import test_bpe
 import test_decontaminate
 import test_exact_dedup
+import test_fill_middle
 import test_pii
 import test_secrets
 import test_sharding
 import test_simhash
+import test_spelling
 import test_suffix_dedup
 from larder.llm import quality
 
@@ -117,3 +119,11 @@ def test_op9(spark, rows):
 
 def test_op10(spark, rows):
     assert test_suffix_dedup.digests(asked(spark, "op10_suffix_dedup")) == test_suffix_dedup.brute(rows)
+
+
+def test_op11(spark, rows):
+    assert sorted(tuple(r) for r in asked(spark, "op11_spelling").collect()) == test_spelling.brute(test_spelling.counted(rows))
+
+
+def test_op13(spark, rows):
+    assert sorted([tuple(r) for r in asked(spark, "op13_fill_middle").collect()], key=str) == test_fill_middle.brute(rows)
