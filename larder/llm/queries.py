@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import bpe, decontaminate, exact_dedup, fill_middle, line_dedup, pii, quality, secrets, sharding, simhash, spelling, suffix_dedup
+from larder.llm import bpe, decontaminate, exact_dedup, fill_middle, line_dedup, neighbours, pii, quality, secrets, sharding, simhash, spelling, suffix_dedup
 
 #: The vocabulary of the BPE query; a parameter of its operator.
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -69,6 +69,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(spelling.word_counts(_documents(spark, sf_dir), read_as=one_letter_less))
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest(neighbours.build_index(vectors, 20), vectors.filter("vec_id % 20 = 0"), 20)
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.round_trip(_documents(spark, sf_dir))
 
@@ -138,7 +143,7 @@ FROM w
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_line_dedup": op2_line_dedup, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_secrets": op9_secrets, "op10_suffix_dedup": op10_suffix_dedup, "op11_spelling": op11_spelling, "op13_fill_middle": op13_fill_middle}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_line_dedup": op2_line_dedup, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_secrets": op9_secrets, "op10_suffix_dedup": op10_suffix_dedup, "op11_spelling": op11_spelling, "op12_neighbours": op12_neighbours, "op13_fill_middle": op13_fill_middle}
 
 
 def oracle_sql() -> dict[str, str]:

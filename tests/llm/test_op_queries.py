@@ -125,5 +125,19 @@ def test_op11(spark, rows):
     assert sorted(tuple(r) for r in asked(spark, "op11_spelling").collect()) == test_spelling.brute(test_spelling.counted(rows))
 
 
+def test_op12(spark):
+    read = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    got, hit, want = asked(spark, "op12_neighbours").collect(), 0, 0
+    ids = np.array(list(read))
+    for q in (i for i in read if i % 20 == 0):
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        score = np.array([read[i] @ read[q] for i in ids])
+        best = [i for _, i in sorted((-s, i) for s, i in zip(score, ids, strict=True) if i != q)[:20]]
+        assert [r.rank for r in own] == list(range(1, len(best) + 1)) and [(-r.score, r.vec_id) for r in own] == sorted((-r.score, r.vec_id) for r in own)
+        assert all(r.vec_id != q and r.score == pytest.approx(read[r.vec_id] @ read[q], abs=1e-12) for r in own)
+        hit, want = hit + len({r.vec_id for r in own} & set(best)), want + len(best)
+    assert len({r.query_id for r in got}) == sum(i % 20 == 0 for i in read) and hit >= 0.9 * want
+
+
 def test_op13(spark, rows):
     assert sorted([tuple(r) for r in asked(spark, "op13_fill_middle").collect()], key=str) == test_fill_middle.brute(rows)
