@@ -49,6 +49,8 @@ class Settings:
     shortage_multipliers: tuple[float, ...] = (0.5, 1.0, 1.5, 2.0)
     scenarios: int = 100
     seed: int = 42
+    #: ``pcg64``: numpy's sequence, as a program would draw it in order; ``hash``: draws that SQL can make too
+    draws: str = "pcg64"
     block_days: int = 7
     lead_multipliers: tuple[float, ...] = (0.8, 1.0, 1.2, 1.5)
     lead_probabilities: tuple[float, ...] = (0.1, 0.5, 0.3, 0.1)
@@ -63,10 +65,15 @@ class Settings:
     overstock_fill: float = 0.99
     overstock_quantile: float = 0.75
 
+    def __post_init__(self):
+        if self.draws not in ("pcg64", "hash"):
+            raise ValueError(f"unknown kind of draws: {self.draws!r}")
+
 
 #: The windows of the panel that the standard tables give.
 STANDARD = Settings(
     windows=Windows(date(2000, 1, 1), date(2000, 5, 29), date(2000, 5, 30), date(2000, 9, 30), date(2000, 10, 1)),
+    draws="hash",
 )
 
 

@@ -1,7 +1,9 @@
 """Cost sensitivity, stress scenarios and paired bootstrap.
 
-Draws come from a hash of (seed, scenario, SKU, number), so any task can make
-them alone, in any order, and a rerun gives the same.
+Draws are of two kinds, and a rerun gives the same by either: ``pcg64`` is the one
+sequence of numpy's generator, of which tasks draw their own stretches, scenario by
+scenario and SKU by SKU; ``hash`` takes each draw from (seed, scenario, SKU, number)
+alone, as SQL can too.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.config import Settings
+from larder.functions.draws import resampled, scenario_draws
 from larder.functions.exprs import percent_change, ratio
 from larder.functions.ordered import numbered
 from larder.functions.stored import settled
@@ -77,6 +80,18 @@ def paired_policies(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("sku_id", lead.alias("lead_time"), "old", "new")
 
 
+def _multipliers(settings: Settings, scenarios: int, units: np.ndarray | None) -> Column:
+    """The lead-time multiplier of each scenario, from its number between 0 and 1 (None: a hash)."""
+    cumulative = np.cumsum(np.asarray(settings.lead_probabilities, float))
+    if units is not None:
+        places = np.searchsorted(cumulative / cumulative[-1], units, side="right")
+        return F.element_at(F.array(*[F.lit(float(settings.lead_multipliers[i])) for i in places]), F.col("scenario"))
+    u, pick = hashed_unit(F.lit(settings.seed), F.col("scenario"), F.lit("lead")), F.lit(float(settings.lead_multipliers[-1]))
+    for m, c in reversed(list(zip(settings.lead_multipliers, cumulative, strict=True))[:-1]):
+        pick = F.when(u < float(c), F.lit(float(m))).otherwise(pick)
+    return pick
+
+
 def stress_paths(calibration: DataFrame, schedule: DataFrame, settings: Settings, scenarios: int | None = None, about: DataFrame | None = None) -> DataFrame:
     """(scenario, sku_id, lead_multiplier, first, demand, target, clipped): demand of each scenario.
 
@@ -84,22 +99,25 @@ def stress_paths(calibration: DataFrame, schedule: DataFrame, settings: Settings
     below zero.  A scenario draws one lead-time multiplier for all SKUs.  A SKU's
     row is spread over its scenarios where it lies, with what ``about`` has of it.
     """
-    block, seed = settings.block_days, F.lit(settings.seed)
+    block, seed, count = settings.block_days, F.lit(settings.seed), scenarios or settings.scenarios
     history = calibration.groupBy("sku_id").agg(F.array_sort(F.collect_list(F.struct("date", (F.col("demand") - F.col("forecast")).cast("double").alias("r")))).alias("h"))
     history = history.select("sku_id", F.when(F.size("h") >= block, F.col("h.r")).otherwise(F.raise_error(F.lit("a SKU has fewer residuals than a block"))).alias("residuals"))
     plan = schedule.groupBy("sku_id").agg(F.array_sort(F.collect_list(F.struct("date", F.col("forecast").cast("double").alias("f")))).alias("plan"))
-    numbers = schedule.sparkSession.range(1, (scenarios or settings.scenarios) + 1).select(F.col("id").cast("int").alias("scenario"))
-    u = hashed_unit(seed, F.col("scenario"), F.lit("lead"))
-    pick, cumulative = F.lit(float(settings.lead_multipliers[-1])), np.cumsum(settings.lead_probabilities)
-    for m, c in reversed(list(zip(settings.lead_multipliers, cumulative, strict=True))[:-1]):
-        pick = F.when(u < float(c), F.lit(float(m))).otherwise(pick)
+    numbers = schedule.sparkSession.range(1, count + 1).select(F.col("id").cast("int").alias("scenario"))
     each = plan.join(history, "sku_id", "left").withColumn("residuals", refused(F.col("residuals").isNull(), F.concat(F.lit("no calibration residuals for "), F.col("sku_id")), F.col("residuals")))
     each = each if about is None else about.join(each, "sku_id", "left")
     each = each.withColumn("plan", refused(F.col("plan").isNull(), F.concat(F.lit("no final forecast for "), F.col("sku_id")), F.col("plan")))
-    runs = each.crossJoin(F.broadcast(numbers.withColumn("lead_multiplier", pick)))  # scenarios: a set number
-    blocks = F.sequence(F.lit(0), F.ceil(F.size("plan") / block).cast("int") - 1)
-    starts = F.transform(blocks, lambda k: F.floor(hashed_unit(seed, F.col("scenario"), F.col("sku_id"), k) * (F.size("residuals") - block + 1)).cast("int"))
-    drawn = F.flatten(F.transform(starts, lambda s: F.slice(F.col("residuals"), s + 1, block)))
+    n_blocks, last = F.ceil(F.size("plan") / block).cast("int"), F.size("residuals") - block + 1
+    if settings.draws == "pcg64":
+        each = settled(each)
+        drawn, units = scenario_draws(each.select("sku_id", last.cast("long").alias("bound"), n_blocks.alias("n")), "sku_id", count, settings.seed)
+        each = each.join(drawn.withColumnRenamed("drawn", "starts"), "sku_id")
+        starts = F.element_at("starts", F.col("scenario"))
+    else:
+        units = None
+        starts = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda k: F.floor(hashed_unit(seed, F.col("scenario"), F.col("sku_id"), k) * last))
+    runs = each.crossJoin(F.broadcast(numbers.withColumn("lead_multiplier", _multipliers(settings, count, units))))  # scenarios: a set number
+    drawn = F.flatten(F.transform(starts, lambda s: F.slice(F.col("residuals"), s.cast("int") + 1, block)))
     raw = F.transform("plan", lambda d, i: d["f"] + F.get(F.col("drawn"), i))
     target = F.transform("plan", lambda d, i: F.get(F.col("plan"), i + 1)["f"])
     made = runs.withColumn("drawn", drawn).withColumn("raw", raw)
@@ -145,15 +163,11 @@ def stress_quantiles(stress: DataFrame) -> DataFrame:
 def bootstrap_plan(spark, n: int, draws: int, seed: int, kind: str = "hash") -> DataFrame:
     """(draw, at): ``n`` places from 0 to n - 1 for each draw, with replacement.
 
-    Each row is made where it is used, from its number alone.  ``pcg64`` draws by
-    numpy on the driver, for at most five million places.
+    Each row is made in the task that uses it: by ``hash`` from its number alone, by
+    ``pcg64`` from the task's stretch of the one sequence.
     """
     if kind == "pcg64":
-        if n * draws > 5_000_000:
-            raise ValueError("too many positions for draws on the driver")
-        g = np.random.default_rng(seed)
-        rows = [(d, int(x)) for d in range(draws) for x in g.integers(0, n, size=n)]
-        return spark.createDataFrame(rows, "draw int, at long")
+        return resampled(spark, n, draws, seed)
     draw, pos = F.floor(F.col("id") / n).cast("int"), F.col("id") % n
     at = F.floor(hashed_unit(F.lit(seed), draw, pos) * n).cast("long")
     return spark.range(draws * n).select(draw.alias("draw"), at.alias("at"))

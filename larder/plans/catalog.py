@@ -8,6 +8,7 @@ counts are longs, so that two engines can be compared value by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,9 +97,18 @@ _STEPS: dict[str, Callable[[Book], DataFrame]] = {
     "inferred_metric": lambda b: _priced(b, b.inferred, False),
     "old_in_scope": lambda b: b.old_metric.join(b.new_metric.select("sku_id"), "sku_id", "left_semi"),
     "stress": lambda b: uncertainty.stress_test(b.recorded.join(b.chosen.select("sku_id"), "sku_id", "left_semi"), b.chosen, b.calibration.join(b.chosen.select("sku_id"), "sku_id", "left_semi"), b.final_forecast.join(b.chosen.select("sku_id"), "sku_id", "left_semi"), b.panel, b.s),
+    "stress_pcg64": lambda b: _sequence(b).stress,
     "actions": lambda b: report.policy_action(b.chosen, b.recorded.drop("class"), b.old_metric, b.new_metric),
 }
 
+def _sequence(b: Book) -> Book:
+    """The same steps with the draws of numpy's sequence."""
+    own = Book(b.spark, b.sf_dir, b.panel, replace(b.s, draws="pcg64"))
+    for step in ("chosen", "recorded", "calibration", "final_forecast"):
+        setattr(own, step, getattr(b, step))
+    return own
+
+
 _METRIC = ["total_demand", "total_sales", "total_lost", "avg_inventory", "fill_rate", "cycle_service_level", "turnover", "doi", "stockout_cost", "holding_cost", "ordering_cost", "total_cost"]
 _COUNTS = ["cycles_without_stockout", "num_cycles"]
 _TRACE = ["initial_inventory", "received", "inventory", "inventory_position", "rop_used", "demand", "sales_quantity", "lost"]
@@ -175,6 +185,9 @@ _QUERIES: dict[str, Callable[[Book], DataFrame]] = {
     "stress_test": lambda b: b.stress,
     "stress_quantiles": lambda b: uncertainty.stress_quantiles(b.stress),
     "policy_bootstrap": lambda b: uncertainty.policy_bootstrap(b.old_in_scope, b.new_metric),
+    "stress_test_pcg64": lambda b: b.stress_pcg64,
+    "stress_quantiles_pcg64": lambda b: uncertainty.stress_quantiles(b.stress_pcg64),
+    "policy_bootstrap_pcg64": lambda b: uncertainty.policy_bootstrap(b.old_in_scope, b.new_metric, seed=b.s.seed, kind="pcg64"),
     "policy_action": lambda b: b.actions.drop("service_floor"),
     "fallback_action": lambda b: report.fallback_action(b.chosen, b.medians),
     "action_filtered": lambda b: report.filtered_actions(b.actions, action="Q"),

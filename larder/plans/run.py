@@ -76,7 +76,7 @@ def tables_of(spark: SparkSession, panel: DataFrame, settings: Settings, params:
         "forecast_metrics": forecast.hierarchy_metrics(b.final_forecast.drop("class"), b.classes, b.panel, settings),
         "policy_candidate_audit": b.audit, "policy_sku": b.chosen, "old_policy_metric": b.old_in_scope, "new_policy_metric": b.new_metric, "policy_sensitivity": uncertainty.cost_sensitivity(b.old_in_scope, b.new_metric, settings),
         "historical_policy_sensitivity": report.policy_sensitivity_rows(b.recorded, b.old_metric, b.inferred, b.inferred_metric), "policy_action": b.actions, "full_policy_summary": full,
-        "scenario_uncertainty": b.stress, "policy_uncertainty": uncertainty.policy_bootstrap(b.old_in_scope, b.new_metric, seed=settings.seed),
+        "scenario_uncertainty": b.stress, "policy_uncertainty": uncertainty.policy_bootstrap(b.old_in_scope, b.new_metric, seed=settings.seed, kind=settings.draws),
     }
 
 

@@ -55,7 +55,7 @@ def test_changes_are_noticed(spark, done, tmp_path):
     shutil.copytree(out, copy)
     shutil.rmtree(copy / "sku_class")
     spark.read.parquet(f"{out}/sku_metric").limit(3).write.mode("overwrite").parquet(f"{copy}/sku_metric")
-    assert artifacts.artifact_problems(spark, str(copy), ("more",)) == ["more: not in the manifest", "sku_class: missing or unreadable", "sku_metric: content changed"]
+    assert artifacts.artifact_problems(spark, str(copy), (*whole.TABLES, "more")) == ["more: not in the manifest", "sku_class: missing or unreadable", "sku_metric: content changed"]
     assert artifacts.artifact_problems(spark, str(tmp_path / "none")) == ["no manifest"]
 
 
