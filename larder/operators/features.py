@@ -14,8 +14,8 @@ from larder.functions.exprs import cyclic
 LAGS = (1, 7, 14, 30, 60, 90)
 SPANS = (30, 60, 90)
 ALPHAS = (0.3, 0.5, 0.7)
-#: Days that an exponential mean looks back; older ones weigh less than 1e-19.
-EWM_DAYS = 128
+#: Days of a chunk of an exponential mean; powers of 1 - alpha stay far from overflow within it.
+EWM_CHUNK = 64
 _EPS = 1e-6
 BASELINES = ("Naive", "SeasonalNaive", "HistoricMean")
 
@@ -65,14 +65,32 @@ def trend_features(features: DataFrame) -> DataFrame:
 
 
 def ewm_features(panel: DataFrame) -> DataFrame:
-    """Exponential means of earlier demand: y = (1 - a) y + a x, from the first day seen."""
-    past = panel.withColumn("_past", F.collect_list(F.col("demand").cast("double")).over(_w().rowsBetween(-EWM_DAYS, -1)))
-
-    def mean(alpha: float) -> Column:
-        p = F.col("_past")
-        return F.when(F.size(p) > 0, F.aggregate(F.slice(p, 2, EWM_DAYS), F.get(p, 0), lambda y, x: y * (1 - alpha) + x * alpha))
-
-    return past.withColumns({f"ewm_{int(a * 10)}": mean(a) for a in ALPHAS}).drop("_past")
+    """Exponential means of earlier demand: y = (1 - a) y + a x, from the first day seen; missing days are passed over.
+
+    A scan of two levels.  Days are put in chunks by the calendar.  Within a chunk a
+    running sum of x / (1 - a)^k gives what its days add; a whole chunk is a pair
+    (factor, offset) that takes the mean before it to the one after it, and each day
+    folds the pairs of the chunks before its own: one in 64 days, all of them.
+    """
+    day, x = F.col("date"), F.col("demand").cast("double")
+    rows = panel.withColumn("_chunk", F.floor(F.unix_date(day) / EWM_CHUNK))
+    order = Window.partitionBy("sku_id").orderBy("_chunk", "date")  # one order for both levels, so one sort
+    chunk = Window.partitionBy("sku_id", "_chunk").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_k": F.count(x).over(chunk), "_last": F.lead("_chunk").over(order).isNull() | (F.lead("_chunk").over(order) != F.col("_chunk"))})
+    sums = {f"_sum{n}": F.sum(x / F.pow(F.lit(1 - a), F.col("_k"))).over(chunk) for n, a in enumerate(ALPHAS)}
+    own = lambda n: F.coalesce(F.col(f"_sum{n}") * ALPHAS[n] * F.pow(F.lit(1 - ALPHAS[n]), F.col("_k")), F.lit(0.0))
+    rows = rows.withColumns(sums)
+    pair = F.struct(F.col("_k").alias("k"), *[own(n).alias(f"o{n}") for n in range(len(ALPHAS))])
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_first": F.first(x, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_pairs": F.collect_list(F.when(F.col("_last"), pair)).over(before)})
+
+    def mean(n: int, alpha: float) -> Column:
+        carried = F.aggregate("_pairs", F.col("_first"), lambda y, p: y * F.pow(F.lit(1 - alpha), p["k"]) + p[f"o{n}"])
+        return carried * F.pow(F.lit(1 - alpha), F.col("_k")) + own(n)
+
+    found = rows.withColumns({f"_y{n}": mean(n, a) for n, a in enumerate(ALPHAS)})
+    found = found.withColumns({f"ewm_{int(a * 10)}": F.lag(f"_y{n}").over(order) for n, a in enumerate(ALPHAS)})
+    return found.select(*panel.columns, *[f"ewm_{int(a * 10)}" for a in ALPHAS])
 
 
 def create_features(panel: DataFrame) -> DataFrame:

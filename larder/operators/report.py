@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import ratio, valid_number
-from larder.functions.ordered import numbered, quantiles
+from larder.functions.ordered import grouped_quantiles, numbered, quantiles
 from larder.operators.joins import checked_join
 
 COSTS = ("stockout_cost", "holding_cost", "ordering_cost", "total_cost")
@@ -167,7 +167,10 @@ def receipt_cadence(panel: DataFrame) -> DataFrame:
 def describe(metric: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, deviation, extremes and deciles of each column."""
     long = metric.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "measure", "value")
-    return long.groupBy("measure").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("least"), F.percentile("value", F.lit(0.1)).alias("p10"), F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.9)).alias("p90"), F.max("value").alias("most"))
+    each = long.groupBy("measure").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("least"), F.max("value").alias("most"))
+    # a measure has a value for every SKU, so its quantiles are taken without a task that holds them all
+    places = grouped_quantiles(long, ["measure"], "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return each.join(F.broadcast(places), "measure", "left").select("measure", "n", "mean", "std", "least", "p10", "p50", "p90", "most")  # one row a measure
 
 
 def slow_moving(metric: DataFrame, classes: DataFrame, days: float = 60.0) -> DataFrame:

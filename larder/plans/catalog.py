@@ -316,7 +316,7 @@ def oracle_sql() -> dict[str, str]:
         "lag_features": q(f"SELECT sku_id, date, {', '.join(_LAGS)} FROM feat", **feat),
         "rolling_features": q("SELECT sku_id, date, " + ", ".join(f"{r(f'roll_mean_{n}', f'roll_mean_{n}')}, {r(f'roll_std_{n}', f'roll_std_{n}')}, {r(f'roll_std_{n} / (roll_mean_{n} + 1e-6)', f'roll_cv_{n}')}" for n in features.SPANS) + " FROM feat", **feat),
         "trend_features": q(f"SELECT sku_id, date, lag_1 - lag_7 AS diff_1_7, lag_7 - lag_30 AS diff_7_30, {r('roll_mean_30 - roll_mean_90', 'mean_diff_30_90')}, {r('lag_1 / (lag_7 + 1e-6)', 'growth_7')}, {r('lag_7 / (lag_30 + 1e-6)', 'growth_30')}, {r('roll_mean_30 / (roll_mean_90 + 1e-6)', 'growth_mean')} FROM feat", **feat),
-        "ewm_features": q("SELECT sku_id, date, " + ", ".join(r(f"CASE WHEN len(h) > 0 THEN {_EWM(a)} END", f"ewm_{int(a * 10)}") for a in features.ALPHAS) + f" FROM (SELECT sku_id, date, list(CAST(demand AS DOUBLE)) OVER (PARTITION BY sku_id ORDER BY date ROWS BETWEEN {features.EWM_DAYS} PRECEDING AND 1 PRECEDING) AS h FROM panel)"),
+        "ewm_features": q("SELECT sku_id, date, " + ", ".join(r(f"CASE WHEN len(h) > 0 THEN {_EWM(a)} END", f"ewm_{int(a * 10)}") for a in features.ALPHAS) + f" FROM (SELECT sku_id, date, list(CAST(demand AS DOUBLE)) OVER (PARTITION BY sku_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM panel)"),
         "baseline_forecasts": q(f"""SELECT sku_id, date, {r('"Naive"', '"Naive"')}, {r('"SeasonalNaive"', '"SeasonalNaive"')}, {r('"HistoricMean"', '"HistoricMean"')} FROM base"""),
         "date_folds": q(f"SELECT date, {i(f'ntile({W.folds}) OVER (ORDER BY date)', 'fold')} FROM (SELECT DISTINCT date FROM panel WHERE date BETWEEN {SEL_END} - {W.selection_days - 1} AND {SEL_END})"),
         "baseline_winner": q(f"SELECT segment, model, {r('wape', 'wape')}, {i('n_obs', 'n_obs')}, {i('rank', 'rank')} FROM wins"),

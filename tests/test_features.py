@@ -21,9 +21,27 @@ def test_second_implementation_agrees(spark):
         for n in (30, 60, 90):
             np.testing.assert_allclose(own[f"roll_mean_{n}"].astype(float), s.shift(1).rolling(n).mean(), atol=1e-9)
             np.testing.assert_allclose(own[f"roll_std_{n}"].astype(float), s.shift(1).rolling(n).std(), atol=1e-9)
+        for a in (0.3, 0.5, 0.7):
+            np.testing.assert_allclose(own[f"ewm_{int(a * 10)}"].astype(float), s.shift(1).ewm(alpha=a, adjust=False).mean(), rtol=1e-12)
     assert len(got) == 250
 
 
+def test_exponential_means_of_long_and_broken_series(spark):
+    """Chunks that begin and end anywhere, large and tiny values, missing days and missing demand."""
+    g = np.random.default_rng(4)
+    series = {"long": g.uniform(0, 1e6, 1100).tolist(), "zeros": [1e9] + [0.0] * 400, "one": [5.0], "none": [None] * 70 + [3.0] * 3, "holes": [None if i % 7 == 3 else float(i) for i in range(300)]}
+    rows = [(s, date(2023, 3, 9) + timedelta(i + 200 * (s == "holes" and i > 150)), x, 0.5) for s, v in series.items() for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "sku_id string, date date, demand double, _sum double").repartition(3)
+    got = features.ewm_features(df).toPandas().sort_values(["sku_id", "date"])
+    for sku, values in series.items():
+        for a in (0.3, 0.5, 0.7):
+            y, want = None, []
+            for x in values:
+                want.append(np.nan if y is None else y)
+                y = y if x is None else x if y is None else (1 - a) * y + a * x
+            np.testing.assert_allclose(got[got.sku_id == sku][f"ewm_{int(a * 10)}"].astype(float), want, rtol=1e-10, atol=1e-280)
+
+
 def test_the_future_does_not_leak(spark):
     values = [i % 17 for i in range(120)]
     changed = [x + 10_000 if i > 91 else x for i, x in enumerate(values)]

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larder.functions.ordered import numbered, quantiles, running_total
+from larder.functions.ordered import grouped_quantiles, numbered, quantiles, running_total
 
 
 @pytest.fixture(scope="module")
@@ -42,3 +42,31 @@ def test_missing_values_count_as_nothing(spark):
     df = spark.createDataFrame([("a", None), ("b", 2.0), ("c", None)], "key string, v double")
     assert [r.run for r in running_total(df, F.col("v"), [F.col("key")], "run").orderBy("key").collect()] == [0.0, 2.0, 2.0]
     assert quantiles(df, "v", "key", {"q": 0.5}).first().q == 2.0
+
+
+def test_quantiles_of_groups_of_any_size(spark):
+    """One group with most rows, one with most of its values equal, small ones, a null key and missing values."""
+    g, rows = np.random.default_rng(9), []
+    for key, n in (("hot", 3000), ("same", 900), ("two", 2), ("one", 1), (None, 50), ("none", 5)):
+        for i in range(n):
+            value = None if key == "none" or i % 11 == 7 else 1.5 if key == "same" and i % 9 else float(g.normal())
+            rows.append((key, "x", value))
+    df = spark.createDataFrame(rows, "k string, other string, v double").repartition(6)
+    wanted = {"least": 0.0, "low": 0.1, "mid": 0.5, "high": 0.97, "most": 1.0}
+    got = {r.k: r for r in grouped_quantiles(df, ["k", "other"], "v", wanted).collect()}
+    assert set(got) == {"hot", "same", "two", "one", None}
+    for key, r in got.items():
+        own = [v for k, _, v in rows if k == key and v is not None]
+        assert [r[name] for name in wanted] == pytest.approx([float(np.quantile(own, q)) for q in wanted.values()])
+
+
+def test_a_large_group_lies_in_several_ranges(spark):
+    df = spark.range(10_000).selectExpr("'one' AS k", "CAST(id AS double) AS v")
+    plan = grouped_quantiles(df, ["k"], "v", {"mid": 0.5})
+    assert plan.first().mid == 4999.5
+    rows = spark.range(10_000).selectExpr("'one' AS k", "id AS v").repartitionByRange(4, "k", "v").selectExpr("spark_partition_id() AS p").distinct()
+    assert rows.count() == 4
+
+
+def test_no_groups(spark):
+    assert grouped_quantiles(spark.createDataFrame([], "k string, v double"), ["k"], "v", {"q": 0.5}).collect() == []
