@@ -35,7 +35,7 @@ def group_forecasts(b: Book, params: dict | None, trials: int) -> dict[str, Data
     for name in [r.intervention for r in b.skus.select("intervention").distinct().orderBy("intervention").collect()]:  # three at most
         own = b.panel.join(b.skus.filter(F.col("intervention") == name).select("sku_id"), "sku_id", "left_semi")
         if name == STRATEGIC:
-            seen = settled(features.create_features(own))
+            seen = model.prepared(settled(features.create_features(own)))
             chosen_params = params or model.tune(seen, b.s, trials)[0]
             winner = model.compare_candidates(seen, own, chosen_params, b.s).first()["model"]
         else:
@@ -45,7 +45,7 @@ def group_forecasts(b: Book, params: dict | None, trials: int) -> dict[str, Data
             if winner == "GBT":
                 fitted = model.train(seen, chosen_params, start, b.s.seed)
                 parts[k].append(model.predict(fitted, seen, start, end))
-                weights = model.importance(fitted)
+                weights = model.importance(fitted, seen)
             else:
                 parts[k].append(forecast.baseline_forecast(own, start, end, winner, b.s))
     out = {}
