@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str | None:
@@ -17,15 +18,22 @@ def shared_dir(spark: SparkSession) -> str | None:
     return found.rstrip("/") if found else None
 
 
-def settled(df: DataFrame) -> DataFrame:
+class CheckError(ValueError):
+    """Rows of a step break its checks."""
+
+
+def settled(df: DataFrame, checks: dict[str, Column] | None = None) -> DataFrame:
     """The same rows as a table of their own: its lineage is short, and readers scan only the columns they need.
 
-    On a cluster that names no shared folder they are kept in memory and on disk instead.
+    ``checks`` are counted while the table is written; any row for which one holds is an error.
     """
     spark = df.sparkSession
     folder = shared_dir(spark)
     if folder is None:
-        return df.persist()
-    path = f"{folder}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path, seen = f"{folder}/step-{uuid.uuid4().hex}", Observation()
+    counted = {f"c{i}": F.count_if(F.coalesce(c, F.lit(False))) for i, c in enumerate((checks or {}).values())}
+    (df.observe(seen, *[c.alias(k) for k, c in counted.items()]) if counted else df).write.parquet(path)
+    if counted and (broken := {name: seen.get[k] for name, k in zip(checks, counted, strict=True) if seen.get[k]}):
+        raise CheckError(f"rows that may not be: {broken}")
     return spark.read.schema(df.schema).parquet(path)

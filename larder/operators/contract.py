@@ -96,10 +96,10 @@ def require_forecast(frame: DataFrame, first, last, final_start) -> DataFrame:
 
 def require_output(frame: DataFrame) -> DataFrame:
     """A forecast that is to be written: unique by SKU and date, and nonnegative."""
-    same = frame.groupBy("sku_id", "date").count().filter("count > 1")
-    if not same.isEmpty():
+    found = frame.groupBy("sku_id", "date").agg(F.count("*").alias("n"), F.min("forecast").alias("least")).agg(F.max("n").alias("n"), F.min("least").alias("least")).first()
+    if (found["n"] or 0) > 1:
         raise ContractError("duplicate SKU-date in forecast")
-    if not frame.filter("forecast < 0").isEmpty():
+    if (found["least"] or 0) < 0:
         raise ContractError("forecast must be nonnegative")
     return frame
 

@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A dimension of at most so many rows may be broadcast.
 BROADCAST_ROWS = 200_000
 
 
-class MergeError(ValueError):
-    """A key occurs more often than the join allows."""
+def once(df: DataFrame, on: list[str], side: str) -> DataFrame:
+    """``df``, whose rows fail where a key occurs more often than once.
 
-
-def require_unique(df: DataFrame, on: list[str], side: str) -> None:
-    if not df.groupBy(*on).count().filter("count > 1").isEmpty():
-        raise MergeError(f"{on} is not unique on the {side} side")
+    The check is part of the rows and deals them by the key, as the join does next.
+    """
+    says = F.concat(F.lit(f"{on} is not unique on the {side} side: "), F.concat_ws(" ", *on))
+    many = F.count("*").over(Window.partitionBy(*on)) > 1
+    kind = dict(df.dtypes)[on[0]]
+    return df.withColumn(on[0], F.when(many, F.raise_error(says).cast(kind)).otherwise(F.col(on[0])))
 
 
 def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", validate: str = "many_to_one") -> DataFrame:
-    """A join after the check that ``validate`` names: one_to_one, one_to_many or many_to_one."""
+    """A join whose rows fail unless it is what ``validate`` says: one_to_one, one_to_many or many_to_one."""
     if validate in ("one_to_one", "one_to_many"):
-        require_unique(left, on, "left")
+        left = once(left, on, "left")
     if validate in ("one_to_one", "many_to_one"):
-        require_unique(right, on, "right")
+        right = once(right, on, "right")
     return left.join(right, on, how)
 
 

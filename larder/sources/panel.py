@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from typing import NamedTuple
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.config import STANDARD, Settings
+from larder.functions.stored import settled
 
 #: The 13 columns that a panel must have, by type.
 PANEL = T.StructType(
@@ -23,26 +27,70 @@ def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return [c for c in required if c not in df.columns]
 
 
+def _typed(spark: SparkSession, path: str, schema: T.StructType) -> T.StructType:
+    """The columns of a CSV's header: those of ``schema`` by their types, others as text."""
+    known = {f.name: f for f in schema}
+    return T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in spark.read.option("header", True).csv(path).columns])
+
+
 def read_panel(spark: SparkSession, path: str, kind: str = "csv", schema: T.StructType = PANEL) -> DataFrame:
     """A strict scan: malformed rows fail, and so do missing columns.  Further columns stay."""
     if kind == "parquet":
         df = spark.read.parquet(path)
     else:
-        head = spark.read.option("header", True).csv(path).columns
-        known = {f.name: f for f in schema}
-        typed = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in head])
-        df = spark.read.schema(typed).option("header", True).option("mode", "FAILFAST").csv(path)
+        df = spark.read.schema(_typed(spark, path, schema)).option("header", True).option("mode", "FAILFAST").csv(path)
     if missing := missing_columns(df, schema.fieldNames()):
         raise ValueError(f"missing columns: {missing}")
     return df
 
 
-def read_artifact(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A tolerant scan for reports: what is missing or unreadable is an empty table."""
+class Tolerant(NamedTuple):
+    """Rows that could be read, those that couldn't (as text), and what was wrong, if anything."""
+
+    rows: DataFrame
+    quarantine: DataFrame
+    fault: str | None
+
+
+def read_tolerant(spark: SparkSession, path: str, schema: T.StructType, kind: str = "csv") -> Tolerant:
+    """A scan that never fails: malformed rows go to quarantine, and the rest is a table of ``schema``.
+
+    What is missing, unreadable or lacks columns gives an empty table and a fault that
+    names it.  The scan runs once, into a table in the shared folder, where both parts
+    are read from; rows keep their further columns out.
+    """
+    bad = "_malformed"
+    lines = T.StructType([T.StructField("line", T.StringType())])
     try:
-        return spark.read.schema(schema).option("header", True).csv(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+        if kind == "parquet":
+            df = spark.read.parquet(path).withColumn(bad, F.lit(None).cast("string"))
+        else:
+            typed = _typed(spark, path, schema).add(bad, T.StringType())
+            df = spark.read.schema(typed).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).csv(path)
+        if missing := missing_columns(df, schema.fieldNames()):
+            return Tolerant(spark.createDataFrame([], schema), spark.createDataFrame([], lines), f"{path}: missing columns {missing}")
+        scanned = settled(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema], bad))
+    except (PySparkException, Py4JJavaError) as error:
+        said = str(error).strip().splitlines() or [type(error).__name__]
+        return Tolerant(spark.createDataFrame([], schema), spark.createDataFrame([], lines), f"{path}: {said[0][:200]}")
+    quarantine = scanned.filter(F.col(bad).isNotNull()).select(F.col(bad).alias("line"))
+    n = quarantine.count()
+    return Tolerant(scanned.filter(F.col(bad).isNull()).drop(bad), quarantine, f"{path}: {n} malformed rows" if n else None)
+
+
+def read_artifact(spark: SparkSession, path: str, schema: T.StructType, kind: str = "csv") -> DataFrame:
+    """The readable rows of a tolerant scan for reports; what is missing or unreadable is an empty table."""
+    return read_tolerant(spark, path, schema, kind).rows
+
+
+def export_panel(panel: DataFrame, table: str, buckets: int = 64) -> DataFrame:
+    """A table bucketed and sorted by (sku_id, date), and read back: windows by SKU need no exchange or sort on it.
+
+    Each task writes whole buckets, so a bucket is one file that is in order.
+    """
+    dealt = panel.repartition(buckets, "sku_id").sortWithinPartitions("sku_id", "date")
+    dealt.write.mode("overwrite").bucketBy(buckets, "sku_id").sortBy("sku_id", "date").format("parquet").saveAsTable(table)
+    return panel.sparkSession.table(table)
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet", partition_by: str | None = None) -> None:

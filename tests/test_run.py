@@ -65,3 +65,46 @@ def test_missing_tables_and_broken_panels_are_refused(spark, tmp_path):
     rows = panel_rows()
     with pytest.raises(ContractError, match="duplicate SKU-date"):
         whole.tables_of(spark, spark.createDataFrame([*rows, rows[0]], PANEL), SETTINGS, params={})
+
+
+def test_single_files_are_told_apart(spark, done, tmp_path):
+    """A truncated file, a renamed one, a new one and an empty table; a report opens none of them."""
+    copy = tmp_path / "copy"
+    shutil.copytree(done[0].removeprefix("file://"), copy)
+    assert artifacts.artifact_problems(spark, str(copy), whole.TABLES) == []
+    part = lambda name: sorted((copy / name).glob("part-*"))[0]
+    cut, moved = part("sku_class"), part("forecast")
+    size = cut.stat().st_size
+    cut.write_bytes(cut.read_bytes()[: size // 2])
+    (copy / "sku_class" / f".{cut.name}.crc").unlink()
+    moved.rename(moved.with_name("part-x.parquet"))
+    (copy / "policy_sku" / "notes.txt").write_text("no table")
+    got = artifacts.artifact_problems(spark, str(copy), whole.TABLES)
+    assert got[:2] == [f"sku_class: {cut.name} is truncated, {size // 2} of {size} bytes", f"forecast: {moved.name} was renamed to part-x.parquet"]
+    assert got[2:] == ["policy_sku: notes.txt is new"]
+    with pytest.raises(artifacts.ArtifactError, match="truncated.*; forecast: .*renamed"):
+        whole.open_run(spark, str(copy))
+    assert set(whole.open_run(spark, done[0])) == set(whole.TABLES)
+    artifacts.write_artifacts(spark, {"a": spark.range(0)}, str(tmp_path / "none"))
+    assert artifacts.artifact_problems(spark, str(tmp_path / "none"), ("a",), ("a",)) == ["a: empty"]
+
+
+def test_a_run_says_what_it_was(spark, done):
+    said = artifacts.read_run(spark, done[0])
+    assert said["settings"]["scenarios"] == 3 and said["windows"]["final_start"] == "2024-04-20" and set(said["provenance"]["runtime"]) >= {"python", "pyspark", "numpy"}
+    assert len(said["provenance"]["source_sha256"]["larder/plans/run.py"]) == 64
+    scope, sim = said["optimization_scope"], said["simulation_portfolio"]
+    assert 0 < scope["n_in_scope"] <= scope["n_sku"] == 5 and 0 < scope["demand_coverage"] <= 1 and scope["segments"]
+    assert sim["old_total_cost"] > 0 and sim["cost_sensitivity"]["scenario_count"] == 2 and sim["stress"]["scenario_count"] == 3 and len(sim["stress"]["quantiles"]) == len(sim["paired_sku_bootstrap"]) == 3
+    assert artifacts.read_run(spark, "/nowhere") == {}
+
+
+def test_modes(spark, tmp_path):
+    rows = spark.createDataFrame(panel_rows(), PANEL)
+    rows.coalesce(1).write.option("header", True).csv(f"{tmp_path}/good.csv")
+    assert whole.open_run(spark, f"{tmp_path}/good.csv", "pipeline")["inventory_processed"].count() == rows.count()
+    rows.union(rows.limit(1)).coalesce(1).write.option("header", True).csv(f"{tmp_path}/bad.csv")
+    with pytest.raises(ContractError, match="duplicate SKU-date"):
+        whole.open_run(spark, f"{tmp_path}/bad.csv", "pipeline")
+    with pytest.raises(ValueError, match="unknown mode"):
+        whole.open_run(spark, str(tmp_path), "other")

@@ -9,7 +9,10 @@ from larder.functions.exprs import percent_change, valid_number
 from larder.operators import classify, forecast, model, report
 from larder.config import Settings, Windows
 from larder.sources.artifacts import artifact_problems, write_artifacts
-from larder.sources.panel import PANEL, data_contract, read_artifact
+from larder.functions.stored import CheckError, settled
+from larder.operators.features import create_features
+from larder.operators.joins import checked_join
+from larder.sources.panel import PANEL, data_contract, export_panel, read_artifact, read_tolerant
 
 ROWS = [("A", date(2025, 1, d), 1, 1, 5, 0, "c", 2, 1, 1, 1, 5.0, 10.0) for d in (1, 2, 3)]
 
@@ -56,3 +59,49 @@ def test_a_panel_without_value_has_no_classes(spark):
 def test_a_plan_has_eight_parameters_and_stays_the_same():
     plan = model.parameter_plan(8, 42)
     assert len(plan) == 8 and all(len(x) == 8 for x in plan) and plan == model.parameter_plan(8, 42) != model.parameter_plan(8, 43)
+
+
+def test_malformed_rows_go_to_quarantine(spark, tmp_path):
+    head, good = ",".join(reversed(PANEL.fieldNames())) + ",note", "10.0,5.0,1,1,1,2,c,0,5,1,1,2025-01-01,A,x"
+    (tmp_path / "half.csv").write_text("\n".join([head, good, good.replace(",2025-01-01,", ",no day,"), "10.0,oops,1", good.replace("A,x", "B,")]))
+    got = read_tolerant(spark, f"{tmp_path}/half.csv", PANEL)
+    assert [(r.sku_id, r.unit_price, r.date) for r in got.rows.orderBy("sku_id").collect()] == [("A", 10.0, date(2025, 1, 1)), ("B", 10.0, date(2025, 1, 1))]
+    assert got.rows.schema == PANEL and sorted(r.line[:8] for r in got.quarantine.collect()) == ["10.0,5.0", "10.0,oop"] and got.fault.endswith("half.csv: 2 malformed rows")
+    assert read_artifact(spark, f"{tmp_path}/half.csv", PANEL).count() == 2
+
+
+def test_what_cannot_be_read_is_empty_and_named(spark, tmp_path):
+    (tmp_path / "short.csv").write_text("sku_id,date\nA,2025-01-01\n")
+    (tmp_path / "broken.parquet").write_bytes(b"PAR1 no table")
+    (tmp_path / "none.csv").write_text("")
+    for name, kind, says in (("short.csv", "csv", "missing columns \\['demand'"), ("broken.parquet", "parquet", "broken.parquet: "), ("none.csv", "csv", "missing columns"), ("nowhere.csv", "csv", "nowhere.csv: ")):
+        got = read_tolerant(spark, f"{tmp_path}/{name}", PANEL, kind)
+        assert got.rows.schema == PANEL and got.rows.isEmpty() and got.quarantine.isEmpty()
+        with pytest.raises(ValueError, match=says):
+            raise ValueError(got.fault)
+
+
+def test_joins_check_their_keys_without_a_job(spark):
+    one, two = spark.createDataFrame([("A", 1), ("B", 2)], "k string, x int"), spark.createDataFrame([("A", 3), ("A", 4)], "k string, y int")
+    assert checked_join(one, two, ["k"], validate="one_to_many").count() == 2
+    for how, side in (("many_to_one", "right"), ("one_to_one", "right")):
+        with pytest.raises(Exception, match=f"not unique on the {side} side: A"):
+            checked_join(one, two, ["k"], validate=how).collect()
+    with pytest.raises(Exception, match="not unique on the left side"):
+        checked_join(two, one, ["k"], validate="one_to_many").collect()
+
+
+def test_checks_are_counted_while_a_table_is_written(spark):
+    df = spark.createDataFrame([(1.0,), (-1.0,), (None,)], "v double")
+    assert settled(df, {"big": F.col("v") > 5}).count() == 3
+    with pytest.raises(CheckError, match="'missing': 1, 'negative': 1"):
+        settled(df, {"missing": F.col("v").isNull(), "negative": F.col("v") < 0, "big": F.col("v") > 5})
+
+
+def test_windows_over_an_export_need_no_exchange(spark):
+    rows = [(s, *r[1:]) for s in ("A", "B", "C") for r in ROWS]
+    out = export_panel(spark.createDataFrame(rows, PANEL), "exported_panel", 4)
+    plan = create_features(out).select("sku_id", "date", "lag_1", "roll_mean_30", "ewm_3")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and out.count() == 9
+    assert [tuple(r) for r in out.orderBy("sku_id", "date").collect()] == rows
+    spark.sql("DROP TABLE exported_panel")
