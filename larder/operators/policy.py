@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larder.config import Settings
 from larder.functions.exprs import at_least_zero, round_up
 from larder.functions.stored import settled
-from larder.operators.simulate import daily_paths, initial_inventory, priced, quantile_of, run_totals, whole_lead_time
+from larder.operators.simulate import daily_paths, initial_inventory, priced, quantile_of, refused, run_totals, whole_lead_time
 
 
 def _lookup(values: dict[str, float], by: str) -> Column:
@@ -61,9 +61,33 @@ def policy_params(forecast: DataFrame, panel: DataFrame, scope: DataFrame, setti
     return each.withColumn("rop", need).drop("reorder_point")
 
 
-def historical_policy(panel: DataFrame, settings: Settings) -> DataFrame:
-    """The recorded policy: medians before the final window."""
-    return sku_medians(panel, settings).withColumnRenamed("reorder_point", "rop")
+RECORDED = ("sku_id", "reorder_point", "order_quantity", "lead_time", "unit_cost", "unit_price")
+
+
+def _within(column: str, least: float, above: bool, context: str) -> Column:
+    """The column, or an error that names the SKU where it isn't finite or is below its least value."""
+    value = F.col(column).cast("double")
+    low = value > least if above else value >= least
+    says = F.concat(F.lit(f"{context}: {column} must be finite and {'positive' if above else 'nonnegative'}; affected: "), F.col("sku_id"))
+    return refused(~F.coalesce(low & (value < float("inf")), F.lit(False)), says, value)
+
+
+def historical_policy(panel: DataFrame, settings: Settings, targets: DataFrame | None = None) -> DataFrame:
+    """The recorded policy: medians before the final window.
+
+    Lead times must be positive whole days, reorder points not negative and quantities
+    positive; ``targets`` (sku_id) must all have rows before the window.  The error
+    names the SKU.
+    """
+    if missing := sorted(set(RECORDED) - set(panel.columns)):
+        raise ValueError(f"the recorded policy is missing columns: {missing}")
+    found = sku_medians(panel, settings)
+    if targets is not None:
+        found = targets.select("sku_id").distinct().join(found.withColumn("_there", F.lit(True)), "sku_id", "left")
+        absent = F.concat(F.lit("the recorded policy has no rows before the final window for "), F.col("sku_id"))
+        found = found.withColumn("lead_time", refused(F.col("_there").isNull(), absent, F.col("lead_time"))).drop("_there")
+    checked = {"lead_time": whole_lead_time(["sku_id"]).cast("double"), "reorder_point": _within("reorder_point", 0, False, "recorded policy"), "order_quantity": _within("order_quantity", 0, True, "recorded policy")}
+    return found.withColumns(checked).withColumnRenamed("reorder_point", "rop")
 
 
 def inferred_policy(panel: DataFrame, settings: Settings) -> DataFrame:
@@ -104,10 +128,24 @@ def grid_candidates(forecast: DataFrame, panel: DataFrame, scope: DataFrame, set
     each = each.withColumn("q_multiplier", F.explode(F.array(*map(F.lit, sorted(set(settings.quantity_multipliers)))))).withColumn("quantile", F.explode(quantiles))
     ss = at_least_zero(quantile_of(F.col("sums"), F.col("quantile")))
     each = with_constraint(with_constraint(each, panel, "moq", least, settings), panel, "order_multiple", multiple, settings)
-    each = each.withColumns({"order_quantity": round_up(F.col("order_quantity") * F.col("q_multiplier"), F.col("moq"), F.col("order_multiple")), "safety_stock": ss}).drop("moq", "order_multiple")
+    each = each.withColumns({"order_quantity": round_up(F.col("order_quantity") * F.col("q_multiplier"), F.col("moq"), F.col("order_multiple")), "safety_stock": ss})
     return each.withColumn("rop", F.col("mean_forecast") * F.col("lead_time") + F.col("safety_stock")).drop("sums", "reorder_point")
 
 
+def service_floor(settings: Settings) -> Column:
+    """The least fill rate of a row's intervention, or its service target where settings name no floors at all.
+
+    An intervention that is left out where others have floors is an error, and so is a
+    floor that is no share.
+    """
+    if not settings.floor_by_intervention:
+        floor = F.col("target") / 100
+    else:
+        floor = _lookup(settings.floor_by_intervention, "intervention")
+        floor = refused(floor.isNull(), F.concat(F.lit("no service floor for the intervention "), F.coalesce("intervention", F.lit("(none)"))), floor)
+    return refused(F.isnan(floor) | (floor < 0) | (floor > 1), "a service floor must lie between 0 and 1", floor)
+
+
 def policy_grid(forecast: DataFrame, panel: DataFrame, scope: DataFrame, settings: Settings, least: float = 1.0, multiple: float = 1.0) -> DataFrame:
     """Every candidate simulated on the calibration window, with cost, service and feasibility.
 
@@ -120,8 +158,7 @@ def policy_grid(forecast: DataFrame, panel: DataFrame, scope: DataFrame, setting
     paths = daily_paths(forecast.select("sku_id", "date", "demand"), ["sku_id"], forecast)
     totals = settled(run_totals(paths, distinct, initial_inventory(panel, w.calibration_start), keys, dynamic=True))
     metric = priced(totals, distinct, keys, settings.ordering_cost, settings.holding_rate, settings.shortage_multiplier).drop("class")
-    floor = _lookup(settings.floor_by_intervention, "intervention")
-    out = candidates.join(metric, keys).withColumn("service_floor", F.coalesce(floor, F.col("target") / 100))
+    out = candidates.join(metric, keys).withColumn("service_floor", service_floor(settings))
     return out.withColumn("service_floor_met", F.col("fill_rate") >= F.col("service_floor"))
 
 

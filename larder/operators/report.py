@@ -216,6 +216,39 @@ def fallback_action(policy: DataFrame, medians: DataFrame) -> DataFrame:
     return rows.withColumn("action", action)
 
 
+def fallback_table(policy: DataFrame, medians: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """The action table where none was written: recorded parameters against the policy's, both runs, and the rule of ``fallback_action``.
+
+    Every SKU of the policy must have medians and both metrics, once; rows are ranked by saving, then by gain of fill.
+    """
+    rows = policy.select("sku_id", "class", F.col("target").alias("target_service_level"), F.col("safety_stock").alias("new_ss"), F.col("rop").alias("new_rop"), F.col("order_quantity").alias("new_q"))
+    rows = checked_join(rows, medians.select("sku_id", F.col("reorder_point").alias("old_rop"), F.col("safety_stock").alias("old_ss"), F.col("order_quantity").alias("old_q"), "unit_cost"), ["sku_id"], validate="one_to_one")
+    for p, metric in (("old", old), ("new", new)):
+        rows = checked_join(rows, metric.select("sku_id", *[F.col(c).alias(f"{p}_{c}") for c in ("fill_rate", "avg_inventory", "total_cost")]), ["sku_id"], validate="one_to_one")
+    delta = {"rop_delta": F.col("new_rop") - F.col("old_rop"), "ss_delta": F.col("new_ss") - F.col("old_ss"), "fill_delta_pp": (F.col("new_fill_rate") - F.col("old_fill_rate")) * 100, "inventory_delta": F.col("new_avg_inventory") - F.col("old_avg_inventory"), "expected_saving": F.col("old_total_cost") - F.col("new_total_cost")}
+    rows = rows.withColumns(delta).withColumn("inventory_value_delta", F.col("inventory_delta") * F.col("unit_cost"))
+    material = F.greatest(F.lit(1.0), F.abs("old_rop") * 0.05)
+    rows = rows.withColumn("action", F.when(F.col("rop_delta") > material, "Increase ROP").when(F.col("rop_delta") < -material, "Reduce ROP").otherwise("Hold / monitor"))
+    return numbered(rows, [F.desc("expected_saving"), F.desc("fill_delta_pp"), F.col("sku_id")], "priority")
+
+
+def class_report(metric: DataFrame, classes: DataFrame) -> DataFrame:
+    """Per class: SKUs and pooled fill rate, mean lost sales and cover, to three places; a half goes to the even digit."""
+    rows = checked_join(metric, classes, ["sku_id"], "left").groupBy("class").agg(F.count("sku_id").alias("n_sku"), ratio(F.sum("total_sales"), F.sum("total_demand")).alias("fill_rate"), F.avg("lost_sales").alias("lost_sales"), F.avg("doi").alias("doi"))
+    return rows.select("class", "n_sku", *[F.bround(c, 3).alias(c) for c in ("fill_rate", "lost_sales", "doi")])
+
+
+def classes_in_both(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(class): those that both policies have SKUs of."""
+    return old.select("class").intersect(new.select("class"))
+
+
+def spread_of(scenarios: DataFrame, columns: list[str]) -> DataFrame:
+    """(metric, least, p05, p50, p95, most) of each column over scenarios."""
+    long = scenarios.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "metric", "value")
+    return grouped_quantiles(long, ["metric"], "value", {"least": 0.0, "p05": 0.05, "p50": 0.5, "p95": 0.95, "most": 1.0})
+
+
 def filtered_actions(actions: DataFrame, class_: str | None = None, action: str | None = None) -> DataFrame:
     """The ten columns of the action list, filtered."""
     rows = actions if class_ is None else actions.filter(F.col("class") == class_)

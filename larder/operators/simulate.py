@@ -115,14 +115,21 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _runs(paths: DataFrame, policy: DataFrame, initial: DataFrame, keys: list[str], dynamic: bool) -> DataFrame:
-    """One row for each row of ``policy``: its path and numbers; a policy without days or inventory is an error."""
+    """One row for each row of ``policy``: its path and numbers; a policy without days or inventory is an error.
+
+    Policies of one path are gathered first (a SKU's grid has a set size) and spread
+    where the path lies, so days are not copied by the joins.
+    """
     more = [c for c in POLICY if c not in keys]
-    own = policy.select(*keys, *more).withColumn("lead_time", whole_lead_time(keys))
     on = [k for k in keys if k in paths.columns]
-    runs = own.join(paths, on, "left").join(initial, "sku_id", "left")
+    own = policy.select(*keys, *more).withColumn("lead_time", whole_lead_time(keys))
+    each = [c for c in own.columns if c not in on]
+    gathered = own.groupBy(*on).agg(F.collect_list(F.struct(*each)).alias("_each"))
+    runs = gathered.join(paths, on, "left").join(initial, "sku_id", "left")
     says = F.concat(F.lit("no daily demand or no inventory before it for target SKU "), F.col("sku_id"))
     runs = runs.withColumn("demand", refused(F.col("demand").isNull() | F.col("initial_inventory").isNull(), says, F.col("demand")))
-    return runs.select(*keys, "first", "demand", "target", F.col("initial_inventory").cast("double").alias("initial_inventory"), "lead_time", *[F.col(c).cast("double").alias(c) for c in more if c != "lead_time"], F.lit(dynamic).alias("dynamic"))
+    runs = runs.select(*on, "first", "demand", "target", F.col("initial_inventory").cast("double").alias("initial_inventory"), F.explode("_each").alias("_one")).select(*on, "first", "demand", "target", "initial_inventory", "_one.*")
+    return runs.select(*keys, "first", "demand", "target", "initial_inventory", "lead_time", *[F.col(c).cast("double").alias(c) for c in more if c != "lead_time"], F.lit(dynamic).alias("dynamic"))
 
 
 _DAILY = ("received", "sales_quantity", "lost", "inventory", "inventory_position", "rop_used", "order_placed")

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from larder.config import STANDARD, Settings
 from larder.functions.stored import settled
-from larder.operators import classify, contract, features, forecast, model, policy, report, simulate, uncertainty
-from larder.plans.oracle import FINAL, SEL_END, W, i, metrics, query, r, simulation
-from larder.sources.panel import standard_panel
+from larder.operators import audit, classify, contract, features, forecast, model, policy, report, simulate, uncertainty
+from larder.plans.oracle import CAL, CAL_END, FINAL, SEL_END, W, i, metrics, query, r, simulation
+from larder.sources.panel import PANEL, standard_panel
 
 S = STANDARD
 
@@ -30,22 +30,48 @@ def neat(df: DataFrame) -> DataFrame:
 
 
 #: Steps that others build on more than once: they are kept, so that plans stay short.
-_KEPT = {"panel", "classes", "scope", "strategic", "winners", "calibration", "final_forecast", "audit", "chosen", "recorded", "inferred", "old_metric", "new_metric", "stress"}
+_KEPT = {"panel", "classes", "scope", "strategic", "winners", "calibration", "final_forecast", "audit", "chosen", "metric", "medians", "recorded", "inferred", "old_metric", "new_metric", "inferred_metric", "stress"}
+
+
+#: Steps that queries of one session share, by what they were made from.
+_MADE: dict[tuple, DataFrame] = {}
+
+
+def _origin(spark: SparkSession, sf_dir: str) -> tuple:
+    """The session, and each input file with its size and time: what a step is made from besides settings."""
+    jvm, files = spark.sparkContext._jvm, []
+    for table in ("lineitem", "part"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+        for status in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path):
+            files.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return spark.sparkContext.applicationId, *files
 
 
 class Book:
-    """The steps that queries share, each built when it is asked for."""
+    """The steps that queries share, each built when it is asked for.
+
+    A step that is kept is a table in the shared folder; queries of one session over
+    the same files and settings use it again.  A panel that is handed in is used by
+    this book alone.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str | None = None, panel: DataFrame | None = None, settings: Settings = STANDARD):
         self.spark, self.sf_dir, self.s, self.w = spark, sf_dir, settings, settings.windows
+        self._key = None if sf_dir is None or panel is not None else (_origin(spark, sf_dir), repr(settings))
         if panel is not None:
             self.panel = settled(panel)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        made = _STEPS[name](self)
-        made = settled(made) if name in _KEPT else made
+        key = None if self._key is None or name not in _KEPT else (*self._key, name)
+        if key in _MADE:
+            made = _MADE[key]
+        else:
+            made = _STEPS[name](self)
+            made = settled(made) if name in _KEPT else made
+            if key:
+                _MADE[key] = made
         setattr(self, name, made)
         return made
 
@@ -103,8 +129,8 @@ _STEPS: dict[str, Callable[[Book], DataFrame]] = {
 
 def _sequence(b: Book) -> Book:
     """The same steps with the draws of numpy's sequence."""
-    own = Book(b.spark, b.sf_dir, b.panel, replace(b.s, draws="pcg64"))
-    for step in ("chosen", "recorded", "calibration", "final_forecast"):
+    own = Book(b.spark, b.sf_dir, settings=replace(b.s, draws="pcg64"))
+    for step in ("panel", "chosen", "recorded", "calibration", "final_forecast"):
         setattr(own, step, getattr(b, step))
     return own
 
@@ -168,7 +194,7 @@ _QUERIES: dict[str, Callable[[Book], DataFrame]] = {
     "forecast_metrics": lambda b: forecast.forecast_metrics(b.final_forecast, "class"),
     "forecast_hierarchy_metrics": lambda b: forecast.hierarchy_metrics(b.final_forecast, b.classes, b.panel, b.s),
     "policy_params": lambda b: policy.policy_params(b.calibration.drop("class", "model"), b.panel, b.skus, b.s).drop("sums"),
-    "historical_policy": lambda b: policy.historical_policy(b.panel, b.s),
+    "historical_policy": lambda b: policy.historical_policy(b.panel, b.s, b.classes),
     "inferred_policy": lambda b: policy.inferred_policy(b.panel, b.s),
     "initial_inventory": lambda b: simulate.initial_inventory(b.panel, b.w.final_start),
     "policy_grid_audit": lambda b: b.audit.select("sku_id", "q_multiplier", "quantile", "order_quantity", "safety_stock", "fill_rate", "avg_inventory", "total_cost", "service_floor", "service_floor_met"),
@@ -190,6 +216,16 @@ _QUERIES: dict[str, Callable[[Book], DataFrame]] = {
     "policy_bootstrap_pcg64": lambda b: uncertainty.policy_bootstrap(b.old_in_scope, b.new_metric, seed=b.s.seed, kind="pcg64"),
     "policy_action": lambda b: b.actions.drop("service_floor"),
     "fallback_action": lambda b: report.fallback_action(b.chosen, b.medians),
+    "fallback_table": lambda b: report.fallback_table(b.chosen, b.medians, b.old_in_scope, b.new_metric),
+    "class_report": lambda b: report.class_report(b.metric, b.classes),
+    "classes_in_both": lambda b: report.classes_in_both(b.old_metric, b.new_metric),
+    "cost_sensitivity_spread": lambda b: report.spread_of(uncertainty.cost_sensitivity(b.old_in_scope, b.new_metric, b.s), ["cost_saving", "old_total_cost", "new_total_cost"]),
+    "stress_spread": lambda b: report.spread_of(b.stress, ["fill_rate_delta_pp", "inventory_change_pct", "cost_change_pct", "cost_saving"]),
+    "key_audit": lambda b: audit.key_audit(panel=b.panel),
+    "classification_audit": lambda b: audit.classification_audit(b.classes, b.metric),
+    "scope_audit": lambda b: audit.scope_audit(b.scope, b.classes),
+    "window_audit": lambda b: audit.window_audit(b.calibration, b.final_forecast, b.s),
+    "lineage_audit": lambda b: audit.lineage_audit(b.chosen, b.audit, b.actions, report.policy_sensitivity_rows(b.recorded, b.old_metric, b.inferred, b.inferred_metric)),
     "action_filtered": lambda b: report.filtered_actions(b.actions, action="Q"),
     "gbt_forecast": lambda b: model.tuned_forecast(b.strategic, b.s),
     "model_comparison": lambda b: model.tuned_comparison(b.strategic, b.s),
@@ -213,6 +249,7 @@ _FILL = "sum(total_sales) / nullif(sum(total_demand), 0)"
 _ROW = lambda label, of: f"SELECT '{label}' AS policy_label, {i('count(*)', 'n_sku')}, {', '.join(_sum(c) for c in ('total_demand', 'total_sales', 'total_lost', 'avg_inventory', *_COSTS))}, {r(_FILL, 'fill_rate')}, {r('sum(cycles_without_stockout) / nullif(sum(num_cycles), 0)', 'cycle_service_level')} FROM {of}"
 _SIM = lambda of, extra="": f"SELECT sku_id, date, {', '.join(r(c, c) for c in _TRACE)}, {i('order_placed', 'order_placed')}{extra} FROM {of}"
 _MET = lambda of: f"SELECT sku_id, class, {', '.join(r(c, c) for c in _METRIC)}, {', '.join(i(c, c) for c in _COUNTS)} FROM {of}"
+_SPREAD = ", ".join(r(e, n) for n, e in {"least": "min(v)", "p05": "quantile_cont(v, 0.05)", "p50": "quantile_cont(v, 0.5)", "p95": "quantile_cont(v, 0.95)", "most": "max(v)"}.items())
 _BIG = "total_demand", "total_sales", "lost_sales", "num_days", "n_sku"
 _CHANGED = lambda a, b: f"abs({a} - {b}) > greatest(1, abs({b}) * 0.05)"
 _EWM = lambda a: f"list_reduce(h, lambda y, x: y * (1 - {a}) + x * {a})"
@@ -349,5 +386,21 @@ def oracle_sql() -> dict[str, str]:
         "policy_bootstrap": q(f"SELECT be.metric, {r('any_value(estimate)', 'estimate')}, {r('quantile_cont(v, 0.025)', 'ci_2_5')}, {r('quantile_cont(v, 0.975)', 'ci_97_5')}, {i('count(v)', 'n_bootstrap')} FROM be JOIN bp ON bp.metric = be.metric GROUP BY be.metric", **boot),
         "policy_action": q("SELECT sku_id, class, intervention, selection_status, policy_mode, action, " + i("priority", "priority") + ", " + ", ".join(r(c, c) for c in ("lead_time", "new_q", "new_rop", "new_ss", "old_q", "old_rop", "old_ss", *[f"{p}_{c}" for p in ("old", "new") for c in ("fill_rate", "avg_inventory", "total_cost", "total_lost")], "rop_delta", "q_delta", "ss_delta", "inventory_delta", "lost_delta", "expected_saving", "fill_delta")) + " FROM act", **_BOTH),
         "fallback_action": q(f"SELECT c.sku_id, {r('rop', 'new_rop')}, {r('reorder_point', 'old_rop')}, CASE WHEN rop - reorder_point > greatest(1, abs(reorder_point) * 0.05) THEN 'Increase ROP' WHEN reorder_point - rop > greatest(1, abs(reorder_point) * 0.05) THEN 'Reduce ROP' ELSE 'Hold / monitor' END AS action FROM chosen c LEFT JOIN med m ON m.sku_id = c.sku_id"),
+        "fallback_table": q(f"""SELECT sku_id, class, action, {i('row_number() OVER (ORDER BY expected_saving DESC, fill_delta_pp DESC, sku_id)', 'priority')}, {', '.join(r(c, c) for c in ('target_service_level', 'new_ss', 'new_rop', 'new_q', 'old_rop', 'old_ss', 'old_q', 'unit_cost', 'old_fill_rate', 'old_avg_inventory', 'old_total_cost', 'new_fill_rate', 'new_avg_inventory', 'new_total_cost', 'rop_delta', 'ss_delta', 'fill_delta_pp', 'inventory_delta', 'expected_saving', 'inventory_value_delta'))} FROM fb""", fb="""SELECT c.sku_id, c.class, c.target AS target_service_level, c.safety_stock AS new_ss, c.rop AS new_rop, c.order_quantity AS new_q, m.reorder_point AS old_rop, m.safety_stock AS old_ss, m.order_quantity AS old_q, m.unit_cost,
+            o.fill_rate AS old_fill_rate, o.avg_inventory AS old_avg_inventory, o.total_cost AS old_total_cost, n.fill_rate AS new_fill_rate, n.avg_inventory AS new_avg_inventory, n.total_cost AS new_total_cost,
+            c.rop - m.reorder_point AS rop_delta, c.safety_stock - m.safety_stock AS ss_delta, (n.fill_rate - o.fill_rate) * 100 AS fill_delta_pp, n.avg_inventory - o.avg_inventory AS inventory_delta, o.total_cost - n.total_cost AS expected_saving, (n.avg_inventory - o.avg_inventory) * m.unit_cost AS inventory_value_delta,
+            CASE WHEN c.rop - m.reorder_point > greatest(1, abs(m.reorder_point) * 0.05) THEN 'Increase ROP' WHEN m.reorder_point - c.rop > greatest(1, abs(m.reorder_point) * 0.05) THEN 'Reduce ROP' ELSE 'Hold / monitor' END AS action
+            FROM chosen c JOIN med m ON m.sku_id = c.sku_id JOIN mold o ON o.sku_id = c.sku_id JOIN mnew n ON n.sku_id = c.sku_id"""),
+        "class_report": q(f"SELECT class, {i('count(*)', 'n_sku')}, round_even({_FILL}, 3) AS fill_rate, round_even(avg(lost_sales), 3) AS lost_sales, round_even(avg(doi), 3) AS doi FROM skum s LEFT JOIN cls c ON c.sku_id = s.sku_id GROUP BY class"),
+        "classes_in_both": q("SELECT class FROM mold INTERSECT SELECT class FROM mnew"),
+        "cost_sensitivity_spread": q(" UNION ALL ".join(f"SELECT '{n}' AS metric, {_SPREAD} FROM (SELECT {e} AS v FROM cg CROSS JOIN co CROSS JOIN cn)" for n, e in {"cost_saving": f"{tot['o']} - {tot['n']}", "old_total_cost": tot["o"], "new_total_cost": tot["n"]}.items()), **cost),
+        "stress_spread": q(" UNION ALL ".join(f"SELECT '{c}' AS metric, {_SPREAD} FROM (SELECT {c} AS v FROM stress)" for c in ("fill_rate_delta_pp", "inventory_change_pct", "cost_change_pct", "cost_saving")), **stress),
+        "key_audit": q(f"SELECT 'panel' AS dataset, {i('count(*)', 'n_rows')}, {i('count(DISTINCT sku_id)', 'n_sku')}, {i('count(*) FILTER (WHERE sku_id IS NULL OR date IS NULL)', 'missing_key_rows')}, {i('count(*) - count(DISTINCT (sku_id, date))', 'duplicate_key_rows')}, {i(' + '.join(f'count(*) - count({c})' for c in PANEL.fieldNames()), 'missing_cells')} FROM panel"),
+        "classification_audit": q(" UNION ALL ".join(f"SELECT '{k}' AS check_name, {i(e, 'violations')} FROM {t}" for k, e, t in (
+            ("one_class_per_sku", "count(*) - count(DISTINCT sku_id)", "cls"), ("one_metric_per_sku", "count(*) - count(DISTINCT sku_id)", "skum"), ("same_skus", "count(*)", "(SELECT c.sku_id FROM cls c FULL JOIN skum s ON s.sku_id = c.sku_id WHERE c.sku_id IS NULL OR s.sku_id IS NULL)"),
+            ("class_code", "count(*) FILTER (WHERE NOT regexp_full_match(class, '[ABC][XYZ]'))", "cls"), ("fill_rate_is_a_share", "count(*) FILTER (WHERE NOT coalesce(fill_rate BETWEEN 0 AND 1, false))", "skum"), ("lost_sales_not_negative", "count(*) FILTER (WHERE NOT coalesce(lost_sales >= 0, false))", "skum")))),
+        "scope_audit": q(" UNION ALL ".join(f"SELECT '{k}' AS check_name, {i(e, 'violations')} FROM scope WHERE intervention IS NOT NULL" for k, e in {"one_decision_per_class": "count(*) - count(DISTINCT class)", "n_sku_positive": "count(*) FILTER (WHERE n_sku <= 0)", "fill_rate_is_a_share": "count(*) FILTER (WHERE NOT coalesce(fill_rate BETWEEN 0 AND 1, false))", "doi_not_negative": "count(*) FILTER (WHERE NOT coalesce(doi >= 0, false))", "class_exists": "count(*) FILTER (WHERE class NOT IN (SELECT class FROM cls))"}.items())),
+        "window_audit": q(" UNION ALL ".join(f"SELECT '{n}' AS artifact, {a} AS expected_start, CAST({e} AS DATE) AS expected_end, min(date) AS observed_start, max(date) AS observed_end, {i('count(*) FILTER (WHERE forecast < 0)', 'negative')}, coalesce(min(date) = {a} AND {m}, false) AS matches FROM {t}" for n, a, e, m, t in (("calibration", CAL, CAL_END, f"max(date) = {CAL_END}", "fcal"), ("final", FINAL, "NULL", "true", "ffin")))),
+        "lineage_audit": q(f"SELECT unnest(['recorded_policy_is_the_baseline', 'inferred_policy_is_beside_it', 'proposed_policy_follows_the_forecast', 'quantity_is_from_the_grid', 'audit_keeps_order_constraints']) AS check_name, unnest([CAST((SELECT count(*) = 0 FROM mold) AS BIGINT), CAST((SELECT count(*) = 0 FROM minf) AS BIGINT), {i(chr(40) + 'SELECT count(*) FROM act WHERE policy_mode <> ' + chr(39) + 'dynamic_rop' + chr(39) + chr(41), 'x').rsplit(' AS ', 1)[0]}, 0, 0]) AS violations", **_BOTH),
         "action_filtered": q(f"SELECT {i('priority', 'priority')}, sku_id, class, intervention, action, {', '.join(r(c, c) for c in ('old_rop', 'new_rop', 'old_q', 'new_q', 'expected_saving'))} FROM act WHERE contains(action, 'Q')", **_BOTH),
     }
