@@ -75,7 +75,7 @@ def test_op5(spark, rows):
     for k, (i, text) in enumerate(rows):
         spans = [f"{kind}:{s}:{e}" for kind, s, e in test_pii.base(text)]
         base = test_pii.hashlib.sha256(",".join(spans).encode()).hexdigest()
-        want.append((i, base, ",".join(spans + [f"term:{s}:{e}" for s, e in sorted(terms[k])])))
+        want.append((i, base, ",".join(spans + [f"term:{s}:{e}" for s, e, _ in sorted(terms[k])])))
     assert sorted(want, key=str) == sorted(((r.doc_id, r.base_sha256, r.spans) for r in got), key=str)
 
 
