@@ -30,7 +30,7 @@ def neat(df: DataFrame) -> DataFrame:
 
 
 #: Steps that others build on more than once: they are kept, so that plans stay short.
-_KEPT = {"panel", "classes", "scope", "strategic", "winners", "calibration", "final_forecast", "audit", "chosen", "metric", "medians", "recorded", "inferred", "old_metric", "new_metric", "inferred_metric", "stress"}
+_KEPT = {"panel", "wide_panel", "classes", "scope", "strategic", "winners", "calibration", "final_forecast", "audit", "chosen", "metric", "medians", "recorded", "inferred", "old_metric", "new_metric", "inferred_metric", "stress"}
 
 
 #: Steps that queries of one session share, by what they were made from.
@@ -102,6 +102,7 @@ def _priced(b: Book, runs: DataFrame, dynamic: bool) -> DataFrame:
 
 _STEPS: dict[str, Callable[[Book], DataFrame]] = {
     "panel": lambda b: standard_panel(b.spark, b.sf_dir),
+    "wide_panel": lambda b: standard_panel(b.spark, b.sf_dir, by="part"),
     "classes": lambda b: classify.abc_xyz(b.panel, b.s),
     "metric": lambda b: classify.sku_metric(b.panel, b.w.final_start),
     "medians": lambda b: policy.sku_medians(b.panel, b.s),
@@ -148,6 +149,14 @@ def _features(b: Book) -> DataFrame:
     return features.create_features(b.panel)
 
 
+def _wide_simulation(b: Book) -> DataFrame:
+    """The recorded policy of every part over the final window."""
+    days = b.wide_panel.filter(F.col("date") >= F.lit(b.w.final_start)).select("sku_id", "date", "demand")
+    runs = policy.historical_policy(b.wide_panel.filter("order_quantity > 0"), b.s)
+    paths, start = simulate.daily_paths(days, ["sku_id"]), simulate.initial_inventory(b.wide_panel, b.w.final_start)
+    return simulate.run_totals(paths, runs, start, ["sku_id"]).drop("first")
+
+
 _QUERIES: dict[str, Callable[[Book], DataFrame]] = {
     "panel": lambda b: b.panel,
     "contract_violations": lambda b: contract.contract_violations(b.panel),
@@ -227,6 +236,9 @@ _QUERIES: dict[str, Callable[[Book], DataFrame]] = {
     "window_audit": lambda b: audit.window_audit(b.calibration, b.final_forecast, b.s),
     "lineage_audit": lambda b: audit.lineage_audit(b.chosen, b.audit, b.actions, report.policy_sensitivity_rows(b.recorded, b.old_metric, b.inferred, b.inferred_metric)),
     "action_filtered": lambda b: report.filtered_actions(b.actions, action="Q"),
+    "wide_features": lambda b: features.create_features(b.wide_panel).select("sku_id", "date", "lag_7", "roll_mean_30", "roll_std_90", "ewm_5", "growth_mean"),
+    "wide_classes": lambda b: classify.abc_xyz(b.wide_panel, b.s),
+    "wide_simulation": lambda b: _wide_simulation(b),
     "gbt_forecast": lambda b: model.tuned_forecast(b.strategic, b.s),
     "model_comparison": lambda b: model.tuned_comparison(b.strategic, b.s),
 }
@@ -320,6 +332,8 @@ def oracle_sql() -> dict[str, str]:
         "key_not_null": "sku_id IS NULL OR date IS NULL", "key_unique": "same > 1", "no_missing_value": " OR ".join(f"{c} IS NULL" for c in ("sku_id", "date", "demand", "sales_quantity", "inventory_level", "order_received", "category", "lead_time", "safety_stock", "reorder_point", "order_quantity", "unit_cost", "unit_price")),
         "lead_time_whole_days": "lead_time <= 0", "midnight": "false", "continuous_calendar": "gap <> 1", "not_negative": " OR ".join(f"{c} < 0" for c in contract.NOT_NEGATIVE), "sales_within_demand": "sales_quantity > demand", "inventory_balance": "inventory_level <> before + order_received - sales_quantity",
     }
+    # the same SQL over parts: only the panel's first steps name a brand
+    wide = lambda sql: sql.replace("p_brand AS sku_id, CAST(regexp_extract(p_brand, '[0-9]+') AS INTEGER)", "'Part#' || p_partkey AS sku_id, CAST(p_partkey AS INTEGER)").replace("FROM part GROUP BY p_brand", "FROM part GROUP BY p_partkey").replace("SELECT p_brand AS sku_id, CAST(l_shipdate", "SELECT 'Part#' || p_partkey AS sku_id, CAST(l_shipdate")
     stats = ["avg_inventory", "daily_demand", "doi", "fill_rate", "cv"]
     return {
         "panel": q("SELECT * FROM panel"),
@@ -402,5 +416,9 @@ def oracle_sql() -> dict[str, str]:
         "scope_audit": q(" UNION ALL ".join(f"SELECT '{k}' AS check_name, {i(e, 'violations')} FROM scope WHERE intervention IS NOT NULL" for k, e in {"one_decision_per_class": "count(*) - count(DISTINCT class)", "n_sku_positive": "count(*) FILTER (WHERE n_sku <= 0)", "fill_rate_is_a_share": "count(*) FILTER (WHERE NOT coalesce(fill_rate BETWEEN 0 AND 1, false))", "doi_not_negative": "count(*) FILTER (WHERE NOT coalesce(doi >= 0, false))", "class_exists": "count(*) FILTER (WHERE class NOT IN (SELECT class FROM cls))"}.items())),
         "window_audit": q(" UNION ALL ".join(f"SELECT '{n}' AS artifact, {a} AS expected_start, CAST({e} AS DATE) AS expected_end, min(date) AS observed_start, max(date) AS observed_end, {i('count(*) FILTER (WHERE forecast < 0)', 'negative')}, coalesce(min(date) = {a} AND {m}, false) AS matches FROM {t}" for n, a, e, m, t in (("calibration", CAL, CAL_END, f"max(date) = {CAL_END}", "fcal"), ("final", FINAL, "NULL", "true", "ffin")))),
         "lineage_audit": q(f"SELECT unnest(['recorded_policy_is_the_baseline', 'inferred_policy_is_beside_it', 'proposed_policy_follows_the_forecast', 'quantity_is_from_the_grid', 'audit_keeps_order_constraints']) AS check_name, unnest([CAST((SELECT count(*) = 0 FROM mold) AS BIGINT), CAST((SELECT count(*) = 0 FROM minf) AS BIGINT), {i(chr(40) + 'SELECT count(*) FROM act WHERE policy_mode <> ' + chr(39) + 'dynamic_rop' + chr(39) + chr(41), 'x').rsplit(' AS ', 1)[0]}, 0, 0]) AS violations", **_BOTH),
+        "wide_features": wide(q(f"SELECT f.sku_id, f.date, lag_7, {r('roll_mean_30', 'roll_mean_30')}, {r('roll_std_90', 'roll_std_90')}, {r(f'CASE WHEN len(h) > 0 THEN {_EWM(0.5)} END', 'ewm_5')}, {r('roll_mean_30 / (roll_mean_90 + 1e-6)', 'growth_mean')} FROM feat f JOIN (SELECT sku_id, date, list(CAST(demand AS DOUBLE)) OVER (PARTITION BY sku_id ORDER BY date ROWS BETWEEN 128 PRECEDING AND 1 PRECEDING) AS h FROM panel) g ON g.sku_id = f.sku_id AND g.date = f.date", **feat)),
+        "wide_classes": wide(q("SELECT sku_id, class FROM cls")),
+        "wide_simulation": wide(q(f"SELECT sku_id, {r('sum(demand)', 'demand')}, {r('sum(sales_quantity)', 'sales')}, {r('sum(lost)', 'lost')}, {r('sum(inventory)', 'inventory')}, {r('sum(order_placed)', 'orders')}, {i('max(cycle) + 1', 'num_cycles')}, {i('count(DISTINCT cycle) FILTER (WHERE clean)', 'cycles_without_stockout')}, {i('count(*)', 'rows')} FROM (SELECT *, sum(lost) OVER (PARTITION BY sku_id, cycle) = 0 AS clean FROM (SELECT *, CAST(sum(CASE WHEN received > 0 AND p > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY sku_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cycle FROM wsim)) GROUP BY sku_id",
+            wruns="SELECT sku_id AS key, sku_id, lead_time, order_quantity, rop, safety_stock, unit_cost, unit_price, false AS dyn FROM hist WHERE order_quantity > 0", wdays=f"SELECT sku_id AS key, date, demand, CAST(NULL AS DOUBLE) AS target FROM panel WHERE date >= {FINAL}", **simulation("wsim", "wdays", "wruns", "init_fin"))),
         "action_filtered": q(f"SELECT {i('priority', 'priority')}, sku_id, class, intervention, action, {', '.join(r(c, c) for c in ('old_rop', 'new_rop', 'old_q', 'new_q', 'expected_saving'))} FROM act WHERE contains(action, 'Q')", **_BOTH),
     }

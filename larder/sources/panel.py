@@ -108,13 +108,16 @@ def data_contract(panel: DataFrame) -> dict:
     return {"primary_key": ["sku_id", "date"], "columns": dict(panel.dtypes), "date_min": str(found["first"]), "date_max": str(found["last"]), "rows": found["rows"], "skus": found["skus"]}
 
 
-def standard_panel(spark: SparkSession, sf_dir: str, settings: Settings = STANDARD) -> DataFrame:
-    """A panel of brands by day for 1999 and 2000, from lineitem and part.
+def standard_panel(spark: SparkSession, sf_dir: str, settings: Settings = STANDARD, by: str = "brand") -> DataFrame:
+    """A panel of brands by day for 1999 and 2000, from lineitem and part; ``by`` "part" has a SKU for each part instead.
 
-    Days without sales are filled with zeros.  Each Monday receives what the
+    The number of parts grows with the tables, that of brands doesn't.  Days without sales are filled with zeros.  Each Monday receives what the
     seven days before sold, and the inventory never falls below zero.
     """
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_retailprice")
+    if by not in ("brand", "part"):
+        raise ValueError(f"no panel by {by!r}")
+    sku = F.col("p_brand") if by == "brand" else F.concat_ws("#", F.lit("Part"), "p_partkey")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", sku.alias("p_brand"), "p_retailprice")
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_quantity", "l_returnflag", "l_shipdate")
     line = line.filter((F.col("l_shipdate") >= "1999-01-01") & (F.col("l_shipdate") < "2001-01-01"))
     brands = part.groupBy(F.col("p_brand").alias("sku_id")).agg(F.round(F.avg("p_retailprice"), 2).alias("unit_price"))
