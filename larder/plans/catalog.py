@@ -47,6 +47,13 @@ def _origin(spark: SparkSession, sf_dir: str) -> tuple:
     return spark.sparkContext.applicationId, *files
 
 
+def _there(spark: SparkSession, table: DataFrame) -> bool:
+    """Whether a kept table still has its files: its folder may have been cleared."""
+    jvm, files = spark.sparkContext._jvm, table.inputFiles()
+    path = jvm.org.apache.hadoop.fs.Path(files[0]) if files else None
+    return path is not None and path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 class Book:
     """The steps that queries share, each built when it is asked for.
 
@@ -65,7 +72,7 @@ class Book:
         if name.startswith("_"):
             raise AttributeError(name)
         key = None if self._key is None or name not in _KEPT else (*self._key, name)
-        if key in _MADE:
+        if key in _MADE and _there(self.spark, _MADE[key]):
             made = _MADE[key]
         else:
             made = _STEPS[name](self)

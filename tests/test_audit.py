@@ -100,6 +100,9 @@ def test_steps_are_shared_until_an_input_changes(spark, tmp_path):
     one, two = catalog.Book(spark, str(tmp_path)), catalog.Book(spark, str(tmp_path))
     assert one.classes is two.classes and catalog.Book(spark, panel=one.panel).classes is not one.classes
     assert catalog.Book(spark, str(tmp_path), settings=Settings(windows=catalog.S.windows, a_share=0.5, draws="hash")).classes is not one.classes
+    shutil.rmtree(os.path.dirname(two.classes.inputFiles()[0]).removeprefix("file://").removeprefix("file:"))
+    three = catalog.Book(spark, str(tmp_path))
+    assert three.panel is one.panel and three.classes is not one.classes and three.classes.count() == 25
     first = next(p for p in [tmp_path / "part.parquet", *(tmp_path / "part.parquet").glob("*.parquet")] if p.is_file())
     os.chmod(first.parent, 0o755)
     os.utime(first, (1, 1))
