@@ -12,6 +12,7 @@ class Windows:
     """Inclusive day windows.  Models are chosen in the first, policies tuned in the
     second, and both judged in the last, which no choice may see."""
 
+    # fixed values: the days unless others are given
     selection_start: date = date(2025, 1, 1)
     selection_end: date = date(2025, 5, 30)
     calibration_start: date = date(2025, 5, 31)

@@ -75,8 +75,8 @@ def paired_policies(old: DataFrame, new: DataFrame) -> DataFrame:
         sides.append(own.groupBy("sku_id").agg(F.count("*").alias(f"{p}_rows"), F.first(f"{p}_lead").alias(f"{p}_lead"), F.first(p).alias(p)))
     both = sides[0].join(sides[1], "sku_id", "full")
     unpaired = F.col("old_rows").isNull() | F.col("new_rows").isNull() | (F.col("old_rows") > 1) | (F.col("new_rows") > 1)
-    lead = refused(unpaired, F.concat(F.lit("old and new policies must contain the same SKU set, one row per SKU; affected: "), F.col("sku_id")), F.col("old_lead"))
-    lead = refused(F.col("old_lead") != F.col("new_lead"), F.concat(F.lit("paired lead-time stress requires the same base lead time for "), F.col("sku_id")), lead)
+    lead = refused(unpaired, F.concat(F.lit("a pair needs the same SKU set on both sides, one row per SKU; not so for "), F.col("sku_id")), F.col("old_lead"))
+    lead = refused(F.col("old_lead") != F.col("new_lead"), F.concat(F.lit("stress needs pairs with the same base lead time for "), F.col("sku_id")), lead)
     return both.select("sku_id", lead.alias("lead_time"), "old", "new")
 
 
