@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import LOWER, UPPER, partitions, stored, text_of
@@ -28,8 +28,8 @@ LETTERS = "A-Za-zÀ-ÿ"
 LEAST_LETTERS, LEAST_COUNT = 7, 2
 #: A form is at least so many times as common as its variant.
 FORM_TIMES = 10
-#: Letters by which words are dealt to shards; halves are no shorter.
-ROUTE = 3
+#: Letters by which words are dealt to shards: those of the half, but no more than the second number; halves are no shorter than the first.
+ROUTE, MOST_ROUTE = 3, 6
 #: Words whose halves one automaton holds; where more share a route, blocks of them meet each other.
 SHARD_WORDS = 20_000
 #: Different words that a task counts before it sends them on, and letters of a text that it cuts at a time.
@@ -148,11 +148,11 @@ def automaton_of(words: Iterator[str], last: bool) -> ahocorasick.Automaton:
     return made
 
 
-def near_words(x: str, automaton: ahocorasick.Automaton, last: bool) -> Iterator[str]:
-    """Words of the automaton one edit from ``x``.  Those that keep their first half too are left to the other end."""
+def near_words(x: str, automaton: ahocorasick.Automaton, last: bool, route: int) -> Iterator[str]:
+    """Words of the automaton one edit from ``x`` that are dealt by ``route`` letters.  Those that keep their first half too are left to the other end."""
     for _, sizes in automaton.iter(x + _MARK if last else _MARK + x):
         for n in (len(x) - 1, len(x), len(x) + 1):
-            if own := sizes.get(n):
+            if (own := sizes.get(n)) and min(n - n // 2 if last else n // 2, MOST_ROUTE) == route:
                 for w in own.near(x):
                     if not last or w[: n // 2] != x[: n // 2]:
                         yield w
@@ -174,7 +174,7 @@ def _shard(table: pa.Table) -> pa.Table:
         for k in own:
             if rows["scanned"][k]:
                 x = rows["word"][k]
-                if near := [(-count[w], w) for w in near_words(x, automaton, last)]:
+                if near := [(-count[w], w) for w in near_words(x, automaton, last, rows["letters"][k])]:
                     out.append((x, len(near), *min(near)))
     types = (pa.string(), pa.int64(), pa.int64(), pa.string())
     columns = zip(*out, strict=True) if out else [[]] * 4
@@ -184,22 +184,32 @@ def _shard(table: pa.Table) -> pa.Table:
 def near_table(counts: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(word, n_near, less, near) for each word of the stored table ``counts`` that is near any; ``less`` is -n of ``near``.
 
-    A route with more than ``shard_words`` words is cut into blocks by hash, and each
+    Words lie where the letters of their halves lead, and are scanned where those of
+    words a letter shorter or longer would: two places at each end at most.  A route
+    with more than ``shard_words`` rows is cut into blocks by hash, and each
     block's automaton meets each block, so no task holds a hot route.
     """
-    spark = counts.sparkSession
-    ends = [F.struct(F.lit(False).alias("last"), F.substring("word", 1, ROUTE).alias("route")), F.struct(F.lit(True).alias("last"), F.substring("word", -ROUTE, ROUTE).alias("route"))]
-    rows = counts.withColumn("e", F.explode(F.array(*ends))).select("word", "n", "e.last", "e.route")
-    full = stored(rows.groupBy("last", "route").count().filter(F.col("count") > shard_words).select("last", "route", F.ceil(F.col("count") / shard_words).alias("blocks")), "spelling-routes")
+    spark, size = counts.sparkSession, F.length("word")
+    half = lambda n, last: F.least(n - F.floor(n / 2) if last else F.floor(n / 2), F.lit(MOST_ROUTE)).cast("int")
+
+    def places(last: bool) -> Column:
+        met = F.filter(F.array_distinct(F.array(*[half(size + d, last) for d in (-1, 0, 1)])), lambda k: k >= ROUTE)
+        route = lambda k: F.substring("word", size - k + 1 if last else F.lit(1), k)
+        return F.transform(met, lambda k: F.struct(F.lit(last).alias("last"), k.alias("letters"), route(k).alias("route"), (k == half(size, last)).alias("held")))
+
+    rows = counts.withColumn("e", F.explode(F.concat(places(False), places(True)))).select("word", "n", "e.*")
+    on = ["last", "letters", "route"]
+    full = stored(rows.groupBy(*on).count().filter(F.col("count") > shard_words).select(*on, F.ceil(F.col("count") / shard_words).alias("blocks")), "spelling-routes")
     shards = max(4 * partitions(spark), math.ceil(2 * counts.count() / shard_words))
-    rows = rows.join(full, ["last", "route"], "left").withColumn("own", F.pmod(F.xxhash64("word"), F.col("blocks")))
-    single = F.array(F.struct(F.pmod(F.xxhash64("last", "route"), F.lit(shards)).alias("shard"), F.lit(True).alias("held"), F.lit(True).alias("scanned")))
-    cell = lambda a, b: F.xxhash64("last", "route", a, b)
+    rows = rows.join(full, on, "left").withColumn("own", F.pmod(F.xxhash64("word"), F.col("blocks")))
+    cell = lambda shard, held, scanned: F.struct(shard.alias("shard"), held.alias("held"), F.lit(scanned).alias("scanned"))
+    single = F.array(cell(F.pmod(F.xxhash64("last", "route"), F.lit(shards)), F.col("held"), True))
     blocks = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    scans = F.transform(blocks, lambda j: F.struct(cell(j, F.col("own")).alias("shard"), (j == F.col("own")).alias("held"), F.lit(True).alias("scanned")))
-    holds = F.transform(F.filter(blocks, lambda j: j != F.col("own")), lambda j: F.struct(cell(F.col("own"), j).alias("shard"), F.lit(True).alias("held"), F.lit(False).alias("scanned")))
+    scans = F.transform(blocks, lambda j: cell(F.xxhash64(*on, j, F.col("own")), F.col("held") & (j == F.col("own")), True))
+    others = F.filter(blocks, lambda j: F.col("held") & (j != F.col("own")))
+    holds = F.transform(others, lambda j: cell(F.xxhash64(*on, F.col("own"), j), F.lit(True), False))
     dealt = rows.withColumn("c", F.explode(F.when(F.col("blocks").isNull(), single).otherwise(F.concat(scans, holds))))
-    found = dealt.select("c.shard", "last", "word", "n", "c.held", "c.scanned").groupBy("shard").applyInArrow(_shard, _NEAR)
+    found = dealt.select("c.shard", "last", "letters", "word", "n", "c.held", "c.scanned").groupBy("shard").applyInArrow(_shard, _NEAR)
     best = F.min(F.struct("less", "near")).alias("best")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best).select("word", "n_near", "best.less", "best.near")
 
