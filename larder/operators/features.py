@@ -14,9 +14,9 @@ from larder.functions.exprs import cyclic
 LAGS = (1, 7, 14, 30, 60, 90)
 SPANS = (30, 60, 90)
 ALPHAS = (0.3, 0.5, 0.7)
-#: Days of a chunk of an exponential mean; powers of 1 - alpha stay far from overflow within it.
+#: Days that a chunk of an exponential mean holds while it is folded.
 EWM_CHUNK = 64
-_EPS = 1e-6
+EPS = 1e-6
 BASELINES = ("Naive", "SeasonalNaive", "HistoricMean")
 
 
@@ -52,7 +52,7 @@ def _full(agg: Column, days: int) -> Column:
 
 def rolling_features(panel: DataFrame) -> DataFrame:
     rolled = panel.withColumns({f"roll_mean_{n}": _full(F.avg("demand"), n) for n in SPANS} | {f"roll_std_{n}": _full(F.stddev_samp("demand"), n) for n in SPANS})
-    return rolled.withColumns({f"roll_cv_{n}": F.col(f"roll_std_{n}") / (F.col(f"roll_mean_{n}") + _EPS) for n in SPANS})
+    return rolled.withColumns({f"roll_cv_{n}": F.col(f"roll_std_{n}") / (F.col(f"roll_mean_{n}") + EPS) for n in SPANS})
 
 
 def trend_features(features: DataFrame) -> DataFrame:
@@ -60,43 +60,43 @@ def trend_features(features: DataFrame) -> DataFrame:
     c = F.col
     return features.withColumns({
         "diff_1_7": c("lag_1") - c("lag_7"), "diff_7_30": c("lag_7") - c("lag_30"), "mean_diff_30_90": c("roll_mean_30") - c("roll_mean_90"),
-        "growth_7": c("lag_1") / (c("lag_7") + _EPS), "growth_30": c("lag_7") / (c("lag_30") + _EPS), "growth_mean": c("roll_mean_30") / (c("roll_mean_90") + _EPS),
+        "growth_7": c("lag_1") / (c("lag_7") + EPS), "growth_30": c("lag_7") / (c("lag_30") + EPS), "growth_mean": c("roll_mean_30") / (c("roll_mean_90") + EPS),
     })
 
 
 def ewm_features(panel: DataFrame) -> DataFrame:
     """Exponential means of earlier demand: y = (1 - a) y + a x, from the first day seen; missing days are passed over.
 
-    A scan of two levels.  Days are put in chunks by the calendar.  Within a chunk a
-    running sum of x / (1 - a)^k gives what its days add; a whole chunk is a pair
-    (factor, offset) that takes the mean before it to the one after it, and each day
-    folds the pairs of the chunks before its own: one in 64 days, all of them.
+    A SKU's days are folded one after another, by the same operations as in SQL, so
+    that even a mean half way between two printed numbers is the same.  They are
+    gathered in a row for that, in chunks, so that adding a day copies one chunk at most.
     """
-    day, x = F.col("date"), F.col("demand").cast("double")
-    rows = panel.withColumn("_chunk", F.floor(F.unix_date(day) / EWM_CHUNK))
-    order = Window.partitionBy("sku_id").orderBy("_chunk", "date")  # one order for both levels, so one sort
-    chunk = Window.partitionBy("sku_id", "_chunk").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"_k": F.count(x).over(chunk), "_last": F.lead("_chunk").over(order).isNull() | (F.lead("_chunk").over(order) != F.col("_chunk"))})
-    sums = {f"_sum{n}": F.sum(x / F.pow(F.lit(1 - a), F.col("_k"))).over(chunk) for n, a in enumerate(ALPHAS)}
-    own = lambda n: F.coalesce(F.col(f"_sum{n}") * ALPHAS[n] * F.pow(F.lit(1 - ALPHAS[n]), F.col("_k")), F.lit(0.0))
-    rows = rows.withColumns(sums)
-    pair = F.struct(F.col("_k").alias("k"), *[own(n).alias(f"o{n}") for n in range(len(ALPHAS))])
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"_first": F.first(x, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_pairs": F.collect_list(F.when(F.col("_last"), pair)).over(before)})
-
-    def mean(n: int, alpha: float) -> Column:
-        carried = F.aggregate("_pairs", F.col("_first"), lambda y, p: y * F.pow(F.lit(1 - alpha), p["k"]) + p[f"o{n}"])
-        return carried * F.pow(F.lit(1 - alpha), F.col("_k")) + own(n)
-
-    found = rows.withColumns({f"_y{n}": mean(n, a) for n, a in enumerate(ALPHAS)})
-    found = found.withColumns({f"ewm_{int(a * 10)}": F.lag(f"_y{n}").over(order) for n, a in enumerate(ALPHAS)})
-    return found.select(*panel.columns, *[f"ewm_{int(a * 10)}" for a in ALPHAS])
+    x = lambda day: day["rest"]["demand"].cast("double")
+    rest = F.struct(*[c for c in panel.columns if c not in ("sku_id", "date")])
+    rows = panel.groupBy("sku_id").agg(F.sort_array(F.collect_list(F.struct("date", rest.alias("rest")))).alias("_days"))
+    starts = F.sequence(F.lit(1), F.size("_days"), F.lit(EWM_CHUNK))
+    means = lambda y, day: F.array(*[F.when(x(day).isNull(), y[n]).when(y[n].isNull(), x(day)).otherwise(y[n] * F.lit(round(1 - a, 12)) + x(day) * F.lit(a)) for n, a in enumerate(ALPHAS)])
+    pair = lambda y, seen: F.struct(y.alias("y"), seen.alias("seen"))
+
+    def chunk(carried: Column, start: Column) -> Column:
+        """The means before each day of a chunk, and the mean after it."""
+        none = F.array().cast("array<array<double>>")
+        own = F.aggregate(F.slice("_days", start, EWM_CHUNK), pair(carried["y"], none), lambda s, day: pair(means(s["y"], day), F.concat(s["seen"], F.array(s["y"]))))
+        return F.transform(F.array(own), lambda o: pair(o["y"], F.concat(carried["seen"], F.array(o["seen"]))))[0]
+
+    first = pair(F.array(*[F.lit(None).cast("double")] * len(ALPHAS)), F.array().cast("array<array<array<double>>>"))
+    rows = rows.select("sku_id", "_days", F.aggregate(starts, first, chunk, lambda s: F.flatten(s["seen"])).alias("_means"))
+    rows = rows.select("sku_id", F.explode(F.arrays_zip("_days", "_means")).alias("_at"))
+    own = {c: F.col("_at._days.date") if c == "date" else F.col("sku_id") if c == "sku_id" else F.col("_at._days.rest")[c] for c in panel.columns}
+    return rows.select(*[v.alias(c) for c, v in own.items()], *[F.col("_at._means")[n].alias(f"ewm_{int(a * 10)}") for n, a in enumerate(ALPHAS)])
 
 
 def create_features(panel: DataFrame) -> DataFrame:
     """Keys, demand and the 37 derived features; early rows keep their NULLs."""
-    keys = panel.select("sku_id", "date", "demand")
-    return ewm_features(trend_features(rolling_features(lag_features(calendar_features(keys)))))
+    keys = ewm_features(panel.select("sku_id", "date", "demand"))  # first, as it gathers the rows of a SKU
+    found = trend_features(rolling_features(lag_features(calendar_features(keys))))
+    means = [f"ewm_{int(a * 10)}" for a in ALPHAS]
+    return found.select(*[c for c in found.columns if c not in means], *means)
 
 
 def feature_names(features: DataFrame) -> list[str]:
