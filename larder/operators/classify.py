@@ -12,6 +12,7 @@ from larder.functions.stored import settled
 from larder.operators.features import BASELINES, baseline_forecasts
 from larder.operators.forecast import candidate_table, require_no_gap
 from larder.operators.joins import checked_join, with_dimension
+from larder.sources.series import place
 
 
 def sku_value(panel: DataFrame, settings: Settings) -> DataFrame:
@@ -19,13 +20,25 @@ def sku_value(panel: DataFrame, settings: Settings) -> DataFrame:
     return before.groupBy("sku_id").agg(F.sum(demand_value(panel.columns, settings.value_basis)).alias("value"))
 
 
+def series_value(series: DataFrame, settings: Settings) -> DataFrame:
+    """The same from series; days without sales add nothing."""
+    early = F.filter("sales", lambda d: d["at"] < place(settings.windows.calibration_start))
+    days = series.select("sku_id", "unit_price", "unit_cost", F.explode_outer(F.transform(early, lambda d: d["demand"].cast("long"))).alias("demand")).na.fill(0, ["demand"])
+    return days.groupBy("sku_id").agg(F.sum(demand_value(days.columns, settings.value_basis)).alias("value"))
+
+
 def classify_abc(panel: DataFrame, settings: Settings) -> DataFrame:
     """(sku_id, value, share, abc): the SKU that crosses a share belongs to the next class.
 
     The running share is summed range by range of value; ties go by sku_id.  The
     total economic value must be positive.
     """
-    running = running_total(sku_value(panel, settings), F.col("value"), [F.desc("value"), F.col("sku_id")], "_run", "_total")
+    return abc_of(sku_value(panel, settings), settings)
+
+
+def abc_of(values: DataFrame, settings: Settings) -> DataFrame:
+    """The same from (sku_id, value)."""
+    running = running_total(values, F.col("value"), [F.desc("value"), F.col("sku_id")], "_run", "_total")
     worthless = F.raise_error(F.lit("the total economic value must be positive")).cast("double")
     share = running.withColumn("share", F.when(F.col("_total") > 0, F.col("_run") / F.col("_total")).otherwise(worthless)).drop("_run", "_total")
     abc = F.when(F.col("share") <= settings.a_share, "A").when(F.col("share") <= settings.b_share, "B").otherwise("C")
@@ -49,7 +62,11 @@ def classify_xyz(panel: DataFrame, settings: Settings) -> DataFrame:
 
     SKUs without demand have no class.  X is up to the lower quantile, Y up to the upper.
     """
-    frame = selection_frame(panel, settings)
+    return xyz_of(selection_frame(panel, settings), settings)
+
+
+def xyz_of(frame: DataFrame, settings: Settings) -> DataFrame:
+    """The same from the baselines on the selection days."""
     if frame.select("date").distinct().count() < settings.windows.selection_days:
         raise ValueError("too few selection days")
     winner = candidate_table(frame, BASELINES).first()["model"]  # one name out of three
@@ -64,7 +81,12 @@ def classify_xyz(panel: DataFrame, settings: Settings) -> DataFrame:
 
 def abc_xyz(panel: DataFrame, settings: Settings) -> DataFrame:
     """(sku_id, class)."""
-    both = checked_join(classify_abc(panel, settings).select("sku_id", "abc"), classify_xyz(panel, settings).select("sku_id", "xyz"), ["sku_id"], validate="one_to_one")
+    return classes_of(sku_value(panel, settings), selection_frame(panel, settings), settings)
+
+
+def classes_of(values: DataFrame, frame: DataFrame, settings: Settings) -> DataFrame:
+    """The same from (sku_id, value) and the baselines on the selection days."""
+    both = checked_join(abc_of(values, settings).select("sku_id", "abc"), xyz_of(frame, settings).select("sku_id", "xyz"), ["sku_id"], validate="one_to_one")
     return both.select("sku_id", F.concat("abc", "xyz").alias("class"))
 
 

@@ -86,6 +86,11 @@ def historical_policy(panel: DataFrame, settings: Settings, targets: DataFrame |
         found = targets.select("sku_id").distinct().join(found.withColumn("_there", F.lit(True)), "sku_id", "left")
         absent = F.concat(F.lit("the recorded policy has no rows before the final window for "), F.col("sku_id"))
         found = found.withColumn("lead_time", refused(F.col("_there").isNull(), absent, F.col("lead_time"))).drop("_there")
+    return recorded(found)
+
+
+def recorded(found: DataFrame) -> DataFrame:
+    """One row of recorded numbers a SKU, checked; its reorder point is named as a policy's."""
     checked = {"lead_time": whole_lead_time(["sku_id"]).cast("double"), "reorder_point": _within("reorder_point", 0, False, "recorded policy"), "order_quantity": _within("order_quantity", 0, True, "recorded policy")}
     return found.withColumns(checked).withColumnRenamed("reorder_point", "rop")
 

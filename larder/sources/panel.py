@@ -6,12 +6,13 @@ from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.config import STANDARD, Settings
 from larder.functions.stored import settled
+from larder.sources.series import panel_of, standard_series
 
 #: The 13 columns that a panel must have, by type.
 PANEL = T.StructType(
@@ -114,33 +115,4 @@ def standard_panel(spark: SparkSession, sf_dir: str, settings: Settings = STANDA
     The number of parts grows with the tables, that of brands doesn't.  Days without sales are filled with zeros.  Each Monday receives what the
     seven days before sold, and the inventory never falls below zero.
     """
-    if by not in ("brand", "part"):
-        raise ValueError(f"no panel by {by!r}")
-    sku = F.col("p_brand") if by == "brand" else F.concat_ws("#", F.lit("Part"), "p_partkey")
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", sku.alias("p_brand"), "p_retailprice")
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_quantity", "l_returnflag", "l_shipdate")
-    line = line.filter((F.col("l_shipdate") >= "1999-01-01") & (F.col("l_shipdate") < "2001-01-01"))
-    brands = part.groupBy(F.col("p_brand").alias("sku_id")).agg(F.round(F.avg("p_retailprice"), 2).alias("unit_price"))
-    n = F.regexp_extract("sku_id", "[0-9]+", 0).cast("int")
-    leads = F.array(*map(F.lit, (3, 5, 7, 10, 14)))
-    brands = brands.withColumns({"n": n, "lead_time": F.get(leads, n % 5).cast("long"), "unit_cost": F.round(F.col("unit_price") * (F.lit(0.5) + F.lit(0.04) * (n % 5)), 2), "category": F.concat(F.lit("group"), (n % 4).cast("string"))})
-    days = spark.range(1).select(F.explode(F.sequence(F.lit("1999-01-01").cast("date"), F.lit("2000-12-31").cast("date"))).alias("date"))
-    kept = F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).otherwise(0.0)
-    sold = line.join(part.select("p_partkey", "p_brand"), line.l_partkey == part.p_partkey)
-    sold = sold.groupBy(F.col("p_brand").alias("sku_id"), F.col("l_shipdate").cast("date").alias("date")).agg(F.sum("l_quantity").alias("demand"), F.sum(kept).alias("sold"))
-    # a calendar has a fixed length, so the product of brands and days grows with the brands alone
-    grid = brands.crossJoin(F.broadcast(days)).join(sold, ["sku_id", "date"], "left").na.fill(0.0, ["demand", "sold"])
-    w = Window.partitionBy("sku_id").orderBy("date")
-    every = Window.partitionBy("sku_id")
-    week = F.coalesce(F.sum("sold").over(w.rowsBetween(-7, -1)), F.lit(0.0))
-    grid = grid.withColumn("received", F.when(F.weekday("date") == 0, week).otherwise(0.0))
-    grid = grid.withColumn("run", F.sum(F.col("received") - F.col("sold")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    mean = F.avg(F.when(F.col("date") < F.lit(settings.windows.final_start), F.col("demand"))).over(every)
-    grid = grid.withColumns({"inventory": F.col("run") - F.least(F.min("run").over(every), F.lit(0.0)), "mean": mean})
-    lead = F.col("lead_time").cast("double")
-    long = lambda c: c.cast("long")
-    return grid.select(
-        "sku_id", "date", long(F.col("demand")).alias("demand"), long(F.col("sold")).alias("sales_quantity"), long(F.col("inventory")).alias("inventory_level"), long(F.col("received")).alias("order_received"),
-        "category", "lead_time", long(F.ceil(F.col("mean") * lead * 0.2)).alias("safety_stock"), long(F.ceil(F.col("mean") * lead * 1.2)).alias("reorder_point"), long(F.ceil(F.col("mean") * 14.0)).alias("order_quantity"),
-        "unit_cost", "unit_price",
-    )
+    return panel_of(standard_series(spark, sf_dir, by), settings)
