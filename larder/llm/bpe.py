@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import text_of
 
-#: Bytes, as estimated, of pre-tokens and ids that a worker remembers before it starts afresh.
+#: Bytes, as estimated, of pre-tokens and ids that a worker remembers: half of it before it starts afresh, and half from before.
 CACHE_BYTES = 64_000_000
 _ENTRY_BYTES = 300
 
@@ -81,7 +81,9 @@ class Codec:
         for k, rank in ranks.items():
             self.at[self.hash(k)] = (k, rank)
         self.bytes_of = {i: k for k, i in ranks.items()}
+        self.digits = {i: str(i) for i in self.bytes_of}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.held = 0
 
     def token(self, piece: str) -> tuple[int, ...]:
@@ -121,14 +123,14 @@ class Codec:
         return ids
 
     def encode(self, text: str) -> list[int]:
-        cache, pieces = self.cache, self.split.findall(text)
+        """The text's ids.  What was used since the cache was last full outlives its next turn, so common pre-tokens are merged once."""
+        cache, older, pieces = self.cache, self.older, self.split.findall(text)
         for p in set(pieces).difference(cache):
-            cache[p] = own = self.token(p)
+            cache[p] = own = older.pop(p, None) or self.token(p)
             self.held += _ENTRY_BYTES + len(p) + 8 * len(own)
         ids = list(chain.from_iterable(map(cache.__getitem__, pieces)))
-        if self.held > CACHE_BYTES:
-            cache.clear()
-            self.held = 0
+        if self.held > CACHE_BYTES // 2:
+            self.cache, self.older, self.held = {}, cache, 0
         return ids
 
     def decode(self, ids: list[int]) -> bytes:
@@ -204,7 +206,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
             for text in batch.column(1):
                 ids = codec.encode(text.as_py())
                 n.append(len(ids))
-                made.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                made.append(hashlib.sha256(" ".join(map(codec.digits.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(made), pa.array(decoded)], schema=schema)
 

@@ -47,6 +47,19 @@ def test_encode_then_decode_gives_the_bytes(spark):
     assert {r.doc_id: bytes(r.body).decode() for r in bpe.decode_documents(tokens, PATH).collect()} == {i: t or "" for i, t in rows}
 
 
+def test_common_pre_tokens_outlive_a_full_cache(monkeypatch):
+    """A word that comes back is merged once, however many rare ones come between."""
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 100_000)
+    ranks, merged = bpe.read_ranks(PATH), []
+    codec, enc = bpe.Codec(ranks, PATTERN), library()
+    plain = codec.merged
+    monkeypatch.setattr(codec, "merged", lambda raw: merged.append(raw) or plain(raw))
+    for i in range(3000):
+        text = f"qxzvjqkw r{i:x}zq{i * 7919:x}"
+        assert codec.encode(text) == enc.encode_ordinary(text)
+    assert merged.count(b"qxzvjqkw") == 1 and codec.older
+
+
 def test_empty_table(spark):
     assert bpe.round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH, PATTERN).collect() == []
 
