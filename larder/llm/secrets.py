@@ -27,12 +27,11 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import least_by_hash, stored, text_of
 
-#: Most credentials of a kind that an automaton is inferred from: those with the smallest hash.
+#: Most credentials that give one automaton its states: those with the smallest hash.  All that it can read are
+#: counted in it, and those that it can't give the next automaton its states, until none is left.
 MAX_EXAMPLES = 2_000
-#: Letters of all examples of a kind together, and of the formats of ordinary text; what no longer fits is passed over.
-MAX_LETTERS, MAX_ORDINARY_LETTERS = 200_000, 4_000_000
-#: Most ordinary candidates that their format's likelihood is estimated from: those with the smallest hash.
-MAX_ORDINARY = 20_000
+#: Letters of these together; a longer credential gives no states.
+MAX_LETTERS = 200_000
 #: One in so many examples is held out to judge an automaton.
 HELD_OUT = 5
 #: Layers of different depth are merged if so many examples passed each, and at most so many steps apart.
@@ -54,6 +53,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Letter classes: digits, a-f and A-F (hexadecimal strings use them), other letters; marks stand for themselves.
 _CLASSES = str.maketrans({**dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("ABCDEF", "H"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "L")})
+_SYMBOLS = "dhlHL+/_.=-"
 #: A run of the credential alphabet in a text of classes; dots only within.
 _CANDIDATE = re.compile(r"[dhlHL+/_=-]+(?:\.[dhlHL+/_=-]+)*")
 
@@ -91,6 +91,15 @@ class Ordinary:
                 self.pairs[a + b] = self.pairs.get(a + b, 0) + n
                 self.firsts[a] = self.firsts.get(a, 0) + n
 
+    @classmethod
+    def of_pairs(cls, pairs: dict[str, int]) -> Ordinary:
+        """From how often each pair of classes was seen."""
+        made = cls({})
+        made.pairs = dict(pairs)
+        for pair, n in pairs.items():
+            made.firsts[pair[0]] = made.firsts.get(pair[0], 0) + n
+        return made
+
     def bits(self, form: str) -> float:
         """Bits of the whole format."""
         return sum(math.log2((self.firsts.get(a, 0) + self.SYMBOLS) / (self.pairs.get(a + b, 0) + 1)) for a, b in zip("^" + form, form + "$", strict=True))
@@ -227,6 +236,30 @@ class Automaton:
         while todo:
             todo += self._add(*todo.pop())
 
+    def path(self, form: str) -> list[State] | None:
+        """The states from the start to the one that ends a format, None if the automaton can't read it."""
+        at, found = self.start, [self.start]
+        for c in form:
+            to = at.to.get(c)
+            if to is None:
+                ways = {id(t): t for t in at.to.values()}
+                if len(ways) != 1:
+                    return None
+                to = next(iter(ways.values()))
+            found.append(to)
+            at = to
+        return found if at.ended and form else None
+
+    def recounted(self, counts: dict[tuple[int, str], int]) -> None:
+        """Take counts by (state's number, class) instead of the examples' own: "" for all that passed, "$" for those that ended."""
+        for i, state in enumerate(self.states):
+            ways = list(state.to.values())
+            state.passed, state.ended, state.times = counts.get((i, ""), 0), counts.get((i, "$"), 0), {}
+            for c in _SYMBOLS:
+                if n := counts.get((i, c)):
+                    state.times[c] = n
+                    state.to.setdefault(c, ways[0] if ways else state)
+
     def bits(self, form: str) -> float:
         """Bits a letter of a format; infinite if the automaton can't read it.
 
@@ -280,7 +313,7 @@ def _outside(text: str, spans: list[tuple]) -> Iterator[str]:
 
 
 def _gathered(docs: DataFrame, text_col: str) -> DataFrame:
-    """(kind, word, n): labelled credentials by kind, and under "ordinary" the formats of all other candidates, with their numbers."""
+    """(kind, word, n): labelled credentials by kind, and under "ordinary" the pairs of classes in all other candidates, with their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,26 +324,91 @@ def _gathered(docs: DataFrame, text_col: str) -> DataFrame:
                 base = base_matches(text)
                 found.update((KINDS[k], word) for *_, k, word in base)
                 forms.update(_CANDIDATE.findall(" ".join(_outside(text, base)).translate(_CLASSES)))
-            rows = [*((k, w, n) for (k, w), n in found.items()), *(("ordinary", w, n) for w, n in forms.items())]
+            rows = [*((k, w, n) for (k, w), n in found.items()), *(("ordinary", w, n) for w, n in Ordinary(forms).pairs.items())]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["kind", "word", "n"])
 
     seen = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "kind string, word string, n long")
     return seen.groupBy("kind", "word").agg(F.sum("n").alias("n"))
 
 
-def grammar_of(docs: DataFrame, text_col: str = "text", most: int = MAX_EXAMPLES, ordinary: int = MAX_ORDINARY, alpha: float = ALPHA) -> Grammar:
+def _examples(words: DataFrame, most: int) -> list[str]:
+    """The ``most`` words with the smallest hash, as long as their letters together stay within a bound."""
+    least = least_by_hash(words.filter(F.length("word") <= MAX_LETTERS), most, "word")
+    upto = F.sum(F.length("word")).over(Window.orderBy(F.xxhash64("word"), "word").rowsBetween(Window.unboundedPreceding, 0))  # at most ``most`` rows
+    return [r.word for r in least.withColumn("upto", upto).filter(F.col("upto") <= MAX_LETTERS).collect()]
+
+
+def _counts(words: DataFrame, automaton: Automaton) -> dict[tuple[int, str], int]:
+    """How many of all words pass each state, by what follows; the table has a row for each state and class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {id(x): i for i, x in enumerate(automaton.states)}
+        for batch in batches:
+            found: Counter[tuple[int, str]] = Counter()
+            for word in batch.column(0).to_pylist():
+                form = word.translate(_CLASSES)
+                if path := automaton.path(form):
+                    places = [number[id(x)] for x in path]
+                    found.update((i, "") for i in places)
+                    found.update(zip(places, [*form, "$"], strict=True))
+            rows = [(i, c, n) for (i, c), n in found.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.string(), pa.int64()))], ["state", "letter", "n"])
+
+    counted = words.select("word").mapInArrow(run, "state int, letter string, n long").groupBy("state", "letter").agg(F.sum("n").alias("n"))
+    return {(r.state, r.letter): r.n for r in counted.collect()}
+
+
+def _unread(words: DataFrame, automaton: Automaton) -> DataFrame:
+    """The words that the automaton can't read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([automaton.path(w.translate(_CLASSES)) is None for w in batch.column(0).to_pylist()], pa.bool_()))
+
+    return words.select("word").mapInArrow(run, "word string")
+
+
+def _worst(words: DataFrame, automaton: Automaton) -> float | None:
+    """Bits a letter of the least likely word that the automaton can read, of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [x for w in batch.column(0).to_pylist() if (x := automaton.bits(w.translate(_CLASSES))) < math.inf]
+            yield pa.RecordBatch.from_arrays([pa.array([max(bits)] if bits else [], pa.float64())], ["bits"])
+
+    return words.select("word").mapInArrow(run, "bits double").agg(F.max("bits")).first()[0]
+
+
+def grammar_of(docs: DataFrame, text_col: str = "text", most: int = MAX_EXAMPLES, alpha: float = ALPHA) -> Grammar:
     """Automata of each kind's credentials and the formats of ordinary text, from all documents.
 
-    Of each kind at most ``most`` different credentials count, of ordinary formats
-    at most ``ordinary``: those with the smallest hash, of any length, as long as
-    their letters together stay within a bound.
+    States are merged for at most ``most`` different credentials at a time, those with
+    the smallest hash.  All credentials that such an automaton reads are then counted
+    in it; those that it can't read give the next one of the kind, until none is left.
+    All that are held out set each automaton's threshold, and all ordinary candidates
+    count.
     """
-    seen, kept = stored(_gathered(docs, text_col), "secret-words"), {}
-    for kind, bound, letters in (*((k, most, MAX_LETTERS) for k in KINDS), ("ordinary", ordinary, MAX_ORDINARY_LETTERS)):
-        least = least_by_hash(seen.filter((F.col("kind") == kind) & (F.length("word") <= letters)), bound, "word")
-        upto = F.sum(F.length("word")).over(Window.orderBy(F.xxhash64("word"), "word").rowsBetween(Window.unboundedPreceding, 0))  # at most ``bound`` rows
-        kept[kind] = {r.word: r.n for r in least.withColumn("upto", upto).filter(F.col("upto") <= letters).collect()}
-    return infer({k: list(kept[k]) for k in KINDS}, Ordinary(kept["ordinary"]), alpha)
+    seen = stored(_gathered(docs, text_col), "secret-words")
+    ordinary = Ordinary.of_pairs({r.word: r.n for r in seen.filter("kind = 'ordinary'").collect()})  # at most a row for two classes
+    made = {}
+    for kind in KINDS:
+        words = seen.filter(F.col("kind") == kind).select("word")
+        apart = F.crc32(F.encode("word", "UTF-8")) % HELD_OUT == 0
+        judges, left = words.filter(apart), words.filter(~apart)
+        if left.isEmpty():
+            left = judges
+        while examples := _examples(left, most):
+            automaton = Automaton(sorted(examples), alpha)
+            if n := left.count() - len(examples):  # words differ
+                automaton.recounted(_counts(left, automaton))
+            worst = _worst(judges, automaton)
+            if (worst := _worst(left, automaton) if worst is None else worst) is not None:
+                automaton.worst = worst
+            made[kind if kind not in made else f"{kind} {sum(k.split()[0] == kind for k in made) + 1}"] = automaton
+            if not n:
+                break
+            left = stored(_unread(left, automaton), "secret-unread")
+    return Grammar(made, ordinary)
 
 
 def held_out(word: str) -> bool:

@@ -193,3 +193,29 @@ def test_merging_leaves_fewer_states_than_the_prefix_tree():
     words = ["".join(r.choices("0123456789abcdef", k=40)) for _ in range(300)]
     made = sc.Automaton(words)
     assert 1 < len(made.states) < 200 and all(made.accepts(w.translate(sc._CLASSES)) for w in words) and not made.accepts("L" * 40)
+
+
+def test_all_credentials_are_counted_and_every_format_is_learnt(spark):
+    """Automata made of ten credentials at a time: counts and thresholds are those of all, and a rare format has its own."""
+    r = random.Random(12)
+    often, rare = [fixed(r, 24) for _ in range(400)], [grouped(r) for _ in range(6)]
+    words = sorted({re.match(r"[A-Za-z0-9+/_.=-]+", w)[0] for w in often + rare})
+    rows = [(i, f"token={w} and ordinary words, e.g. in-between") for i, w in enumerate(words)]
+    grammar = sc.grammar_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), most=10)
+    learnt, judges = [w for w in words if not sc.held_out(w)], [w for w in words if sc.held_out(w)]
+    read = [w for w in learnt if any(a.path(w.translate(sc._CLASSES)) for a in grammar.automata.values())]
+    assert read == learnt and len(grammar.automata) >= 2
+    left = learnt
+    for a in grammar.automata.values():
+        own = [w for w in left if a.path(w.translate(sc._CLASSES))]
+        assert a.start.passed == len(own) == sum(x.ended for x in a.states)
+        worst = [b for w in judges if (b := a.bits(w.translate(sc._CLASSES))) < math.inf] or [a.bits(w.translate(sc._CLASSES)) for w in own]
+        assert math.isclose(a.worst, max(worst), rel_tol=1e-12)
+        left = [w for w in left if w not in own]
+    pairs = {}
+    for _, text in rows:
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*", re.sub(r"token=[A-Za-z0-9+/_.=-]+", " ", text)):
+            form = m[0].translate(sc._CLASSES)
+            for a, b in zip("^" + form, form + "$"):
+                pairs[a + b] = pairs.get(a + b, 0) + 1
+    assert grammar.ordinary.pairs == pairs
